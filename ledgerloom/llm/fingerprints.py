@@ -1,7 +1,7 @@
 """Document fingerprints [native]: consistent weighted sampling of weighted words.
 
 A document is a set of words weighted by their counts. For sample k and word x, hashes give
-r and c from Gamma(2, 1) (by a table of its quantiles) and b from U(0, 1); with weight w,
+r and c from Gamma(2, 1) and b from U(0, 1); with weight w,
 t = floor(ln w / r + b), and the sample is the pair (x, t) with the least
 ln c - r (t - b) - r. Two fingerprints agree at a position with a probability that equals
 the generalised Jaccard similarity sum(min) / sum(max) of the weights.
@@ -17,40 +17,31 @@ document is its own next.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .common import table, utf8
 
-SAMPLES, STEPS = 32, 4096
+SAMPLES = 32
 
 
-def gamma_quantiles(steps: int = STEPS) -> np.ndarray:
-    """Quantiles of Gamma(2, 1) at (i + 1/2) / steps, by bisection of 1 - (1 + x) e^-x."""
-    p = (np.arange(steps) + 0.5) / steps
-    low, high = np.zeros(steps), np.full(steps, 40.0)
-    for _ in range(80):
-        mid = (low + high) / 2
-        under = 1 - (1 + mid) * np.exp(-mid) < p
-        low, high = np.where(under, mid, low), np.where(under, high, mid)
-    return (low + high) / 2
+def _unit(h: Column, shift: int) -> Column:
+    """20 bits of a hash as a number in (0, 1)."""
+    return (F.shiftrightunsigned(h, shift).bitwiseAND((1 << 20) - 1) + 0.5) / float(1 << 20)
 
 
-def _constant(values: np.ndarray) -> Column:
-    return F.split(F.lit(",".join(f"{v:.9g}" for v in values)), ",").cast("array<double>")
-
-
-def sample_key(word: Column, log_weight: Column, k: int, r_table: Column, c_table: Column) -> Column:
+def sample_key(word: Column, log_weight: Column, k: int) -> Column:
     """A long that orders by the sampling criterion and holds the identity of (word, t) in its low 24 bits."""
     h = F.xxhash64(word, F.lit(k))
-    r = r_table[h.bitwiseAND(STEPS - 1).cast("int")]
-    ln_c = c_table[F.shiftrightunsigned(h, 12).bitwiseAND(STEPS - 1).cast("int")]
-    b = F.shiftrightunsigned(h, 24).bitwiseAND((1 << 20) - 1) / F.lit(float(1 << 20))
+    g = F.xxhash64(h)
+    r = -F.log(_unit(h, 0) * _unit(h, 20))  # Gamma(2, 1): minus the log of a product of two uniforms
+    ln_c = F.log(-F.log(_unit(g, 0) * _unit(g, 20)))
+    b = _unit(h, 40)
     t = F.floor(log_weight / r + b)
-    ln_a = ln_c - r * (t - b) - r
-    rank = F.floor((F.least(F.greatest(ln_a, F.lit(-63.0)), F.lit(63.0)) + 64.0) * float(1 << 31))
+    ln_a = ln_c - r * (t - b + 1.0)
+    # Weights and gammas bound ln_a well inside (-64, 64) for counts below e^30.
+    rank = F.floor((ln_a + 64.0) * float(1 << 31))
     return F.shiftleft(rank, 24).bitwiseOR(F.xxhash64(h, t).bitwiseAND((1 << 24) - 1))
 
 
@@ -92,9 +83,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, buckets: int | None =
         .select("bucket", "rid", "ghost", "side", F.when(F.col("word") != "", F.xxhash64("word")).alias("word"))
     )
     counted = words.groupBy("bucket", "rid", "ghost", "side", "word").agg(F.count("word").alias("n")).withColumn("ln_n", F.log("n"))
-    g = gamma_quantiles()
-    r_table, c_table = _constant(g), _constant(np.log(g))
-    keys = [F.min(F.when(F.col("word").isNotNull(), sample_key(F.col("word"), F.col("ln_n"), k, r_table, c_table))).alias(f"m{k}") for k in range(samples)]
+    keys = [F.min(F.when(F.col("word").isNotNull(), sample_key(F.col("word"), F.col("ln_n"), k))).alias(f"m{k}") for k in range(samples)]
     sampled = counted.groupBy("bucket", "rid", "ghost", "side").agg(*keys)
     both = sampled.groupBy("bucket", "rid", "ghost").agg(
         *[F.coalesce(F.max(F.when(F.col("side") == s, F.col(f"m{k}"))), F.lit(-1)).alias(f"{name}{k}") for s, name in ((0, "a"), (1, "b")) for k in range(samples)]

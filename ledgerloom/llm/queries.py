@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, packing, quality, sharding, topk, url_filter
+from . import bpe, fingerprints, packing, quality, sharding, substring_dedup, suffix_dedup, topk, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op3_sharding": sharding.op3_sharding,
     "op4_topk": topk.op4_topk,
     "op5_fingerprints": fingerprints.op5_fingerprints,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_packing": packing.op8_packing,
     "op9_quality": quality.op9_quality,
     "op10_bpe": bpe.op10_bpe,
