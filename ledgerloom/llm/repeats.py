@@ -38,7 +38,7 @@ K = {"bytes": 20, "words": 12}
 
 
 def batches_of(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows: batch, docs (order keys), lens, body (concatenated UTF-8), carry (the columns but the text)."""
+    """Rows: batch, size, docs (order keys), lens, body (concatenated UTF-8), carry (the columns but the text)."""
     keep = [f for f in df.schema.fields if f.name != text]
     carry = StructType(keep)
 
@@ -54,7 +54,7 @@ def batches_of(df: DataFrame, doc_id: str, text: str) -> DataFrame:
             cols = [tab.column(f.name).combine_chunks() for f in keep]
             st = pa.StructArray.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols], names=[f.name for f in keep])
             lst = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), st)
-            return pa.RecordBatch.from_arrays([pa.array([docs.tobytes()], pa.binary()), pa.array([lens.tobytes()], pa.binary()), pa.array([b"".join(texts)], pa.binary()), lst], names=["docs", "lens", "body", "carry"])
+            return pa.RecordBatch.from_arrays([pa.array([int(lens.sum())], pa.int64()), pa.array([docs.tobytes()], pa.binary()), pa.array([lens.tobytes()], pa.binary()), pa.array([b"".join(texts)], pa.binary()), lst], names=["size", "docs", "lens", "body", "carry"])
 
         for batch in stream:
             sizes = batch.column("__size").to_numpy()
@@ -73,8 +73,8 @@ def batches_of(df: DataFrame, doc_id: str, text: str) -> DataFrame:
         *[F.col(f.name) for f in keep], F.col(text).alias("__text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("__key"),
         (F.octet_length(F.coalesce(text, F.lit(""))).cast("long") + 1).alias("__size"),
     )
-    schema = StructType([StructField("docs", BinaryType()), StructField("lens", BinaryType()), StructField("body", BinaryType()), StructField("carry", ArrayType(carry))])
-    return persist_table(slim.mapInArrow(run, schema).withColumn("batch", F.monotonically_increasing_id()), "repeat-batches")
+    schema = StructType([StructField("size", LongType()), StructField("docs", BinaryType()), StructField("lens", BinaryType()), StructField("body", BinaryType()), StructField("carry", ArrayType(carry))])
+    return persist_table(slim.mapInArrow(run, schema).withColumn("batch", F.monotonically_increasing_id()), "repeat-batches", bucket_by="batch")
 
 
 class Batch:
@@ -151,24 +151,34 @@ def gathered(parts: list[dict] | None, total: int, dtype) -> np.ndarray:
     return got
 
 
+def low_bytes(keys: np.ndarray) -> bytes:
+    """Six bytes of each key; the bucket stands for the rest."""
+    return keys.astype("<u8").view("u1").reshape(-1, 8)[:, :6].tobytes()
+
+
+def from_low_bytes(blobs: list[np.ndarray]) -> np.ndarray:
+    flat = np.concatenate(blobs).reshape(-1, 6)
+    out = np.zeros((len(flat), 8), "u1")
+    out[:, :6] = flat
+    return out.view("<u8").ravel()
+
+
 def pack_segments(b: Batch, unit: str, runs: Runs, doc: np.ndarray, rep: np.ndarray) -> bytes:
     n = runs.windows[rep]
-    head = [np.array([len(rep)], "<i8"), runs.key[rep].astype("<u8"), runs.segment[rep].astype("<u8"), doc[rep].astype("<i8"), n.astype("u1")]
     size = n + LENGTH - 1 if unit == "bytes" else n
     at = np.repeat(runs.start[rep] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
     body = b.raw[at] if unit == "bytes" else b.window_hash[at].astype("<u8")
-    return b"".join(x.tobytes() for x in (*head, body))
+    return b"".join([np.array([len(rep)], "<i8").tobytes(), low_bytes(runs.key[rep]), doc[rep].astype("<i8").tobytes(), n.astype("u1").tobytes(), body.tobytes()])
 
 
 def unpack_segments(blob: bytes, unit: str):
     n = int(np.frombuffer(blob, "<i8", 1)[0])
-    key, seg = np.frombuffer(blob, "<u8", n, 8), np.frombuffer(blob, "<u8", n, 8 + 8 * n)
-    doc, win = np.frombuffer(blob, "<i8", n, 8 + 16 * n), np.frombuffer(blob, "u1", n, 8 + 24 * n).astype(np.int64)
-    return key, seg, doc, win, np.frombuffer(blob, "u1" if unit == "bytes" else "<u8", -1, 8 + 25 * n)
+    key, doc = np.frombuffer(blob, "u1", 6 * n, 8), np.frombuffer(blob, "<i8", n, 8 + 6 * n)
+    return key, doc, np.frombuffer(blob, "u1", n, 8 + 14 * n), np.frombuffer(blob, "u1" if unit == "bytes" else "<u8", -1, 8 + 15 * n)
 
 
-#: (key, segment, document, windows, bodies) of one bucket -> least document of each window, concatenated
-Resolver = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: (key, document, windows, bodies) of one bucket -> least document of each window, concatenated
+Resolver = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 def remove_repeats(df: DataFrame, unit: str, resolve: Resolver, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -177,8 +187,10 @@ def remove_repeats(df: DataFrame, unit: str, resolve: Resolver, doc_id: str = "d
     Words are kept joined by single spaces, bytes as they are.
     """
     spark = df.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     whole = batches_of(df, doc_id, text)
+    size = whole.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    # As many buckets as batches, so that what meets in one stays as small as a batch.
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BATCH))
     cols = ["batch", "docs", "lens", "body"]
 
     def ask(stream):
@@ -187,20 +199,15 @@ def remove_repeats(df: DataFrame, unit: str, resolve: Resolver, doc_id: str = "d
                 b = Batch(unit, row["docs"], row["lens"], row["body"])
                 out = []
                 for bucket, lo, hi in slices(b.keys, buckets):
-                    low = b.keys[lo:hi].astype("<u8").view("u1").reshape(-1, 8)[:, :6].tobytes()
-                    out.append((bucket, row["batch"], low + np.minimum(b.variants[lo:hi], 255).astype("u1").tobytes()))
+                    out.append((bucket, row["batch"], low_bytes(b.keys[lo:hi]) + np.minimum(b.variants[lo:hi], 255).astype("u1").tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "batch", "question"])
 
     def count(tab: pa.Table) -> pa.Table:
         blobs = tab.column("question").to_pylist()
         n = [len(x) // 7 for x in blobs]
-        keys = np.zeros((sum(n), 8), "u1")
-        at = 0
-        for x, k in zip(blobs, n):
-            keys[at : at + k, :6] = np.frombuffer(x, "u1", 6 * k).reshape(k, 6)
-            at += k
+        keys = from_low_bytes([np.frombuffer(x, "u1", 6 * k) for x, k in zip(blobs, n)])
         seen = np.concatenate([np.frombuffer(x, "u1", k, 6 * k) for x, k in zip(blobs, n)]).astype(np.int64)
-        _, inverse, times = np.unique(keys.view("<u8").ravel(), return_inverse=True, return_counts=True)
+        _, inverse, times = np.unique(keys, return_inverse=True, return_counts=True)
         code = ((times > 1) | (((np.bincount(inverse, weights=seen)) > HOT) << 1))[inverse].astype("u1")
         ends = np.cumsum(n)
         answers = [code[e - k : e].tobytes() for e, k in zip(ends, n)]
@@ -223,14 +230,16 @@ def remove_repeats(df: DataFrame, unit: str, resolve: Resolver, doc_id: str = "d
 
     def judge(tab: pa.Table) -> pa.Table:
         parts = [unpack_segments(x, unit) for x in tab.column("question").to_pylist()]
-        key, seg, doc, win, body = (np.concatenate(c) for c in zip(*parts))
-        least = resolve(key, seg, doc, win, body)
+        key = from_low_bytes([p[0] for p in parts])
+        doc, win, body = (np.concatenate(c) for c in list(zip(*parts))[1:])
+        win = win.astype(np.int64)
+        least = resolve(key, doc, win, body)
         gone = least < np.repeat(doc, win)
         first = np.cumsum(win) - win
         place = np.arange(len(gone)) - np.repeat(first, win)
         masks = np.bitwise_or.reduceat(gone.astype("<u8") << place.astype("<u8"), first)
-        ends = np.cumsum([len(p[0]) for p in parts])
-        answers = [masks[e - len(p[0]) : e].tobytes() for e, p in zip(ends, parts)]
+        ends = np.cumsum([len(p[1]) for p in parts])
+        answers = [masks[e - len(p[1]) : e].tobytes() for e, p in zip(ends, parts)]
         return pa.table({"bucket": tab.column("bucket"), "batch": tab.column("batch"), "answer": pa.array(answers, pa.binary())})
 
     segments = whole.select(*cols).join(codes, "batch", "left").select(*cols, "codes").mapInArrow(send, "bucket int, batch long, question binary")

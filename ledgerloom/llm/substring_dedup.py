@@ -19,7 +19,7 @@ from .common import table
 from .repeats import remove_repeats
 
 
-def extend(key: np.ndarray, seg: np.ndarray, doc: np.ndarray, win: np.ndarray, body: np.ndarray) -> np.ndarray:
+def extend(key: np.ndarray, doc: np.ndarray, win: np.ndarray, body: np.ndarray) -> np.ndarray:
     """Least document of every window: ``body`` has the window hashes of each run, left to right."""
     owner = np.repeat(doc, win)
     order = np.lexsort((owner, body, np.repeat(key, win)))

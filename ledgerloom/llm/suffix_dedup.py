@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .repeats import LENGTH, remove_repeats
+from .windows import BYTE_HASH, mix, powers, sums
 
 IN_MEMORY = 32_000_000
 
@@ -101,10 +102,13 @@ def construct(data: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarra
         files.close()
 
 
-def least_documents(key: np.ndarray, seg: np.ndarray, doc: np.ndarray, win: np.ndarray, body: np.ndarray) -> np.ndarray:
+def least_documents(key: np.ndarray, doc: np.ndarray, win: np.ndarray, body: np.ndarray) -> np.ndarray:
     """Least document of every window of every segment; ``body`` has the segments' bytes."""
     size = win + LENGTH - 1
     at = np.cumsum(size) - size
+    prefix = sums(BYTE_HASH[body])
+    seg = mix(mix((prefix[at + size] - prefix[at]) * powers(len(prefix))[1][at]) + size.astype(np.uint64))
+    del prefix
     order = np.lexsort((doc, seg, key))
     k, s = key[order], seg[order]
     new_key = np.append(True, k[1:] != k[:-1])
