@@ -31,7 +31,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 from .common import persist_table, release_shuffles
 from .windows import BYTE_HASH, Runs, find_runs, mix, word_hashes, words_of
 
-BATCH, LENGTH = 2_000_000, 50
+BATCH, LENGTH = 1_000_000, 50
 #: Anchors with more segments than this (over all batches) are spread window by window.
 HOT = 2_000
 K = {"bytes": 20, "words": 12}
@@ -77,6 +77,18 @@ def batches_of(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return persist_table(slim.mapInArrow(run, schema).withColumn("batch", F.monotonically_increasing_id()), "repeat-batches", bucket_by="batch")
 
 
+def rows_of(stream):
+    """One row at a time as a dict; memory of the row before goes back to the system first."""
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    for rb in stream:
+        for i in range(rb.num_rows):
+            yield rb.slice(i, 1).to_pylist()[0]
+            if trim is not None:
+                trim(0)
+
+
 class Batch:
     """One batch as arrays, with the runs of its windows."""
 
@@ -189,18 +201,17 @@ def remove_repeats(df: DataFrame, unit: str, resolve: Resolver, doc_id: str = "d
     spark = df.sparkSession
     whole = batches_of(df, doc_id, text)
     size = whole.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    # As many buckets as batches, so that what meets in one stays as small as a batch.
-    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BATCH))
+    # Buckets in proportion to the text, so that what meets in one stays about as small as a batch.
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (2 * BATCH)))
     cols = ["batch", "docs", "lens", "body"]
 
     def ask(stream):
-        for rb in stream:
-            for row in rb.to_pylist():
-                b = Batch(unit, row["docs"], row["lens"], row["body"])
-                out = []
-                for bucket, lo, hi in slices(b.keys, buckets):
-                    out.append((bucket, row["batch"], low_bytes(b.keys[lo:hi]) + np.minimum(b.variants[lo:hi], 255).astype("u1").tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "batch", "question"])
+        for row in rows_of(stream):
+            b = Batch(unit, row["docs"], row["lens"], row["body"])
+            out = []
+            for bucket, lo, hi in slices(b.keys, buckets):
+                out.append((bucket, row["batch"], low_bytes(b.keys[lo:hi]) + np.minimum(b.variants[lo:hi], 255).astype("u1").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "batch", "question"])
 
     def count(tab: pa.Table) -> pa.Table:
         blobs = tab.column("question").to_pylist()
@@ -221,12 +232,11 @@ def remove_repeats(df: DataFrame, unit: str, resolve: Resolver, doc_id: str = "d
     codes = answers.groupBy("batch").agg(grouped.alias("codes"))
 
     def send(stream):
-        for rb in stream:
-            for row in rb.to_pylist():
-                b = Batch(unit, row["docs"], row["lens"], row["body"], True)
-                runs, doc, rep, _ = b.sent(gathered(row["codes"], len(b.keys), "u1"))
-                out = [(bucket, row["batch"], pack_segments(b, unit, runs, doc, rep[lo:hi])) for bucket, lo, hi in slices(runs.key[rep], buckets)]
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "batch", "question"])
+        for row in rows_of(stream):
+            b = Batch(unit, row["docs"], row["lens"], row["body"], True)
+            runs, doc, rep, _ = b.sent(gathered(row["codes"], len(b.keys), "u1"))
+            out = [(bucket, row["batch"], pack_segments(b, unit, runs, doc, rep[lo:hi])) for bucket, lo, hi in slices(runs.key[rep], buckets)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "batch", "question"])
 
     def judge(tab: pa.Table) -> pa.Table:
         parts = [unpack_segments(x, unit) for x in tab.column("question").to_pylist()]

@@ -12,8 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-_MASK_BITS = 21
-CHUNK = 1 << 20  # windows handled at a time
+_MASK_BITS = 18
+CHUNK = 1 << 17  # windows handled at a time
 _BASE, _SEED = np.uint64(0x9E3779B97F4A7C15), 20_240_229
 _POW: list[np.ndarray] = []
 
