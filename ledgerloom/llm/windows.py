@@ -94,7 +94,8 @@ def find_runs(sym: np.ndarray, doc_of: np.ndarray, length: int, k: int, want_win
         count = np.bincount(np.cumsum(new)[fine] - 1, minlength=len(first))
         a, b = first, first + count - 1
         seg = mix(whole[a] * np.uint64(3) + mix(whole[b] + (at[a] - a).astype(np.uint64) * np.uint64(257) + count.astype(np.uint64)))
-        found.append((gram[at[a]], seg, a + s, count))
+        # Least hashes crowd near zero; mixed again, they spread over all buckets.
+        found.append((mix(gram[at[a]]), seg, a + s, count))
     cols = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
     return Runs(*cols), hashes
 
