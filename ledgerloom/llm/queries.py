@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, packing, quality, sharding, substring_dedup, suffix_dedup, topk, url_filter
+from . import bpe, fingerprints, jaccard_join, packing, quality, sharding, substring_dedup, suffix_dedup, topk, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_topk": topk.op4_topk,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_packing": packing.op8_packing,
     "op9_quality": quality.op9_quality,
