@@ -51,7 +51,7 @@ def bucketed(docs: DataFrame, buckets: int) -> DataFrame:
 
     spark = docs.sparkSession
     cuts = sorted(set(docs.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [i / buckets for i in range(1, buckets)], 0.2 / buckets)))
-    splits = [float("-inf"), *cuts, float("inf")]
+    splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
     base = docs.select(
         "doc_id", utf8("text").alias("text"), F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col("doc_id").cast("double"), F.lit(float("nan"))).alias("_x")
     )
