@@ -29,10 +29,15 @@ from pyspark.sql import functions as F
 
 from .common import persist_table, running_start, table
 
-SEQUENCE, END_ID, MAX_QUEUES, MAX_PLAN, SUBS, CACHE = 2048, 1, 256, 1 << 20, 64, 300_000
+SEQUENCE, END_ID, MAX_QUEUES, MAX_PLAN, SUBS, CACHE = 2048, 1, 256, 1 << 20, 64, 700_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: A character outside ASCII, the letters of Latin-1 and Latin Extended-A.
+PLAIN = re.compile("[^\\x00-\\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]").search
+SIGNS = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,!?;:*#$%&|()-]+)").fullmatch
+
+
 class ChunkedTokenizer:
     """A ``tokenizers`` file whose pattern never crosses white space: results of the stretches
     between white space are remembered, as they repeat."""
@@ -54,24 +59,32 @@ class ChunkedTokenizer:
         """Ids as little-endian unsigned 32-bit integers."""
         if self.UNSURE(text):
             return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if PLAIN(text) is None:
+            # The file's normaliser lowers such texts the same way, and none of them composes.
+            text = text.lower()
         chunks = text.split()
         known = self.known
-        missing = [c for c in chunks if c not in known]
-        if not missing:
+        try:
             return b"".join([known[c] for c in chunks])
-        if len(known) + len(missing) > CACHE and known:
+        except KeyError:
+            pass
+        missing = [c for c in dict.fromkeys(chunks) if c not in known]
+        if len(known) + 2 * len(missing) > CACHE and known:
             self.before, self.known = known, {}
-            known, missing = self.known, chunks
-        new = []
-        for c in dict.fromkeys(missing):
+            known, missing = self.known, list(dict.fromkeys(chunks))
+        # A word with signs after it is two pieces: the word itself is often known by then.
+        parts = {c: m.groups() for c in missing if (m := SIGNS(c)) is not None}
+        for c in dict.fromkeys(x for c in missing for x in (c, *parts.get(c, ()))):
             ids = self.before.get(c)
-            if ids is None:
-                new.append(c)
-            else:
+            if ids is not None:
                 known[c] = ids
+        new = [c for c in dict.fromkeys(x for c in missing for x in parts.get(c, (c,))) if c not in known]
         if new:
             for c, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
                 known[c] = np.asarray(e.ids, dtype="<u4").tobytes()
+        for c, (word, signs) in parts.items():
+            if c not in known:
+                known[c] = known[word] + known[signs]
         return b"".join([known[c] for c in chunks])
 
 
