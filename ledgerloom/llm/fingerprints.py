@@ -68,8 +68,9 @@ def bucketed(docs: DataFrame, buckets: int) -> DataFrame:
 def fingerprints(docs: DataFrame, samples: int = SAMPLES, buckets: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = bucketed(docs.select(F.col("doc_id").cast("long"), "text"), buckets).withColumn("_h", F.xxhash64("text"))
+    partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Many small partitions, so that the word counts of one fit in memory.
+    dealt = bucketed(docs.select(F.col("doc_id").cast("long"), "text"), buckets or 4 * partitions).withColumn("_h", F.xxhash64("text")).repartition(partitions, "bucket")
     line = Window.partitionBy("bucket").orderBy("ghost", F.desc("doc_id"), "_h", "rid")
     half = F.floor(F.col("n_chars") / 2).cast("int")
     seen = (
