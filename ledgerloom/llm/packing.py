@@ -18,6 +18,7 @@ repeated rows are documents of their own.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -33,59 +34,98 @@ SEQUENCE, END_ID, MAX_QUEUES, MAX_PLAN, SUBS, CACHE = 2048, 1, 256, 1 << 20, 64,
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-#: A character outside ASCII, the letters of Latin-1 and Latin Extended-A.
+#: A character outside ASCII, the letters of Latin-1 and Latin Extended-A: texts without any are
+#: lowered by the file's normaliser as by Python, and none of them composes.
 PLAIN = re.compile("[^\\x00-\\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]").search
-SIGNS = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,!?;:*#$%&|()-]+)").fullmatch
+
+#: What a file has to say for its texts to be cut by ``PIECE`` (fixed values: the file's own words).
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+#: ``PATTERN`` for the characters of lowered plain texts.
+PIECE = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]|[^\\sa-z\u00df-\u00f6\u00f8-\u017e0-9]+").findall
 
 
 class ChunkedTokenizer:
     """A ``tokenizers`` file whose pattern never crosses white space: results of the stretches
-    between white space are remembered, as they repeat."""
+    between white space are remembered, as they repeat. Plain texts of a file with ``NORMALIZER``
+    and ``PATTERN`` are cut into the pattern's pieces here; the library then only merges, on many
+    pieces at a time, and the end-of-word mark of each piece's last token parts them again.
+
+    Memory: two generations of at most ``CACHE`` strings and one batch's own."""
 
     #: Characters on which libraries differ in what white space is: such texts go whole to the library.
-    UNSURE = re.compile("[\x1c-\x1f\x85᠎​﻿]").search
+    UNSURE = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]").search
+    BATCH = 2000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()
+        spec = json.loads(self.tok.to_str())
+        self.special = [x["content"] for x in spec["added_tokens"]]
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if self.UNSURE(text):
-            return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if PLAIN(text) is None:
-            # The file's normaliser lowers such texts the same way, and none of them composes.
-            text = text.lower()
-        chunks = text.split()
+        split, *byte_level = spec["pre_tokenizer"].get("pretokenizers", [{}]) if spec["pre_tokenizer"] else [{}]
+        mark = spec["model"].get("end_of_word_suffix")
+        self.merger = None
+        if mark and spec["normalizer"] == NORMALIZER and split.get("pattern") == {"Regex": PATTERN} and [x["type"] for x in byte_level] == ["ByteLevel"]:
+            self.merger = Tokenizer.from_str(self.tok.to_str())
+            self.merger.normalizer = normalizers.Sequence([])
+            self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocabulary = self.tok.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.last[[i for word, i in vocabulary.items() if word.endswith(mark)]] = True
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _merge(self, pieces: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(pieces), self.BATCH):
+            part = pieces[at : at + self.BATCH]
+            ids = np.asarray(self.merger.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) != len(part):
+                raise ValueError("pieces and end-of-word tokens differ in number")
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends)]
+        return out
+
+    def _learn(self, missing: set[str]) -> None:
+        """Add ``missing`` stretches (and their pieces) to what is known."""
         known = self.known
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            pass
-        missing = [c for c in dict.fromkeys(chunks) if c not in known]
-        if len(known) + 2 * len(missing) > CACHE and known:
-            self.before, self.known = known, {}
-            known, missing = self.known, list(dict.fromkeys(chunks))
-        # A word with signs after it is two pieces: the word itself is often known by then.
-        parts = {c: m.groups() for c in missing if (m := SIGNS(c)) is not None}
-        for c in dict.fromkeys(x for c in missing for x in (c, *parts.get(c, ()))):
-            ids = self.before.get(c)
-            if ids is not None:
-                known[c] = ids
-        new = [c for c in dict.fromkeys(x for c in missing for x in parts.get(c, (c,))) if c not in known]
-        if new:
-            for c, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-                known[c] = np.asarray(e.ids, dtype="<u4").tobytes()
-        for c, (word, signs) in parts.items():
+        for c in missing.intersection(self.before):
+            known[c] = self.before[c]
+        rest = [c for c in missing if c not in known]
+        cut = {c: PIECE(c.lower()) for c in rest if PLAIN(c) is None} if self.merger is not None else {}
+        new = list({x for parts in cut.values() for x in parts}.difference(known))
+        known.update(zip(new, self._merge(new)))
+        for c, parts in cut.items():
             if c not in known:
-                known[c] = known[word] + known[signs]
-        return b"".join([known[c] for c in chunks])
+                known[c] = b"".join([known[x] for x in parts])
+        other = [c for c in rest if c not in cut]
+        known.update(zip(other, self._library(other)))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.known) > CACHE:
+            self.before, self.known = self.known, {}
+        missing: set[str] = set()
+        cut: list[list[str] | None] = []
+        for text in texts:
+            if self.UNSURE(text) or any(x in text for x in self.special):
+                cut.append(None)
+                continue
+            chunks = (text.lower() if self.merger is not None and PLAIN(text) is None else text).split()
+            missing |= set(chunks).difference(self.known)
+            cut.append(chunks)
+        self._learn(missing)
+        get = self.known.__getitem__
+        return [self._library([text])[0] if chunks is None else b"".join(map(get, chunks)) for text, chunks in zip(texts, cut)]
 
 
 _LOADED: dict[str, ChunkedTokenizer] = {}
@@ -101,7 +141,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids = [tok.encode(t.as_py() or "") + end for t in part.column(2)]
+                ids = [x + end for x in tok.encode([t or "" for t in part.column(2).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "source", "n", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(run, "doc_id long, source string, n long, ids binary")
