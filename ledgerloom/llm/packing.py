@@ -25,6 +25,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,7 +76,10 @@ class ChunkedTokenizer:
         if mark and spec["normalizer"] == NORMALIZER and split.get("pattern") == {"Regex": PATTERN} and [x["type"] for x in byte_level] == ["ByteLevel"]:
             self.merger = Tokenizer.from_str(self.tok.to_str())
             self.merger.normalizer = normalizers.Sequence([])
-            self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.merger.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            # The byte-level alphabet: printable Latin-1 stands for itself, other bytes for U+0100 and on; spaces part the pieces.
+            own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+            self.letters = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in own) if b != 32}
             vocabulary = self.tok.get_vocab()
             self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
             self.last[[i for word, i in vocabulary.items() if word.endswith(mark)]] = True
@@ -87,7 +91,7 @@ class ChunkedTokenizer:
         out = []
         for at in range(0, len(pieces), self.BATCH):
             part = pieces[at : at + self.BATCH]
-            ids = np.asarray(self.merger.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.asarray(self.merger.encode(" ".join(part).encode().decode("latin-1").translate(self.letters), add_special_tokens=False).ids, dtype="<u4")
             ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
             if len(ends) != len(part):
                 raise ValueError("pieces and end-of-word tokens differ in number")
@@ -280,13 +284,14 @@ def pack(docs: DataFrame, tokenizer: str | None = None, *, sequence: int = SEQUE
 
     def sums(batches):
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
-            for doc, n, ids, own in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                for p in own:
-                    a, k = p["start"], p["length"]
-                    for c, v in zip(cols, (doc, a, k, zlib.crc32(memoryview(ids)[4 * a : 4 * (a + k)]), n, p["sequence_id"], p["offset"])):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            doc, n, ids, own = (batch.column(i) for i in range(4))
+            of = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(own).to_numpy(zero_copy_only=False))
+            start, length, sequence_id, offset = own.flatten().flatten()
+            raw = [memoryview(x) for x in ids.to_pylist()]
+            a = 4 * start.to_numpy()
+            crc = [zlib.crc32(raw[i][x:y]) for i, x, y in zip(of.tolist(), a.tolist(), (a + 4 * length.to_numpy()).tolist())]
+            cols = [doc.take(pa.array(of)), start, length, pa.array(crc, pa.int64()), n.take(pa.array(of)), sequence_id, offset]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     return rows.join(mine, "rid").select("doc_id", "n", "ids", "pieces").mapInArrow(sums, PIECES)
 
