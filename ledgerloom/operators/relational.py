@@ -111,12 +111,49 @@ def repeat_to_budget(df: DataFrame, key: str, stratum: str, tokens: str, budget:
 
 
 def fuzzy_pairs(df: DataFrame, key: str, name: str, threshold: float = 0.86) -> DataFrame:
-    """Candidate pairs of names that share their first token, with a Ratcliff-Obershelp ratio of at least the threshold."""
-    from ..functions.text import sequence_ratio, tokens
+    """Pairs a < b of names where one's tokens begin the other's, or with a Ratcliff-Obershelp ratio of at least the threshold.
 
-    t = df.select(F.col(key).alias("a"), F.col(name).alias("x"), F.element_at(tokens(F.col(name)), 1).alias("block")).where("block is not null")
-    u = t.withColumnsRenamed({"a": "b", "x": "y"})
-    return t.join(u, "block").where("a < b").withColumn("ratio", sequence_ratio("x", "y")).where(F.col("ratio") >= threshold).select("a", "b", "x", "y", "ratio")
+    Both sweeps are whole. Token prefixes are an equi-join; a name without tokens begins every
+    name. For the ratio, names are case folded. Of S characters in both, M = ratio * S / 2 are
+    matched in at most S - 2M + 1 blocks, hence at least 3M - S + 1 bigrams (ends marked) are
+    shared: pairs meet on the rarest bigrams of which one must then be shared, and are counted
+    once, at the first that they share. Thresholds up to 2/3 need share none and compare all pairs.
+    """
+    from ..functions.text import bigrams, casefold, sequence_ratio, tokens
+
+    t = df.where(F.col(name).isNotNull()).select(F.col(key).alias("a"), F.col(name).alias("x"), casefold(F.col(name)).alias("f"))
+    t = t.select("a", "x", "f", tokens(F.col("f")).alias("w"), F.length("f").alias("n"))
+    other = {"a": "b", "x": "y", "f": "g", "w": "v", "n": "m"}
+    u = t.withColumnsRenamed(other)
+    both = ["a", "b", "x", "y", "f", "g", "w", "v"]
+
+    begins = F.explode(F.transform(F.sequence(F.lit(0), F.size("v")), lambda i: F.array_join(F.slice("v", 1, i), " "))).alias("start")
+    met = t.withColumn("start", F.array_join("w", " ")).join(u.select("*", begins), "start").where("a <> b")
+    turned = [F.when(F.col("a") < F.col("b"), F.col(c)).otherwise(F.col(d)).alias(c) for c, d in zip(both[::2], both[1::2])]
+    turned += [F.when(F.col("a") < F.col("b"), F.col(d)).otherwise(F.col(c)).alias(d) for c, d in zip(both[::2], both[1::2])]
+    by_tokens = met.select(*turned).select(*both)
+
+    if threshold <= 2 / 3:
+        by_ratio = t.join(u, F.col("a") < F.col("b")).select(*both)
+    else:
+        least = F.ceil(F.col("n") * (threshold / (2 - threshold)) - 1e-9)
+        keep = F.col("n") + 2 - F.ceil((F.col("n") + least) * (1.5 * threshold - 1) + 1 - 1e-9)
+        grams = t.withColumn("all", bigrams("f"))
+        long = grams.select("a", F.explode("all").alias("gram"))
+        ranked = long.join(long.groupBy("gram").agg(F.count(F.lit(1)).alias("held")), "gram").groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("held", "gram"))), lambda r: r["gram"]).alias("rank"))
+        left = grams.join(ranked, "a").withColumn("rank", F.slice("rank", 1, keep.cast("int")))
+        right = left.withColumnsRenamed({**other, "all": "all_b", "rank": "rank_b"})
+        size = F.col("n") + F.col("m")
+        matched = F.ceil(size * (threshold / 2) - 1e-9)
+        pair = left.select("*", F.explode("rank").alias("gram")).join(right.select("*", F.explode("rank_b").alias("gram")), "gram")
+        by_ratio = pair.where(
+            (F.col("a") < F.col("b")) & (F.least("n", "m") >= matched) & (F.element_at(F.array_intersect("rank", "rank_b"), 1) == F.col("gram"))
+            & (F.size(F.array_intersect("all", "all_b")) >= 3 * matched - size + 1)
+        ).select(*both)
+
+    begun = (F.slice("v", 1, F.size("w")) == F.col("w")) | (F.slice("w", 1, F.size("v")) == F.col("v"))
+    pairs = by_tokens.union(by_ratio).distinct().select("a", "b", "x", "y", sequence_ratio("f", "g").alias("ratio"), begun.alias("token_prefix"))
+    return pairs.where(F.col("token_prefix") | (F.col("ratio") >= threshold))
 
 
 def not_sentinel(c: Column) -> Column:

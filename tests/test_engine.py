@@ -130,3 +130,29 @@ def test_publish(spark, tmp_path):
 def test_key_sets_and_changes(spark):
     a, b = spark.createDataFrame([(1,), (1,), (2,)], "k long"), spark.createDataFrame([(2,), (3,)], "k long")
     assert tuple(rel.key_sets(a, b, "k").first()) == (1, 1, 1, 1, 0)
+
+
+@pytest.mark.parametrize("threshold", [0.86, 0.7, 0.5])
+def test_fuzzy_pairs_equal_brute_force(spark, threshold):
+    import random
+    import re
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    names = ["colour works", "color works", "Straße 1", "STRASSE 1", "Acme", "acme holdings of the far north", "", "--", "a", "aa", "aaa", "aaaaaaa", "aaaaaaaa", "E-mail Co", "Email Co", "x" * 230, "x" * 229 + "y"]
+    for _ in range(60):
+        base = list(rng.choice(["red widget", "small bolt", "Northern Steel Works", "blue gear company", "abcabcabc"]))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(base))
+            base[at : at + rng.randint(0, 1)] = rng.choice(["", "s", "E", " ", "ß"])
+        names.append("".join(base))
+    cut = lambda s: re.sub("[^a-z0-9 ]", " ", s.casefold()).split()
+    want = {}
+    for i, x in enumerate(names):
+        for j in range(i + 1, len(names)):
+            p, q = cut(x), cut(names[j])
+            ratio, begun = SequenceMatcher(None, x.casefold(), names[j].casefold()).ratio(), p == q[: len(p)] or q == p[: len(q)]
+            if begun or ratio >= threshold:
+                want[i, j] = (ratio, begun)
+    got = rel.fuzzy_pairs(spark.createDataFrame([*enumerate(names), (999, None)], "k long, name string"), "k", "name", threshold).collect()
+    assert len(got) == len(want) and {(r.a, r.b): (r.ratio, r.token_prefix) for r in got} == want
