@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SENTINELS
+from ..functions.text import SENTINELS, nfkc_casefold
 
 
 def contains_any(columns: list[str], words: list[str]) -> Column:
@@ -169,3 +171,43 @@ def smallest_union(df: DataFrame, term: str, row: str, k: int) -> DataFrame:
     union = reduce(F.array_union, [F.col(f"rows{i}") for i in range(k)])
     chosen = F.array(*[F.col(f"t{i}") for i in range(k)])
     return acc.select(chosen.alias("terms"), F.size(union).cast("long").alias("n_rows")).orderBy("n_rows", "terms").limit(1)
+
+
+def exposure(docs: DataFrame, text: str, literals: DataFrame, item: str, literal: str, shard: int = 10_000) -> DataFrame:
+    """(item, n_docs): documents that hold each literal whole, both sides in exposure form; literals found nowhere have no row.
+
+    Literals are scanned in shards of any number, one on the driver at a time. In a shard they are
+    looked up by their first 16 characters (8, 4, 2 or 1 for shorter ones) and then compared whole.
+    """
+    spark = docs.sparkSession
+    needles = literals.select(F.col(item).cast("long"), nfkc_casefold(F.col(literal)).alias("needle")).where(F.length("needle") > 0)
+    texts = docs.select(nfkc_casefold(F.col(text)).alias("t")).where("t is not null")
+
+    def scanned(held: list) -> DataFrame:
+        heads: dict[int, dict[str, list[int]]] = {}
+        for i, (_, needle) in enumerate(held):
+            k = min(16, 1 << (len(needle).bit_length() - 1))
+            heads.setdefault(k, {}).setdefault(needle[:k], []).append(i)
+        shared = spark.sparkContext.broadcast((held, heads))
+
+        def run(batches):
+            held, heads = shared.value
+            found: dict[int, int] = {}
+            for batch in batches:
+                for t in batch.column(0).to_pylist():
+                    for k, by in heads.items():
+                        for head in by.keys() & {t[i : i + k] for i in range(len(t) - k + 1)}:
+                            for i in by[head]:
+                                if held[i][1] in t:
+                                    found[i] = found.get(i, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in found], pa.int64()), pa.array(list(found.values()), pa.int64())], names=[item, "n"])
+
+        return texts.mapInArrow(run, f"{item} long, n long")
+
+    rows = ((r[0], r[1]) for r in needles.toLocalIterator())
+    parts = []
+    while held := list(islice(rows, shard)):
+        parts.append(scanned(held))
+    if not parts:
+        return spark.createDataFrame([], f"{item} long, n_docs long")
+    return reduce(DataFrame.unionAll, parts).groupBy(item).agg(F.sum("n").alias("n_docs"))

@@ -484,13 +484,8 @@ def g_guarded_sql(s, d):
 
 @query("SELECT item_id, count(*) AS n_docs FROM benchmark JOIN documents ON contains(lower(documents.text), lower(benchmark.text)) WHERE length(benchmark.text) > 0 GROUP BY 1")
 def g_exposure(s, d):
-    """Benchmark texts found whole in documents. The literal list is a few hundred rows by contract, checked before it is broadcast."""
-    lit = load(s, d, "benchmark").where(F.length("text") > 0).select("item_id", F.lower("text").alias("needle"))
-    held = [(r.item_id, r.needle) for r in lit.limit(10_001).collect()]
-    if len(held) > 10_000:
-        raise ValueError("too many literals to broadcast: shard the scan by literal")
-    needles = F.broadcast(s.createDataFrame(held, "item_id long, needle string"))
-    return load(s, d, "documents", ["text"]).select(F.lower("text").alias("t")).join(needles, F.col("t").contains(F.col("needle"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
+    """Benchmark texts found whole in documents, both as NFKC, case folded and with white space collapsed."""
+    return rel.exposure(load(s, d, "documents", ["text"]), "text", load(s, d, "benchmark"), "item_id", "text")
 
 
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")

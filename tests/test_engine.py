@@ -156,3 +156,20 @@ def test_fuzzy_pairs_equal_brute_force(spark, threshold):
                 want[i, j] = (ratio, begun)
     got = rel.fuzzy_pairs(spark.createDataFrame([*enumerate(names), (999, None)], "k long, name string"), "k", "name", threshold).collect()
     assert len(got) == len(want) and {(r.a, r.b): (r.ratio, r.token_prefix) for r in got} == want
+
+
+def test_exposure_normalises_and_shards(spark):
+    import unicodedata
+
+    norm = lambda t: " ".join(unicodedata.normalize("NFKC", t).casefold().split())
+    literals = [(1, "Große Straße"), (2, "two  words"), (3, "Ｆｕｌｌ width"), (4, ""), (5, " \n"), (6, None), (7, "a"), (8, "the same first sixteen, then one"), (9, "the same first sixteen, then two"), (7, "straße")]
+    literals += [(1000 + i, f"filler {i}") for i in range(10_001)]
+    docs = ["the GROSSE\nSTRASSE", "two\u00a0words two words", "full   WIDTH", "The same first\tsixteen, then TWO", "filler 10000", "", None]
+    want = {}
+    for i, needle in literals:
+        n = sum(norm(needle) in norm(t) for t in docs if t is not None) if needle and norm(needle) else 0
+        if n:
+            want[i] = want.get(i, 0) + n
+    args = spark.createDataFrame([(t,) for t in docs], "t string"), "t", spark.createDataFrame(literals, "i long, l string"), "i", "l"
+    assert {r.i: r.n_docs for r in rel.exposure(*args).collect()} == want
+    assert {r.i: r.n_docs for r in rel.exposure(*args[:2], args[2].where("i < 1000"), "i", "l", 2).collect()} == {i: n for i, n in want.items() if i < 1000}
