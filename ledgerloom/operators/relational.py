@@ -112,6 +112,17 @@ def repeat_to_budget(df: DataFrame, key: str, stratum: str, tokens: str, budget:
     return whole.unionByName(extra)
 
 
+def residual_pairs(a: DataFrame, b: DataFrame, of_a: tuple[str, str], of_b: tuple[str, str]) -> DataFrame:
+    """n: pairs of rows with equal keys and different values, given as (key, value) of each side: pairs of a key without those of equal values, from counts."""
+    def counts(df: DataFrame, of: tuple[str, str], n: str) -> DataFrame:
+        return df.select(F.col(of[0]).alias("k"), F.col(of[1]).alias("v")).where("k is not null and v is not null").groupBy("k", "v").agg(F.count(F.lit(1)).alias(n))
+
+    x, y = counts(a, of_a, "na"), counts(b, of_b, "nb")
+    all_ = x.groupBy("k").agg(F.sum("na").alias("na")).join(y.groupBy("k").agg(F.sum("nb").alias("nb")), "k")
+    pairs = all_.select((F.col("na") * F.col("nb")).alias("n")).union(x.join(y, ["k", "v"]).select(-F.col("na") * F.col("nb")))
+    return pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
+
+
 def fuzzy_pairs(df: DataFrame, key: str, name: str, threshold: float = 0.86) -> DataFrame:
     """Pairs a < b of names where one's tokens begin the other's, or with a Ratcliff-Obershelp ratio of at least the threshold.
 

@@ -150,6 +150,12 @@ def j_residual(s, d):
     return load(s, d, "customer").join(F.broadcast(load(s, d, "supplier").where("s_suppkey <= 10")), (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("c_acctbal") != F.col("s_acctbal"))).agg(n_rows())
 
 
+@query("SELECT count(*) AS n FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_acctbal <> s_acctbal")
+def j_residual_all(s, d):
+    """``j_residual`` over all suppliers."""
+    return rel.residual_pairs(load(s, d, "customer"), load(s, d, "supplier"), ("c_nationkey", "c_acctbal"), ("s_nationkey", "s_acctbal"))
+
+
 @query(f"SELECT x.p_brand, y.o_orderpriority, count(*) AS n FROM (SELECT DISTINCT o_custkey, p_brand FROM ({ITEMS})) x JOIN (SELECT DISTINCT o_custkey, o_orderpriority FROM orders) y USING (o_custkey) GROUP BY ALL HAVING count(*) BETWEEN 1 AND 100000")
 def j_value_pairs(s, d):
     return rel.value_pairs(items(s, d), load(s, d, "orders"), "o_custkey", "p_brand", "o_orderpriority", 1, 100000)
@@ -236,6 +242,15 @@ def a_smallest_union(s, d):
     return rel.smallest_union(t, "term", "k", 2).select(F.array_join("terms", ",").alias("terms"), "n_rows")
 
 
+@query("""WITH t AS (SELECT DISTINCT c_nationkey AS k, c_mktsegment AS term FROM customer),
+ p AS (SELECT a.term AS a, b.term AS b, (SELECT count(DISTINCT k) FROM t WHERE term IN (a.term, b.term)) AS n FROM (SELECT DISTINCT term FROM t) a JOIN (SELECT DISTINCT term FROM t) b ON a.term < b.term)
+ SELECT a || ',' || b AS terms, n AS n_rows FROM p ORDER BY n, a, b LIMIT 1""")
+def a_smallest_union_all(s, d):
+    """``a_smallest_union`` over all customers."""
+    t = load(s, d, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("term"))
+    return rel.smallest_union(t, "term", "k", 2).select(F.array_join("terms", ",").alias("terms"), "n_rows")
+
+
 @query("SELECT o_custkey, count(*) AS n_rows, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN min(o_orderstatus) END AS value, count(DISTINCT o_orderstatus) > 1 AS conflict FROM orders GROUP BY 1")
 def a_resolve_or_conflict(s, d):
     return rel.resolve_or_conflict(load(s, d, "orders"), "o_custkey", "o_orderstatus")

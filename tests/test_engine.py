@@ -173,3 +173,15 @@ def test_exposure_normalises_and_shards(spark):
     args = spark.createDataFrame([(t,) for t in docs], "t string"), "t", spark.createDataFrame(literals, "i long, l string"), "i", "l"
     assert {r.i: r.n_docs for r in rel.exposure(*args).collect()} == want
     assert {r.i: r.n_docs for r in rel.exposure(*args[:2], args[2].where("i < 1000"), "i", "l", 2).collect()} == {i: n for i, n in want.items() if i < 1000}
+
+
+def test_whole_residual_and_union(spark, duck):
+    a, b = [(1, 2.0), (1, 2.0), (1, 3.0), (2, 1.0), (None, 1.0), (1, None)], [(1, 2.0), (1, 4.0), (2, 1.0), (3, 1.0), (1, None)]
+    want = sum(k == m and v != w for k, v in a for m, w in b if None not in (k, v, m, w))
+    x, y = spark.createDataFrame(a, "k int, v double"), spark.createDataFrame(b, "k int, v double")
+    assert rel.residual_pairs(x, y, ("k", "v"), ("k", "v")).first().n == want
+    assert rel.residual_pairs(x.limit(0), y, ("k", "v"), ("k", "v")).first().n == 0
+    for name in ("j_residual_all", "a_smallest_union_all"):
+        for sf in ("sf0.01", "sf0.1"):
+            sql = engine.ORACLE_SQL[name].replace("customer", f"'/root/testdata/{sf}/customer.parquet'").replace("supplier", f"'/root/testdata/{sf}/supplier.parquet'")
+            assert rows(engine.QUERIES[name](spark, f"/root/testdata/{sf}").toPandas()) == rows(duck.execute(sql).df())
