@@ -11,9 +11,12 @@ window is cut into sequences of powers of two, so nothing is padded.
 Targets are the queues' own shares of all tokens unless ``weights`` names others; a queue that
 runs dry leaves its share to the rest. Documents are cut freely; each token lies in one piece.
 
+Any number of sources has a queue each. The driver holds one row a source and a plan of at most
+``MAX_PLAN`` numbers (or one chunk's); a task cuts its chunk in blocks of at most so many numbers.
+With more than ``SEQUENCE`` sources, a window cannot hold all, and deficits decide whose turn it is.
+
 Defined results: a null text is empty and has only the end token; null sources are one queue;
-beyond ``MAX_QUEUES`` sources, sources share queues by hash; an empty table gives no pieces;
-repeated rows are documents of their own.
+an empty table gives no pieces; repeated rows are documents of their own.
 """
 
 from __future__ import annotations
@@ -26,12 +29,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import persist_table, running_start, table
+from .common import persist_table, table
 
-SEQUENCE, END_ID, MAX_QUEUES, MAX_PLAN, SUBS, CACHE = 2048, 1, 256, 1 << 20, 64, 700_000
+SEQUENCE, END_ID, MAX_PLAN, SUBS, CACHE, BROADCAST = 2048, 1, 1 << 20, 64, 700_000, 8 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -168,10 +171,10 @@ def take(room: int, deficit: np.ndarray, weights: np.ndarray, left: np.ndarray)
         over -= cut
     rest = -over if over < 0 else 0
     while rest > 0:
-        for q in np.argsort(-(deficit - got), kind="stable"):
-            if rest and got[q] < left[q]:
-                got[q] += 1
-                rest -= 1
+        order = np.argsort(-(deficit - got), kind="stable")
+        more = order[got[order] < left[order]][:rest]
+        got[more] += 1
+        rest -= len(more)
         open_ = np.flatnonzero(got < left)
         if rest > len(open_) and len(open_):
             more = np.minimum(left[open_] - got[open_], rest // len(open_))
@@ -192,15 +195,17 @@ def plan_chunks(totals: np.ndarray, weights: np.ndarray, windows_in_chunk: int,
     return np.array(bounds)
 
 
-def cut_windows(quota: np.ndarray, sequence: int) -> tuple[np.ndarray, list[int]]:
-    """Windows of one chunk: (windows x queues) tokens, and the capacity of each window."""
+def cut_windows(quota: np.ndarray, sequence: int):
+    """Windows of one chunk, in blocks of at most ``MAX_PLAN`` numbers: (windows x queues) tokens."""
     left, deficit, weights = quota.copy(), np.zeros(len(quota)), quota.astype(float)
-    rows, sizes = [], []
+    block, rows = max(1, MAX_PLAN // len(quota)), []
     while (n := int(left.sum())) > 0:
-        size = sequence if n >= sequence else 1 << (n.bit_length() - 1)
-        rows.append(take(size, deficit, weights, left))
-        sizes.append(size)
-    return np.array(rows), sizes
+        rows.append(take(sequence if n >= sequence else 1 << (n.bit_length() - 1), deficit, weights, left))
+        if len(rows) == block:
+            yield np.array(rows)
+            rows = []
+    if rows:
+        yield np.array(rows)
 
 
 def cut_pieces(quota: np.ndarray, docs: dict[int, tuple[np.ndarray, ...]], first_sequence: int, sequence: int):
@@ -208,16 +213,27 @@ def cut_pieces(quota: np.ndarray, docs: dict[int, tuple[np.ndarray, ...]], first
 
     Yields (row index, first token in the document, length, sequence, offset) arrays.
     """
-    rows, _ = cut_windows(quota, sequence)
-    before = np.cumsum(rows, axis=1) - rows
-    for q, (start, row, first, n) in docs.items():
-        ends = np.cumsum(rows[:, q])
-        marks = np.unique(np.concatenate([start, ends[:-1], [0]]))
-        marks = marks[marks < ends[-1]]
-        length = np.diff(np.append(marks, ends[-1]))
-        doc = np.searchsorted(start, marks, side="right") - 1
-        window = np.searchsorted(ends, marks, side="right")
-        yield row[doc], first[doc] + marks - start[doc], length, first_sequence + window, before[window, q] + marks - (ends[window] - rows[window, q])
+    given = np.zeros(len(quota), dtype=np.int64)
+    for rows in cut_windows(quota, sequence):
+        before = np.cumsum(rows, axis=1) - rows
+        for q in np.flatnonzero(rows.any(axis=0)).tolist():
+            start, row, first, n = docs[q]
+            ends = given[q] + np.cumsum(rows[:, q])
+            inside = start[np.searchsorted(start, given[q]) : np.searchsorted(start, ends[-1])]
+            marks = np.unique(np.concatenate([inside, ends[:-1], given[q : q + 1]]))
+            marks = marks[marks < ends[-1]]
+            length = np.diff(np.append(marks, ends[-1]))
+            doc = np.searchsorted(start, marks, side="right") - 1
+            window = np.searchsorted(ends, marks, side="right")
+            yield row[doc], first[doc] + marks - start[doc], length, first_sequence + window, before[window, q] + marks - (ends[window] - rows[window, q])
+        given += rows.sum(axis=0)
+        first_sequence += len(rows)
+
+
+def runs(queue: np.ndarray) -> list[tuple[int, slice]]:
+    """Each queue and its stretch of a sorted array."""
+    q, at = np.unique(queue, return_index=True)
+    return [(x, slice(a, b)) for x, a, b in zip(q.tolist(), at.tolist(), [*at.tolist()[1:], len(queue)])]
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, *, sequence: int = SEQUENCE, weights: dict[str, float] | None = None) -> DataFrame:
@@ -228,20 +244,15 @@ def pack(docs: DataFrame, tokenizer: str | None = None, *, sequence: int = SEQUE
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     spark = docs.sparkSession
     rows = persist_table(tokenised(docs, tokenizer).withColumn("rid", F.monotonically_increasing_id()), "packing-ids")
-    names = [r[0] for r in rows.select("source").distinct().limit(MAX_QUEUES + 1).collect()]
-    if len(names) > MAX_QUEUES:
-        index, names = F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("int"), list(range(MAX_QUEUES))
-    else:
-        names.sort(key=lambda s: (s is None, s or ""))
-        index = F.lit(None).cast("int")
-        for i, s in enumerate(names):
-            index = F.when(F.col("source").eqNullSafe(F.lit(s).cast("string")), i).otherwise(index)
-    slim = rows.select("rid", "n", index.alias("queue"), F.pmod(F.xxhash64("rid"), F.lit(SUBS)).cast("int").alias("sub"))
-    by = dict(slim.groupBy("queue").agg(F.sum("n")).collect())
-    totals = np.array([by.get(i, 0) for i in range(len(names))], dtype=np.int64)
+    found = rows.groupBy("source").agg(F.sum("n").cast("long").alias("n")).toArrow().sort_by("source")  # nulls last
+    names, totals = found.column("source"), found.column("n").to_numpy().astype(np.int64)
     if not totals.sum():
         return spark.createDataFrame([], PIECES)
-    share = totals.astype(float) if weights is None else np.array([weights.get(s, 0.0) for s in names])
+    queues = spark.createDataFrame(pa.table({"source": names, "queue": pa.array(range(len(names)), pa.int64())})).withColumnRenamed("source", "_s")
+    queues = F.broadcast(queues) if found.nbytes < BROADCAST else queues
+    numbered = rows.select("rid", "n", "source").join(queues, F.col("source").eqNullSafe(F.col("_s")))
+    slim = numbered.select("rid", "n", "queue", F.pmod(F.xxhash64("rid"), F.lit(SUBS)).cast("int").alias("sub"))
+    share = totals.astype(float) if weights is None else np.array([weights.get(s, 0.0) for s in names.to_pylist()])
     windows = -(-int(totals.sum()) // sequence)
     in_chunk = max(64, -(-windows // min(65_536, MAX_PLAN // max(1, len(names)))))
     bounds = plan_chunks(totals, share, in_chunk, sequence)
@@ -250,9 +261,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, *, sequence: int = SEQUE
         """Each document's stretches by chunk."""
         for batch in batches:
             rid, n, queue, start = (batch.column(i).to_numpy() for i in range(4))
-            out = []
-            for q in np.unique(queue):
-                at = np.flatnonzero(queue == q)
+            out, order = [], np.argsort(queue, kind="stable")
+            for q, own in runs(queue[order]):
+                at = order[own]
                 edge = bounds[:, q]
                 lo = np.searchsorted(edge, start[at], side="right") - 1
                 hi = np.searchsorted(edge, start[at] + n[at], side="left") - 1
@@ -271,12 +282,16 @@ def pack(docs: DataFrame, tokenizer: str | None = None, *, sequence: int = SEQUE
         queue, at, rid, first, n = (tab.column(x).to_numpy() for x in ("queue", "at", "rid", "first", "n"))
         order = np.lexsort((at, queue))
         queue, at, rid, first, n = (x[order] for x in (queue, at, rid, first, n))
-        found = {int(q): tuple(x[queue == q] for x in (at, rid, first, n)) for q in np.unique(queue)}
+        found = {q: tuple(x[own] for x in (at, rid, first, n)) for q, own in runs(queue)}
         parts = list(cut_pieces(bounds[c + 1] - bounds[c], found, c * in_chunk, sequence))
         cols = [np.concatenate(x).astype(np.int64) for x in zip(*parts)]
         return pa.table(dict(zip(["rid", "start", "length", "sequence_id", "offset"], map(pa.array, cols))))
 
-    placed = running_start(slim, "queue", "sub", [F.col("rid")], F.col("n"), "at").select("rid", "n", F.col("queue").cast("long"), F.col("at").cast("long"))
+    # Where each document starts in its queue: sums of a queue's earlier parts, then of earlier documents in its part.
+    earlier = lambda w, of: F.coalesce(F.sum(of).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = slim.groupBy("queue", "sub").agg(F.sum("n").alias("t")).select("queue", "sub", earlier(Window.partitionBy("queue").orderBy("sub"), "t").alias("base"))
+    at = F.col("base") + earlier(Window.partitionBy("queue", "sub").orderBy("rid"), "n")
+    placed = slim.join(base, ["queue", "sub"]).select("rid", "n", "queue", at.cast("long").alias("at"))
     stretches = placed.mapInArrow(split, "chunk long, queue long, at long, rid long, first long, n long")
     pieces = stretches.groupBy("chunk").applyInArrow(cut, "rid long, start long, length long, sequence_id long, offset long")
     # One document's pieces: bounded by its length.

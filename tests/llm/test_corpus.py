@@ -249,6 +249,37 @@ def test_round_robin_carries_deficits():
     assert np.abs(bounds - ideal).max() < 2
 
 
+def test_packing_keeps_many_sources_apart(spark):
+    rows = [(i, "x " * (40 + 3 * (i % 7)), f"site{i % 300}.example" if i % 300 else None) for i in range(900)] + [(900, "x " * 3000, "big.example"), (901, "x " * 2600, None), (902, "x " * 1500, "site7.example")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    source = {i: s for i, _, s in rows}
+
+    def held(**k):
+        out = packing.pack(docs, sequence=64, **k).toPandas()
+        assert (out.sort_values(["doc_id", "start"]).groupby("doc_id").length.sum() == out.groupby("doc_id").doc_tokens.first()).all() and len(set(out.doc_id)) == 903
+        out["source"] = out.doc_id.map(source).fillna("none")
+        return out.groupby(["sequence_id", "source"]).length.sum().unstack(fill_value=0).sort_index().iloc[:-8]
+
+    x = held()
+    total = packing.pack(docs, sequence=64).toPandas()
+    share = total.assign(source=total.doc_id.map(source).fillna("none")).groupby("source").length.sum() / total.length.sum()
+    apart = (x.cumsum() - np.outer(64 * np.arange(1, len(x) + 1), share[x.columns])).abs()
+    assert x.shape[1] == 301 and (apart < 64 * share[x.columns] + 2).all(axis=None)  # a window's share, and rounding
+    x = held(weights={"big.example": 1.0, "site7.example": 1.0, None: 2.0})[["big.example", "site7.example", "none"]].iloc[:4]
+    assert (x - [16, 16, 32]).abs().to_numpy().max() <= 1
+
+
+def test_pieces_are_the_same_in_blocks(monkeypatch):
+    quota = np.array([700, 0, 55, 301])
+    docs = {0: (np.array([0, 650]), np.array([5, 6]), np.array([3, 0]), np.array([650, 50])), 2: (np.array([0]), np.array([7]), np.array([0]), np.array([55])), 3: (np.array([0, 1]), np.array([8, 9]), np.array([0, 0]), np.array([1, 300]))}
+
+    def pieces(plan):
+        monkeypatch.setattr(packing, "MAX_PLAN", plan)
+        return sorted(tuple(map(int, r)) for part in packing.cut_pieces(quota, docs, 10, 64) for r in zip(*part))
+
+    assert pieces(1 << 20) == pieces(1) == pieces(12) and sum(r[2] for r in pieces(1)) == quota.sum()
+
+
 def test_quality(spark):
     out = quality.op9_quality(spark, SF).toPandas()
     assert (out.held_out == out.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)).all()
