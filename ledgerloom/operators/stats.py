@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from math import comb, isfinite
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,16 +41,32 @@ def effect_size(differences: list[float]) -> float | None:
     return mean / sd if sd else None
 
 
-def bootstrap(df: DataFrame, diff: str, order: str, resamples: int = 1000, salt: int = 7) -> DataFrame:
-    """Mean difference and its percentile interval over hash-drawn resamples (each: a row; the items are joined by index)."""
+def bootstrap(df: DataFrame, diff: str, order: str, resamples: int = 10_000, salt: int = 7) -> DataFrame:
+    """Mean difference and its percentile interval: each resample is a row, which draws all its items by index from a stream of its own."""
     spark = df.sparkSession
-    items = df.select(F.col(diff).cast("double").alias("d"), F.row_number().over(Window.orderBy(order)).alias("i")).cache()
-    n = items.count()
-    draws = spark.range(resamples).withColumnRenamed("id", "b").select("b", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("k")).withColumn("i", (F.pmod(F.xxhash64("b", "k", F.lit(salt)), F.lit(n)) + 1).cast("int"))
-    means = draws.join(F.broadcast(items), "i").groupBy("b").agg(F.avg("d").alias("m"))
+    values = df.select(F.col(diff).cast("double").alias("d"), F.col(order).alias("o")).orderBy("o", "d").select("d").toArrow().column(0)
+    n, own = len(values), values.drop_null().to_numpy()
+    if not len(own):
+        return spark.createDataFrame([(None, None, None, 0)], "low double, high double, mean double, n long")
+    shared = spark.sparkContext.broadcast(values.to_numpy())  # null as NaN
+    step = 1 << 20
+
+    def run(batches):
+        items = shared.value
+        for batch in batches:
+            means = []
+            for b in batch.column(0).to_pylist():
+                rng, total, held = np.random.default_rng([salt, b]), 0.0, 0
+                for at in range(0, n, step):
+                    drawn = items[rng.integers(0, n, min(step, n - at))]
+                    total, held = total + float(np.nansum(drawn)), held + int(np.count_nonzero(~np.isnan(drawn)))
+                means.append(total / held if held else None)
+            yield pa.RecordBatch.from_arrays([pa.array(means, pa.float64())], names=["m"])
+
+    means = spark.range(0, resamples, 1, min(resamples, 64)).mapInArrow(run, "m double")
     ranked = means.withColumn("r", F.row_number().over(Window.orderBy("m")) - 1)
     low, high = int(0.025 * resamples), min(resamples - 1, int(0.975 * resamples))
-    return ranked.agg(F.max(F.when(F.col("r") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("r") == high, F.col("m"))).alias("high")).crossJoin(items.agg(F.avg("d").alias("mean"), F.count("d").alias("n")))
+    return ranked.agg(F.max(F.when(F.col("r") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("r") == high, F.col("m"))).alias("high")).select("*", F.lit(float(own.mean())).alias("mean"), F.lit(len(own)).cast("long").alias("n"))
 
 
 def mcnemar(b: int, c: int) -> float:

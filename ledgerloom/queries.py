@@ -307,7 +307,7 @@ def a_mean_sd_effect(s, d):
 
 @query()
 def a_bootstrap(s, d):
-    return stats.bootstrap(load(s, d, "labels").withColumn("diff", F.col("quality") - F.col("toxic")), "diff", "doc_id", 200)
+    return stats.bootstrap(load(s, d, "labels").withColumn("diff", F.col("quality") - F.col("toxic")), "diff", "doc_id")
 
 
 @query("SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS b, count(*) FILTER (quality = 0 AND toxic = 1) AS c, count(*) AS n FROM labels")

@@ -185,3 +185,21 @@ def test_whole_residual_and_union(spark, duck):
         for sf in ("sf0.01", "sf0.1"):
             sql = engine.ORACLE_SQL[name].replace("customer", f"'/root/testdata/{sf}/customer.parquet'").replace("supplier", f"'/root/testdata/{sf}/supplier.parquet'")
             assert rows(engine.QUERIES[name](spark, f"/root/testdata/{sf}").toPandas()) == rows(duck.execute(sql).df())
+
+
+def test_bootstrap_draws_ten_thousand(spark):
+    import inspect
+    import random
+
+    assert inspect.signature(stats.bootstrap).parameters["resamples"].default == 10_000
+    diffs = [random.Random(1).choice([-1.0, 0.0, 0.0, 2.0]) for _ in range(3)] + [1.0, -1.0, 0.0, 3.0] * 25
+    df = spark.createDataFrame([*enumerate(diffs)], "i long, d double")
+    out, again = stats.bootstrap(df, "d", "i").first(), stats.bootstrap(df.orderBy("d"), "d", "i").first()
+    mean = sum(diffs) / len(diffs)
+    half = 1.959964 * math.sqrt(sum((d - mean) ** 2 for d in diffs)) / len(diffs)
+    assert out == again and out.mean == pytest.approx(mean) and out.n == len(diffs)
+    assert out.low == pytest.approx(mean - half, abs=0.03) and out.high == pytest.approx(mean + half, abs=0.03)
+    assert tuple(stats.bootstrap(df.limit(0), "d", "i").first()) == (None, None, None, 0)
+    labels = engine.QUERIES["a_bootstrap"](spark, SF)
+    d = tables.load(spark, SF, "labels").selectExpr("quality - toxic AS diff", "doc_id")
+    assert labels.first() == stats.bootstrap(d, "diff", "doc_id", 10_000).first() != stats.bootstrap(d, "diff", "doc_id", 200).first()
