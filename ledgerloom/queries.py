@@ -372,6 +372,13 @@ def w_digest_order(s, d):
     return load(s, d, "customer", ["c_mktsegment", "c_custkey"]).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5")
 
 
+@query("SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('s:' || c_custkey), c_custkey) AS rank FROM customer")
+def w_digest_order_all(s, d):
+    """``w_digest_order`` with the rank of every row."""
+    w = Window.partitionBy("c_mktsegment").orderBy(F.sha2(F.concat(F.lit("s:"), F.col("c_custkey").cast("string")), 256), "c_custkey")
+    return load(s, d, "customer", ["c_mktsegment", "c_custkey"]).withColumn("rank", F.row_number().over(w).cast("long"))
+
+
 @query("""WITH t AS (SELECT p_partkey, p_brand, p_size::BIGINT AS tok, sha256('w3' || chr(0) || p_partkey) AS dig FROM part), w AS (SELECT p_brand, sum(tok) AS w FROM t GROUP BY 1), tot AS (SELECT sum(tok)::BIGINT AS total FROM t),
  u AS (SELECT t.*, w.w, coalesce(sum(tok) OVER (PARTITION BY t.p_brand ORDER BY dig, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM t JOIN w USING (p_brand)),
  v AS (SELECT u.*, (total // 3) * w - used * total AS prio, total FROM u, tot),

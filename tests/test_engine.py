@@ -203,3 +203,8 @@ def test_bootstrap_draws_ten_thousand(spark):
     labels = engine.QUERIES["a_bootstrap"](spark, SF)
     d = tables.load(spark, SF, "labels").selectExpr("quality - toxic AS diff", "doc_id")
     assert labels.first() == stats.bootstrap(d, "diff", "doc_id", 10_000).first() != stats.bootstrap(d, "diff", "doc_id", 200).first()
+
+
+def test_digest_order_ranks_every_row(spark):
+    out = engine.QUERIES["w_digest_order_all"](spark, SF).toPandas()
+    assert len(out) == tables.load(spark, SF, "customer").count() and all(sorted(g) == list(range(1, len(g) + 1)) for _, g in out.groupby("c_mktsegment")["rank"])
