@@ -81,16 +81,21 @@ def stream_chunks(df: DataFrame, queue: str, order: str, length: str, size: int)
     return rows.select(queue, "chunk", (F.when(one & (F.col("chunk") == F.col("_c") - 2), n - 1).when(one & (F.col("chunk") == F.col("_c") - 1), n + 1).otherwise(n)).cast("long").alias("n"))
 
 
-def pack_best_fit(df: DataFrame, key: str, length: str, shard: str, size: int) -> DataFrame:
-    """Best-fit decreasing bins of at most ``size`` in each shard: (shard, key, bin). Longer sequences count as ``size``."""
+def pack_best_fit(df: DataFrame, key: str, length: str, shard: str, size: int, overlong: str = "truncate") -> DataFrame:
+    """Best-fit decreasing bins of at most ``size`` in each shard: (shard, key, bin, n).
+
+    Longer sequences count as ``size`` (truncate), or are cut into parts of ``size`` and a rest, with a column ``part`` from 0 (split).
+    """
+    if overlong not in ("truncate", "split"):
+        raise ValueError("overlong is truncate or split")
 
     def run(tab: pa.Table) -> pa.Table:
         import bisect
 
-        rows = sorted(zip(tab.column(length).to_pylist(), tab.column(key).to_pylist()), key=lambda r: (-min(r[0], size), r[1]))
+        rows = sorted(zip(tab.column(length).to_pylist(), tab.column(key).to_pylist(), tab.column("part").to_pylist()), key=lambda r: (-min(r[0], size), *r[1:]))
         room: list[tuple[int, int]] = []  # (space, bin), ascending
         bins, opened = [], 0
-        for n, _ in rows:
+        for n, *_ in rows:
             n = min(n, size)
             at = bisect.bisect_left(room, (n, -1))
             if at < len(room):
@@ -99,10 +104,13 @@ def pack_best_fit(df: DataFrame, key: str, length: str, shard: str, size: int) -
                 space, b, opened = size, opened, opened + 1
             bisect.insort(room, (space - n, b))
             bins.append(b)
-        return pa.table({shard: pa.array([tab.column(shard)[0].as_py()] * len(rows), pa.int32()), key: pa.array([k for _, k in rows], pa.int64()), "bin": pa.array(bins, pa.int64()), "n": pa.array([min(n, size) for n, _ in rows], pa.int64())})
+        return pa.table({shard: pa.array([tab.column(shard)[0].as_py()] * len(rows), pa.int32()), key: pa.array([r[1] for r in rows], pa.int64()), "part": pa.array([r[2] for r in rows], pa.int64()), "bin": pa.array(bins, pa.int64()), "n": pa.array([min(r[0], size) for r in rows], pa.int64())})
 
     slim = df.select(F.col(shard).cast("int").alias(shard), F.col(key).cast("long").alias(key), F.col(length).cast("long").alias(length))
-    return slim.groupBy(shard).applyInArrow(run, f"{shard} int, {key} long, bin long, n long")
+    last = F.greatest(F.ceil(F.col(length) / size) - 1, F.lit(0)) if overlong == "split" else F.lit(0)
+    parts = slim.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long")))).withColumn(length, F.col(length) - F.col("part") * size)
+    out = parts.groupBy(shard).applyInArrow(run, f"{shard} int, {key} long, part long, bin long, n long")
+    return out if overlong == "split" else out.drop("part")
 
 
 def numbered(df: DataFrame, key: str, *order: str) -> DataFrame:

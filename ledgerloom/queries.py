@@ -488,6 +488,13 @@ def t_best_fit(s, d):
     return chat.pack_best_fit(x, "doc_id", "n_chars", "shard", 8192)
 
 
+@query()
+def t_best_fit_split(s, d):
+    """``t_best_fit`` with longer documents split instead of truncated."""
+    x = load(s, d, "documents", ["doc_id", "n_chars"]).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int"))
+    return chat.pack_best_fit(x, "doc_id", "n_chars", "shard", 8192, "split")
+
+
 @query("SELECT doc_id, completion, label FROM (SELECT doc_id, lang AS completion, true AS label FROM documents UNION ALL SELECT doc_id, source, false FROM documents)")
 def t_unpair(s, d):
     return chat.unpair(load(s, d, "documents", ["doc_id", "lang", "source"]), "lang", "source")

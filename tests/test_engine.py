@@ -208,3 +208,13 @@ def test_bootstrap_draws_ten_thousand(spark):
 def test_digest_order_ranks_every_row(spark):
     out = engine.QUERIES["w_digest_order_all"](spark, SF).toPandas()
     assert len(out) == tables.load(spark, SF, "customer").count() and all(sorted(g) == list(range(1, len(g) + 1)) for _, g in out.groupby("c_mktsegment")["rank"])
+
+
+def test_best_fit_split_loses_nothing(spark):
+    out = engine.QUERIES["t_best_fit_split"](spark, SF).toPandas()
+    want = tables.load(spark, SF, "documents", ["doc_id", "n_chars"]).toPandas().set_index("doc_id").n_chars
+    got = out.groupby("doc_id").n.sum()
+    assert len(got) == len(want) and (got == want[got.index]).all() and out.groupby(["shard", "bin"]).n.sum().max() <= 8192
+    assert not out.duplicated(["doc_id", "part"]).any() and (out.groupby("doc_id").part.max() == (-(-want // 8192) - 1).clip(lower=0)).all()
+    with pytest.raises(ValueError):
+        chat.pack_best_fit(spark.range(1), "id", "id", "id", 1, "drop")
