@@ -1,10 +1,12 @@
-"""Substring dedup on words by seed and extend.
-
-Seeds are winnowed anchors (12-word grams, one at least in every 50-word window). Occurrences of
-an anchor are joined in its bucket; from there each match is extended to both sides, one word
-at a time, by comparing the hashes of the windows at each offset from the anchor; adjacent
-matched windows then merge into maximal repeats of at least 50 words, which are removed where
-an earlier document has them. See ``repeats`` for the exchange and for the defined results.
+"""Substring dedup on words by winnowed seeds and window hashes.
+
+Seeds are winnowed anchors (12-word grams, one at least in every 50-word window). An anchor only
+chooses the bucket: in it, the 64-bit hashes of all 50-word windows around the anchor's
+occurrences are sorted, and each window learns the least document that has it; hot anchors deal
+their windows by hash alone. Nothing is joined or extended word by word: the union of repeated
+windows is the union of the maximal repeats of at least 50 words (up to equal hashes), without
+the pairs of occurrences, whose number is the square of an anchor's. Words are removed where an
+earlier document has them. See ``repeats`` for the exchange and for the defined results.
 
 A text without words, or null, has 0 words and the empty text as what is kept.
 """
