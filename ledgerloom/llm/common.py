@@ -19,11 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (local tests) is a temporary folder made and set.
+    Only where the session names none and runs in one process (local tests) is a temporary
+    folder made and set; on a cluster a folder of its own is an error, since no other machine sees it.
     """
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="ledgerloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         sc.setCheckpointDir(f"file://{own}")
@@ -43,11 +46,26 @@ def persist_table(df: DataFrame, name: str, bucket_by: str | None = None) -> Dat
     path = f"{shared_dir(spark)}/ledgerloom/{own}"
     writer = df.write.option("compression", "zstd")
     if bucket_by is None:
+        title = None
         writer.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    title = "ledgerloom_" + own.replace("-", "_")
-    writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), bucket_by).option("path", path).saveAsTable(title)
-    return spark.table(title)
+        out = spark.read.schema(df.schema).parquet(path)
+    else:
+        title = "ledgerloom_" + own.replace("-", "_")
+        writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), bucket_by).option("path", path).saveAsTable(title)
+        out = spark.table(title)
+    out._stored = (path, title)
+    return out
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete stored tables that no later plan reads; whatever was derived from them must have been stored by now."""
+    for df in tables:
+        path, title = df._stored
+        spark = df.sparkSession
+        if title is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {title}")
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release_shuffles(spark: SparkSession) -> None:

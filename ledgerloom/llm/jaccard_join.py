@@ -1,36 +1,43 @@
 """N-gram Jaccard join by chosen paths.
 
 Documents are sets of 5-word shingles; texts of the same words are one class with one set. A set is
-embedded as ``POSITIONS`` min-hash tokens. Paths start at ``PATHS`` sampled token positions
-(the repeated runs): sets that share the token there share a node. Nodes of more than
-``LEAF`` sets split again on ``SPLIT`` sampled positions each, down to ``DEPTH`` levels; what is still larger then
-(a large group of true near-copies) is compared in blocks, all pairs of blocks. In a leaf, token
-agreement picks the sets that may have a partner, and these are compared exactly, by their
-whole sets of 32-bit shingle hashes. At a similarity of 0.8 a pair shares a starting node with
-probability 1 - 0.2^PATHS (0.99994 for 6) and a split with 1 - 0.2^SPLIT (0.992).
+embedded as ``POSITIONS`` min-hash tokens. A run starts at one sampled token position: sets that
+share the token there share a node. Runs are repeated until a pair at the similarity meets in one
+of them with probability ``RECALL`` (``runs_for``; 6 runs for 0.9999). A node that is too large is split
+again on ``SPLIT`` sampled positions that its path has not used, as long as that at least halves the
+number of pairs to compare; one that can't be split so (a large group of true near-copies) is compared in
+blocks, all pairs of blocks. Only (node, class) pairs travel while paths are chosen; signatures join at the leaves.
+In a leaf, token agreement picks the sets that may have a partner, and these are compared by their
+whole sets of 32-bit shingle hashes. At a similarity of 0.8 a split parts a pair with
+probability 0.2^SPLIT (0.008) in one run.
 
 A pair that meets in several leaves is counted in the least one only, so links are counted
 without listing pairs; leaves give each set's count and a representative of its links (a star),
 and groups are the connected components of the stars, found by min-label rounds.
 
+A leaf holds at most ``LEAF`` sets and about ``LEAF_SHINGLES`` shingles (or one set of a longer text), so a
+task's memory is bounded but for the longest text.
+
 Defined results: texts of 1 to 4 words are one shingle; texts without words (or null) form one class
-with no links to others; repeated rows count as documents; null doc_ids count as larger than any.
+with no links to others; repeated rows count as documents; null doc_ids count as larger than any;
+of the input only the two named columns are used, so other columns can't clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import persist_table, release_shuffles, table
+from .common import drop_tables, persist_table, release_shuffles, table
 from .windows import mix, word_hashes, words_of
 
 WORDS, SIMILARITY = 5, 0.8
-POSITIONS, PATHS, SPLIT, LEAF, DEPTH = 64, 6, 3, 2048, 4
+POSITIONS, SPLIT, LEAF, LEAF_SHINGLES, RECALL = 64, 3, 2048, 8_000_000, 0.9999
 _RNG = np.random.default_rng(97)
 _MULTIPLIERS = _RNG.integers(1, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADDENDS = _RNG.integers(0, 2**63, POSITIONS, dtype=np.uint64)
@@ -72,65 +79,107 @@ def _per_document(keys, texts, make):
             lo, size = i + 1, 0
 
 
+def runs_for(recall: float, similarity: float = SIMILARITY) -> int:
+    """Runs after which a pair at ``similarity`` has met with probability ``recall``, two splits on the way allowed for."""
+    if not 0 < recall < 1:
+        raise ValueError("recall must lie between 0 and 1")
+    once = similarity * (1 - (1 - similarity) ** SPLIT) ** 2
+    return min(POSITIONS, max(1, math.ceil(math.log(1 - recall) / math.log(1 - once) - 1e-9)))
+
+
 def signatures(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc (null: the largest long), cls (hash of the words), n (shingles), sig (tokens)."""
+    """doc (null: the largest long), tag (hash of the text), cls (hash of the words), n (shingles), sig (tokens)."""
 
     def run(stream):
         for b in stream:
             doc, cls, n, sig = [], [], [], []
-            for key, (c, k, s) in _per_document(b.column(0).to_pylist(), b.column(1), lambda h, x: (hashlib.blake2b(b" ".join(x.split()), digest_size=8).digest(), len(sh := shingles(h)), tokens(sh).tobytes())):
+            for key, (c, k, s) in _per_document(b.column(0).to_pylist(), b.column(2), lambda h, x: (hashlib.blake2b(b" ".join(x.split()), digest_size=8).digest(), len(sh := shingles(h)), tokens(sh).tobytes())):
                 doc.append(key)
                 cls.append(int.from_bytes(c, "little", signed=True))
                 n.append(k)
                 sig.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["doc", "cls", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), b.column(1), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["doc", "tag", "cls", "n", "sig"])
+
+    return df.select(*_row_key(doc_id, text), F.col(text).alias("text")).mapInArrow(run, "doc long, tag long, cls long, n long, sig binary")
+
+
+def _row_key(doc_id: str, text: str) -> list:
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64(F.col(text)).alias("tag")]
+
 
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1))
-    return df.select(key, text).mapInArrow(run, "doc long, cls long, n long, sig binary")
+_PATHS = "parent long, node long, used long, cls long, n long"
 
 
-def _next_nodes(positions: int, root: bool):
-    """(node, ...) rows to rows of the chosen children."""
+def _starts(runs: int):
+    """(cls, n, sig) rows to one row for each run."""
 
     def run(stream):
         for b in stream:
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u4").reshape(-1, POSITIONS)
-            node = b.column("node").to_numpy().view(np.uint64)
-            for j in range(positions):
-                with np.errstate(over="ignore"):
-                    at = np.full(len(node), j * (POSITIONS // positions)) if root else (mix(node + np.uint64(j + 1)) % np.uint64(POSITIONS)).astype(np.int64)
-                    child = mix(mix(node * np.uint64(5) + at.astype(np.uint64) + np.uint64(1)) + sig[np.arange(len(node)), at])
-                cols = [pa.array(child.view(np.int64)) if f == "node" else b.column(f) for f in ("node", "cls", "n", "size", "sig")]
-                yield pa.RecordBatch.from_arrays(cols, names=["node", "cls", "n", "size", "sig"])
+            for j in range(runs):
+                at = j * (POSITIONS // runs)
+                child = mix(mix(np.full(len(sig), at + 1, np.uint64)) + sig[:, at])
+                used = np.full(len(sig), 1 << at, np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sig), np.int64)), pa.array(child.view(np.int64)), pa.array(used), b.column("cls"), b.column("n")], names=["parent", "node", "used", "cls", "n"])
 
     return run
 
 
-_NODE = "node long, cls long, n long, size long, sig binary"
-
-
-def leaves_of(reps: DataFrame) -> DataFrame:
-    """(node, block, cls, n, size, sig) of all leaves with at least two sets; block >= 0 marks a pair of blocks."""
-    rows = reps.where("n > 0").withColumn("node", F.lit(0).cast("long")).select("node", "cls", "n", "size", "sig").mapInArrow(_next_nodes(PATHS, True), _NODE)
-    done = []
-    for level in range(DEPTH + 1):
-        # The same set may reach a node by two positions.
-        rows = persist_table(rows.dropDuplicates(["node", "cls"]) if level else rows, f"paths-{level}")
-        sizes = persist_table(rows.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), f"nodes-{level}")
-        met = rows.join(sizes, "node")
-        small = met if level == DEPTH else met.where(F.col("members") <= LEAF)
-        done.append(small)
-        if level == DEPTH or not sizes.where(F.col("members") > LEAF).limit(1).count():
+def _children(stream):
+    """(node, used, cls, n, sig) rows to one row for each of ``SPLIT`` positions that the node's path has not used."""
+    for b in stream:
+        sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u4").reshape(-1, POSITIONS)
+        node, path = (b.column(c).to_numpy().view(np.uint64) for c in ("node", "used"))
+        at, taken = mix(node + np.uint64(1)) % np.uint64(POSITIONS), path.copy()
+        for _ in range(SPLIT):
+            at = (at + np.uint64(POSITIONS // SPLIT)) % np.uint64(POSITIONS)
+            for _ in range(POSITIONS):
+                at = (at + ((taken >> at) & np.uint64(1))) % np.uint64(POSITIONS)
+            bit = np.uint64(1) << at
+            taken |= bit
+            child = mix(mix(node * np.uint64(5) + at + np.uint64(1)) + sig[np.arange(len(node)), at.astype(np.int64)])
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(child.view(np.int64)), pa.array((path | bit).view(np.int64)), b.column("cls"), b.column("n")], names=["parent", "node", "used", "cls", "n"])
+
+
+def leaves_of(classes: DataFrame, recall: float = RECALL) -> DataFrame:
+    """(node, block, cls, blocks, own) of all leaves with at least two sets; with blocks > 1, a leaf is a pair of blocks."""
+    large = (F.col("members") > LEAF) | (F.col("weight") > LEAF_SHINGLES)
+
+    def stored(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+        rows = persist_table(rows, f"paths-{level}")
+        count = F.count(F.lit(1)).alias("members")
+        return rows, persist_table(rows.groupBy("node").agg(count, F.sum("n").alias("weight"), F.min("parent").alias("parent")), f"nodes-{level}")
+
+    rows, nodes = stored(classes.where("n > 0").select("cls", "n", "sig").mapInArrow(_starts(runs_for(recall)), _PATHS), 0)
+    open_nodes, done, old, level = nodes.where("members > 1"), [], [], 0
+    while True:
+        met = rows.select("node", "used", "cls", "n").join(open_nodes.select("node", "members", "weight"), "node")
+        if not open_nodes.where(large).limit(1).count():
+            done.append(met)
             break
-        rows = met.where(F.col("members") > LEAF).select("node", "cls", "n", "size", "sig").mapInArrow(_next_nodes(SPLIT, False), _NODE)
-    every = done[0]
+        level += 1
+        kids, kid_nodes = stored(met.where(large).select("node", "used", "cls", "n").join(classes.select("cls", "sig"), "cls").mapInArrow(_children, _PATHS), level)
+        # Split only where that at least halves the pairs; else the node is a leaf, in blocks.
+        square = F.col("members") * F.col("members")
+        work = kid_nodes.groupBy("parent").agg(F.sum(square.cast("double")).alias("after"))
+        judged = open_nodes.where(large).join(work, F.col("node") == work["parent"]).select("node", (F.col("after") <= square.cast("double") / 2).alias("split"))
+        judged = persist_table(judged, f"splits-{level}")
+        split = judged.where("split").select("node")
+        done.append(met.join(split, "node", "left_anti"))
+        open_nodes = kid_nodes.where("members > 1").join(split.withColumnRenamed("node", "parent"), "parent", "left_semi")
+        old += [rows, nodes, judged]
+        rows, nodes = kids, kid_nodes
+    every = done[0].select("node", "cls", "members", "weight")
     for more in done[1:]:
-        every = every.unionByName(more)
-    # What no path could split: blocks of about LEAF / 2 sets, each pair of blocks one leaf.
-    blocks = F.when(F.col("members") > LEAF, F.ceil(F.col("members") * 2 / LEAF)).otherwise(1).cast("int")
+        every = every.unionByName(more.select("node", "cls", "members", "weight"))
+    # What no path could split: blocks of about half a leaf, each pair of blocks one leaf.
+    parts = F.greatest(F.ceil(F.col("members") * 2 / LEAF), F.ceil(F.col("weight") * 2 / LEAF_SHINGLES))
+    blocks = F.when(large, F.least(parts, F.col("members"))).otherwise(1).cast("int")
     own = F.pmod(F.xxhash64("cls"), blocks.cast("long")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.least(own, j) * blocks + F.greatest(own, j))
-    return every.select("node", "cls", "n", "size", "sig", blocks.alias("blocks"), own.alias("own"), F.explode(pairs).alias("block"))
+    out = persist_table(every.select("node", "cls", blocks.alias("blocks"), own.alias("own"), F.explode(pairs).alias("block")), "join-leaves")
+    drop_tables(*old, rows, nodes)
+    return out
 
 
 def _agreeing(sig: np.ndarray, n: np.ndarray, least: int):
@@ -246,28 +295,41 @@ def connected(edges: DataFrame) -> DataFrame:
     """(cls, label) from edges (cls, root): the least member of each component, by min-label rounds with pointer jumping."""
     both = persist_table(edges.select(F.col("cls").alias("a"), F.col("root").alias("b")).union(edges.select("root", "cls")).distinct(), "cc-edges")
     labels = persist_table(both.groupBy(F.col("a").alias("cls")).agg(F.min(F.least("a", "b")).alias("label")), "cc-0")
+    last = labels
     while True:
         near = both.join(labels.select(F.col("cls").alias("b"), F.col("label").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
         seen = labels.join(near.withColumnRenamed("a", "cls"), "cls").select("cls", "label", F.least("label", "other").alias("low"))
         jump = labels.select(F.col("cls").alias("low"), F.col("label").alias("far"))
         new = persist_table(seen.join(jump, "low").select("cls", F.col("label").alias("was"), F.least("low", "far").alias("label")), "cc")
         moved = new.where("was <> label").limit(1).count()
-        labels = new.select("cls", "label")
+        drop_tables(last)
+        labels, last = new.select("cls", "label"), new
         if not moved:
+            drop_tables(both)
             return labels
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
     """doc_id, class_id (least doc_id of the same words), class_size, n_links (documents at 0.8 or more,
-    copies included), n_class_links (other classes), group_id (least doc_id of the component), group_key."""
+    copies included), n_class_links (other classes), group_id (least doc_id of the component).
+
+    Also what names rows and groups where doc_ids repeat: doc (null as the largest long) and tag
+    (hash of the text) of the row, group_key, and group_tag (the tag of the group's least document)."""
     spark = df.sparkSession
     sigs = persist_table(signatures(df, doc_id, text), "join-signatures")
+    first = F.min(F.struct("doc", "tag"))
     classes = persist_table(
-        sigs.groupBy("cls").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("class_doc"), F.max("n").alias("n"), F.max("sig").alias("sig")), "join-classes"
+        sigs.groupBy("cls").agg(F.count(F.lit(1)).alias("size"), first.alias("first"), F.max("n").alias("n"), F.max("sig").alias("sig")), "join-classes", bucket_by="cls"
     )
-    leaves = leaves_of(classes.select("cls", "n", "size", "sig"))
+    leaves = leaves_of(classes, recall)
+    release_shuffles(spark)
     fields = "node long, block int, cls long, n long, size long, blocks int, own int, sig binary"
-    may = persist_table(leaves.select("node", "block", "cls", "n", "size", "blocks", "own", "sig").groupBy("node", "block").applyInArrow(_candidates, fields), "join-candidates")
+    columns = ["node", "block", "cls", "n", "size", "blocks", "own", "sig"]
+    # Tasks by rows: the work of a leaf grows faster than its bytes.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), leaves.count() // 16_384 + 1)
+    met = leaves.join(classes.select("cls", "n", "size", "sig"), "cls").select(*columns)
+    may = persist_table(met.repartition(tasks, "node", "block").groupBy("node", "block").applyInArrow(_candidates, fields), "join-candidates")
+    drop_tables(leaves)
     release_shuffles(spark)
     mine = may.groupBy("cls").agg(F.collect_set("node").alias("leaves"))
 
@@ -276,10 +338,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             out = [(k, (v >> np.uint64(32)).astype("<u4")) for k, v in _per_document(b.column(0).to_pylist(), b.column(1), lambda h, _: shingles(h))]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([np.unique(v).tobytes() for _, v in out], pa.binary())], names=["cls", "shingles"])
 
-    # One text of each class that has candidates: found by its doc_id, checked by its class.
-    wanted = mine.join(classes.select("cls", "class_doc"), "cls").select("cls", "class_doc")
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1))
-    texts = df.select(key.alias("class_doc"), F.col(text).alias("text")).join(wanted, "class_doc")
+    # One text of each class that has candidates: found by its doc_id and tag, checked by its class.
+    wanted = mine.join(classes.select("cls", "first.doc", "first.tag"), "cls").select("cls", "doc", "tag")
+    texts = df.select(*_row_key(doc_id, text), F.col(text).alias("text")).join(wanted, ["doc", "tag"])
 
     def checked(stream):
         for b in stream:
@@ -289,24 +350,33 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     texts = texts.select("cls", "text").mapInArrow(lambda s: sets(checked(s)), "cls long, shingles binary").dropDuplicates(["cls"])
     # Sets go to leaves by (cls) joins; both sides are tables, so that large keys can be split.
     full = mine.join(texts, "cls")
-    ready = may.join(full, "cls").select("node", "block", "cls", "n", "size", "blocks", "own", "sig", "leaves", "shingles")
-    found = persist_table(ready.groupBy("node", "block").applyInArrow(_verify, "cls long, links long, doc_links long, root long"), "join-links")
+    ready = may.join(full, "cls").select(*columns, "leaves", "shingles")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), may.count() // 8_192 + 1)
+    found = persist_table(ready.repartition(tasks, "node", "block").groupBy("node", "block").applyInArrow(_verify, "cls long, links long, doc_links long, root long"), "join-links")
+    drop_tables(may)
     release_shuffles(spark)
     counts = found.groupBy("cls").agg(F.sum("links").alias("links"), F.sum("doc_links").alias("doc_links"))
     labels = connected(found.where("cls <> root").select("cls", "root"))
-    facts = classes.select("cls", "size", "class_doc").join(counts, "cls", "left").join(labels, "cls", "left").withColumn("group_key", F.coalesce("label", "cls"))
+    facts = classes.select("cls", "size", "first").join(counts, "cls", "left").join(labels, "cls", "left").withColumn("group_key", F.coalesce("label", "cls"))
     facts = persist_table(facts, "join-facts")
-    groups = persist_table(facts.groupBy("group_key").agg(F.min("class_doc").alias("group_doc")), "join-groups")
-    facts = persist_table(facts.join(groups, "group_key"), "join-classes-done")
+    drop_tables(classes, found)
+    groups = facts.groupBy("group_key").agg(F.min("first").alias("group_first"))
+    done = persist_table(facts.join(groups, "group_key"), "join-classes-done")
+    drop_tables(facts)
+    slim = persist_table(sigs.select("doc", "tag", "cls"), "join-rows")
+    drop_tables(sigs)
+    release_shuffles(spark)
 
     def shown(c: str):
         return F.when(F.col(c) != 2**63 - 1, F.col(c))
 
-    return sigs.select("doc", "cls").join(facts, "cls").select(
-        shown("doc").alias("doc_id"), shown("class_doc").alias("class_id"), F.col("size").alias("class_size"),
-        (F.col("size") - 1 + F.coalesce("doc_links", F.lit(0))).alias("n_links"), F.coalesce("links", F.lit(0)).alias("n_class_links"), shown("group_doc").alias("group_id"), "group_key",
+    return slim.join(done, "cls").select(
+        shown("doc").alias("doc_id"), shown("first.doc").alias("class_id"), F.col("size").alias("class_size"),
+        (F.col("size") - 1 + F.coalesce("doc_links", F.lit(0))).alias("n_links"), F.coalesce("links", F.lit(0)).alias("n_class_links"), shown("group_first.doc").alias("group_id"),
+        "doc", "tag", "group_key", F.col("group_first.tag").alias("group_tag"),
     )
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("group_key")
+    out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "class_id", "class_size", "n_links", "n_class_links", "group_id")
