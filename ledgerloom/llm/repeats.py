@@ -193,12 +193,19 @@ def unpack_segments(blob: bytes, unit: str):
 Resolver = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def remove_repeats(df: DataFrame, unit: str, resolve: Resolver, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+RESULTS = ["n", "n_removed", "spans", "kept"]
+
+
+def remove_repeats(df: DataFrame, unit: str, resolve: Resolver, doc_id: str = "doc_id", text: str = "text", whole_characters: bool = False) -> DataFrame:
     """The columns of ``df`` but the text, and n, n_removed (in units), spans (start, end in units), kept (binary).
 
-    Words are kept joined by single spaces, bytes as they are.
+    Words are kept joined by single spaces, bytes as they are; with ``whole_characters``, ``kept`` also
+    goes without the characters that lost some of their bytes. Columns of ``df`` under the names of
+    the results are replaced by those (the doc_id column may not be one of them). A document and its
+    arrays are held whole by one task: some 100 bytes of memory for each byte of the longest text.
     """
     spark = df.sparkSession
+    df = df.select(*[c for c in df.columns if c in (doc_id, text) or c not in RESULTS])
     whole = batches_of(df, doc_id, text)
     size = whole.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     # Buckets in proportion to the text, so that what meets in one stays about as small as a batch.
@@ -267,7 +274,7 @@ def remove_repeats(df: DataFrame, unit: str, resolve: Resolver, doc_id: str = "d
                 row = one.select(["docs", "lens", "body", "codes", "masks"]).to_pylist()[0]
                 b = Batch(unit, row["docs"], row["lens"], row["body"], True)
                 gone = covered(b, gathered(row["codes"], len(b.keys), "u1"), row["masks"])
-                yield results(b, unit, gone, one.column("carry").flatten(), carry.names)
+                yield results(b, unit, gone, one.column("carry").flatten(), carry.names, whole_characters)
 
     joined = whole.join(codes, "batch", "left").join(masks, "batch", "left").select("docs", "lens", "body", "carry", "codes", "masks")
     return joined.mapInArrow(apply, out_schema)
@@ -291,13 +298,22 @@ def covered(b: Batch, codes: np.ndarray, masks: list[dict] | None) -> np.ndarray
     return np.cumsum(change[:-1]) > 0
 
 
-def results(b: Batch, unit: str, gone: np.ndarray, carry: pa.StructArray, names: list[str]) -> pa.RecordBatch:
+def by_characters(raw: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Bytes whose character lost a byte; texts are valid UTF-8, so characters don't cross documents."""
+    first = np.flatnonzero((raw & 0xC0) != 0x80)
+    if not len(first) or not gone.any():
+        return gone
+    return np.repeat(np.maximum.reduceat(gone, first), np.diff(np.append(first, len(raw))))
+
+
+def results(b: Batch, unit: str, gone: np.ndarray, carry: pa.StructArray, names: list[str], whole_characters: bool = False) -> pa.RecordBatch:
     per_doc = np.bincount(b.doc_of, minlength=len(b.docs)) if len(b.doc_of) else np.zeros(len(b.docs), np.int64)
     ends = np.cumsum(per_doc)
     removed, spans, kept = [], [], []
     edge = np.concatenate([[0], ends])
     dirty = np.add.reduceat(np.append(gone, False).astype(np.int64), np.minimum(edge[:-1], len(gone))) * (per_doc > 0) if len(b.docs) else []
     stop = np.cumsum(b.lens)
+    cut = by_characters(b.raw, gone) if whole_characters and unit == "bytes" else gone
     for i, (hi, n) in enumerate(zip(ends, per_doc)):
         lo = hi - n
         own = gone[lo:hi]
@@ -308,7 +324,7 @@ def results(b: Batch, unit: str, gone: np.ndarray, carry: pa.StructArray, names:
             spans.append([])
         removed.append(int(dirty[i]))
         if unit == "bytes":
-            kept.append(b.raw[lo:hi][~own].tobytes() if dirty[i] else b.raw[lo:hi].tobytes())
+            kept.append(b.raw[lo:hi][~cut[lo:hi]].tobytes() if dirty[i] else b.raw[lo:hi].tobytes())
         else:
             words = b.raw[stop[i] - b.lens[i] : stop[i]].tobytes().split()
             kept.append(b" ".join([w for w, g in zip(words, own.tolist()) if not g] if dirty[i] else words))

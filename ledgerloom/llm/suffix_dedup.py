@@ -139,9 +139,9 @@ def least_documents(key: np.ndarray, doc: np.ndarray, win: np.ndarray, body: np.
     return least[np.repeat(first[variant], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
 
 
-def suffix_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Columns of ``df`` but the text; n (bytes), n_removed, spans (in bytes) and kept (bytes)."""
-    return remove_repeats(df, "bytes", least_documents, doc_id, text)
+def suffix_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", whole_characters: bool = False) -> DataFrame:
+    """Columns of ``df`` but the text; n (bytes), n_removed, spans (in bytes) and kept (bytes, see ``remove_repeats``)."""
+    return remove_repeats(df, "bytes", least_documents, doc_id, text, whole_characters)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
