@@ -22,23 +22,30 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near-duplicates.
+    """The document with the least (doc_id, text hash) of each group of near-duplicates; null doc_ids come last.
 
-    A group whose doc_ids are all null keeps those of its rows; rows that share the least doc_id
-    stay together.
+    Rows are told apart by doc_id and text, so an exact copy goes even where another row has its
+    doc_id. Rows that agree in both are one document listed twice: one of them stays.
     """
     rows = jaccard_join.near_duplicates(docs.select("doc_id", "text"))
-    kept = rows.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
+    least = rows.where(shown(F.col("doc")).eqNullSafe(F.col("group_id")) & (F.col("tag") == F.col("group_tag")))
+    kept = persist_table(least.groupBy("doc", "tag").agg(F.count(F.lit(1)).alias("listed")), "pipeline-kept")
+    keyed = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), F.xxhash64("text").alias("tag"))
+    if not kept.where("listed > 1").limit(1).count():
+        return keyed.join(kept.select("doc", "tag"), ["doc", "tag"], "left_semi").select(*COLUMNS)
+    once = keyed.join(kept.where("listed = 1").select("doc", "tag"), ["doc", "tag"], "left_semi")
+    again = keyed.join(kept.where("listed > 1").select("doc", "tag"), ["doc", "tag"], "left_semi").dropDuplicates(["doc", "tag"])
+    return once.unionByName(again).select(*COLUMNS)
+
+
+def shown(doc):
+    return F.when(doc != 2**63 - 1, doc)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 50-byte strings that start in earlier documents; characters cut in two are dropped."""
-    out = suffix_dedup.suffix_dedup(docs.select(*COLUMNS))
-    # Only a cut can leave part of a character, and only then is the stand-in for it dropped.
-    whole = F.col("kept").cast("string")
-    text = F.when(F.col("n_removed") > 0, F.replace(F.make_valid_utf8(whole), F.lit("�"), F.lit(""))).otherwise(whole)
-    return out.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    """Texts without the 50-byte strings that start in earlier documents; characters cut in two are dropped whole."""
+    out = suffix_dedup.suffix_dedup(docs.select(*COLUMNS), whole_characters=True)
+    return out.select("doc_id", F.col("kept").cast("string").alias("text"), "lang", "source").withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +59,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: No stage but the thresholds can be written in SQL; tests/llm compares them with brute force.
+#: Fitting and packing have no SQL; tests/llm compares every stage with a plain computation.
 ORACLE_SQL = None
 
 
