@@ -6,7 +6,6 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -81,25 +80,20 @@ def utf8(col: Column | str) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def running_start(df: DataFrame, queue: str, sub: str, order: list[Column], value: Column, out: str, total: str | None = None) -> DataFrame:
+def subs_for(rows: int) -> int:
+    """Parts of a queue such that one part of all rows has about 100,000."""
+    return max(64, rows // 100_000)
+
+
+def running_start(df: DataFrame, queue: str, sub: str, order: list[Column], value: Column, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all earlier rows of the same ``queue``.
 
-    The order inside a queue is (``sub``, ``order``). ``queue`` and ``sub`` are integer columns
-    with bounded numbers of values, so the table of partial sums (queues x subs rows) is
-    bounded too; no queue meets in one task however hot it is.
+    The order inside a queue is (``sub``, ``order``). A task sorts one part of one queue, however hot
+    the queue is; the table of the parts' sums (queues x parts) is added up apart.
     """
-    sums = df.groupBy(queue, sub).agg(F.sum(value).alias("_t")).collect()
-    acc: dict[int, int] = defaultdict(int)
-    rows = []
-    for q, s, t in sorted((r[0], r[1], r[2]) for r in sums):
-        rows.append((q, s, acc[q]))
-        acc[q] += t
-    if not rows:
-        return df.withColumn(out, F.lit(0).cast("long"))
-    base = df.sparkSession.createDataFrame(rows, f"{queue} int, {sub} int, _base long")
-    w = Window.partitionBy(queue, sub).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        df.join(F.broadcast(base), [queue, sub])
-        .withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(w), F.lit(0)))
-        .drop("_base")
-    )
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    own = df.withColumn("_value", value)
+    sums = own.groupBy(queue, sub).agg(F.sum("_value").alias("_t"))
+    base = sums.select(queue, sub, F.coalesce(F.sum("_t").over(before(Window.partitionBy(queue).orderBy(sub))), F.lit(0)).alias("_base"))
+    inside = F.coalesce(F.sum("_value").over(before(Window.partitionBy(queue, sub).orderBy(*order))), F.lit(0))
+    return own.join(base, [queue, sub]).withColumn(out, (F.col("_base") + inside).cast("long")).drop("_base", "_value")

@@ -29,12 +29,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import persist_table, table
+from .common import persist_table, running_start, subs_for, table
 
-SEQUENCE, END_ID, MAX_PLAN, SUBS, CACHE, BROADCAST = 2048, 1, 1 << 20, 64, 700_000, 8 << 20
+SEQUENCE, END_ID, MAX_PLAN, CACHE, BROADCAST = 2048, 1, 1 << 20, 700_000, 8 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -47,14 +47,16 @@ NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Rep
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 #: ``PATTERN`` for the characters of lowered plain texts.
-PIECE = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]|[^\\sa-z\u00df-\u00f6\u00f8-\u017e0-9]+").findall
+PIECE = re.compile("[a-z\u00df-\u00f6\u00f8-\u017e]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\sa-z\u00df-\u00f6\u00f8-\u017e0-9]+").findall
 
 
 class ChunkedTokenizer:
-    """A ``tokenizers`` file whose pattern never crosses white space: results of the stretches
-    between white space are remembered, as they repeat. Plain texts of a file with ``NORMALIZER``
-    and ``PATTERN`` are cut into the pattern's pieces here; the library then only merges, on many
-    pieces at a time, and the end-of-word mark of each piece's last token parts them again.
+    """A ``tokenizers`` file whose results for repeated parts of texts are remembered.
+
+    Plain texts of a file with ``NORMALIZER`` and ``PATTERN`` are lowered and cut into the pattern's
+    pieces here (which never hold white space); the library then only merges, on many new pieces at a time,
+    and the end-of-word mark of each piece's last token parts them again. Other texts are cut at white
+    space, which the pattern does not cross, and their stretches go through the whole library.
 
     Memory: two generations of at most ``CACHE`` strings and one batch's own."""
 
@@ -71,6 +73,7 @@ class ChunkedTokenizer:
         self.tok.no_truncation()
         spec = json.loads(self.tok.to_str())
         self.special = [x["content"] for x in spec["added_tokens"]]
+        #: Pieces, and stretches of texts that are not plain (marked by a space before, so that they don't meet).
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         split, *byte_level = spec["pre_tokenizer"].get("pretokenizers", [{}]) if spec["pre_tokenizer"] else [{}]
@@ -94,7 +97,10 @@ class ChunkedTokenizer:
         out = []
         for at in range(0, len(pieces), self.BATCH):
             part = pieces[at : at + self.BATCH]
-            ids = np.asarray(self.merger.encode(" ".join(part).encode().decode("latin-1").translate(self.letters), add_special_tokens=False).ids, dtype="<u4")
+            line = " ".join(part)
+            if not (line.isascii() and line.isprintable()):
+                line = line.encode().decode("latin-1").translate(self.letters)
+            ids = np.asarray(self.merger.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
             if len(ends) != len(part):
                 raise ValueError("pieces and end-of-word tokens differ in number")
@@ -103,36 +109,44 @@ class ChunkedTokenizer:
         return out
 
     def _learn(self, missing: set[str]) -> None:
-        """Add ``missing`` stretches (and their pieces) to what is known."""
+        """Add ``missing`` pieces and stretches to what is known."""
         known = self.known
         for c in missing.intersection(self.before):
             known[c] = self.before[c]
         rest = [c for c in missing if c not in known]
-        cut = {c: PIECE(c.lower()) for c in rest if PLAIN(c) is None} if self.merger is not None else {}
-        new = list({x for parts in cut.values() for x in parts}.difference(known))
-        known.update(zip(new, self._merge(new)))
-        for c, parts in cut.items():
-            if c not in known:
-                known[c] = b"".join([known[x] for x in parts])
-        other = [c for c in rest if c not in cut]
-        known.update(zip(other, self._library(other)))
+        stretches = [c for c in rest if c[0] == " "]
+        known.update(zip(stretches, self._library([c[1:] for c in stretches])))
+        pieces = [c for c in rest if c[0] != " "]
+        # ASCII apart from the rest: it needs no translation.
+        for own in ([c for c in pieces if c.isascii()], [c for c in pieces if not c.isascii()]):
+            known.update(zip(own, self._merge(own)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > CACHE:
             self.before, self.known = self.known, {}
-        missing: set[str] = set()
-        cut: list[list[str] | None] = []
+        get, missing = self.known.get, set()
+        cut: list[tuple | None] = []
         for text in texts:
             if self.UNSURE(text) or any(x in text for x in self.special):
                 cut.append(None)
                 continue
-            chunks = (text.lower() if self.merger is not None and PLAIN(text) is None else text).split()
-            missing |= set(chunks).difference(self.known)
-            cut.append(chunks)
+            parts = PIECE(text.lower()) if self.merger is not None and PLAIN(text) is None else [" " + c for c in text.split()]
+            ids = list(map(get, parts))
+            holes = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+            missing.update([parts[i] for i in holes])
+            cut.append((ids, [(i, parts[i]) for i in holes]))
         self._learn(missing)
-        get = self.known.__getitem__
-        return [self._library([text])[0] if chunks is None else b"".join(map(get, chunks)) for text, chunks in zip(texts, cut)]
+        out, known = [], self.known
+        for one, text in zip(cut, texts):
+            if one is None:
+                out.append(self._library([text])[0])
+                continue
+            ids, holes = one
+            for i, part in holes:
+                ids[i] = known[part]
+            out.append(b"".join(ids))
+        return out
 
 
 _LOADED: dict[str, ChunkedTokenizer] = {}
@@ -251,7 +265,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, *, sequence: int = SEQUE
     queues = spark.createDataFrame(pa.table({"source": names, "queue": pa.array(range(len(names)), pa.int64())})).withColumnRenamed("source", "_s")
     queues = F.broadcast(queues) if found.nbytes < BROADCAST else queues
     numbered = rows.select("rid", "n", "source").join(queues, F.col("source").eqNullSafe(F.col("_s")))
-    slim = numbered.select("rid", "n", "queue", F.pmod(F.xxhash64("rid"), F.lit(SUBS)).cast("int").alias("sub"))
+    slim = numbered.select("rid", "n", "queue", F.pmod(F.xxhash64("rid"), F.lit(subs_for(rows.count()))).alias("sub"))
     share = totals.astype(float) if weights is None else np.array([weights.get(s, 0.0) for s in names.to_pylist()])
     windows = -(-int(totals.sum()) // sequence)
     in_chunk = max(64, -(-windows // min(65_536, MAX_PLAN // max(1, len(names)))))
@@ -287,11 +301,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, *, sequence: int = SEQUE
         cols = [np.concatenate(x).astype(np.int64) for x in zip(*parts)]
         return pa.table(dict(zip(["rid", "start", "length", "sequence_id", "offset"], map(pa.array, cols))))
 
-    # Where each document starts in its queue: sums of a queue's earlier parts, then of earlier documents in its part.
-    earlier = lambda w, of: F.coalesce(F.sum(of).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = slim.groupBy("queue", "sub").agg(F.sum("n").alias("t")).select("queue", "sub", earlier(Window.partitionBy("queue").orderBy("sub"), "t").alias("base"))
-    at = F.col("base") + earlier(Window.partitionBy("queue", "sub").orderBy("rid"), "n")
-    placed = slim.join(base, ["queue", "sub"]).select("rid", "n", "queue", at.cast("long").alias("at"))
+    # Where each document starts in its queue.
+    placed = running_start(slim, "queue", "sub", [F.col("rid")], F.col("n"), "at").select("rid", "n", "queue", "at")
     stretches = placed.mapInArrow(split, "chunk long, queue long, at long, rid long, first long, n long")
     pieces = stretches.groupBy("chunk").applyInArrow(cut, "rid long, start long, length long, sequence_id long, offset long")
     # One document's pieces: bounded by its length.

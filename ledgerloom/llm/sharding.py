@@ -19,9 +19,9 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import persist_table, running_start, table, utf8
+from .common import persist_table, running_start, subs_for, table, utf8
 
-FINE, SUBS = 512, 256
+FINE = 512
 
 
 def lpt(items: list[tuple[int, int]], shards: int) -> dict[int, int]:
@@ -36,8 +36,9 @@ def lpt(items: list[tuple[int, int]], shards: int) -> dict[int, int]:
 
 
 def assign_shards(df: DataFrame, group: str, size: str, shards: int = 24, fine: int = FINE) -> DataFrame:
-    """Add ``shard`` to a materialised table; rows of one ``group`` (a hashable column) stay together."""
+    """Add ``shard`` to a materialised table; rows of one ``group`` (a hashable column) stay together. A column ``shard`` it has is replaced."""
     spark = df.sparkSession
+    df = df.drop("shard")
     bundles = shards * fine
     groups = df.groupBy(group).agg(F.sum(size).alias("_size"))
     total = df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
@@ -60,9 +61,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = persist_table(
         docs.select(
             "doc_id", (F.octet_length(utf8("text")).cast("long") + 8).alias("size"), F.crc32(utf8("text").cast("binary")).alias("text_crc32"),
-            F.unhex(F.md5(utf8("text").cast("binary"))).alias("grp"), F.pmod(F.xxhash64("doc_id"), F.lit(SUBS)).cast("int").alias("sub"),
+            F.unhex(F.md5(utf8("text").cast("binary"))).alias("grp"),
         ),
         "shard-slim",
     )
-    out = running_start(assign_shards(slim, "grp", "size"), "shard", "sub", [F.col("doc_id"), F.col("text_crc32")], F.lit(1).cast("long"), "slot")
+    dealt = assign_shards(slim, "grp", "size").withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.lit(subs_for(slim.count()))))
+    out = running_start(dealt, "shard", "sub", [F.col("doc_id"), F.col("text_crc32")], F.lit(1).cast("long"), "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
