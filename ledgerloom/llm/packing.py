@@ -46,23 +46,56 @@ PLAIN = re.compile("[^\\x00-\\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
-#: ``PATTERN`` for the characters of lowered plain texts.
-PIECE = re.compile("[a-z\u00df-\u00f6\u00f8-\u017e]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\sa-z\u00df-\u00f6\u00f8-\u017e0-9]+").findall
+#: Kinds of the bytes of lowered plain texts: white space, letter (any byte outside ASCII), digit, sign.
+KIND = np.full(256, 3, np.uint8)
+KIND[[9, 10, 11, 12, 13, 32]] = 0
+KIND[97:123] = KIND[128:] = 1
+KIND[48:58] = 2
+
+
+def piece_starts(raw: np.ndarray, text_at: np.ndarray) -> np.ndarray:
+    """Where the pieces of ``PATTERN`` start in lowered plain texts end to end; white space goes with the piece after it.
+
+    ``text_at``: first bytes of the texts that are not empty.
+    """
+    kind, n = KIND[raw], len(raw)
+    start = np.zeros(n + 1, bool)
+    before, here = kind[:-1], kind[1:]
+    start[1:n] = ((here != before) & (before != 0)) | ((here == 2) & (before == 2))
+    edge = np.zeros(n + 3, bool)
+    edge[text_at] = edge[n:] = True
+    # An apostrophe on its own and what of 's 't 're 've 'm 'll 'd follows it are one piece.
+    q = np.flatnonzero(raw == 39)
+    if len(q):
+        lone = (q == 0) | (kind[q - 1] != 3) | edge[q]
+        padded = np.append(raw, [0, 0]).astype(np.uint8)
+        one, two = padded[q + 1], padded[q + 2]
+        short = ~edge[q + 1] & np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        pair = ~edge[q + 1] & ~edge[q + 2] & np.isin(one.astype(np.int64) * 256 + two, [ord(x) * 256 + ord(y) for x, y in ("re", "ve", "ll")])
+        for own, size in ((q[lone & short], 2), (q[lone & pair], 3)):
+            start[own + 1] = False
+            stop = own[own + size < n] + size
+            start[stop[kind[stop] == 1]] = True
+    start[text_at] = True
+    return np.flatnonzero(start[:n])
 
 
 class ChunkedTokenizer:
     """A ``tokenizers`` file whose results for repeated parts of texts are remembered.
 
     Plain texts of a file with ``NORMALIZER`` and ``PATTERN`` are lowered and cut into the pattern's
-    pieces here (which never hold white space); the library then only merges, on many new pieces at a time,
-    and the end-of-word mark of each piece's last token parts them again. Other texts are cut at white
-    space, which the pattern does not cross, and their stretches go through the whole library.
+    pieces here, many texts at once, and equal pieces are gathered by Arrow; the library then only merges, on
+    many new pieces at a time, and the end-of-word mark of each piece's last token parts them again. Other
+    texts are cut at white space, which the pattern does not cross, and their stretches go through the whole
+    library.
 
     Memory: two generations of at most ``CACHE`` strings and one batch's own."""
 
     #: Characters on which libraries differ in what white space is: such texts go whole to the library.
     UNSURE = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]").search
     BATCH = 2000
+    #: Plain texts are taken together up to about so many characters.
+    CHARACTERS = 4_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -121,31 +154,55 @@ class ChunkedTokenizer:
         for own in ([c for c in pieces if c.isascii()], [c for c in pieces if not c.isascii()]):
             known.update(zip(own, self._merge(own)))
 
+    def _found(self, parts: list[str]) -> list[bytes]:
+        """Ids of pieces or stretches; the empty one has none."""
+        get = self.known.get
+        ids = list(map(get, parts))
+        if None in ids:
+            holes = [i for i, x in enumerate(ids) if x is None]
+            self._learn({parts[i] for i in holes} - {""})
+            self.known[""] = b""
+            for i in holes:
+                ids[i] = self.known[parts[i]]
+        return ids
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        raws = [t.lower().encode() for t in texts]
+        size = np.array([len(r) for r in raws], np.int64)
+        raw = np.frombuffer(b"".join(raws), np.uint8)
+        if not len(raw):
+            return [b""] * len(texts)
+        stop = np.cumsum(size)
+        at = piece_starts(raw, (stop - size)[size > 0])
+        pieces = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(raw)).astype(np.int32)), pa.py_buffer(raw)).dictionary_encode()
+        own = self._found([w.lstrip(" \t\n\r\x0b\x0c") for w in pieces.dictionary.to_pylist()])
+        n = np.array([len(x) for x in own], np.int32) // 4
+        first, index = np.cumsum(n, dtype=np.int32) - n, pieces.indices.to_numpy()
+        count = n[index]
+        ends = np.cumsum(count, dtype=np.int64)
+        place = np.arange(ends[-1]) + np.repeat(first[index] - (ends - count), count)
+        ids = np.frombuffer(b"".join(own), "<u4")[place].tobytes()
+        upto = (4 * np.append(0, ends)[np.searchsorted(at, np.append(0, stop))]).tolist()
+        return [ids[a:b] for a, b in zip(upto, upto[1:])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > CACHE:
             self.before, self.known = self.known, {}
-        get, missing = self.known.get, set()
-        cut: list[tuple | None] = []
-        for text in texts:
+        out: list[bytes] = [b""] * len(texts)
+        plain, size = [], 0
+        for i, text in enumerate(texts):
             if self.UNSURE(text) or any(x in text for x in self.special):
-                cut.append(None)
-                continue
-            parts = PIECE(text.lower()) if self.merger is not None and PLAIN(text) is None else [" " + c for c in text.split()]
-            ids = list(map(get, parts))
-            holes = [i for i, x in enumerate(ids) if x is None] if None in ids else []
-            missing.update([parts[i] for i in holes])
-            cut.append((ids, [(i, parts[i]) for i in holes]))
-        self._learn(missing)
-        out, known = [], self.known
-        for one, text in zip(cut, texts):
-            if one is None:
-                out.append(self._library([text])[0])
-                continue
-            ids, holes = one
-            for i, part in holes:
-                ids[i] = known[part]
-            out.append(b"".join(ids))
+                out[i] = self._library([text])[0]
+            elif self.merger is None or PLAIN(text) is not None:
+                out[i] = b"".join(self._found([" " + c for c in text.split()]))
+            else:
+                plain.append(i)
+                size += len(text)
+            if plain and (size > self.CHARACTERS or i == len(texts) - 1):
+                for j, ids in zip(plain, self._plain([texts[j] for j in plain])):
+                    out[j] = ids
+                plain, size = [], 0
         return out
 
 
@@ -160,8 +217,8 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
             _LOADED[path] = ChunkedTokenizer(path)
         tok, end = _LOADED[path], np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 ids = [x + end for x in tok.encode([t or "" for t in part.column(2).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "source", "n", "ids"])
 
