@@ -13,7 +13,8 @@
 
 Equal windows have equal anchors, so nothing is missed; what is exchanged is a few bytes for
 each run of unique text, and one segment for each batch and variant of repeated text. Nothing is
-dropped or capped.
+dropped or capped. Hashes only choose buckets and propose: that two segments are the same is
+confirmed by their symbols, and windows are matched by content in their bucket, so results are exact.
 
 Null doc_ids count as larger than all others; rows that share a doc_id don't remove each other.
 """
@@ -21,6 +22,7 @@ Null doc_ids count as larger than all others; rows that share a doc_id don't rem
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from .common import persist_table, release_shuffles
-from .windows import BYTE_HASH, Runs, find_runs, mix, word_hashes, words_of
+from .windows import BYTE_HASH, Runs, exact_ids, find_runs, mix, word_hashes, words_of
 
 BATCH, LENGTH = 1_000_000, 50
 #: Anchors with more segments than this (over all batches) are spread window by window.
@@ -97,10 +99,11 @@ class Batch:
         self.raw = np.frombuffer(body, np.uint8)
         of_byte = np.repeat(np.arange(len(self.docs), dtype=np.int32), self.lens)
         if unit == "bytes":
-            self.sym, self.doc_of = BYTE_HASH[self.raw], of_byte
+            self.sym, self.doc_of, self.exact = BYTE_HASH[self.raw], of_byte, self.raw
         else:
             self.begin, self.end, self.doc_of = words_of(self.raw, of_byte)
             self.sym = word_hashes(self.raw, self.begin, self.end)
+            self.exact = exact_ids(self.raw, self.begin, self.end) if windows else None
         self.runs, self.window_hash = find_runs(self.sym, self.doc_of, LENGTH, K[unit], windows)
         self.run_doc = self.docs[self.doc_of[self.runs.start]]
         order = np.lexsort((self.runs.segment, self.runs.key))
@@ -135,17 +138,38 @@ class Batch:
         runs = Runs(
             np.concatenate([self.runs.key[plain], one]), np.concatenate([self.runs.segment[plain], one]),
             np.concatenate([self.runs.start[plain], start]), np.concatenate([self.runs.windows[plain], np.ones(len(src), np.int64)]),
+            np.concatenate([self.runs.place[plain], np.zeros(len(src), np.int64)]),
         )
         doc = np.concatenate([self.run_doc[plain], self.run_doc[src]])
         order = np.lexsort((doc, runs.segment, runs.key))
         key, seg = runs.key[order], runs.segment[order]
         new = np.append(True, (key[1:] != key[:-1]) | (seg[1:] != seg[:-1])) if len(order) else np.zeros(0, bool)
+        # Segments of one hash with other symbols than the first stand for themselves.
+        new |= ~same_content(self.exact, runs.start[order], (runs.windows + LENGTH - 1)[order], new)
         number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(new) - 1
         rep = order[new]
         return runs, doc, rep, number
 
 
+def same_content(symbols: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which stretches hold the same symbols as the first of their group (``first``: group starts, in order)."""
+    out = np.ones(len(start), bool)
+    rest = np.flatnonzero(~first)
+    if not len(rest):
+        return out
+    head = np.flatnonzero(first)[np.cumsum(first)[rest] - 1]
+    out[rest] = size[rest] == size[head]
+    for lo in range(0, len(rest), 20_000):
+        a, b = rest[lo : lo + 20_000], head[lo : lo + 20_000]
+        n = np.minimum(size[a], size[b])
+        edge = np.cumsum(n) - n
+        step = np.arange(int(n.sum())) - np.repeat(edge, n)
+        differ = symbols[np.repeat(start[a], n) + step] != symbols[np.repeat(start[b], n) + step]
+        out[a] &= np.add.reduceat(differ.astype(np.int64), edge) == 0
+    return out
+
+
 def slices(keys: np.ndarray, buckets: int):
     """(bucket, from, to) over ascending keys."""
     own = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
@@ -176,21 +200,38 @@ def from_low_bytes(blobs: list[np.ndarray]) -> np.ndarray:
 
 
 def pack_segments(b: Batch, unit: str, runs: Runs, doc: np.ndarray, rep: np.ndarray) -> bytes:
-    n = runs.windows[rep]
-    size = n + LENGTH - 1 if unit == "bytes" else n
-    at = np.repeat(runs.start[rep] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    body = b.raw[at] if unit == "bytes" else b.window_hash[at].astype("<u8")
-    return b"".join([np.array([len(rep)], "<i8").tobytes(), low_bytes(runs.key[rep]), doc[rep].astype("<i8").tobytes(), n.astype("u1").tobytes(), body.tobytes()])
+    """Segments as they stand in the text: count, keys, documents, windows, anchors' places, sizes in bytes, bodies."""
+    n, a = runs.windows[rep], runs.start[rep]
+    last = a + n + LENGTH - 2
+    lo, hi = (a, last + 1) if unit == "bytes" else (b.begin[a], b.end[last])
+    size = hi - lo
+    at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    return b"".join([np.array([len(rep)], "<i8").tobytes(), low_bytes(runs.key[rep]), doc[rep].astype("<i8").tobytes(), n.astype("u1").tobytes(), runs.place[rep].astype("u1").tobytes(), size.astype("<i4").tobytes(), b.raw[at].tobytes()])
 
 
-def unpack_segments(blob: bytes, unit: str):
+def unpack_segments(blob: bytes):
     n = int(np.frombuffer(blob, "<i8", 1)[0])
-    key, doc = np.frombuffer(blob, "u1", 6 * n, 8), np.frombuffer(blob, "<i8", n, 8 + 6 * n)
-    return key, doc, np.frombuffer(blob, "u1", n, 8 + 14 * n), np.frombuffer(blob, "u1" if unit == "bytes" else "<u8", -1, 8 + 15 * n)
+    at = np.cumsum([8, 6 * n, 8 * n, n, n, 4 * n]).tolist()
+    return (
+        np.frombuffer(blob, "u1", 6 * n, at[0]), np.frombuffer(blob, "<i8", n, at[1]), np.frombuffer(blob, "u1", n, at[2]), np.frombuffer(blob, "u1", n, at[3]),
+        np.frombuffer(blob, "<i4", n, at[4]), np.frombuffer(blob, "u1", -1, at[5]),
+    )
+
+
+@dataclass
+class Segments:
+    """The segments of one bucket; ``body``: their bytes end to end."""
+
+    key: np.ndarray
+    doc: np.ndarray
+    windows: np.ndarray
+    place: np.ndarray
+    size: np.ndarray
+    body: np.ndarray
 
 
-#: (key, document, windows, bodies) of one bucket -> least document of each window, concatenated
-Resolver = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: Segments of one bucket -> least document of each window, concatenated
+Resolver = Callable[[Segments], np.ndarray]
 
 
 RESULTS = ["n", "n_removed", "spans", "kept"]
@@ -246,11 +287,11 @@ def remove_repeats(df: DataFrame, unit: str, resolve: Resolver, doc_id: str = "d
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "batch", "question"])
 
     def judge(tab: pa.Table) -> pa.Table:
-        parts = [unpack_segments(x, unit) for x in tab.column("question").to_pylist()]
+        parts = [unpack_segments(x) for x in tab.column("question").to_pylist()]
         key = from_low_bytes([p[0] for p in parts])
-        doc, win, body = (np.concatenate(c) for c in list(zip(*parts))[1:])
+        doc, win, place, size, body = (np.concatenate(c) for c in list(zip(*parts))[1:])
         win = win.astype(np.int64)
-        least = resolve(key, doc, win, body)
+        least = resolve(Segments(key, doc, win, place.astype(np.int64), size.astype(np.int64), body))
         gone = least < np.repeat(doc, win)
         first = np.cumsum(win) - win
         place = np.arange(len(gone)) - np.repeat(first, win)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .repeats import LENGTH, remove_repeats
+from .repeats import LENGTH, Segments, remove_repeats, same_content
 from .windows import BYTE_HASH, mix, powers, sums
 
 IN_MEMORY = 32_000_000
@@ -102,20 +102,21 @@ def construct(data: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarra
         files.close()
 
 
-def least_documents(key: np.ndarray, doc: np.ndarray, win: np.ndarray, body: np.ndarray) -> np.ndarray:
-    """Least document of every window of every segment; ``body`` has the segments' bytes."""
-    size = win + LENGTH - 1
+def least_documents(seg: Segments) -> np.ndarray:
+    """Least document of every window of every segment."""
+    key, doc, win, body, size = seg.key, seg.doc, seg.windows, seg.body, seg.size
     at = np.cumsum(size) - size
     prefix = sums(BYTE_HASH[body])
-    seg = mix(mix((prefix[at + size] - prefix[at]) * powers(len(prefix))[1][at]) + size.astype(np.uint64))
+    whole = mix(mix((prefix[at + size] - prefix[at]) * powers(len(prefix))[1][at]) + size.astype(np.uint64))
     del prefix
-    order = np.lexsort((doc, seg, key))
-    k, s = key[order], seg[order]
+    order = np.lexsort((doc, whole, key))
+    k, s = key[order], whole[order]
     new_key = np.append(True, k[1:] != k[:-1])
     new = new_key | np.append(True, s[1:] != s[:-1])
+    new |= ~same_content(body, at[order], size[order], new)
     variant = np.empty(len(order), np.int64)
     variant[order] = np.cumsum(new) - 1
-    rep = order[new]  # the least document's segment of each variant
+    rep = order[new]  # the least document's segment of each variant (equal bytes)
     group = (np.cumsum(new_key) - 1)[new]
     several = np.bincount(group)[group] > 1
     vwin = win[rep]

@@ -66,9 +66,7 @@ class Runs:
     segment: np.ndarray  # hash of the whole segment and of the anchor's place in it
     start: np.ndarray  # first window, as an index of the concatenated symbols
     windows: np.ndarray  # number of windows
-
-    def take(self, at) -> Runs:
-        return Runs(self.key[at], self.segment[at], self.start[at], self.windows[at])
+    place: np.ndarray  # where the anchor stands in the segment
 
 
 def find_runs(sym: np.ndarray, doc_of: np.ndarray, length: int, k: int, want_windows: bool = False) -> tuple[Runs, np.ndarray | None]:
@@ -95,11 +93,22 @@ def find_runs(sym: np.ndarray, doc_of: np.ndarray, length: int, k: int, want_win
         a, b = first, first + count - 1
         seg = mix(whole[a] * np.uint64(3) + mix(whole[b] + (at[a] - a).astype(np.uint64) * np.uint64(257) + count.astype(np.uint64)))
         # Least hashes crowd near zero; mixed again, they spread over all buckets.
-        found.append((mix(gram[at[a]]), seg, a + s, count))
-    cols = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        found.append((mix(gram[at[a]]), seg, a + s, count, at[a] - a))
+    cols = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
     return Runs(*cols), hashes
 
 
+def exact_ids(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each stretch of bytes: the same for equal stretches and only for those."""
+    import pyarrow as pa
+
+    n = end - start
+    offsets = np.append(0, np.cumsum(n))
+    at = np.repeat(start - offsets[:-1], n) + np.arange(offsets[-1])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw[at]))])
+    return words.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
