@@ -12,6 +12,26 @@ from pyspark.sql import functions as F
 from ..functions.text import SENTINELS, nfkc_casefold
 
 
+def project(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The listed columns only; one that is missing is an error, and no other ever passes."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise KeyError(f"missing columns: {', '.join(missing)}")
+    return df.select(*columns)
+
+
+def fill_sentinels(df: DataFrame, field: str, rules: list[tuple[Column, str]], key: str | None = None, fixed: dict | None = None) -> DataFrame:
+    """Blank cells of a field by the first rule that holds, row-specific values (by ``key``) before any; a blank that none covers is an error."""
+    c = F.col(field)
+    empty = F.coalesce(F.trim(c.cast("string")), F.lit("")) == ""
+    out = F.when(~empty, c)
+    for k, value in (fixed or {}).items():
+        out = out.when(F.col(key) == k, value)
+    for test, value in rules:
+        out = out.when(test, value)
+    return df.withColumn(field, out.otherwise(F.raise_error(F.lit(f"blank {field} without a rule"))))
+
+
 def contains_any(columns: list[str], words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.lower(F.col(c)).contains(w.lower()) for c in columns for w in words])
 
@@ -58,21 +78,155 @@ def key_sets(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     )
 
 
-def cell_changes(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, field, old, new) of every cell that differs, nulls included."""
+def cell_changes(old: DataFrame, new: DataFrame, key: str, fields: list[str], reasons: dict[str, str] | None = None) -> DataFrame:
+    """(key, field, old, new, type, reason) of every cell that differs, nulls included; type: filled, cleared or changed."""
     def long(df: DataFrame, name: str) -> DataFrame:
         return df.select(key, *[F.col(f).cast("string").alias(f) for f in fields]).unpivot(key, fields, "field", name)
 
-    return long(old, "old").join(long(new, "new"), [key, "field"]).where(~F.col("old").eqNullSafe(F.col("new")))
+    empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    kind = F.when(empty("old"), "filled").when(empty("new"), "cleared").otherwise("changed")
+    why = F.lit(None).cast("string")
+    for f, text in (reasons or {}).items():
+        why = F.when(F.col("field") == f, text).otherwise(why)
+    return long(old, "old").join(long(new, "new"), [key, "field"]).where(~F.col("old").eqNullSafe(F.col("new"))).withColumns({"type": kind, "reason": why})
 
 
 def resolve_or_conflict(df: DataFrame, entity: str, field: str) -> DataFrame:
-    """The value where all rows of an entity agree, else a conflict."""
-    return df.groupBy(entity).agg(F.count_distinct(field).alias("n_values"), F.min(field).alias("_v"), F.count(F.lit(1)).alias("n_rows")).select(
+    """The value where all rows of an entity agree, else a conflict. A null against a value is a conflict; arrays agree as sets."""
+    array = df.schema[field].dataType.typeName() == "array"
+    value = F.array_sort(F.array_distinct(field)) if array else F.col(field)
+    return df.groupBy(entity).agg((F.count_distinct(value) + F.max(F.when(value.isNull(), 1).otherwise(0))).alias("n_values"), F.min(value).alias("_v"), F.count(F.lit(1)).alias("n_rows")).select(
         entity, "n_rows", F.when(F.col("n_values") == 1, F.col("_v")).alias("value"), (F.col("n_values") > 1).alias("conflict")
     )
 
 
+def first_collision(candidates: DataFrame, checks: list[tuple[str, str, DataFrame]], ready: Column | None = None, not_ready: str = "no_anchor") -> DataFrame:
+    """Add ``reason``: the first check, in order, whose used keys (frame of one column) hold the candidate's column; null: kept."""
+    out, reason = candidates, F.when(~ready, not_ready) if ready is not None else None
+    for i, (name, column, used) in enumerate(checks):
+        keys = used.select(F.col(used.columns[0]).alias(f"_k{i}")).distinct()
+        out = out.join(keys, F.col(column) == F.col(f"_k{i}"), "left")
+        hit = F.col(f"_k{i}").isNotNull()
+        reason = F.when(hit, name) if reason is None else reason.when(hit, name)
+    return out.withColumn("reason", reason).drop(*[f"_k{i}" for i in range(len(checks))])
+
+
+def crosstab(df: DataFrame, value: str, split: str, sides: tuple[str, ...] = ("train", "dev", "test")) -> DataFrame:
+    """Rows of each value by split, the sides it is absent from, and whether that is a gap: a value on fewer rows than sides can't span them."""
+    x = df.groupBy(value).pivot(split, list(sides)).count().na.fill(0, list(sides))
+    total = reduce(lambda a, b: a + b, [F.col(c) for c in sides])
+    absent = F.concat_ws(",", *[F.when(F.col(c) == 0, c) for c in sides])
+    return x.withColumn("absent_from", absent).withColumn("assessment", F.when(F.col("absent_from") == "", "covered").when(total < len(sides), "too_few_rows").otherwise("gap"))
+
+
+def cost_table(df: DataFrame, value: str, reasons: list[tuple[str, Column]], **aggregates: Column) -> DataFrame:
+    """(value, n, the aggregates, reasons against it joined by ``;``, share of all rows in percent)."""
+    g = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in aggregates.items()])
+    total = df.agg(F.count(F.lit(1)).alias("_t"))
+    return g.crossJoin(F.broadcast(total)).withColumn("reasons", F.concat_ws(";", *[F.when(c, name) for name, c in reasons])).withColumn("share", F.round(100.0 * F.col("n") / F.col("_t"), 4)).drop("_t")
+
+
+def table_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: rows of a not in b and of b not in a, as multisets, by counts of equal rows (null equals null); both 0 if the tables are equal."""
+    columns = a.columns
+    if sorted(columns) != sorted(b.columns):
+        raise ValueError("tables differ in their columns")
+    side = lambda df, n: df.select(*columns, F.lit(n).alias("_side"))
+    net = side(a, 1).unionAll(side(b, -1)).groupBy(*columns).agg(F.sum("_side").alias("_net"))
+    return net.agg(F.coalesce(F.sum(F.greatest("_net", F.lit(0))), F.lit(0)).cast("long").alias("only_a"), F.coalesce(F.sum(F.greatest(-F.col("_net"), F.lit(0))), F.lit(0)).cast("long").alias("only_b"))
+
+
+def containment(df: DataFrame, group: str, key: str, inner: Column, outer: Column) -> DataFrame:
+    """One row: groups partly inside the inner scope, and keys of the inner scope that lie outside the outer one (scopes must nest)."""
+    g = df.groupBy(group).agg(F.count_if(inner).alias("_in"), F.count(F.lit(1)).alias("_n"))
+    split = g.agg(F.count_if((F.col("_in") > 0) & (F.col("_in") < F.col("_n"))).alias("partial"))
+    return split.crossJoin(df.where(inner & ~outer).agg(F.count_distinct(key).alias("outside")))
+
+
+def extra_copies(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """Rows that repeat their key more often than the least repeated key does."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    least = counts.agg(F.min("_n").alias("_least"))
+    numbered = df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return numbered.crossJoin(F.broadcast(least)).where(F.col("_r") > F.col("_least")).drop("_r", "_least")
+
+
+def capped(df: DataFrame, family: str, cap: int, *order) -> DataFrame:
+    """The first ``cap`` candidates of each family (the cap is the feature)."""
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(family).orderBy(*order))).where(F.col("_r") <= cap).drop("_r")
+
+
+def preferred(df: DataFrame, family: str, matched: str, cap: int, *values: str) -> DataFrame:
+    """``capped``, answers of several rows before those of one, larger before smaller."""
+    return capped(df, family, cap, F.col(matched) == 1, F.desc(matched), *values)
+
+
+def range_part(df: DataFrame, value: Column, parts: int = 0) -> Column:
+    """Which of about ``parts`` ranges of its order a value falls in (nulls: the first).
+
+    The bounds come from at most 1,000 values, chosen by hash over the whole table, and are
+    literals: the number is the same wherever it is computed, and only sizes depend on them.
+    """
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chosen = df.select(value.alias("_v")).where("_v is not null").orderBy(F.xxhash64("_v"), "_v").limit(1000).orderBy("_v").collect()
+    bounds = [chosen[i * len(chosen) // n][0] for i in range(1, n)] if chosen else []
+    if not bounds:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= value))
+
+
+def with_position(df: DataFrame, *order: str, parts: int = 0) -> DataFrame:
+    """Add ``position`` from 0 in the order of the columns, without putting all rows in one task.
+
+    Rows are dealt to ranges of the first column; each range counts on from those before (a
+    small table). Rows equal in all of ``order`` must be told apart by it.
+    """
+    dealt = df.withColumn("_p", range_part(df, F.col(order[0]), parts))
+    base = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")).withColumn("_base", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
+    return placed.join(F.broadcast(base.select("_p", "_base")), "_p").withColumn("position", F.col("_base") + F.col("_i")).drop("_p", "_i", "_base")
+
+
+def recombined(df: DataFrame, key: str, offsets: tuple[int, ...]) -> DataFrame:
+    """(key, others): each row with the rows at fixed offsets after it in key order, around the end."""
+    placed = with_position(df.select(key).distinct(), key)
+    n = placed.agg(F.count(F.lit(1)).alias("_n"))
+    wanted = placed.crossJoin(F.broadcast(n)).select(F.col(key).alias("_own"), F.posexplode(F.array(*[(F.col("position") + o) % F.col("_n") for o in offsets])).alias("_i", "position"))
+    met = wanted.join(placed, "position").groupBy("_own").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", key))), lambda x: x[key]).alias("others"))
+    return met.withColumnRenamed("_own", key)
+
+
+def evidence_sets(df: DataFrame, term: str, entity: str, n_terms: int = 8, n_matches: int = 2) -> DataFrame:
+    """(term, matches, other): of the first shared terms, the first entities that hold each, and the first that does not."""
+    pairs = df.select(term, entity).distinct()
+    shared = pairs.groupBy(term).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n_matches).orderBy(term).limit(n_terms).select(term)
+    own = pairs.join(F.broadcast(shared), term).withColumn("_r", F.row_number().over(Window.partitionBy(term).orderBy(entity)))
+    matches = own.where(F.col("_r") <= n_matches).groupBy(term).agg(F.array_sort(F.collect_list(entity)).alias("matches"))
+    entities = df.select(entity).distinct()
+    # The first entity without a term: the k-th entity at all, where the first k - 1 hold it.
+    first = entities.withColumn("_r", F.row_number().over(Window.orderBy(entity)))
+    at = own.join(first.withColumnRenamed("_r", "_k"), entity).where(F.col("_r") == F.col("_k")).groupBy(term).agg(F.max("_k").alias("_held"))
+    other = shared.join(at, term, "left").select(term, (F.coalesce("_held", F.lit(0)) + 1).alias("_r")).join(first.withColumnRenamed(entity, "other"), "_r", "left").select(term, "other")
+    return matches.join(other, term)
+
+
+def spread(df: DataFrame, k: int, *order: str) -> DataFrame:
+    """``k`` rows spread evenly over the order: those at round(i (n - 1) / (k - 1)), all if there are fewer."""
+    placed = with_position(df, *order)
+    n = df.count()
+    marks = sorted({round(i * (n - 1) / (k - 1)) for i in range(k)} if 1 < k < n else range(min(n, 1 if k == 1 else n)))
+    return placed.where(F.col("position").isin(marks)).drop("position") if k < n else df
+
+
+def same_rows(a: DataFrame, b: DataFrame, ordered: bool = False) -> bool:
+    """Equal as multisets of rows or, ``ordered`` by a column ``position``, as lists."""
+    if sorted(a.columns) != sorted(b.columns):
+        return False
+    own = [c for c in a.columns if c != "position"] if not ordered else a.columns
+    d = table_differences(a.select(*own), b.select(*own)).first()
+    return d.only_a == d.only_b == 0
+
+
 def support(df: DataFrame, field: str, split: str, entity: str) -> DataFrame:
     """Rows and distinct entities of each value, by split and over all (one pass of grouping sets)."""
     spark = df.sparkSession
@@ -106,8 +260,13 @@ def repeat_to_budget(df: DataFrame, key: str, stratum: str, tokens: str, budget:
         df.join(F.broadcast(per), stratum).withColumn("_used", F.coalesce(F.sum(tokens).over(inside), F.lit(0)))
         .withColumn("_prio", (F.lit(rest) * F.col("_w") - F.col("_used") * F.lit(total)).cast("decimal(38,0)"))
     )
-    line = Window.orderBy(F.desc("_prio"), F.desc(stratum), digest, key).rowsBetween(Window.unboundedPreceding, -1)
-    extra = ranked.withColumn("_before", F.coalesce(F.sum(tokens).over(line), F.lit(0))).where(F.col("_before") < rest).select(*df.columns)
+    # A running sum over ranges of the order, so that no task sorts everything.
+    ranked = ranked.withColumn("_digest", digest)
+    dealt = ranked.withColumn("_p", range_part(ranked, -F.col("_prio")))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    base = dealt.groupBy("_p").agg(F.sum(tokens).alias("_t")).withColumn("_base", F.coalesce(F.sum("_t").over(earlier(Window.orderBy("_p"))), F.lit(0))).select("_p", "_base")
+    inside_range = F.coalesce(F.sum(tokens).over(earlier(Window.partitionBy("_p").orderBy(F.desc("_prio"), F.desc(stratum), "_digest", key))), F.lit(0))
+    extra = dealt.withColumn("_in", inside_range).join(F.broadcast(base), "_p").where(F.col("_base") + F.col("_in") < rest).select(*df.columns)
     whole = df.withColumn("_c", F.explode(F.sequence(F.lit(1), F.lit(cycles)))).drop("_c") if cycles else df.limit(0)
     return whole.unionByName(extra)
 

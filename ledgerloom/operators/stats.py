@@ -5,18 +5,40 @@ from __future__ import annotations
 from math import comb, isfinite
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-def order_stats(df: DataFrame, x: str, *by: str) -> DataFrame:
-    """min, x[n // 2], x[int(.95 n)], max of the sorted values: by rank, not interpolated and not collected."""
+def at_ranks(df: DataFrame, x: str, ranks: dict[str, tuple[int, int]], *by: str) -> DataFrame:
+    """(by, low, high, and for each name (a, b) of ``ranks`` the value at place n * a // b of the sorted values).
+
+    By rank, not interpolated, over counts of distinct values: no group is sorted or held as rows
+    in one task, only its distinct values are.
+    """
     keys = list(by)
+    counts = df.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ranked = df.where(F.col(x).isNotNull()).select(*keys, F.col(x).alias("_x"), (F.row_number().over(w.orderBy(x)) - 1).alias("_i"), F.count(F.lit(1)).over(w).alias("_n"))
-    at = lambda i: F.max(F.when(F.col("_i") == i, F.col("_x")))
-    return ranked.groupBy(*keys).agg(F.min("_x").alias("low"), at(F.floor(F.col("_n") / 2)).alias("median"), at(F.floor(F.col("_n") * 95 / 100)).alias("p95"), F.max("_x").alias("high"))
+    upto = counts.select(*keys, "_x", F.sum("_c").over(w.orderBy("_x")).alias("_to"), F.sum("_c").over(w).alias("_n"))
+    at = lambda a, b: F.min(F.when(F.col("_to") > F.floor(F.col("_n") * a / b), F.col("_x")))
+    return upto.groupBy(*keys).agg(F.min("_x").alias("low"), F.max("_x").alias("high"), *[at(a, b).alias(name) for name, (a, b) in ranks.items()])
+
+
+def order_stats(df: DataFrame, x: str, *by: str) -> DataFrame:
+    """min, x[n // 2], x[int(.95 n)], max of the sorted values."""
+    return at_ranks(df, x, {"median": (1, 2), "p95": (95, 100)}, *by).select(*by, "low", "median", "p95", "high")
+
+
+def mean_sd(values: list[float], deterministic: bool = False) -> dict:
+    """Mean and sample SD; one value has no SD, and a deterministic condition has one value or is refused."""
+    if not values:
+        raise ValueError("no values")
+    n, mean = len(values), sum(values) / len(values)
+    if deterministic and n != 1:
+        raise ValueError(f"a deterministic condition has one result, not {n}")
+    return {"mean": mean, "n": n, "sd": (sum((v - mean) ** 2 for v in values) / (n - 1)) ** 0.5 if n > 1 else None}
 
 
 def item_score(df: DataFrame, score: str) -> DataFrame:
@@ -30,12 +52,12 @@ def group_score(df: DataFrame, score: str, group: str) -> DataFrame:
 
 
 def effect_size(differences: list[float]) -> float | None:
-    """d_z = mean / sample SD; None for fewer than two, zero variance; refuses non-finite values."""
+    """d_z = mean / sample SD; None for zero variance; fewer than two or non-finite values are an error."""
     if any(not isfinite(d) for d in differences):
         raise ValueError("non-finite difference")
     n = len(differences)
     if n < 2:
-        return None
+        raise ValueError("an effect size needs at least two differences")
     mean = sum(differences) / n
     sd = (sum((d - mean) ** 2 for d in differences) / (n - 1)) ** 0.5
     return mean / sd if sd else None
@@ -75,6 +97,12 @@ def mcnemar(b: int, c: int) -> float:
     return 1.0 if n == 0 else min(1.0, 2 * sum(comb(n, i) for i in range(k + 1)) / 2**n)
 
 
+@F.pandas_udf(DoubleType())
+def mcnemar_p(b: pd.Series, c: pd.Series) -> pd.Series:
+    """``mcnemar`` over columns of counts."""
+    return pd.Series([mcnemar(int(x), int(y)) for x, y in zip(b, c)], dtype="float64")
+
+
 def holm(df: DataFrame, p: str, name: str) -> DataFrame:
     """Adjusted p: (m - i) p in rising order, running maximum, at most 1."""
     w = Window.orderBy(p, name)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import chat, relational as rel, stats
+from .operators import chat, records, relational as rel, stats
 from .plans import guard
 from .sources.tables import load
 
@@ -30,8 +30,8 @@ def bigint(c):
 
 n_rows = lambda: F.count(F.lit(1)).alias("n")
 r6 = lambda c: F.round(c, 6)
-SALT = "20260823:"
-SCOPED = """WITH split AS (SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('20260823:' || c_custkey), c_custkey) r,
+SALT = "holdout-1:"
+SCOPED = """WITH split AS (SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('holdout-1:' || c_custkey), c_custkey) r,
  count(*) OVER (PARTITION BY c_mktsegment) n FROM customer),
  scoped AS (SELECT c_custkey, CASE WHEN r <= round_even(n * 0.1, 0) THEN 'dev' WHEN r <= round_even(n * 0.1, 0) + round_even(n * 0.2, 0) THEN 'test' ELSE 'train' END AS split FROM split) """
 ITEMS = "SELECT o_custkey, p_type, p_brand FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey"
@@ -41,6 +41,12 @@ def splits(s: SparkSession, d: str) -> DataFrame:
     return rel.assign_splits(load(s, d, "customer", ["c_custkey", "c_mktsegment"]), "c_custkey", "c_mktsegment", SALT)
 
 
+def judged(s: SparkSession, d: str) -> DataFrame:
+    """Labelled documents under a status."""
+    x = load(s, d, "documents", ["doc_id", "lang", "source"]).join(load(s, d, "labels"), "doc_id")
+    return x.withColumn("status", F.when(F.col("toxic") == 1, "timeout").when(F.col("quality") == 1, "correct").otherwise("incorrect"))
+
+
 def items(s: SparkSession, d: str) -> DataFrame:
     """Child facts: which part types and brands a customer's orders hold."""
     return (
@@ -78,17 +84,18 @@ def p_contains_any(s, d):
     return load(s, d, "part").where(rel.contains_any(["p_name", "p_type"], ["an", "or"])).select("p_partkey")
 
 
-@query("SELECT p_partkey FROM part WHERE p_type ILIKE '%e%' AND p_name ILIKE 'p%'")
+@query("SELECT p_partkey FROM part WHERE p_type ILIKE '%Ec%' AND p_name ILIKE 'S%'")
 def p_like(s, d):
-    return load(s, d, "part").where(F.col("p_type").ilike("%e%") & F.col("p_name").ilike("p%")).select("p_partkey")
+    return load(s, d, "part").where(F.col("p_type").ilike("%Ec%") & F.col("p_name").ilike("S%")).select("p_partkey")
 
 
-TREE = {"op": "AND", "operands": [{"op": "OR", "operands": [{"op": "=", "field": "c_mktsegment", "value": "BUILDING"}, {"op": ">", "field": "c_acctbal", "value": 5000}]}, {"op": "NOT NULL", "field": "c_nationkey"}, {"op": "!=", "field": "c_nationkey", "value": 3}]}
+TREE = {"op": "AND", "operands": [{"op": "OR", "operands": [{"op": "=", "field": "c_mktsegment", "value": "BUILDING"}, {"op": ">", "field": "c_acctbal", "value": 5000}]}, {"op": "NOT NULL", "field": "c_nationkey"}, {"op": "!=", "field": "c_nationkey", "value": 3}, {"op": "HAS", "field": "tags", "value": "a"}]}
 
 
-@query("SELECT c_custkey FROM customer WHERE (c_mktsegment = 'BUILDING' OR c_acctbal > 5000) AND c_nationkey IS NOT NULL AND c_nationkey <> 3")
+@query("SELECT c_custkey FROM customer WHERE (c_mktsegment = 'BUILDING' OR c_acctbal > 5000) AND c_nationkey IS NOT NULL AND c_nationkey <> 3 AND list_contains(CASE WHEN c_custkey % 2 = 0 THEN ['a', 'b'] ELSE ['b'] END, 'a')")
 def p_predicate_tree(s, d):
-    return load(s, d, "customer").where(rel.predicate(TREE)).select("c_custkey")
+    tagged = load(s, d, "customer").withColumn("tags", F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("b"))))
+    return tagged.where(rel.predicate(TREE)).select("c_custkey")
 
 
 @query("SELECT count(*) FILTER (trim(coalesce(text, '')) = '') AS blank, count(*) AS n FROM documents")
@@ -102,18 +109,19 @@ def p_value_map(s, d):
     return load(s, d, "orders").select("o_orderkey", F.coalesce(F.try_element_at(m, F.col("o_orderstatus")), F.lit("other")).alias("status"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'Not specified' WHEN c_mktsegment = 'MACHINERY' THEN 'Not applicable' ELSE c_mktsegment END AS segment FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_custkey = 7 AND (c_acctbal < 0 OR c_mktsegment = 'MACHINERY') THEN 'checked' WHEN c_acctbal < 0 THEN 'Not specified' WHEN c_mktsegment = 'MACHINERY' THEN 'Not applicable' ELSE c_mktsegment END AS segment FROM customer")
 def p_sentinel_fill(s, d):
-    raw = F.when((F.col("c_acctbal") >= 0) & (F.col("c_mktsegment") != "MACHINERY"), F.col("c_mktsegment"))
-    filled = F.when(raw.isNotNull(), raw).when(F.col("c_acctbal") < 0, "Not specified").when(F.col("c_mktsegment") == "MACHINERY", "Not applicable").otherwise(F.raise_error(F.lit("blank without a rule")))
-    return load(s, d, "customer").select("c_custkey", filled.alias("segment"))
+    blank = F.when((F.col("c_acctbal") >= 0) & (F.col("c_mktsegment") != "MACHINERY"), F.col("c_mktsegment")).otherwise(F.lit(" "))
+    rules = [(F.col("c_acctbal") < 0, "Not specified"), (F.col("_kind") == "MACHINERY", "Not applicable")]
+    x = load(s, d, "customer").withColumn("_kind", F.col("c_mktsegment")).withColumn("segment", blank)
+    return rel.fill_sentinels(x, "segment", rules, "c_custkey", {7: "checked"}).select("c_custkey", "segment")
 
 
-@query("SELECT o_orderkey, 'o_orderpriority' AS field, o_orderpriority AS old, 'Not specified' AS new FROM orders WHERE o_orderpriority = '5-LOW'")
+@query("SELECT o_orderkey, 'o_orderpriority' AS field, o_orderpriority AS old, 'Not specified' AS new, 'changed' AS type, 'low says nothing' AS reason FROM orders WHERE o_orderpriority = '5-LOW' UNION ALL SELECT o_orderkey, 'o_orderstatus', 'P', NULL, 'cleared', NULL FROM orders WHERE o_orderstatus = 'P'")
 def p_cell_audit(s, d):
     old = load(s, d, "orders", ["o_orderkey", "o_orderpriority", "o_orderstatus"])
-    new = old.withColumn("o_orderpriority", F.when(F.col("o_orderpriority") == "5-LOW", "Not specified").otherwise(F.col("o_orderpriority")))
-    return rel.cell_changes(old, new, "o_orderkey", ["o_orderpriority", "o_orderstatus"])
+    new = old.withColumn("o_orderpriority", F.when(F.col("o_orderpriority") == "5-LOW", "Not specified").otherwise(F.col("o_orderpriority"))).withColumn("o_orderstatus", F.nullif("o_orderstatus", F.lit("P")))
+    return rel.cell_changes(old, new, "o_orderkey", ["o_orderpriority", "o_orderstatus"], {"o_orderpriority": "low says nothing"})
 
 
 # Joins
@@ -140,25 +148,19 @@ def j_scope_inheritance(s, d):
     return load(s, d, "orders", ["o_custkey"]).join(splits(s, d).select("c_custkey", "split"), F.col("o_custkey") == F.col("c_custkey")).groupBy("split").agg(n_rows(), F.count_distinct("c_custkey").alias("n_customers"))
 
 
-@query("SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NULL")
+@query("SELECT c_custkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') ON o_custkey = c_custkey WHERE o_orderkey IS NULL")
 def j_orphans(s, d):
-    return load(s, d, "customer").join(load(s, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
-
-
-@query("SELECT count(*) AS n FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_acctbal <> s_acctbal AND s_suppkey <= 10")
-def j_residual(s, d):
-    return load(s, d, "customer").join(F.broadcast(load(s, d, "supplier").where("s_suppkey <= 10")), (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("c_acctbal") != F.col("s_acctbal"))).agg(n_rows())
+    return load(s, d, "customer").join(load(s, d, "orders").where("o_orderpriority = '1-URGENT'"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT count(*) AS n FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_acctbal <> s_acctbal")
-def j_residual_all(s, d):
-    """``j_residual`` over all suppliers."""
+def j_residual(s, d):
     return rel.residual_pairs(load(s, d, "customer"), load(s, d, "supplier"), ("c_nationkey", "c_acctbal"), ("s_nationkey", "s_acctbal"))
 
 
-@query(f"SELECT x.p_brand, y.o_orderpriority, count(*) AS n FROM (SELECT DISTINCT o_custkey, p_brand FROM ({ITEMS})) x JOIN (SELECT DISTINCT o_custkey, o_orderpriority FROM orders) y USING (o_custkey) GROUP BY ALL HAVING count(*) BETWEEN 1 AND 100000")
+@query(f"SELECT x.p_brand, y.o_orderpriority, count(*) AS n FROM (SELECT DISTINCT o_custkey, p_brand FROM ({ITEMS})) x JOIN (SELECT DISTINCT o_custkey, o_orderpriority FROM orders) y USING (o_custkey) GROUP BY ALL HAVING count(*) BETWEEN 1 AND 800")
 def j_value_pairs(s, d):
-    return rel.value_pairs(items(s, d), load(s, d, "orders"), "o_custkey", "p_brand", "o_orderpriority", 1, 100000)
+    return rel.value_pairs(items(s, d), load(s, d, "orders"), "o_custkey", "p_brand", "o_orderpriority", 1, 800)
 
 
 @query()
@@ -180,10 +182,9 @@ def j_pivot(s, d):
 @query("SELECT reason, count(*) AS n FROM (SELECT CASE WHEN o_totalprice < 1000 THEN 'no_anchor' WHEN EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_orderkey AND c_acctbal < 0) THEN 'gold_sql' WHEN EXISTS (SELECT 1 FROM part WHERE p_partkey = o_orderkey) THEN 'fingerprint' ELSE 'kept' END AS reason FROM orders) GROUP BY 1")
 def j_collision_reasons(s, d):
     """The first reason in order counts."""
-    a = load(s, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_orderkey"), F.lit(True).alias("g"))
-    b = load(s, d, "part").select(F.col("p_partkey").alias("o_orderkey"), F.lit(True).alias("f"))
-    reason = F.when(F.col("o_totalprice") < 1000, "no_anchor").when(F.col("g"), "gold_sql").when(F.col("f"), "fingerprint").otherwise("kept")
-    return load(s, d, "orders", ["o_orderkey", "o_totalprice"]).join(a, "o_orderkey", "left").join(b, "o_orderkey", "left").select(reason.alias("reason")).groupBy("reason").agg(n_rows())
+    a, b = load(s, d, "customer").where("c_acctbal < 0").select("c_custkey"), load(s, d, "part").select("p_partkey")
+    x = rel.first_collision(load(s, d, "orders", ["o_orderkey", "o_totalprice"]), [("gold_sql", "o_orderkey", a), ("fingerprint", "o_orderkey", b)], F.col("o_totalprice") >= 1000)
+    return x.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(n_rows())
 
 
 # Aggregates
@@ -215,10 +216,9 @@ def a_frequency(s, d):
     return load(s, d, "documents", ["lang", "source"]).groupBy("lang", "source").agg(n_rows())
 
 
-@query(SCOPED + "SELECT c_nationkey, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'dev') AS dev, count(*) FILTER (split = 'test') AS test, count(*) FILTER (split = 'train') = 0 AS absent_in_train FROM customer JOIN scoped USING (c_custkey) GROUP BY 1")
+@query(SCOPED + "SELECT *, CASE WHEN absent_from = '' THEN 'covered' WHEN train + dev + test < 3 THEN 'too_few_rows' ELSE 'gap' END AS assessment FROM (SELECT c_nationkey, train, dev, test, concat_ws(',', CASE WHEN train = 0 THEN 'train' END, CASE WHEN dev = 0 THEN 'dev' END, CASE WHEN test = 0 THEN 'test' END) AS absent_from FROM (SELECT c_nationkey, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'dev') AS dev, count(*) FILTER (split = 'test') AS test FROM customer JOIN scoped USING (c_custkey) GROUP BY 1))")
 def a_crosstab(s, d):
-    x = splits(s, d).select("c_custkey", "split").join(load(s, d, "customer", ["c_custkey", "c_nationkey"]), "c_custkey")
-    return x.groupBy("c_nationkey").pivot("split", ["train", "dev", "test"]).count().na.fill(0).withColumn("absent_in_train", F.col("train") == 0)
+    return rel.crosstab(splits(s, d).select("c_custkey", "split").join(load(s, d, "customer", ["c_custkey", "c_nationkey"]), "c_custkey"), "c_nationkey", "split")
 
 
 @query("SELECT p_brand AS term, coalesce(l_returnflag, 'ALL') AS split, count(*) AS n_rows, count(DISTINCT l_suppkey) AS n_entities FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY GROUPING SETS ((p_brand, l_returnflag), (p_brand))")
@@ -229,31 +229,20 @@ def a_support(s, d):
 
 @query("SELECT p_brand, count(*) AS n, concat_ws(';', CASE WHEN count(*) < 90 THEN 'few_rows' END, CASE WHEN max(p_size) < 50 THEN 'small' END) AS reasons, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS share FROM part GROUP BY 1")
 def a_cost_table(s, d):
-    g = load(s, d, "part").groupBy("p_brand").agg(n_rows(), F.max("p_size").alias("m"))
-    total = g.agg(F.sum("n").alias("t"))
-    return g.crossJoin(F.broadcast(total)).select("p_brand", "n", F.concat_ws(";", F.when(F.col("n") < 90, "few_rows"), F.when(F.col("m") < 50, "small")).alias("reasons"), F.round(100.0 * F.col("n") / F.col("t"), 4).alias("share"))
-
-
-@query("""WITH t AS (SELECT DISTINCT c_nationkey AS k, c_mktsegment AS term FROM customer WHERE c_custkey <= 60),
- p AS (SELECT a.term AS a, b.term AS b, (SELECT count(DISTINCT k) FROM t WHERE term IN (a.term, b.term)) AS n FROM (SELECT DISTINCT term FROM t) a JOIN (SELECT DISTINCT term FROM t) b ON a.term < b.term)
- SELECT a || ',' || b AS terms, n AS n_rows FROM p ORDER BY n, a, b LIMIT 1""")
-def a_smallest_union(s, d):
-    t = load(s, d, "customer").where("c_custkey <= 60").select(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("term"))
-    return rel.smallest_union(t, "term", "k", 2).select(F.array_join("terms", ",").alias("terms"), "n_rows")
+    return rel.cost_table(load(s, d, "part"), "p_brand", [("few_rows", F.col("n") < 90), ("small", F.col("m") < 50)], m=F.max("p_size")).drop("m")
 
 
 @query("""WITH t AS (SELECT DISTINCT c_nationkey AS k, c_mktsegment AS term FROM customer),
  p AS (SELECT a.term AS a, b.term AS b, (SELECT count(DISTINCT k) FROM t WHERE term IN (a.term, b.term)) AS n FROM (SELECT DISTINCT term FROM t) a JOIN (SELECT DISTINCT term FROM t) b ON a.term < b.term)
  SELECT a || ',' || b AS terms, n AS n_rows FROM p ORDER BY n, a, b LIMIT 1""")
-def a_smallest_union_all(s, d):
-    """``a_smallest_union`` over all customers."""
+def a_smallest_union(s, d):
     t = load(s, d, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("term"))
     return rel.smallest_union(t, "term", "k", 2).select(F.array_join("terms", ",").alias("terms"), "n_rows")
 
 
-@query("SELECT o_custkey, count(*) AS n_rows, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN min(o_orderstatus) END AS value, count(DISTINCT o_orderstatus) > 1 AS conflict FROM orders GROUP BY 1")
+@query("SELECT o_custkey, count(*) AS n_rows, CASE WHEN count(v) = count(*) AND count(DISTINCT v) = 1 THEN min(v) END AS value, count(DISTINCT v) + (count(v) < count(*))::INT > 1 AS conflict FROM (SELECT o_custkey, nullif(o_orderstatus, 'P') AS v FROM orders) GROUP BY 1")
 def a_resolve_or_conflict(s, d):
-    return rel.resolve_or_conflict(load(s, d, "orders"), "o_custkey", "o_orderstatus")
+    return rel.resolve_or_conflict(load(s, d, "orders").withColumn("o_orderstatus", F.nullif("o_orderstatus", F.lit("P"))), "o_custkey", "o_orderstatus")
 
 
 @query("SELECT lang, round(100.0 * sum(n_chars) / (SELECT sum(n_chars) FROM documents), 2) AS share FROM documents GROUP BY 1")
@@ -264,21 +253,17 @@ def a_weighted_mix(s, d):
 
 @query("SELECT s.status, count(o.o_orderkey) AS n FROM (VALUES ('F'), ('O'), ('P'), ('X')) s(status) LEFT JOIN orders o ON o.o_orderstatus = s.status GROUP BY 1")
 def a_status_accounting(s, d):
-    names = s.createDataFrame([("F",), ("O",), ("P",), ("X",)], "status string")
-    g = load(s, d, "orders", ["o_orderstatus"]).groupBy(F.col("o_orderstatus").alias("status")).agg(n_rows())
-    return names.join(g, "status", "left").na.fill(0)
+    return records.accounting(load(s, d, "orders", ["o_orderstatus"]), "o_orderstatus", ("F", "O", "P", "X"))
 
 
-@query("SELECT lang, count(*) AS n, count(*) FILTER (quality = 1) AS correct, count(*) FILTER (toxic = 1) AS failed, round(avg(quality), 6) AS mean_quality FROM documents JOIN labels USING (doc_id) GROUP BY 1")
+@query("SELECT lang, count(*) AS n, count(*) FILTER (status = 'correct') AS correct, count(*) FILTER (status = 'incorrect') AS incorrect, count(*) FILTER (status NOT IN ('correct', 'incorrect')) AS failed, round(avg((status = 'correct')::INT), 6) AS task, round(avg((quality = toxic)::INT), 6) AS strict FROM (SELECT *, CASE WHEN toxic = 1 THEN 'timeout' WHEN quality = 1 THEN 'correct' ELSE 'incorrect' END AS status FROM documents JOIN labels USING (doc_id)) GROUP BY 1")
 def a_family_metrics(s, d):
-    x = load(s, d, "documents", ["doc_id", "lang"]).join(load(s, d, "labels"), "doc_id")
-    return x.groupBy("lang").agg(n_rows(), F.count_if(F.col("quality") == 1).alias("correct"), F.count_if(F.col("toxic") == 1).alias("failed"), r6(F.avg("quality")).alias("mean_quality"))
+    return records.family_metrics(judged(s, d).withColumn("strict", F.col("quality") == F.col("toxic")), "lang", "status", "strict").withColumns({"task": r6(F.col("task")), "strict": r6(F.col("strict"))})
 
 
-@query("SELECT lang, array_to_string(list_sort(list(doc_id)), ',') AS ids FROM documents JOIN labels USING (doc_id) WHERE quality = 0 GROUP BY 1")
+@query("SELECT status, lang, count(*) AS n, array_to_string(list_sort(list(doc_id) FILTER (r <= 50)), ',') AS first_ids FROM (SELECT *, row_number() OVER (PARTITION BY status, lang ORDER BY doc_id) AS r FROM (SELECT doc_id, lang, CASE WHEN toxic = 1 THEN 'timeout' WHEN quality = 1 THEN 'correct' ELSE 'incorrect' END AS status FROM documents JOIN labels USING (doc_id)) WHERE status <> 'correct') GROUP BY 1, 2")
 def a_error_lists(s, d):
-    x = load(s, d, "documents", ["doc_id", "lang"]).join(load(s, d, "labels").where("quality = 0"), "doc_id")
-    return x.groupBy("lang").agg(F.array_join(F.array_sort(F.collect_list("doc_id")), ",").alias("ids"))
+    return records.error_groups(judged(s, d), "lang", "status", "doc_id").withColumn("first_ids", F.array_join("first_ids", ","))
 
 
 @query("SELECT slice, count(*) AS n, sum(quality)::BIGINT AS good FROM (SELECT quality, unnest(['lang=' || lang, 'source=' || source, 'toxic=' || toxic]) AS slice FROM documents JOIN labels USING (doc_id)) GROUP BY 1")
@@ -339,10 +324,9 @@ def a_support_histogram(s, d):
     return load(s, d, "orders", ["o_custkey"]).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("k")).groupBy(bucket.alias("bucket")).agg(n_rows())
 
 
-@query("SELECT (SELECT count(*) FROM (SELECT * FROM nation EXCEPT ALL SELECT * FROM nation)) AS missing, (SELECT count(*) FROM (SELECT n_regionkey FROM nation EXCEPT ALL SELECT r_regionkey FROM region)) AS extra")
+@query("SELECT (SELECT count(*) FROM (SELECT c_nationkey FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier)) AS only_a, (SELECT count(*) FROM (SELECT s_nationkey FROM supplier EXCEPT ALL SELECT c_nationkey FROM customer)) AS only_b")
 def a_table_equality(s, d):
-    n, r = load(s, d, "nation"), load(s, d, "region")
-    return n.exceptAll(n).agg(F.count(F.lit(1)).alias("missing")).crossJoin(n.select("n_regionkey").exceptAll(r.select("r_regionkey")).agg(F.count(F.lit(1)).alias("extra")))
+    return rel.table_differences(load(s, d, "customer").select(F.col("c_nationkey").alias("k")), load(s, d, "supplier").select(F.col("s_nationkey").alias("k")))
 
 
 @query("SELECT 'lang' AS field, array_to_string(list_sort(list(DISTINCT lang)), '|') AS vals FROM documents UNION ALL SELECT 'source', array_to_string(list_sort(list(DISTINCT source)), '|') FROM documents")
@@ -351,11 +335,10 @@ def a_catalogue(s, d):
     return x.unpivot([], ["lang", "source"], "field", "v").groupBy("field").agg(F.array_join(F.array_sort(F.collect_set("v")), "|").alias("vals"))
 
 
-@query(SCOPED + "SELECT count(*) AS n FROM (SELECT c_nationkey FROM customer JOIN scoped USING (c_custkey) GROUP BY 1 HAVING count(*) FILTER (split = 'train') NOT IN (0, count(*)))")
+@query(SCOPED + "SELECT (SELECT count(*) FROM (SELECT c_nationkey FROM customer JOIN scoped USING (c_custkey) GROUP BY 1 HAVING count(*) FILTER (split = 'train') NOT IN (0, count(*)))) AS partial, (SELECT count(DISTINCT c_custkey) FROM customer JOIN scoped USING (c_custkey) WHERE split = 'train' AND c_acctbal < 0) AS outside")
 def a_partial_containment(s, d):
-    x = splits(s, d).select("c_custkey", "split").join(load(s, d, "customer", ["c_custkey", "c_nationkey"]), "c_custkey")
-    g = x.groupBy("c_nationkey").agg(F.count_if(F.col("split") == "train").alias("t"), F.count(F.lit(1)).alias("k"))
-    return g.where((F.col("t") > 0) & (F.col("t") < F.col("k"))).agg(n_rows())
+    x = splits(s, d).select("c_custkey", "split").join(load(s, d, "customer", ["c_custkey", "c_nationkey", "c_acctbal"]), "c_custkey")
+    return rel.containment(x, "c_nationkey", "c_custkey", F.col("split") == "train", F.col("c_acctbal") >= 0)
 
 
 # Windows, sorts, sets
@@ -366,15 +349,8 @@ def w_stratified_split(s, d):
     return splits(s, d).select("c_custkey", "split")
 
 
-@query("SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('s:' || c_custkey), c_custkey) AS rank FROM customer QUALIFY rank <= 5")
-def w_digest_order(s, d):
-    w = Window.partitionBy("c_mktsegment").orderBy(F.sha2(F.concat(F.lit("s:"), F.col("c_custkey").cast("string")), 256), "c_custkey")
-    return load(s, d, "customer", ["c_mktsegment", "c_custkey"]).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5")
-
-
 @query("SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('s:' || c_custkey), c_custkey) AS rank FROM customer")
-def w_digest_order_all(s, d):
-    """``w_digest_order`` with the rank of every row."""
+def w_digest_order(s, d):
     w = Window.partitionBy("c_mktsegment").orderBy(F.sha2(F.concat(F.lit("s:"), F.col("c_custkey").cast("string")), 256), "c_custkey")
     return load(s, d, "customer", ["c_mktsegment", "c_custkey"]).withColumn("rank", F.row_number().over(w).cast("long"))
 
@@ -402,10 +378,10 @@ def w_adjacent_pairs(s, d):
     return x.groupBy("c_nationkey", "pair").agg(F.min("c_custkey").alias("a"), F.max("c_custkey").alias("b"), F.count(F.lit(1)).alias("k")).where("k = 2").select("c_nationkey", "a", "b")
 
 
-@query("SELECT n_nationkey, (n_nationkey + 3) % 25 AS second, (n_nationkey + 7) % 25 AS third FROM nation")
+@query("SELECT a.s_suppkey, b.s_suppkey AS second, c.s_suppkey AS third FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier) a JOIN (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier) b ON b.i = (a.i + 3) % a.n JOIN (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier) c ON c.i = (a.i + 7) % a.n")
 def w_recombine(s, d):
-    n = load(s, d, "nation", ["n_nationkey"])
-    return n.select("n_nationkey", ((F.col("n_nationkey") + 3) % 25).alias("second"), ((F.col("n_nationkey") + 7) % 25).alias("third"))
+    x = rel.recombined(load(s, d, "supplier", ["s_suppkey"]), "s_suppkey", (3, 7))
+    return x.select("s_suppkey", F.col("others")[0].alias("second"), F.col("others")[1].alias("third"))
 
 
 @query("SELECT user_id, event_id AS last_event, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
@@ -414,9 +390,9 @@ def w_last_event(s, d):
     return load(s, d, "events", ["user_id", "event_id", "event_type", "ts"]).groupBy("user_id").agg(best.alias("e")).select("user_id", F.col("e.event_id").alias("last_event"), F.col("e.event_type").alias("event_type"))
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+@query("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 10")
 def o_top_k(s, d):
-    return load(s, d, "orders").where("o_orderstatus = 'O'").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10)
+    return load(s, d, "orders").where("o_orderstatus = 'O'").select("o_orderkey", "o_orderpriority", "o_totalprice").orderBy("o_orderpriority", F.desc("o_totalprice"), "o_orderkey").limit(10)
 
 
 @query("SELECT 'c' || c_custkey AS id, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT 's' || s_suppkey, s_acctbal, NULL FROM supplier")
@@ -446,17 +422,18 @@ def f_terms(s, d):
     return load(s, d, "customer").select("c_custkey", F.array_join(tx.terms(raw), "; ").alias("terms"))
 
 
-@query("SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name || ', Inc.'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS plain FROM part")
-def f_name_plain(s, d):
-    c = F.concat(F.col("p_name"), F.lit(", Inc."))
-    return load(s, d, "part").select("p_partkey", F.concat(tx.name_key(c), F.lit(" inc")).alias("plain"))
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN '' ELSE 'inc ' END || p_name || CASE p_size % 4 WHEN 2 THEN ' inc north' ELSE '' END AS name_key FROM part")
+def f_name_key(s, d):
+    """Legal words go from the end; "america" is one, so of a region at the end "north" stays, while "north american" goes."""
+    n, k = F.col("p_name"), F.col("p_size") % 4
+    name = F.when(k == 0, F.concat(F.upper(n), F.lit(", Inc. LLC"))).when(k == 1, F.concat(n, F.lit(" Holdings North  American"))).when(k == 2, F.concat(n, F.lit(" Inc North America Co."))).otherwise(F.concat(F.lit("Inc. "), n, F.lit(" America Corp")))
+    return load(s, d, "part").select("p_partkey", tx.name_key(name).alias("name_key"))
 
 
-@query("SELECT doc_id, list_sum([CAST(replace(x, ',', '') AS DECIMAL(38,0)) FOR x IN regexp_extract_all(text, '\\d{1,9}')])::VARCHAR AS total FROM documents WHERE regexp_matches(text, '\\d')")
+@query("SELECT doc_id, len(l) AS n, list_max(l) AS high FROM (SELECT doc_id, list_distinct([CAST(replace(x, ',', '') AS DOUBLE) FOR x IN regexp_extract_all(text, '-?[0-9][0-9,]*(?:\\.[0-9]+)?')]) AS l FROM documents WHERE regexp_matches(text, '[0-9]'))")
 def f_numbers(s, d):
-    found = F.regexp_extract_all("text", F.lit(r"\d{1,9}"), F.lit(0))
-    x = load(s, d, "documents", ["doc_id", "text"]).where(F.col("text").rlike(r"\d"))
-    return x.select("doc_id", F.aggregate(found, F.lit(0).cast("decimal(38,0)"), lambda a, t: (a + t.cast("decimal(38,0)")).cast("decimal(38,0)")).cast("string").alias("total"))
+    found = tx.numbers(F.col("text"))
+    return load(s, d, "documents", ["doc_id", "text"]).where(F.col("text").rlike("[0-9]")).select("doc_id", F.size(found).cast("long").alias("n"), F.array_max(found).alias("high"))
 
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents")
@@ -523,3 +500,6 @@ def q_pricing_summary(s, d):
         load(s, d, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp")).groupBy("l_returnflag", "l_linestatus")
         .agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), r6(F.avg("l_discount")).alias("avg_disc"), n_rows())
     )
+
+
+from . import queries_more  # noqa: E402, F401

@@ -1,13 +1,16 @@
 """The engine's queries against DuckDB, and unit tests of guard, grading and statistics."""
 
 import math
+from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom import queries as engine
-from ledgerloom.functions import text as tx
-from ledgerloom.operators import chat, grade, relational as rel, stats
+from ledgerloom.functions import sqltext, text as tx
+from ledgerloom.operators import answers, chat, grade, records, relational as rel, stats, tasks
 from ledgerloom.plans import guard
 from ledgerloom.sources import tables
 
@@ -59,6 +62,9 @@ def scopes(spark):
         "SELECT 1; SELECT 2", "DROP TABLE companies", "INSERT INTO companies VALUES (4, 'x', 1)", "SELECT * FROM parquet.`/tmp/x`", "SELECT java_method('java.lang.System', 'exit', 1)",
         "SELECT reflect('java.util.UUID', 'randomUUID')", "SELECT * FROM range(5)", "SELECT * FROM default.companies", "SELECT * FROM other", "SET spark.sql.ansi.enabled=false",
         "WITH companies AS (SELECT 1 AS n) SELECT * FROM companies", "SELECT * FROM companies WHERE n IN (SELECT n FROM hidden)", "SHOW TABLES", "", "EXPLAIN SELECT 1",
+        "SELECT (WITH hiddent AS (SELECT 1) SELECT count(*) FROM hiddent) AS a, count(*) FROM hiddent", "SELECT * FROM (WITH hiddent AS (SELECT 1) SELECT * FROM hiddent) x, hiddent", "WITH a AS (SELECT * FROM b), b AS (SELECT 1) SELECT * FROM a",
+        "SELECT user()", "SELECT current_user", "SELECT current_catalog()", "SELECT current_database()", "SELECT version()", "SELECT uuid()", "SELECT try_reflect('java.util.UUID', 'randomUUID')", "SELECT monotonically_increasing_id() FROM companies",
+        "SELECT * FROM companies WHERE EXISTS (SELECT 1 FROM hidden)", "SELECT * FROM spark_catalog.default.companies", "SELECT stack(2, 1, 2)", "SELECT * FROM VALUES (user()) t(a)", "CACHE TABLE companies", "SELECT /* x */ 1 /*", "DESCRIBE companies", "USE default", "TRUNCATE TABLE companies", "DELETE FROM companies",
         "SELECT * FROM (SELECT * FROM parquet.`/tmp/x`) t", "WITH t AS (SELECT * FROM hidden) SELECT * FROM t", "CREATE TEMP VIEW v AS SELECT 1",
     ],
 )
@@ -78,6 +84,24 @@ def test_guard_runs_in_scope(spark):
             guard.run_sql(spark, scopes(spark), "full", "SELECT 1", bad)
 
 
+def test_guard_never_reads_the_catalog(spark):
+    spark.sql("DROP TABLE IF EXISTS hiddent")
+    spark.createDataFrame([(41,)], "secret int").write.saveAsTable("hiddent")
+    try:
+        for sql in ("SELECT * FROM (WITH hiddent AS (SELECT 1 AS secret) SELECT * FROM hiddent) x JOIN hiddent USING (secret)", "WITH x AS (WITH hiddent AS (SELECT 1) SELECT * FROM hiddent) SELECT * FROM hiddent", "SELECT * FROM hiddent"):
+            with pytest.raises(guard.PolicyError):
+                guard.guarded(spark, scopes(spark), "train", sql)
+        inner = "WITH hiddent AS (SELECT 7 AS secret) SELECT max(secret) AS m FROM (WITH other AS (SELECT * FROM hiddent) SELECT * FROM other)"
+        assert guard.run_sql(spark, scopes(spark), "train", inner)[1] == [(7,)]
+    finally:
+        spark.sql("DROP TABLE IF EXISTS hiddent")
+
+
+@pytest.mark.parametrize("sql", ["SELECT count(*) FROM companies a JOIN companies b USING (row_id)", "WITH RECURSIVE r AS (SELECT 1 AS i UNION ALL SELECT i + 1 FROM r WHERE i < 3) SELECT max(i) FROM r", "SELECT row_id FROM companies UNION SELECT 9", "SELECT sum(n) OVER (PARTITION BY company) FROM companies", "SELECT company, CASE WHEN n > 1 THEN upper(company) END FROM companies WHERE n IN (SELECT max(n) FROM companies)", "SELECT * FROM companies EXCEPT SELECT * FROM companies", "SELECT * FROM VALUES (1), (2) AS t(a)"])
+def test_guard_permits_queries(spark, sql):
+    guard.run_sql(spark, scopes(spark), "full", sql, 60.0)
+
+
 def test_deadline(spark):
     big = spark.range(200_000)
     with pytest.raises(guard.DeadlineError):
@@ -86,21 +110,271 @@ def test_deadline(spark):
 
 def test_grading(spark):
     item = {"gold_sql": "SELECT DISTINCT company FROM companies", "answer_type": "set", "target_columns": ["company"]}
-    g = lambda t, **k: grade.grade(spark, scopes(spark), "full", item, t, **k)
-    assert g(item["gold_sql"]) == ("correct", True)
+    g = lambda t, **k: grade.grade(spark, scopes(spark), "full", item, t, timeout_seconds=60.0, **k)
+    assert g(item["gold_sql"]) == ("correct", True) and g(item["gold_sql"] + " ;").correct
     assert g("SELECT company, count(*) AS n FROM companies GROUP BY company") == ("correct", False)
-    assert g("SELECT company FROM companies WHERE n = 5")[0] == "incorrect"
-    assert g("SELECT nothing FROM companies")[0] == "SQL_error"
-    assert g("  ")[0] == "generation_failure" and g("hello")[0] == "parse_failure" and g("SELECT 1", truncated=True)[0] == "truncated_output"
-    count = {"gold_sql": "SELECT count(*) AS n FROM companies", "answer_type": "scalar", "target_columns": ["n"]}
-    assert grade.grade_parts(spark, scopes(spark), "full", [item, count], "SELECT DISTINCT company FROM companies; SELECT count(*) AS m FROM companies WHERE ';' = ';'") == ("correct", False)
-    assert grade.grade_parts(spark, scopes(spark), "full", [item, count], item["gold_sql"])[0] == "incorrect"
+    assert g("SELECT company FROM companies WHERE n = 5") == ("incorrect", True)
+    assert g("SELECT nothing FROM companies")[0] == "SQL_error" and g("SELECT user()")[0] == "SQL_error"
+    assert g("  ")[0] == g(None)[0] == "generation_failure" and g("hello")[0] == "parse_failure"
+    assert g("SELECT 1", truncated=True)[0] == g("", truncated=True)[0] == "truncated_output"
+    assert g("I'm sorry, as an AI I cannot")[0] == g("SELECT 'sorry'")[0] == "invalid_output"
+    for wrong in ({"answer_type": "sets"}, {"target_columns": []}, {"answer_type": "scalar", "target_columns": ["a", "b"]}, {"gold_sql": {"a": "SELECT 1"}}):
+        with pytest.raises(grade.MetadataError):
+            grade.grade(spark, scopes(spark), "full", item | wrong, "SELECT 1")
 
 
-def test_statistics(spark):
-    assert stats.effect_size([1.0]) is None and stats.effect_size([2.0, 2.0]) is None
+@pytest.mark.parametrize(
+    "kind,target,gold,predicted,want",
+    [
+        ("scalar", ["n"], (("n",), [(2,)]), (("m",), [(2.0,)]), ("correct", False)),
+        ("scalar", ["n"], (("n",), [(2,)]), (("n", "x"), [(2, 5)]), ("correct", False)),
+        ("scalar", ["n"], (("n",), [(2,)]), (("x", "y"), [(2, 2)]), ("incorrect", False)),
+        ("scalar", ["n"], (("n",), [(2,), (3,)]), (("n",), [(2,)]), ("invalid_output", True)),
+        ("scalar", ["n"], (("n",), [(2,)]), (("n",), [(2,), (2,)]), ("incorrect", True)),
+        ("scalar", ["n"], (("m",), [(2,)]), (("n",), [(2,)]), ("invalid_output", False)),
+        ("scalar", ["n"], (("n",), [(9007199254740993,)]), (("n",), [(9007199254740992,)]), ("incorrect", True)),
+        ("set", ["a"], (("a",), [(1,), (1,), (None,)]), (("a",), [(None,), (1.0,)]), ("correct", True)),
+        ("set", ["a"], (("a",), []), (("a",), []), ("correct", True)),
+        ("set", ["a"], (("a",), [("1",)]), (("a",), [(1,)]), ("incorrect", True)),
+        ("top_k", ["a"], (("a",), [(1,), (2,)]), (("a",), [(2,), (1,)]), ("incorrect", True)),
+        ("top_k", ["a"], (("a",), [(1,), (1,)]), (("a",), [(1,)]), ("incorrect", True)),
+        ("multi_part", ["a", "b"], (("a", "b"), [(1, 2), (2, 2)]), (("a", "b"), [(2, 2), (1, 2)]), ("correct", True)),
+        ("multi_part", ["a", "b"], (("a", "b"), [(1, 2)]), (("a", "b"), [(1, 3)]), ("incorrect", True)),
+    ],
+)
+def test_comparison(kind, target, gold, predicted, want):
+    assert grade.compare(kind, target, gold, predicted) == want
+
+
+def test_multipart_grading(spark):
+    one = {"part_id": "a", "answer_type": "set", "target_columns": ["company"]}
+    two = {"part_id": "b", "answer_type": "scalar", "target_columns": ["n"]}
+    gold = {"a": "SELECT DISTINCT company FROM companies", "b": "SELECT count(*) AS n FROM companies"}
+    item = {"answer_type": "multi_part", "target_columns": ["-"], "parts": [one, two], "gold_sql": gold}
+    g = lambda t, **k: grade.grade(spark, scopes(spark), "full", item, t, timeout_seconds=60.0, **k)
+    assert g("SELECT DISTINCT company FROM companies; SELECT count(*) AS n FROM companies WHERE ';' = ';' -- ; x") == ("correct", True)
+    assert g(f"{gold['a']}; {gold['b']}; SELECT 1") == ("correct", False)
+    assert g(f"{gold['a']};; {gold['b']}")[0] == "parse_failure"  # the second part is omitted, not shifted
+    assert g(gold["a"])[0] == "parse_failure" and g(f"SELECT company FROM companies WHERE n = 5; DROP TABLE x")[0] == "parse_failure"
+    assert g(f"SELECT company FROM companies WHERE n = 5; SELECT nothing FROM companies")[0] == "SQL_error"
+    assert g(f"SELECT company FROM companies WHERE n = 5; {gold['b']}")[0] == "incorrect"
+    assert g(f"sorry; {gold['b']}")[0] == "invalid_output" and g("x", truncated=True)[0] == "truncated_output" and g("")[0] == "generation_failure"
+    assert grade.grade_parts(spark, scopes(spark), "full", [one | {"gold_sql": gold["a"]}, two | {"gold_sql": gold["b"]}], f"{gold['a']};{gold['b']};", timeout_seconds=60.0) == ("correct", True)
+    for wrong in ({"parts": []}, {"parts": [one, one]}, {"parts": [one, two | {"target_columns": []}]}, {"gold_sql": {"a": gold["a"]}}, {"gold_sql": gold["a"]}):
+        with pytest.raises(grade.MetadataError):
+            grade.grade(spark, scopes(spark), "full", item | wrong, "SELECT 1; SELECT 2")
+
+
+@pytest.mark.parametrize(
+    "sql,want",
+    [("SELECT 1", ["SELECT 1"]), ("a;b;", ["a", "b"]), ("a;;b", ["a", "", "b"]), ("';';b", ["';'", "b"]), ("'it''s;';b", ["'it''s;'", "b"]), ('"a;b" ; [c;d];`e;f`', ['"a;b"', "[c;d]", "`e;f`"]), ("a -- ;\n;b /* ; */", ["a -- ;", "b /* ; */"]), ("'open;b", ["'open", "b"]), (";;", []), ("", [])],
+)
+def test_statements(sql, want):
+    assert sqltext.split_statements(sql) == want
+
+
+def test_sql_text():
+    assert sqltext.masked("a 'x' /* y */ b -- z") == "a     b  " and sqltext.masked("GROUP/**/BY") == "GROUP BY"
+    assert sqltext.family("SELECT 1 ORDER/**/BY 1 LIMIT 2") == "argmax_topk" and sqltext.family("SELECT 'limit'") == "filter"
+    assert sqltext.required("SELECT a FROM t JOIN u USING (a) WHERE b = 'group by'") == ["JOIN", "WHERE"]
+    assert sqltext.literal("it's") == "'it''s'" and sqltext.literal(3) == "3" and sqltext.literal(None) == "NULL"
+
+
+SET = {"answer_type": "set", "gold_value": ["Alpha", "Beta"], "attribute": "processes", "target_columns": ["company"], "company": "Acme"}
+ONE = {"answer_type": "scalar", "gold_value": "Tier 1", "attribute": "category", "company": "Acme Inc."}
+
+
+@pytest.mark.parametrize(
+    "text,item,status,strict,contract,repairs",
+    [
+        ('["Alpha", "Beta"]', SET, "correct", True, True, ()),
+        ('[" beta. ", "ALPHA"]', SET, "correct", True, True, ()),
+        ('["Alpha", "Beta", "Gamma"]', SET, "incorrect", False, True, ()),
+        ('["Alpha"]', SET, "incorrect", False, True, ()),
+        ('```json\n["Alpha", "Beta"]\n```', SET, "correct", False, False, ()),
+        ('```\n["Alpha", "Beta"]', SET, "parse_failure", False, False, ()),
+        ('{"Company": ["Alpha", "Beta"]}', SET, "correct", False, False, ("named_object_unwrap",)),
+        ('{"other": ["Alpha", "Beta"]}', SET, "parse_failure", False, False, ()),
+        ('["\\"Alpha\\"", "Beta"]', SET, "correct", False, True, ("surplus_quote_strip",)),
+        ('["\\"\\"Alpha\\"\\"", "Beta"]', SET, "incorrect", False, True, ("surplus_quote_strip",)),
+        ("Alpha; Beta", SET, "correct", False, False, ()),
+        ("- Alpha\n- Beta", SET, "correct", False, False, ()),
+        ("The companies are: Alpha; Beta.", SET, "correct", False, False, ()),
+        ("Acme's recorded processes are: Alpha; Beta", SET, "correct", False, False, ()),
+        ("No companies match.", SET, "incorrect", False, False, ()),
+        ("No companies match.", SET | {"gold_value": []}, "correct", False, False, ()),
+        ("[]", SET | {"gold_value": []}, "correct", True, True, ()),
+        ('"Alpha"', SET, "parse_failure", False, False, ()),
+        ('"tier 1"', ONE, "correct", True, True, ()),
+        ("Tier 1.", ONE, "correct", False, False, ()),
+        ("The answer is Tier 1", ONE, "correct", False, False, ()),
+        ("Acme Inc. is classified in the Tier 1 category.", ONE, "correct", False, False, ()),
+        ("Other Inc. is classified in the Tier 1 category.", ONE, "incorrect", False, False, ()),
+        ('"\\"Tier 1\\""', ONE, "correct", False, True, ("surplus_quote_strip",)),
+        ('{"category": "Tier 1"}', ONE, "correct", False, False, ("named_object_unwrap",)),
+        ('["Tier 1"]', ONE, "incorrect", False, False, ()),
+        ("“Tier 1”", ONE, "correct", False, False, ("surplus_quote_strip",)),
+        ("“Tier 1\"", ONE, "incorrect", False, False, ()),
+        ("12", ONE | {"gold_value": 12}, "correct", True, True, ()),
+        ("NaN", ONE | {"gold_value": "nan"}, "correct", False, False, ()),
+        ("", ONE, "generation_failure", False, False, ()),
+        ("I cannot help with it", ONE, "invalid_output", False, False, ()),
+    ],
+)
+def test_answers(text, item, status, strict, contract, repairs):
+    g = answers.grade_answer(text, item)
+    assert (g.status, g.strict, g.contract, g.repairs) == (status, strict, contract, repairs)
+
+
+def test_structured_answers():
+    gold = {"columns": ["a", "b"], "rows": [["x", None], ["y", 2]]}
+    top, rows = {"answer_type": "top_k", "gold_value": gold}, {"answer_type": "set", "gold_value": gold}
+    right, turned = '[["X", null], ["y", 2]]', '[["y", 2], ["x", null]]'
+    assert answers.grade_answer(right, top).strict and answers.grade_answer(turned, top).status == "incorrect" and answers.grade_answer(turned, rows).strict
+    assert answers.grade_answer('[["x", "null"], ["y", 2]]', rows).status == "incorrect" and answers.grade_answer('[["x"]]', rows).status == "incorrect" and answers.grade_answer("x", rows).status == "parse_failure"
+    twice = '[["x", null], ["y", 2], ["y", 2]]'
+    assert answers.grade_answer(twice, rows).strict and not answers.grade_answer(twice, rows, unique=True).strict and answers.grade_answer(twice, rows, unique=True).correct
+    assert not answers.grade_answer('["Alpha", "alpha", "Beta"]', SET, unique=True).strict
+    parts = {"answer_type": "multi_part", "gold_value": {"p": ["a"], "q": 3}, "parts": [{"part_id": "p", "answer_type": "set"}, {"part_id": "q", "answer_type": "scalar"}]}
+    assert answers.grade_answer('{"q": 3, "p": ["a"]}', parts) == answers.Answer("correct", True, True, parts=(("p", "correct"), ("q", "correct")))
+    assert answers.grade_answer('{"q": 4, "p": ["a"]}', parts).status == answers.grade_answer('{"p": ["a"]}', parts).status == "incorrect"
+    assert answers.grade_answer('{"q": 3, "p": ["a"]', parts).status == "parse_failure" and answers.grade_answer(right, top, truncated=True).status == "truncated_output"
     with pytest.raises(ValueError):
-        stats.effect_size([1.0, math.nan])
+        answers.grade_answer("{}", parts | {"gold_value": {"p": ["a"]}})
+    assert '"p"' in answers.contract_prompt(parts) and "[]" in answers.contract_prompt(SET)
+    with pytest.raises(ValueError):
+        answers.contract_prompt({"answer_type": "other"})
+
+
+def test_fingerprints():
+    leaf = lambda f, v: {"op": "eq", "field": f, "value": v}
+    a, b = leaf("x", "1"), leaf("y", "2")
+    one = lambda op, *t: tasks.fingerprint({"predicate": {"op": op, "operands": list(t)}})
+    assert one("AND", a, b) == one("AND", b, a) != one("OR", a, b) and one("AND", a, {"op": "OR", "operands": [b, a]}) == one("AND", {"op": "OR", "operands": [a, b]}, a)
+    for bad in (None, {}, {"op": "AND"}, {"op": "AND", "operands": []}, {"op": "eq", "field": "x"}, {"op": "AND", "operands": [a, {}]}):
+        with pytest.raises(ValueError):
+            tasks.fingerprint({"predicate": bad})
+
+
+def test_eligibility():
+    base = {"gold_sql": "SELECT DISTINCT company FROM companies JOIN processes ON processes.row_id = companies.row_id WHERE term = 'a, b; c'", "join_arity": 1, "operation_family": "filter", "fields_used": ["processes"], "values_used": ["x"]}
+    names = {"companies", "processes", "services"}
+    ok = lambda **k: tasks.eligible(base | k, names, {"group_by"}, [{"processes", "services"}], {"f": {"held"}}, {"processes", "services"})
+    assert ok() == (True, None) and ok(values_used=["held"]) == (False, "held_out_value:f")
+    assert ok(gold_sql="SELECT company FROM companies GROUP BY company", join_arity=0, operation_family="group_by", fields_used=[]) == (False, "held_out_operation")
+    assert ok(gold_sql="SELECT a FROM companies JOIN processes ON 1=1 JOIN services ON 1=1", join_arity=2, fields_used=["processes", "services"]) == (False, "held_out_composition")
+    for wrong in ('SELECT a FROM "companies"', "SELECT a FROM (SELECT 1)", "WITH x AS (SELECT 1) SELECT a FROM companies", "SELECT a FROM companies; SELECT 1", "SELECT a FROM other", "SELECT a FROM main.companies", "SELECT a FROM companies, processes", " ", None, "SELECT a FROM companies ORDER BY a LIMIT 1"):
+        with pytest.raises(tasks.EligibilityError):
+            ok(gold_sql=wrong, join_arity=0, fields_used=[])
+
+
+def test_records_fail_closed(spark):
+    df = spark.createDataFrame([(1, "correct", "g"), (2, "odd", None), (2, None, "g")], "id long, status string, grader string")
+    assert records.verify(df, "id", ["status"], "status", 4, "g", "grader") == ["3 records, 4 expected", "1 repeated or null ids", "1 records lack required fields", "2 records have unknown statuses", "1 records come from another grader"]
+    assert records.verify(df.where("id = 1"), "id", ["status"], "status", 1, "g", "grader") == []
+    for broken in (lambda: records.accounting(df, "status"), lambda: records.asserted_join(df, df.select("id").limit(0), "id", []), lambda: records.seed_scores(df.withColumn("s", df.id % 2), "s", "id", "id"), lambda: records.final_run(df.select("id", "status"), df.selectExpr("id", "'{}' AS i").distinct(), "id", "status", "i"), lambda: rel.fill_sentinels(df, "grader", [], None), lambda: df.select(tasks.exposure_labels(F.array(F.lit("no_match"), F.lit("trained")))), lambda: df.select(chat.within_reserve(F.lit(90), 20, 100)), lambda: tasks.operation_exposure(df.selectExpr("CAST(NULL AS string) AS q"), "q", ["group_by"])):
+        with pytest.raises(Exception):
+            broken().collect()
+    with pytest.raises(KeyError):
+        rel.project(df, ["id", "missing"])
+    with pytest.raises(PermissionError):
+        records.classify_artifact("x", "0", {}, set())
+    assert records.classify_artifact("x", "0", {"0": "dev"}, {"0"}) == "sealed" and records.classify_artifact("x", "0", {"0": "dev"}, set()) == "dev"
+
+
+def test_regrade_multipart(spark):
+    import json
+
+    table = lambda c, r: {"columns": c, "rows": r}
+    base = {"answer_type": "multi_part", "parts": [{"part_id": "a", "answer_type": "scalar", "target_columns": ["n"]}], "gold": {"a": table(["n"], [[1]])}, "result": {"parts": {"a": table(["n"], [[1]])}, "extra_present": False}}
+    cases = [base, base | {"result": base["result"] | {"extra_present": True}}, base | {"result": {"parts": base["result"]["parts"]}}, base | {"result": None}, {"answer_type": "scalar", "mode": "memory", "raw_output": '"x"', "gold": "x"}, {"answer_type": "set", "status": "timeout"}]
+    df = spark.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(cases)], "i int, r string")
+    out = [(r.regrade, r.new_status, r.new_strict) for r in records.regraded(df, "r", "g").orderBy("i").collect()]
+    assert out == [("recomputed", "correct", True), ("recomputed", "correct", False), ("insufficient_evidence", None, None), ("insufficient_evidence", None, None), ("recomputed", "correct", True), ("recomputed", "timeout", False)]
+
+
+def test_chat_encoding_refuses(spark):
+    import public_tokenizers
+
+    ids = chat.library_ids(public_tokenizers.path("byte_bpe_50k.json"))
+    turns = lambda *t: [{"role": r, "content": c} for r, c in t]
+    fine = turns(("system", "a b"), ("user", "c"), ("assistant", "dd ee"))
+    make = lambda m, limit=100: spark.createDataFrame([(m,)], "m array<struct<role string, content string>>").select(chat.encode_chat(F.col("m"), ids, limit).alias("e"))
+    e = make(fine).first().e
+    assert len(e.input_ids) == len(e.labels) == len(e.attention_mask) and e.labels[: -2].count(-100) >= 3 and e.labels[-1] == e.input_ids[-1]
+    for bad in (fine[::-1], fine[:2], turns(("system", "a"), ("user", " "), ("assistant", "b"))):
+        with pytest.raises(Exception):
+            make(bad).collect()
+    with pytest.raises(Exception):
+        make(fine, 2).collect()
+
+
+def test_sources(spark, tmp_path):
+    import hashlib
+    import json
+    import zipfile
+
+    (tmp_path / "a.jsonl").write_text('{"k": 1, "t": "x"}\n\nnot json\n{"k": 2}\n{"k": NaN}\n')
+    bad = [(r.line, r.value) for r in tables.bad_lines(spark, str(tmp_path / "a.jsonl")).orderBy("line").collect()]
+    assert bad == [(3, "not json"), (5, '{"k": NaN}')] and tables.bad_lines(spark, str(tmp_path / "a.jsonl")).where("error is null").count() == 0
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("t", T.StringType())])
+    assert [r.k for r in tables.read_jsonl(spark, str(tmp_path / "a.jsonl"), schema).where("k is not null").orderBy("k").collect()] == [1, 2]
+    df = spark.createDataFrame([(2, "b|c", None), (1, "a, \"q\"", 2.5)], "k long, t string, a double")
+    tables.write_csv(df, str(tmp_path / "c"))
+    assert sorted(tuple(r) for r in tables.read_csv(spark, str(tmp_path / "c"), df.schema).collect()) == [(1, 'a, "q"', 2.5), (2, "b|c", None)]
+    tables.write_jsonl(df, str(tmp_path / "j"), ["k"])
+    lines = [x for f in (tmp_path / "j").glob("part-*") for x in f.read_text().splitlines()]
+    assert lines == ['{"a":2.5,"k":1,"t":"a, \\"q\\""}', '{"a":null,"k":2,"t":"b|c"}']
+    md, js = tables.report("R", {"t": df.orderBy("k")})
+    assert "b\\|c" in md and json.loads(js)["t"][0]["k"] == 1
+    with pytest.raises(ValueError):
+        tables.report("R", {"t": df}, 1)
+    with pytest.raises(Exception):
+        tables.write_csv(df, str(tmp_path / "c"))
+    want = hashlib.sha256((tmp_path / "a.jsonl").read_bytes()).hexdigest()
+    assert tables.file_digest(spark, str(tmp_path / "a.jsonl")) == want == tables.file_digests(spark, str(tmp_path / "a.jsonl")).first().sha256
+    sheet = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>n</t></is></c></row><row r="3"><c r="B3"><v>7</v></c></row></sheetData></worksheet>'
+    with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+        z.writestr("xl/sharedStrings.xml", '<sst xmlns="x"><si><r><t>na</t></r><r><t>me</t></r></si></sst>')
+    assert [tuple(r)[1:] for r in tables.read_xlsx(spark, str(tmp_path / "w.xlsx"), ["name", "n"]).collect()] == [(3, None, "7")]
+    with pytest.raises(Exception):
+        tables.read_xlsx(spark, str(tmp_path / "w.xlsx"), ["other", "n"]).collect()
+    assert tables.git_text(str(Path(__file__).parents[1]), "HEAD", "README.md").startswith("#")
+    manifest = records.export(df, str(tmp_path / "e"), {"model": "m"}, "k")
+    assert manifest["rows"] == 2 and manifest["model"] == "m" and records.export(df.orderBy("t"), str(tmp_path / "e2"), {}, "k")["digest"] == manifest["digest"]
+    with pytest.raises(Exception):
+        records.export(df, str(tmp_path / "e"), {}, "k")
+
+
+def test_packing_strategies(spark):
+    df = spark.createDataFrame([(0, i, list(range(n))) for i, n in enumerate([3, 9, 4, 1, 12])], "s int, k long, ids array<int>")
+    split = chat.pack(df, "bfd_split", "k", "ids", 8, "s").collect()
+    assert sorted(sum((r.seq_lengths for r in split), [])) == [1, 1, 3, 4, 4, 8, 8] and all(sum(r.seq_lengths) <= 8 and len(r["keys"]) == len(r.seq_lengths) for r in split)
+    cut = chat.pack(df, "bfd", "k", "ids", 8, "s").collect()
+    assert sorted(sum((r.seq_lengths for r in cut), [])) == [1, 3, 4, 8, 8]
+    wrapped = chat.pack(df, "wrapped", "k", "ids", 8, "s").orderBy("chunk").collect()
+    assert [len(r.ids) for r in wrapped] == [8, 8, 8, 5]
+    with pytest.raises(ValueError):
+        chat.pack(df, "other", "k", "ids", 8, "s")
+    assert chat.is_conversational(spark.createDataFrame([], "messages array<struct<role string, content string>>").schema) and not chat.is_conversational(df.schema)
+    assert chat.drop_unsupervised(spark.createDataFrame([([-100],), ([-100, 4],), ([],)], "l array<int>"), "l").count() == 1
+
+
+def test_set_equalities(spark):
+    a, b = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "k int, v string"), spark.createDataFrame([(2, None), (1, "x"), (1, "x")], "k int, v string")
+    assert rel.same_rows(a, b) and not rel.same_rows(a, b.distinct())
+    assert not rel.same_rows(a.withColumn("position", F.monotonically_increasing_id()), b.withColumn("position", F.monotonically_increasing_id() + 1), ordered=True)
+    placed = rel.with_position(spark.range(1000).withColumn("h", F.hash("id")), "h", "id", parts=7).orderBy("position").collect()
+    assert [r.position for r in placed] == list(range(1000)) and [(r.h, r.id) for r in placed] == sorted((r.h, r.id) for r in placed)
+
+
+def test_statistics(spark):
+    assert stats.effect_size([2.0, 2.0]) is None and stats.effect_size([0.0, 2.0]) == pytest.approx(1 / math.sqrt(2))
+    assert stats.mean_sd([3.0]) == {"mean": 3.0, "n": 1, "sd": None} == stats.mean_sd([3.0], True) and stats.mean_sd([1.0, 3.0])["sd"] == pytest.approx(math.sqrt(2))
+    for bad in (lambda: stats.effect_size([1.0, math.nan]), lambda: stats.effect_size([1.0]), lambda: stats.mean_sd([]), lambda: stats.mean_sd([1.0, 1.0], True)):
+        with pytest.raises(ValueError):
+            bad()
     assert stats.mcnemar(0, 0) == 1.0 and stats.mcnemar(1, 9) == pytest.approx(0.021484375)
     df = spark.createDataFrame([(i, 1.0) for i in range(10)], "i long, d double")
     out = stats.bootstrap(df, "d", "i", 50).first()
@@ -181,7 +455,7 @@ def test_whole_residual_and_union(spark, duck):
     x, y = spark.createDataFrame(a, "k int, v double"), spark.createDataFrame(b, "k int, v double")
     assert rel.residual_pairs(x, y, ("k", "v"), ("k", "v")).first().n == want
     assert rel.residual_pairs(x.limit(0), y, ("k", "v"), ("k", "v")).first().n == 0
-    for name in ("j_residual_all", "a_smallest_union_all"):
+    for name in ("j_residual", "a_smallest_union"):
         for sf in ("sf0.01", "sf0.1"):
             sql = engine.ORACLE_SQL[name].replace("customer", f"'/root/testdata/{sf}/customer.parquet'").replace("supplier", f"'/root/testdata/{sf}/supplier.parquet'")
             assert rows(engine.QUERIES[name](spark, f"/root/testdata/{sf}").toPandas()) == rows(duck.execute(sql).df())
@@ -206,7 +480,7 @@ def test_bootstrap_draws_ten_thousand(spark):
 
 
 def test_digest_order_ranks_every_row(spark):
-    out = engine.QUERIES["w_digest_order_all"](spark, SF).toPandas()
+    out = engine.QUERIES["w_digest_order"](spark, SF).toPandas()
     assert len(out) == tables.load(spark, SF, "customer").count() and all(sorted(g) == list(range(1, len(g) + 1)) for _, g in out.groupby("c_mktsegment")["rank"])
 
 
