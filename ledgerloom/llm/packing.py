@@ -53,20 +53,21 @@ KIND[97:123] = KIND[128:] = 1
 KIND[48:58] = 2
 
 
-def piece_starts(raw: np.ndarray, text_at: np.ndarray) -> np.ndarray:
-    """Where the pieces of ``PATTERN`` start in lowered plain texts end to end; white space goes with the piece after it.
+def piece_starts(raw: np.ndarray, kind: np.ndarray, text_at: np.ndarray) -> np.ndarray:
+    """Where the pieces of ``PATTERN`` start in lowered plain texts end to end, given the ``KIND`` of each byte.
 
     ``text_at``: first bytes of the texts that are not empty.
     """
-    kind, n = KIND[raw], len(raw)
-    start = np.zeros(n + 1, bool)
+    n = len(raw)
     before, here = kind[:-1], kind[1:]
-    start[1:n] = ((here != before) & (before != 0)) | ((here == 2) & (before == 2))
-    edge = np.zeros(n + 3, bool)
-    edge[text_at] = edge[n:] = True
+    start = np.zeros(n + 1, bool)
+    start[1:n] = (here != before) | (here == 2)
+    start[text_at] = True
     # An apostrophe on its own and what of 's 't 're 've 'm 'll 'd follows it are one piece.
     q = np.flatnonzero(raw == 39)
     if len(q):
+        edge = np.zeros(n + 3, bool)
+        edge[text_at] = edge[n:] = True
         lone = (q == 0) | (kind[q - 1] != 3) | edge[q]
         padded = np.append(raw, [0, 0]).astype(np.uint8)
         one, two = padded[q + 1], padded[q + 2]
@@ -76,7 +77,7 @@ def piece_starts(raw: np.ndarray, text_at: np.ndarray) -> np.ndarray:
             start[own + 1] = False
             stop = own[own + size < n] + size
             start[stop[kind[stop] == 1]] = True
-    start[text_at] = True
+    start[:n] &= kind != 0
     return np.flatnonzero(start[:n])
 
 
@@ -95,7 +96,7 @@ class ChunkedTokenizer:
     UNSURE = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]").search
     BATCH = 2000
     #: Plain texts are taken together up to about so many characters.
-    CHARACTERS = 4_000_000
+    CHARACTERS = 8_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -144,9 +145,9 @@ class ChunkedTokenizer:
     def _learn(self, missing: set[str]) -> None:
         """Add ``missing`` pieces and stretches to what is known."""
         known = self.known
-        for c in missing.intersection(self.before):
-            known[c] = self.before[c]
-        rest = [c for c in missing if c not in known]
+        again = missing & self.before.keys() if self.before else set()
+        known.update((c, self.before[c]) for c in again)
+        rest = missing - again
         stretches = [c for c in rest if c[0] == " "]
         known.update(zip(stretches, self._library([c[1:] for c in stretches])))
         pieces = [c for c in rest if c[0] != " "]
@@ -155,13 +156,12 @@ class ChunkedTokenizer:
             known.update(zip(own, self._merge(own)))
 
     def _found(self, parts: list[str]) -> list[bytes]:
-        """Ids of pieces or stretches; the empty one has none."""
+        """Ids of pieces or stretches."""
         get = self.known.get
         ids = list(map(get, parts))
         if None in ids:
             holes = [i for i, x in enumerate(ids) if x is None]
-            self._learn({parts[i] for i in holes} - {""})
-            self.known[""] = b""
+            self._learn({parts[i] for i in holes})
             for i in holes:
                 ids[i] = self.known[parts[i]]
         return ids
@@ -172,19 +172,37 @@ class ChunkedTokenizer:
         raw = np.frombuffer(b"".join(raws), np.uint8)
         if not len(raw):
             return [b""] * len(texts)
-        stop = np.cumsum(size)
-        at = piece_starts(raw, (stop - size)[size > 0])
-        pieces = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(raw)).astype(np.int32)), pa.py_buffer(raw)).dictionary_encode()
-        own = self._found([w.lstrip(" \t\n\r\x0b\x0c") for w in pieces.dictionary.to_pylist()])
-        n = np.array([len(x) for x in own], np.int32) // 4
+        kind, stop = KIND[raw], np.cumsum(size)
+        at = piece_starts(raw, kind, (stop - size)[size > 0])
+        if not len(at):
+            return [b""] * len(texts)
+        # Equal pieces are gathered from the bytes without white space.
+        solid = kind != 0
+        edge = np.cumsum(solid, dtype=np.int32)
+        pieces = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(edge[at] - 1, edge[-1]).astype(np.int32)), pa.py_buffer(raw[solid])).dictionary_encode()
+        own = self._found(pieces.dictionary.to_pylist())
+        n = np.fromiter(map(len, own), np.int32, len(own)) // 4
         first, index = np.cumsum(n, dtype=np.int32) - n, pieces.indices.to_numpy()
         count = n[index]
-        ends = np.cumsum(count, dtype=np.int64)
-        place = np.arange(ends[-1]) + np.repeat(first[index] - (ends - count), count)
+        ends = np.cumsum(count, dtype=np.int32)
+        place = np.repeat(first[index] - (ends - count), count)
+        place += np.arange(ends[-1], dtype=np.int32)
         ids = np.frombuffer(b"".join(own), "<u4")[place].tobytes()
-        upto = (4 * np.append(0, ends)[np.searchsorted(at, np.append(0, stop))]).tolist()
+        upto = (4 * np.append(0, ends).astype(np.int64)[np.searchsorted(at, np.append(0, stop))]).tolist()
         return [ids[a:b] for a, b in zip(upto, upto[1:])]
 
+    def _cut(self, text: str):
+        """Parts of a long plain text, cut before white space (which no piece crosses)."""
+        at = 0
+        while at < len(text):
+            end = at + self.CHARACTERS
+            if end < len(text):
+                gaps = [x for x in (text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end)) if x > 0]
+                later = [x for x in (text.find(" ", end), text.find("\n", end)) if x > 0]
+                end = max(gaps) if gaps else min(later, default=len(text))
+            yield text[at:end]
+            at = end
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > CACHE:
@@ -196,6 +214,8 @@ class ChunkedTokenizer:
                 out[i] = self._library([text])[0]
             elif self.merger is None or PLAIN(text) is not None:
                 out[i] = b"".join(self._found([" " + c for c in text.split()]))
+            elif len(text) > self.CHARACTERS:
+                out[i] = b"".join([self._plain([part])[0] for part in self._cut(text)])
             else:
                 plain.append(i)
                 size += len(text)
@@ -217,8 +237,8 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
             _LOADED[path] = ChunkedTokenizer(path)
         tok, end = _LOADED[path], np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
                 ids = [x + end for x in tok.encode([t or "" for t in part.column(2).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "source", "n", "ids"])
 
