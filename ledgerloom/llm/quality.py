@@ -8,7 +8,8 @@ of the doc_id, and one pass over those rows' texts. Scoring covers every whole t
 
 Defined results: empty and null texts have zero statistics and are scored like any other;
 without labels of both classes the score is the share of good labels (1 if there are none);
-a doc_id with several labels counts each of them.
+a doc_id with both labels counts with each, one with several texts counts with the least of them. A
+column ``score`` is replaced by the result; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -152,18 +153,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> R
     spark = docs.sparkSession
     known = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-        .select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
+        .select("doc_id", F.col("quality").cast("int").alias("quality")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
     ).collect()
     if not known:
         return RuleEnsemble()
     chosen = F.broadcast(spark.createDataFrame(known, "doc_id long, quality int"))
-    rows = with_statistics(docs.select("doc_id", "text").join(chosen, "doc_id"), keep=["doc_id", "quality"]).toPandas().sort_values(["doc_id", "quality", *NAMES])
+    own = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = with_statistics(own, keep=["doc_id", "quality"]).toPandas().sort_values(["doc_id", "quality", *NAMES])
     return fit_rules(rows[NAMES].to_numpy(), rows["quality"].to_numpy(dtype=float))
 
 
-def scored(docs: DataFrame, model: RuleEnsemble, keep: list[str]) -> DataFrame:
-    out = with_statistics(docs, keep=keep).withColumn("score", model.score())
-    return out.select(*keep, "score")
+def scored(docs: DataFrame, model: RuleEnsemble, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns ``keep`` and ``score``."""
+    inner = {f"_c{i}": c for i, c in enumerate(keep) if c != "score"}
+    slim = docs.select(*[F.col(c).alias(i) for i, c in inner.items()], F.col(text).alias("_text"))
+    out = with_statistics(slim, "_text", list(inner)).withColumn("_score", model.score())
+    return out.select(*[F.col(i).alias(c) for i, c in inner.items()], F.col("_score").alias("score"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

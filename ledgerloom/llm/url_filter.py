@@ -26,8 +26,8 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 FEATURES = ["f_len", "f_host_len", "f_depth", "f_labels", "f_digits", "f_entropy", "f_params", "f_hyphens", "f_tld_rate", "f_domain_rate"]
-#: Bounds of what is fitted on the driver: labelled URLs and suffixes kept in the statistics.
-MAX_TRAIN_ROWS, MAX_SUFFIXES = 20_000, 1_000
+#: Bound of what is fitted on the driver: labelled URLs (and so at most two suffixes for each in the statistics).
+MAX_TRAIN_ROWS = 20_000
 
 
 def host_of(url: Column) -> Column:
@@ -104,7 +104,7 @@ def _tree_tuple(node):
 
 
 def _with_rates(df: DataFrame, model: UrlModel) -> DataFrame:
-    """Look up the suffix statistics: a table of at most MAX_SUFFIXES rows, broadcast."""
+    """Look up the suffix statistics: a table of at most two rows for each fitted URL, broadcast."""
     spark = df.sparkSession
     rates = spark.createDataFrame(model.suffix_rates or [("", model.prior)], "suffix string, rate double")
     for key, out in (("tld", "f_tld_rate"), ("domain", "f_domain_rate")):
@@ -130,7 +130,7 @@ def fit(labelled: DataFrame, url: str = "url", label: str = "label", *, max_rows
         if not 0 < ones < n:
             return model
         by = sample.select(F.explode(F.array_distinct(F.array("tld", "domain"))).alias("s"), "label").groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("k"))
-        model.suffix_rates = [(r.s, (r.k + 10 * model.prior) / (r.n + 10)) for r in by.orderBy(F.desc("n"), "s").limit(MAX_SUFFIXES).collect()]
+        model.suffix_rates = [(r.s, (r.k + 10 * model.prior) / (r.n + 10)) for r in by.orderBy("s").collect()]
         data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(_with_rates(sample, model)).select("features", "label").coalesce(1)
         fitted = GBTClassifier(maxIter=iterations, maxDepth=depth, maxBins=32, seed=seed).fit(data)
         model.trees = [(float(w), _tree_tuple(t._java_obj.rootNode())) for w, t in zip(fitted.treeWeights, fitted.trees)]
@@ -140,12 +140,14 @@ def fit(labelled: DataFrame, url: str = "url", label: str = "label", *, max_rows
 
 
 def judge(df: DataFrame, model: UrlModel, url: str = "url", rules=RULES, threshold: float = 0.5) -> DataFrame:
-    """Add host, path, rule, score and verdict to ``df`` (all its rows and columns stay)."""
+    """Add host, path, rule, score and verdict to ``df``: all its rows stay, and all columns but those under these five names, which are replaced."""
     own = [c for c in df.columns if c not in ("host", "path", "rule", "score", "verdict")]
-    out = _with_rates(with_features(df, url), model).withColumn("score", model.score())
+    # Its own columns travel in a struct, so that none clashes with a feature.
+    slim = df.select(F.struct(F.lit(None).cast("int").alias("_none"), *[F.col(f"`{c}`") for c in own]).alias("_own"), F.col(url).alias("_url"))
+    out = _with_rates(with_features(slim, "_url"), model).withColumn("score", model.score())
     out = out.withColumn("_hit", rule_of(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("_hit.verdict"), F.when(F.col("score") >= threshold, "block").otherwise("allow"))
-    return out.select(*own, "host", "path", F.col("_hit.rule").alias("rule"), "score", verdict.alias("verdict"))
+    return out.select(*[F.col("_own")[c].alias(c) for c in own], "host", "path", F.col("_hit.rule").alias("rule"), "score", verdict.alias("verdict"))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
