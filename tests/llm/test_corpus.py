@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from ledgerloom.llm import bpe, fingerprints, jaccard_join, packing, quality, repeats, sharding, suffix_dedup, topk, url_filter
+from ledgerloom.llm import bpe, fingerprints, jaccard_join, packing, quality, repeats, sharding, statistics, substring_dedup, suffix_dedup, topk, url_filter, windows
 from ledgerloom.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -47,14 +47,163 @@ def folder(request, tmp_path_factory):
     return d, len(keep(docs))
 
 
+def order_key(doc_id) -> int:
+    return 2**63 - 1 if doc_id is None or doc_id != doc_id else int(doc_id)
+
+
+def without_repeats(docs, unit):
+    """(doc_id, symbols, removed flags, raw text) by looking at every window."""
+    low: dict = {}
+    seqs = []
+    for i, t in docs:
+        raw = (t or "").encode()
+        seq = WORD.findall(raw) if unit == "words" else raw
+        keys = [tuple(seq[p : p + 50]) if unit == "words" else seq[p : p + 50] for p in range(len(seq) - 49)]
+        seqs.append((i, seq, keys))
+        for k in keys:
+            low[k] = min(low.get(k, 2**63), order_key(i))
+    for i, seq, keys in seqs:
+        gone = bytearray(len(seq))
+        for p, k in enumerate(keys):
+            if low[k] < order_key(i):
+                gone[p : p + 50] = b"\1" * 50
+        yield i, seq, gone
+
+
+def repeat_rows(docs, unit):
+    out = []
+    for i, seq, gone in without_repeats(docs, unit):
+        kept = b" ".join(w for w, g in zip(seq, gone) if not g) if unit == "words" else bytes(w for w, g in zip(seq, gone) if not g)
+        row = [order_key(i), len(seq), sum(gone), hashlib.sha256(kept).hexdigest()]
+        out.append(tuple(row if unit == "words" else [*row[:3], len(re.findall(rb"\x01+", bytes(gone))), row[3]]))
+    return sorted(out)
+
+
+def shingle_sets(docs):
+    sets = []
+    for _, t in docs:
+        w = (t or "").encode().split()
+        sets.append((b" ".join(w), frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()))
+    return sets
+
+
+def near_groups(docs):
+    """(links, class links, representative class id, group id) of each row, from all pairs of texts."""
+    sets = shingle_sets(docs)
+    classes: dict = {}
+    for (i, _), (words, s) in zip(docs, sets):
+        c = classes.setdefault(words, dict(set=s, size=0, first=2**63 - 1))
+        c["size"] += 1
+        c["first"] = min(c["first"], order_key(i))
+    names = list(classes)
+    root = {w: w for w in names}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    near: dict = {w: [] for w in names}
+    for x, a in enumerate(names):
+        for b in names[x + 1 :]:
+            s, t = classes[a]["set"], classes[b]["set"]
+            if s and t and (n := len(s & t)) >= 0.8 * (len(s) + len(t) - n) - 1e-9:
+                near[a].append(b)
+                near[b].append(a)
+                root[find(b)] = find(a)
+    low: dict = {}
+    for w in names:
+        low[find(w)] = min(low.get(find(w), 2**63 - 1), classes[w]["first"])
+    return [(order_key(i), classes[w]["size"] - 1 + sum(classes[o]["size"] for o in near[w]), len(near[w]), classes[w]["first"], low[find(w)]) for (i, _), (w, _) in zip(docs, sets)]
+
+
+def best_scores(rows):
+    """op4 by all pairs; components saturate at the ends of a long, as scores do."""
+    bound = lambda s: max(-(2**63), min(2**63 - 1, s))
+    fine = [(r, i, [bound(int(np.floor(float(np.float32(x)) * 1024))) for x in v]) for r, (i, v) in enumerate(rows) if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for r, i, v in fine:
+        if i % 100 == 0:
+            s = sorted((-sum(a * b for a, b in zip(v, w)), j, q) for q, j, w in fine if q != r and len(w) == len(v))[:10]
+            out += [(i, n + 1, j, bound(-x)) for n, (x, j, _) in enumerate(s)]
+    return sorted(out)
+
+
+def plain_rows(frame, *columns):
+    return sorted(tuple(None if x is None or x != x else x for x in r) for r in frame[list(columns)].itertuples(index=False))
+
+
+def pieces_fit(out, docs):
+    """Every id of every document in exactly one piece, sequences without gaps and padding."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter()
+    for i, t in docs:
+        ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
+        want[order_key(i), len(ids), int(ids.astype(np.int64).sum())] += 1
+    assert out.length.sum() == sum(n * k for (_, n, _), k in want.items())
+    assert Counter(out.drop_duplicates(["doc_id", "start", "sequence_id", "offset"]).groupby(out.doc_id.map(order_key)).length.sum().to_dict()) == Counter({i: sum(n * k for (j, n, _), k in want.items() if j == i) for i in {w[0] for w in want}})
+    for _, g in out.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *g.length.cumsum()[:-1]]
+    size = out.groupby("sequence_id").length.sum()
+    assert ((size == 2048) | ((size & (size - 1)) == 0)).all()
+
+
 @pytest.mark.parametrize("name", [*QUERIES, "pipeline"])
 def test_awkward_tables(spark, folder, name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     path, n = folder
     out = (corpus_pipeline.run if name == "pipeline" else QUERIES[name])(spark, str(path)).toPandas()
-    if name in ("op1_url_filter", "op4_topk", "op8_packing", "pipeline"):
-        assert (len(out) > 0) == (n > 0)
+    docs = [(r["doc_id"], r["text"]) for r in pq.read_table(path / "documents.parquet").to_pylist()]
+    if name not in ("op1_url_filter", "op4_topk", "op8_packing", "pipeline"):
+        assert len(out) == n and sorted(map(order_key, out.doc_id)) == sorted(order_key(i) for i, _ in docs)
+    if name == "op1_url_filter":
+        rows = pq.read_table(path / "pages.parquet").num_rows
+        got = {r.page_id: (r.host, r.path, r.rule) for r in out.itertuples()}
+        assert len(out) == rows and out.verdict.isin(["allow", "block"]).all()
+        want = {0: ("", "", None), 1: ("", "", None), 2: ("", "", None), 3: ("a.example.com", "/en/x", "example.com/en/"), 4: ("www.example.com", "/en/", "www.example.com/en/"), 5: ("b.net", "/es/1", "net/es/"), 6: ("net", "", None), 7: ("org", "", None), 8: ("org", "", None), 9: ("notexample.com", "/en/", "com/")}
+        assert not rows or got == want
+    elif name in ("op2_substring_dedup", "op7_suffix_dedup"):
+        out["doc_id"] = out.doc_id.map(order_key)
+        words = name.startswith("op2")
+        assert plain_rows(out, *(["doc_id", "n_words", "n_removed", "kept_sha256"] if words else ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])) == repeat_rows(docs, "words" if words else "bytes")
+    elif name == "op3_sharding":
+        raw = lambda t: (t or "").encode()
+        out["doc_id"] = out.doc_id.map(order_key)
+        assert plain_rows(out, "doc_id", "size", "text_crc32") == sorted((order_key(i), len(raw(t)) + 8, zlib.crc32(raw(t))) for i, t in docs)
+        assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard")) and (out.groupby("text_crc32").shard.nunique() == 1).all()
+    elif name == "op4_topk":
+        assert plain_rows(out, "query_id", "rank", "vec_id", "score") == best_scores([(r["vec_id"], r["embedding"]) for r in pq.read_table(path / "embeddings.parquet").to_pylist()])
+    elif name == "op5_fingerprints":
+        assert Counter(out.n_chars) == Counter(len(t or "") for _, t in docs) and out.near_edited.between(0, 1).all() and out.near_next.between(0, 1).all()
+    elif name == "op6_jaccard_join":
+        for c in ("doc_id", "class_id", "group_id"):
+            out[c] = out[c].map(order_key)
+        want = [r for r, (_, s) in zip(near_groups(docs), shingle_sets(docs)) if s]
+        got = out[out.doc_id.map(lambda i: i in {r[0] for r in want}) & (out.group_id.isin([r[4] for r in want]))]
+        assert Counter(plain_rows(got, "doc_id", "n_links", "n_class_links", "class_id", "group_id")) >= Counter(want)
+    elif name == "op8_packing":
+        pieces_fit(out, docs)
+    elif name == "op9_quality":
+        assert out.score.between(0, 1).all() and (out.predicted == (out.score >= 0.3)).all()
+        crc = lambda i: zlib.crc32(b"" if order_key(i) == 2**63 - 1 else str(int(i)).encode()) % 5 == 0
+        assert (out.held_out == out.doc_id.map(crc)).all()
+        same = out.merge(pd.DataFrame(docs, columns=["doc_id", "text"]).dropna().drop_duplicates(), on="doc_id")
+        assert (same.groupby("text").score.nunique() == 1).all()
+    elif name == "op10_bpe":
+        lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        want = []
+        for i, t in docs:
+            ids = lib.encode(t or "", add_special_tokens=False).ids
+            want.append((order_key(i), len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+        out["doc_id"] = out.doc_id.map(order_key)
+        assert plain_rows(out, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want)
     else:
-        assert len(out) == n
+        assert (len(out) > 0) == (n > 0) and set(out.doc_id.dropna()) <= {i for i, _ in docs}
 
 
 def documents(spark):
@@ -89,24 +238,48 @@ def test_url_trees_learn(spark):
 def test_repeats(spark, monkeypatch, name, unit, hot, batch):
     monkeypatch.setattr(repeats, "HOT", hot)
     monkeypatch.setattr(repeats, "BATCH", batch)
-    out = QUERIES[name](spark, SF).toPandas().set_index("doc_id")
-    seen, removed = {}, 0
+    out = QUERIES[name](spark, SF).toPandas()
     d = documents(spark)
-    for i, t in zip(d.doc_id, d.text):
-        raw = (t or "").encode()
-        seq = WORD.findall(raw) if unit == "words" else raw
-        gone = bytearray(len(seq))
-        for p in range(len(seq) - 49):
-            key = tuple(seq[p : p + 50]) if unit == "words" else seq[p : p + 50]
-            if seen.setdefault(key, i) < i:
-                gone[p : p + 50] = b"\1" * 50
-        kept = b" ".join(w for w, g in zip(seq, gone) if not g) if unit == "words" else bytes(w for w, g in zip(seq, gone) if not g)
-        r = out.loc[i]
-        assert (r.iloc[0], r.n_removed, r.kept_sha256) == (len(seq), sum(gone), hashlib.sha256(kept).hexdigest())
-        if unit == "bytes":
-            assert r.n_spans == len(re.findall(rb"\x01+", bytes(gone)))
-        removed += sum(gone)
-    assert removed
+    assert plain_rows(out, *out.columns) == repeat_rows(list(zip(d.doc_id, d.text)), unit)
+    assert out.n_removed.sum()
+
+
+@pytest.mark.parametrize("name", ["op2_substring_dedup", "op7_suffix_dedup"])
+def test_equal_hashes_are_not_equal_texts(spark, monkeypatch, name):
+    """With hashes of 6 bits, anchors, segments and buckets collide all the time; results stay exact."""
+    monkeypatch.setattr(repeats, "find_runs", lambda *a: crowded(windows.find_runs(*a)))
+    monkeypatch.setattr(suffix_dedup, "mix", lambda x: windows.mix(x) % np.uint64(64))
+    d = documents(spark).head(60)
+    docs = spark.createDataFrame(d[["doc_id", "text"]]).coalesce(1)
+    op = substring_dedup.substring_dedup if name.startswith("op2") else suffix_dedup.suffix_dedup
+    out = op(docs).toPandas()
+    unit = "words" if name.startswith("op2") else "bytes"
+    want = {r[0]: (r[2], r[-1]) for r in repeat_rows(list(zip(d.doc_id, d.text)), unit)}
+    assert {r.doc_id: (r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in out.itertuples()} == want
+
+
+def crowded(found):
+    runs, hashes = found
+    few = lambda x: windows.mix(x % np.uint64(64))
+    return windows.Runs(few(runs.key), few(runs.segment), runs.start, runs.windows, runs.place), None if hashes is None else few(hashes)
+
+
+def test_own_columns_survive(spark):
+    """Columns named like statistics, results or inner columns."""
+    from pyspark.sql import functions as F
+
+    base = " ".join(f"w{i}" for i in range(80))
+    extra = dict(n=7, n_removed=8, spans="s", kept="k", batch="b", docs="d", carry="c", size="z", key="y", score=0.5, s_bytes=1.5, domain="own", tld="own", f_len=3, shard=99, _size=4)
+    rows = spark.createDataFrame([dict(doc_id=i, text=base, url="http://a.example.org/x", **extra) for i in range(3)])
+    for op in (substring_dedup.substring_dedup, suffix_dedup.suffix_dedup):
+        out = op(rows).orderBy("doc_id").collect()
+        assert [r.n_removed > 0 for r in out] == [False, True, True] and all((r.batch, r.carry, r.domain, r["size"]) == ("b", "c", "own", "z") for r in out)
+    out = quality.scored(rows, quality.RuleEnsemble(prior=0.25), rows.columns).collect()
+    assert all((r.score, r.s_bytes, r.batch) == (0.25, 1.5, "b") for r in out) and len(out) == 3
+    out = url_filter.judge(rows, url_filter.UrlModel()).collect()
+    assert all((r.domain, r.tld, r.f_len, r.host, r.verdict) == ("own", "own", 3, "a.example.org", "allow") for r in out)
+    out = sharding.assign_shards(rows.withColumn("b8", F.lit(8)), "doc_id", "b8").collect()
+    assert all(0 <= r.shard < 24 and r._size == 4 for r in out)
 
 
 @pytest.mark.parametrize("on_disk", [False, True])
@@ -143,14 +316,33 @@ def test_sharding(spark):
 def test_topk(spark, monkeypatch, page, tree):
     monkeypatch.setattr(topk, "PAGE", page)
     monkeypatch.setattr(topk, "TREE", tree)
-    out = topk.op4_topk(spark, SF).toPandas().sort_values(["query_id", "rank"])
-    e = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas().sort_values("vec_id")
-    x, ids = np.array([np.floor(1024 * np.array(v, dtype=float)) for v in e.embedding]).astype(int), e.vec_id.to_numpy()
-    for i in np.flatnonzero(ids % 100 == 0):
-        s = x @ x[i]
-        best = [j for j in np.lexsort((ids, -s)) if j != i][:10]
-        g = out[out.query_id == ids[i]]
-        assert g.vec_id.tolist() == ids[best].tolist() and g.score.tolist() == s[best].tolist() and g["rank"].tolist() == list(range(1, 11))
+    out = topk.op4_topk(spark, SF).toPandas()
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
+    assert plain_rows(out, "query_id", "rank", "vec_id", "score") == best_scores([(int(i), list(v)) for i, v in zip(e.vec_id, e.embedding)])
+
+
+def test_topk_repeated_ids_and_large_components(spark, monkeypatch, tmp_path):
+    rows = [(100, [0.5, 1.0]), (100, [2.0, -1.0]), (100, [0.5, 1.0]), (1, [1.0, 1.0]), (2, [0.5, 1.0]), (1, [1.0, 1.0]), (200, [4e9, 4e9]), (3, [4e9, -4e9]), (4, [3e38, 3e38]), (0, [1.0, 2.0, 3.0]), (5, [0.0, 0.0, 1e20])]
+    monkeypatch.setattr(topk, "TREE", 3)
+    write(tmp_path, "embeddings", [dict(vec_id=i, embedding=v) for i, v in rows], VECS)
+    out = topk.op4_topk(spark, str(tmp_path)).toPandas()
+    assert plain_rows(out, "query_id", "rank", "vec_id", "score") == best_scores(rows)
+
+
+def test_topk_meets_few_trees_where_vectors_have_clusters(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(topk, "TREE", 50)
+    rng = np.random.default_rng(4)
+    x = np.repeat(np.eye(16, dtype=int)[:8] * 4000, 100, axis=0) + rng.integers(-60, 60, (800, 16))
+    df = spark.createDataFrame([(r, r, [int(v) for v in w]) for r, w in enumerate(x)], "rid long, vec_id long, q array<bigint>")
+    met = []
+    monkeypatch.setattr(topk, "_met", lambda pairs, own=topk._met: met.append((pairs.count(), own(pairs).count())) or own(pairs))
+    out = topk.top_k(df.where(F.col("vec_id") % 100 == 0), df, 3).toPandas()
+    want = [(q, n + 1, int(v), int(x[v] @ x[q])) for q in range(0, 800, 100) for n, v in enumerate([v for v in np.lexsort((np.arange(800), -(x @ x[q]))) if v != q][:3])]
+    assert plain_rows(out, "query_id", "rank", "vec_id", "score") == sorted(want)
+    every, kept = met[0]
+    assert kept < every / 2
 
 
 def test_mtree_skips_distances():
@@ -185,34 +377,30 @@ def test_fingerprints(spark):
     assert (out.groupby(d.text).fingerprint.nunique() == 1).all()
 
 
-@pytest.mark.parametrize("leaf", [2048, 2])
-def test_jaccard_join(spark, monkeypatch, leaf):
+@pytest.mark.parametrize("leaf,weight", [(2048, 8_000_000), (2, 8_000_000), (2048, 1_000)])
+def test_jaccard_join(spark, monkeypatch, leaf, weight):
     monkeypatch.setattr(jaccard_join, "LEAF", leaf)
-    out = jaccard_join.op6_jaccard_join(spark, SF).toPandas().set_index("doc_id")
+    monkeypatch.setattr(jaccard_join, "LEAF_SHINGLES", weight)
+    out = jaccard_join.op6_jaccard_join(spark, SF).toPandas()
     d = documents(spark)
-    sets = {}
-    for i, t in zip(d.doc_id, d.text):
-        w = t.encode().split()
-        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
-    root = {i: i for i in sets}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    links = Counter()
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and (n := len(sets[a] & sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - n) - 1e-9:
-                links[a] += 1
-                links[b] += 1
-                lo, hi = sorted((find(a), find(b)))
-                root[hi] = lo
-    assert links
-    for i in sets:
-        if sets[i]:
-            assert (out.n_links[i], out.group_id[i]) == (links[i], find(i))
+    docs = list(zip(d.doc_id, d.text))
+    want = {r[0]: r[1:] for r, (_, s) in zip(near_groups(docs), shingle_sets(docs)) if s}
+    got = {r.doc_id: (r.n_links, r.n_class_links, r.class_id, r.group_id) for r in out.itertuples() if r.doc_id in want}
+    assert got == want and any(r[1] for r in want.values())
+
+
+def test_jaccard_large_group_and_recall(spark, monkeypatch):
+    """A group of near-copies that no path can split, and runs that follow the target recall."""
+    monkeypatch.setattr(jaccard_join, "LEAF", 16)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(base[:i] + ["x"] + base[i + 1 :])) for i in range(60)] + [(100 + i, " ".join(f"y{i}_{k}" for k in range(30))) for i in range(20)] + [(None, "one two"), (None, "one two"), (7, None)]
+    out = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    big = out[out.doc_id < 60]
+    assert (big.n_links[big.doc_id != 7] == 59).all() and (out[out.doc_id >= 100].n_links == 0).all()
+    assert out[out.doc_id.isna()].n_links.tolist() == [1, 1]
+    assert [jaccard_join.runs_for(r) for r in (0.5, 0.9, 0.99, 0.9999)] == [1, 2, 4, 6]
+    with pytest.raises(ValueError):
+        jaccard_join.runs_for(1.0)
 
 
 def test_packing(spark):
@@ -306,12 +494,79 @@ def test_bpe_equals_library():
         assert own.decode(got).decode() == lib.decode(want, skip_special_tokens=False)
 
 
+def test_quality_scores_by_hand(spark):
+    """The compiled column against the rules read one by one."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(docs, labels)
+    out = quality.scored(docs, model, ["doc_id"]).toPandas().set_index("doc_id").score
+    assert model.rules
+    for i, t in docs.select("doc_id", "text").collect():
+        x = statistics.describe(t)
+        z = model.intercept + sum(w for w, rule in model.rules if all((x[f] <= cut) == at_most for f, at_most, cut in rule)) + sum(w * min(max(x[f], low), high) for w, f, low, high in model.linear)
+        assert out[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_bpe_query_equals_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    big = "/root/testdata/sf0.01"
+    out = bpe.op10_bpe(spark, big).toPandas().set_index("doc_id")
+    for i, t in pd.read_parquet(f"{big}/documents.parquet", columns=["doc_id", "text"]).itertuples(index=False):
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        assert tuple(out.loc[i]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+
+
+def whole_characters(seq, gone):
+    out, at = [], 0
+    for c in seq.decode():
+        n = len(c.encode())
+        if not any(gone[at : at + n]):
+            out.append(c)
+        at += n
+    return "".join(out)
+
+
 def test_pipeline_stages(spark):
+    """Every stage on what the one before kept, against a plain computation."""
+    from ledgerloom.llm.common import persist_table
+
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    ids = set(documents(spark).doc_id)
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SF)
-        assert docs.columns == corpus_pipeline.COLUMNS
-        left = {r.doc_id for r in docs.select("doc_id").collect()}
-        assert left <= ids and len(left) > len(ids) / 2, name
-        ids = left
+    model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    before = documents(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = persist_table(stage(spark, docs, SF), f"test-{name}")
+        after = docs.toPandas()
+        own = list(zip(before.doc_id.tolist(), before.text.tolist()))
+        if name == "packing":
+            pieces_fit(after, own)
+            break
+        assert docs.columns == corpus_pipeline.COLUMNS and not after.doc_id.duplicated().any()
+        after = after.sort_values("doc_id").reset_index(drop=True)
+        text = dict(zip(after.doc_id, after.text))
+        if name == "quality":
+            kept = quality.scored(spark.read.parquet(f"{SF}/documents.parquet"), model, ["doc_id"]).where("score >= 0.3").toPandas().doc_id
+            assert set(text) == set(kept) and all(text[i] == t for i, t in own if i in text)
+        elif name == "near_duplicates":
+            sets = shingle_sets(own)
+            first_empty = min((i for (i, _), (_, s) in zip(own, sets) if not s), default=None)
+            want = {r[0] for r, (_, s) in zip(near_groups(own), sets) if s and r[0] == r[4]} | ({first_empty} - {None})
+            assert set(text) == want and len(want) < len(own)
+        else:
+            assert text == {i: whole_characters(seq, gone) for i, seq, gone in without_repeats(own, "bytes")}
+        before = after
+
+
+def test_pipeline_keeps_rows_apart(spark):
+    """Repeated doc_ids, null doc_ids and genuine replacement characters."""
+    base = " ".join(f"word{i}" for i in range(60))
+    rows = [(3, base), (5, base), (5, "another text of its own"), (None, base), (None, "a third text"), (None, "a third text"), (8, "listed twice"), (8, "listed twice")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], ", ".join(f"{c} {t}" for c, t in zip(corpus_pipeline.COLUMNS, ["long", "string", "string", "string", "long"])))
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, SF).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(3, base), (5, rows[2][1]), (None, "a third text"), (8, "listed twice")])
+    shared = "é" * 24 + "0123456789"
+    texts = {1: "x" + shared, 2: "q\ufffdz" + "é" * 2 + shared[1:] + "\ufffd end"}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], docs.schema)
+    out = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs, SF).collect()}
+    assert out == {i: whole_characters(seq, gone) for i, seq, gone in without_repeats(list(texts.items()), "bytes")} and out[2].count("\ufffd") == 2
