@@ -3,13 +3,16 @@
 1. Documents are gathered into batches of about ``BATCH`` bytes and written once, so that every
    later pass sees the same batches.
 2. Each batch sends the distinct anchors of its runs to buckets by hash; a bucket tells which
-   anchors occur in other batches too, and which are *hot* (many different segments).
+   anchors occur in other batches too, and which are *hot* (more than ``HOT`` different segments, which
+   an anchor in very many batches has as well). Beyond ``GROUP`` batches, groups of batches are merged first,
+   so that an anchor that all batches have comes to its bucket once for each group.
 3. Each batch sends one copy of each distinct segment with such an anchor, for its least
-   doc_id, to buckets by the anchor's hash (hot anchors: window by window, by the window's
-   hash, so that no bucket gets all of them). A bucket finds for every window the least
-   document that holds it and answers with a bit for each window.
-4. Each batch applies the answers: in it, a copy of a segment under a larger doc_id than the
-   one sent is removed whole.
+   doc_id, to buckets by the anchor's hash. A bucket finds for every window the least
+   document that holds it and answers with a bit for each window. Hot anchors stay out (so a
+   bucket gets at most ``HOT`` segments of one): their windows are rows of a table, and the least
+   document of each distinct window is a plain aggregate, combined before the shuffle.
+4. Each batch applies the answers: in it, a copy of a segment (or hot window) under a larger
+   doc_id than the one sent is removed whole.
 
 Equal windows have equal anchors, so nothing is missed; what is exchanged is a few bytes for
 each run of unique text, and one segment for each batch and variant of repeated text. Nothing is
@@ -30,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import persist_table, release_shuffles
-from .windows import BYTE_HASH, Runs, exact_ids, find_runs, mix, word_hashes, words_of
+from .common import drop_tables, persist_table, release_shuffles
+from .windows import BYTE_HASH, Runs, exact_ids, find_runs, word_hashes, words_of
 
 BATCH, LENGTH = 1_000_000, 50
-#: Anchors with more segments than this (over all batches) are spread window by window.
+#: Anchors with more segments than this (over all batches) go window by window.
 HOT = 2_000
+#: Batches whose anchors are merged before they meet those of other batches.
+GROUP = 4_096
 K = {"bytes": 20, "words": 12}
 
 
@@ -79,22 +84,36 @@ def batches_of(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return persist_table(slim.mapInArrow(run, schema).withColumn("batch", F.monotonically_increasing_id()), "repeat-batches", bucket_by="batch")
 
 
-def rows_of(stream):
-    """One row at a time as a dict; memory of the row before goes back to the system first."""
+def trimmed(every: int = 8):
+    """A function to call after each batch: now and then it gives freed memory back to the system."""
     import ctypes
 
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    trim, done = getattr(ctypes.CDLL(None), "malloc_trim", None), [0]
+
+    def after(last: bool = False) -> None:
+        done[0] += 1
+        if trim is not None and (last or done[0] % every == 0):
+            trim(0)
+
+    return after
+
+
+def rows_of(stream):
+    """One row at a time as a dict."""
+    after = trimmed()
     for rb in stream:
         for i in range(rb.num_rows):
             yield rb.slice(i, 1).to_pylist()[0]
-            if trim is not None:
-                trim(0)
+            after()
+    after(True)
 
 
 class Batch:
     """One batch as arrays, with the runs of its windows."""
 
-    def __init__(self, unit: str, docs: bytes, lens: bytes, body: bytes, windows: bool = False):
+    def __init__(self, unit: str, docs: bytes, lens: bytes, body: bytes, codes: list[dict] | None = None):
+        """``codes``: the answers for the anchors, where they are known by now."""
+        hot = any(max(p["answer"], default=0) > 1 for p in codes or [])
         self.docs, self.lens = np.frombuffer(docs, "<i8"), np.frombuffer(lens, "<i8")
         self.raw = np.frombuffer(body, np.uint8)
         of_byte = np.repeat(np.arange(len(self.docs), dtype=np.int32), self.lens)
@@ -103,8 +122,8 @@ class Batch:
         else:
             self.begin, self.end, self.doc_of = words_of(self.raw, of_byte)
             self.sym = word_hashes(self.raw, self.begin, self.end)
-            self.exact = exact_ids(self.raw, self.begin, self.end) if windows else None
-        self.runs, self.window_hash = find_runs(self.sym, self.doc_of, LENGTH, K[unit], windows)
+            self.exact = exact_ids(self.raw, self.begin, self.end) if codes is not None else None
+        self.runs, self.window_hash = find_runs(self.sym, self.doc_of, LENGTH, K[unit], hot)
         self.run_doc = self.docs[self.doc_of[self.runs.start]]
         order = np.lexsort((self.runs.segment, self.runs.key))
         key = self.runs.key[order]
@@ -122,34 +141,56 @@ class Batch:
         else:
             self.variants, self.shared = np.zeros(0, np.int64), np.zeros(0, bool)
 
-    def sent(self, codes: np.ndarray):
-        """(distinct segments to send, representative run of each, and for every run its segment's number or -1, with its offset in it).
-
-        ``codes``: for each distinct anchor, bit 0: also in other batches, bit 1: hot.
-        """
+    def wanted(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Runs to send whole, and hot runs. ``codes``: for each distinct anchor, bit 0: also in other batches, bit 1: hot."""
         wanted = ((codes & 1) | self.shared)[self.key_of].astype(bool)
         hot = wanted & ((codes & 2) > 0)[self.key_of]
-        plain = np.flatnonzero(wanted & ~hot)
-        at = np.flatnonzero(hot)
+        return np.flatnonzero(wanted & ~hot), np.flatnonzero(hot)
+
+    def distinct(self, first: np.ndarray, second: np.ndarray, start: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(one stretch of each content, under the least document; for every stretch the number of its content). Hashes propose."""
+        order = np.lexsort((doc, second, first))
+        x, y = first[order], second[order]
+        new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])) if len(order) else np.zeros(0, bool)
+        # Stretches of one hash with other symbols than the first stand for themselves.
+        new |= ~same_content(self.exact, start[order], size[order], new)
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        return order[new], number
+
+    def segments(self, codes: np.ndarray):
+        """(runs to send, their documents, the representative of each content, each run's content)."""
+        at, _ = self.wanted(codes)
+        runs, doc = Runs(self.runs.key[at], self.runs.segment[at], self.runs.start[at], self.runs.windows[at], self.runs.place[at]), self.run_doc[at]
+        return runs, doc, *self.distinct(runs.key, runs.segment, runs.start, runs.windows + LENGTH - 1, doc)
+
+    def hot_windows(self, codes: np.ndarray):
+        """(windows of hot anchors, their documents, the representative of each content, each window's content)."""
+        _, at = self.wanted(codes)
+        if not len(at):
+            none = np.zeros(0, np.int64)
+            return none, none, none, none
         n = self.runs.windows[at]
         src = np.repeat(at, n)
         start = self.runs.start[src] + np.arange(len(src)) - np.repeat(np.cumsum(n) - n, n)
-        one = mix(self.window_hash[start] ^ np.uint64(0x5851F42D4C957F2D)) if len(src) else np.zeros(0, np.uint64)
-        runs = Runs(
-            np.concatenate([self.runs.key[plain], one]), np.concatenate([self.runs.segment[plain], one]),
-            np.concatenate([self.runs.start[plain], start]), np.concatenate([self.runs.windows[plain], np.ones(len(src), np.int64)]),
-            np.concatenate([self.runs.place[plain], np.zeros(len(src), np.int64)]),
-        )
-        doc = np.concatenate([self.run_doc[plain], self.run_doc[src]])
-        order = np.lexsort((doc, runs.segment, runs.key))
-        key, seg = runs.key[order], runs.segment[order]
-        new = np.append(True, (key[1:] != key[:-1]) | (seg[1:] != seg[:-1])) if len(order) else np.zeros(0, bool)
-        # Segments of one hash with other symbols than the first stand for themselves.
-        new |= ~same_content(self.exact, runs.start[order], (runs.windows + LENGTH - 1)[order], new)
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(new) - 1
-        rep = order[new]
-        return runs, doc, rep, number
+        doc, h = self.run_doc[src], self.window_hash[start]
+        return start, doc, *self.distinct(h, h, start, np.full(len(start), LENGTH), doc)
+
+    def contents(self, unit: str, start: np.ndarray) -> pa.Array:
+        """Windows as binaries; words are joined by one space."""
+        if unit == "bytes":
+            raw, a, b = self.raw, start, start + LENGTH
+        else:
+            size = self.end - self.begin + 1
+            edge = np.cumsum(size) - size
+            at = np.repeat(self.begin - edge, size) + np.arange(int(size.sum()))
+            raw = np.append(self.raw, 32).astype(np.uint8)[at]
+            raw[edge + size - 1] = 32
+            a, b = edge[start], (edge + size)[start + LENGTH - 1] - 1
+        n = b - a
+        offsets = np.append(0, np.cumsum(n))
+        at = np.repeat(a - offsets[:-1], n) + np.arange(offsets[-1])
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw[at])]).cast(pa.binary())
 
 
 def same_content(symbols: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -261,31 +302,74 @@ def remove_repeats(df: DataFrame, unit: str, resolve: Resolver, doc_id: str = "d
                 out.append((bucket, row["batch"], low_bytes(b.keys[lo:hi]) + np.minimum(b.variants[lo:hi], 255).astype("u1").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "batch", "question"])
 
-    def count(tab: pa.Table) -> pa.Table:
+    def parts_of(tab: pa.Table):
+        """Anchors of a bucket's rows, in how many batches and variants each row saw them, and how many a row has."""
         blobs = tab.column("question").to_pylist()
         n = [len(x) // 7 for x in blobs]
         keys = from_low_bytes([np.frombuffer(x, "u1", 6 * k) for x, k in zip(blobs, n)])
         seen = np.concatenate([np.frombuffer(x, "u1", k, 6 * k) for x, k in zip(blobs, n)]).astype(np.int64)
-        _, inverse, times = np.unique(keys, return_inverse=True, return_counts=True)
-        code = ((times > 1) | (((np.bincount(inverse, weights=seen)) > HOT) << 1))[inverse].astype("u1")
+        return keys, np.ones(len(keys), np.int64), seen, n
+
+    def judged(keys: np.ndarray, batches: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct anchors with the batches and variants they were seen in."""
+        distinct, inverse = np.unique(keys, return_inverse=True)
+        return distinct, np.bincount(inverse, weights=batches).astype(np.int64), np.bincount(inverse, weights=seen).astype(np.int64)
+
+    def answered(tab: pa.Table, keys: np.ndarray, n: list[int], distinct: np.ndarray, batches: np.ndarray, seen: np.ndarray) -> pa.Table:
+        code = ((batches > 1) | ((seen > HOT) << 1))[np.searchsorted(distinct, keys)].astype("u1")
         ends = np.cumsum(n)
-        answers = [code[e - k : e].tobytes() for e, k in zip(ends, n)]
-        return pa.table({"bucket": tab.column("bucket"), "batch": tab.column("batch"), "answer": pa.array(answers, pa.binary())})
+        own = [code[e - k : e] for e, k in zip(ends, n)]
+        return pa.table({"bucket": tab.column("bucket"), "batch": tab.column("batch"), "answer": pa.array([x.tobytes() for x in own], pa.binary()), "hot": pa.array([int((x > 1).any()) for x in own], pa.int32())})
+
+    def count(tab: pa.Table) -> pa.Table:
+        keys, batches, seen, n = parts_of(tab)
+        return answered(tab, keys, n, *judged(keys, batches, seen))
+
+    def merge(tab: pa.Table) -> pa.Table:
+        keys, batches, seen, _ = parts_of(tab)
+        out = judged(keys, batches, seen)
+        return pa.table({"bucket": tab.column("bucket")[:1], "grp": tab.column("grp")[:1], **{c: pa.array([x.astype("<u8").tobytes()], pa.binary()) for c, x in zip(("keys", "batches", "seen"), out)}})
+
+    def settle(tab: pa.Table) -> pa.Table:
+        own = [[np.frombuffer(x, "<u8") for x in tab.column(c).to_pylist()] for c in ("keys", "batches", "seen")]
+        distinct, batches, seen = judged(*[np.concatenate(x) for x in own])
+        at = [np.searchsorted(distinct, k) for k in own[0]]
+        return pa.table({"bucket": tab.column("bucket"), "grp": tab.column("grp"), "keys": tab.column("keys"), **{c: pa.array([x[i].astype("<u8").tobytes() for i in at], pa.binary()) for c, x in (("batches", batches), ("seen", seen))}})
+
+    def spread(tab: pa.Table, known: pa.Table) -> pa.Table:
+        keys, _, _, n = parts_of(tab)
+        return answered(tab, keys, n, *[np.frombuffer(known.column(c)[0].as_py(), "<u8").astype(t) for c, t in (("keys", np.uint64), ("batches", np.int64), ("seen", np.int64))])
 
     reply = "bucket int, batch long, answer binary"
+    first_reply, merged = "bucket int, batch long, answer binary, hot int", "bucket int, grp int, keys binary, batches binary, seen binary"
     questions = whole.select(*cols).mapInArrow(ask, "bucket int, batch long, question binary")
-    answers = persist_table(questions.groupBy("bucket").applyInArrow(count, reply), "repeat-anchors")
+    groups = -(-whole.count() // GROUP)
+    if groups <= 1:
+        answers = persist_table(questions.groupBy("bucket").applyInArrow(count, first_reply), "repeat-anchors")
+    else:
+        asked = persist_table(questions.withColumn("grp", F.pmod(F.xxhash64("batch"), F.lit(groups)).cast("int")), "repeat-questions")
+        settled = asked.groupBy("bucket", "grp").applyInArrow(merge, merged).groupBy("bucket").applyInArrow(settle, merged)
+        answers = persist_table(asked.groupBy("bucket", "grp").cogroup(settled.groupBy("bucket", "grp")).applyInArrow(spread, first_reply), "repeat-anchors")
+        drop_tables(asked)
     release_shuffles(spark)
     grouped = F.collect_list(F.struct("bucket", "answer"))  # of one batch: as many as buckets
-    codes = answers.groupBy("batch").agg(grouped.alias("codes"))
+    codes = answers.groupBy("batch").agg(grouped.alias("codes"), F.max("hot").alias("hot"))
 
     def send(stream):
         for row in rows_of(stream):
-            b = Batch(unit, row["docs"], row["lens"], row["body"], True)
-            runs, doc, rep, _ = b.sent(gathered(row["codes"], len(b.keys), "u1"))
+            b = Batch(unit, row["docs"], row["lens"], row["body"], row["codes"] or [])
+            runs, doc, rep, _ = b.segments(gathered(row["codes"], len(b.keys), "u1"))
             out = [(bucket, row["batch"], pack_segments(b, unit, runs, doc, rep[lo:hi])) for bucket, lo, hi in slices(runs.key[rep], buckets)]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "batch", "question"])
 
+    def send_hot(stream):
+        for row in rows_of(stream):
+            b = Batch(unit, row["docs"], row["lens"], row["body"], row["codes"] or [])
+            start, doc, rep, _ = b.hot_windows(gathered(row["codes"], len(b.keys), "u1"))
+            for lo in range(0, len(rep), 100_000):
+                own = rep[lo : lo + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), row["batch"], np.int64)), pa.array(np.arange(lo, lo + len(own), dtype=np.int32)), b.contents(unit, start[own]), pa.array(doc[own])], names=["batch", "number", "window", "doc"])
+
     def judge(tab: pa.Table) -> pa.Table:
         parts = [unpack_segments(x) for x in tab.column("question").to_pylist()]
         key = from_low_bytes([p[0] for p in parts])
@@ -300,6 +384,14 @@ def remove_repeats(df: DataFrame, unit: str, resolve: Resolver, doc_id: str = "d
         answers = [masks[e - len(p[1]) : e].tobytes() for e, p in zip(ends, parts)]
         return pa.table({"bucket": tab.column("bucket"), "batch": tab.column("batch"), "answer": pa.array(answers, pa.binary())})
 
+    gone = None
+    if answers.where("hot > 0").limit(1).count():
+        rows = whole.select(*cols).join(codes.where("hot > 0"), "batch").select(*cols, "codes").mapInArrow(send_hot, "batch long, number int, window binary, doc long")
+        rows = persist_table(rows, "repeat-hot")
+        low = rows.groupBy("window").agg(F.min("doc").alias("low"))
+        gone = persist_table(rows.join(low, "window").where("low < doc").groupBy("batch").agg(F.collect_list("number").alias("gone")), "repeat-hot-gone")  # of one batch
+        drop_tables(rows)
+        release_shuffles(spark)
     segments = whole.select(*cols).join(codes, "batch", "left").select(*cols, "codes").mapInArrow(send, "bucket int, batch long, question binary")
     verdicts = persist_table(segments.groupBy("bucket").applyInArrow(judge, reply), "repeat-windows")
     release_shuffles(spark)
@@ -312,18 +404,19 @@ def remove_repeats(df: DataFrame, unit: str, resolve: Resolver, doc_id: str = "d
         for rb in stream:
             for i in range(rb.num_rows):
                 one = rb.slice(i, 1)
-                row = one.select(["docs", "lens", "body", "codes", "masks"]).to_pylist()[0]
-                b = Batch(unit, row["docs"], row["lens"], row["body"], True)
-                gone = covered(b, gathered(row["codes"], len(b.keys), "u1"), row["masks"])
-                yield results(b, unit, gone, one.column("carry").flatten(), carry.names, whole_characters)
+                row = one.select(["docs", "lens", "body", "codes", "masks", "gone"]).to_pylist()[0]
+                b = Batch(unit, row["docs"], row["lens"], row["body"], row["codes"] or [])
+                off = covered(b, gathered(row["codes"], len(b.keys), "u1"), row["masks"], row["gone"])
+                yield results(b, unit, off, one.column("carry").flatten(), carry.names, whole_characters)
 
-    joined = whole.join(codes, "batch", "left").join(masks, "batch", "left").select("docs", "lens", "body", "carry", "codes", "masks")
-    return joined.mapInArrow(apply, out_schema)
+    joined = whole.join(codes.drop("hot"), "batch", "left").join(masks, "batch", "left")
+    joined = joined.join(gone, "batch", "left") if gone is not None else joined.withColumn("gone", F.lit(None).cast("array<int>"))
+    return joined.select("docs", "lens", "body", "carry", "codes", "masks", "gone").mapInArrow(apply, out_schema)
 
 
-def covered(b: Batch, codes: np.ndarray, masks: list[dict] | None) -> np.ndarray:
+def covered(b: Batch, codes: np.ndarray, masks: list[dict] | None, gone: list[int] | None) -> np.ndarray:
     """Which symbols of the batch lie in a removed window."""
-    runs, doc, rep, number = b.sent(codes)
+    runs, doc, rep, number = b.segments(codes)
     mask = gathered(masks, len(rep), "<u8")
     everything = np.uint64(2**64 - 1)
     # A copy of a segment under a larger doc_id than the one that was sent goes whole.
@@ -333,6 +426,11 @@ def covered(b: Batch, codes: np.ndarray, masks: list[dict] | None) -> np.ndarray
     place = np.arange(len(src)) - np.repeat(np.cumsum(n) - n, n)
     hit = ((own[src] >> place.astype(np.uint64)) & np.uint64(1)).astype(bool)
     start = (runs.start[src] + place)[hit]
+    hot, doc, rep, number = b.hot_windows(codes)
+    if len(hot):
+        off = np.zeros(len(rep), bool)
+        off[gone or []] = True
+        start = np.append(start, hot[off[number] | (doc > doc[rep][number])])
     change = np.zeros(len(b.sym) + 1, np.int32)
     np.add.at(change, start, 1)
     np.add.at(change, start + LENGTH, -1)

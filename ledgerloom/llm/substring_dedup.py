@@ -9,8 +9,7 @@ those of 50 words tell every window the least document that holds it, and the un
 windows is the union of the maximal repeats of at least 50 words. Extending classes instead
 of pairs costs one sort for each word of context, while pairs of occurrences would grow with their
 square. Words are compared as bytes, not by hashes; they are removed where an earlier document
-has them. Hot anchors meet window by window (the seed is then the window's start, extended to the
-right alone). See ``repeats`` for the exchange and for the defined results.
+has them. The windows of hot anchors meet as whole texts in an aggregate. See ``repeats`` for the exchange and for the defined results.
 
 A text without words, or null, has 0 words and the empty text as what is kept.
 """

@@ -59,43 +59,49 @@ def construct(data: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarra
         more = n < lens[string]
         return np.where(more, coded[np.where(more, stop[string] - n - 1, 0)], 0).astype(np.uint8) if len(coded) else np.zeros(len(string), np.uint8)
 
+    # A row's string and suffix length are one number.
+    bits = np.int64(int(lens.max(initial=0)).bit_length())
     files = Columns(int(lens.sum()))
     try:
-        string, size = np.arange(m, dtype=np.int32), np.zeros(m, np.int32)
-        common, before = np.zeros(m, np.int32), symbol(string, size)
+        tag = np.arange(m, dtype=np.int64) << bits
+        common, before = np.zeros(m, np.int32), symbol(np.arange(m), np.zeros(m, np.int64))
         placed = np.arange(m)
         while True:
             placed = placed[before[placed] != 0]  # ascending rows of the last round whose strings go on
             if not len(placed):
-                return np.array(string), np.array(size), np.array(common), np.array(before)
+                return (tag >> bits).astype(np.int32), (tag & ((np.int64(1) << bits) - 1)).astype(np.int32), np.array(common), np.array(before)
             order = np.argsort(before, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            ended = int((before == 0).sum())
-            row = m + rank[placed] - ended
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            ended = int(np.count_nonzero(before == 0))
+            own, sym = rank[placed].astype(np.int64), before[placed]
+            row = m + own - ended
             # Common prefixes with the neighbours: one more than the least between equal symbols.
-            up, down = order[rank[placed] - 1], order[np.minimum(rank[placed] + 1, len(order) - 1)]
-            has_up = (rank[placed] > 0) & (before[up] == before[placed])
-            has_down = (rank[placed] + 1 < len(order)) & (before[down] == before[placed])
+            up, down = order[own - 1], order[np.minimum(own + 1, len(order) - 1)]
+            has_up = (own > 0) & (before[up] == sym)
+            has_down = (own + 1 < len(order)) & (before[down] == sym)
             padded = np.append(common, 0)
             with_up, with_down = np.zeros(len(placed), np.int32), np.zeros(len(placed), np.int32)
             for has, low, high, to in ((has_up, up + 1, placed + 1, with_up), (has_down, placed + 1, down + 1, with_down)):
                 if has.any():
+                    # From the last interval to the first, so that nothing lies between one's end and the next's start.
                     pairs = np.empty(2 * int(has.sum()), np.int64)
-                    pairs[0::2], pairs[1::2] = low[has], high[has]
-                    to[has] = 1 + np.minimum.reduceat(padded, pairs)[::2]
+                    pairs[0::2], pairs[1::2] = low[has][::-1], high[has][::-1]
+                    to[has] = 1 + np.minimum.reduceat(padded, pairs)[::2][::-1]
             files.turn += 1
             total = len(order) + len(placed)
             stay = np.ones(total, bool)
             stay[row] = False
-            fresh = (string[placed], size[placed] + 1, with_up, symbol(string[placed], size[placed] + 1))
+            stay = np.flatnonzero(stay)
+            longer = tag[placed] + 1
+            fresh = (longer, with_up, symbol(longer >> bits, longer & ((np.int64(1) << bits) - 1)))
             grown = []
-            for name, old, new in zip(("string", "size", "common", "before"), (string, size, common, before), fresh):
+            for name, old, new in zip(("tag", "common", "before"), (tag, common, before), fresh):
                 arr = files.new(name, total, old.dtype)
                 arr[stay] = old
                 arr[row] = new
                 grown.append(arr)
-            string, size, common, before = grown
+            tag, common, before = grown
             common[(row + 1)[has_down]] = with_down[has_down]
             placed = np.sort(row)
     finally:
