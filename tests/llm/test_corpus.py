@@ -234,9 +234,10 @@ def test_url_trees_learn(spark):
 
 
 @pytest.mark.parametrize("name,unit", [("op2_substring_dedup", "words"), ("op7_suffix_dedup", "bytes")])
-@pytest.mark.parametrize("hot,batch", [(2000, 1_000_000), (2, 20_000)])
-def test_repeats(spark, monkeypatch, name, unit, hot, batch):
+@pytest.mark.parametrize("hot,batch,group", [(2000, 1_000_000, 4_096), (2, 20_000, 4_096), (2, 20_000, 4), (10_000, 20_000, 5)])
+def test_repeats(spark, monkeypatch, name, unit, hot, batch, group):
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "GROUP", group)
     monkeypatch.setattr(repeats, "BATCH", batch)
     out = QUERIES[name](spark, SF).toPandas()
     d = documents(spark)
@@ -398,7 +399,7 @@ def test_jaccard_large_group_and_recall(spark, monkeypatch):
     big = out[out.doc_id < 60]
     assert (big.n_links[big.doc_id != 7] == 59).all() and (out[out.doc_id >= 100].n_links == 0).all()
     assert out[out.doc_id.isna()].n_links.tolist() == [1, 1]
-    assert [jaccard_join.runs_for(r) for r in (0.5, 0.9, 0.99, 0.9999)] == [1, 2, 4, 6]
+    assert [jaccard_join.runs_for(r) for r in (0.5, 0.9, 0.99, 0.9999)] == [1, 2, 3, 6]
     with pytest.raises(ValueError):
         jaccard_join.runs_for(1.0)
 
