@@ -266,5 +266,7 @@ def pack_best_fit(df: DataFrame, key: str, length: str, shard: str, size: int, o
 
 
 def numbered(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """Occurrence number of each key, from 0."""
-    return df.withColumn("rep", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
+    """Occurrence number of each key, from 0; a hot key is counted in ranges."""
+    from .relational import with_position
+
+    return with_position(df, *order, by=(key,)).withColumnRenamed("position", "rep")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import islice
+from itertools import combinations, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -175,16 +175,19 @@ def range_part(df: DataFrame, value: Column, parts: int = 0) -> Column:
     return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= value))
 
 
-def with_position(df: DataFrame, *order: str, parts: int = 0) -> DataFrame:
-    """Add ``position`` from 0 in the order of the columns, without putting all rows in one task.
+def with_position(df: DataFrame, *order: str, by: tuple[str, ...] = (), parts: int = 0) -> DataFrame:
+    """Add ``position`` from 0 in the order of the columns (within the groups of ``by``), without putting all rows in one task.
 
     Rows are dealt to ranges of the first column; each range counts on from those before (a
     small table). Rows equal in all of ``order`` must be told apart by it.
     """
     dealt = df.withColumn("_p", range_part(df, F.col(order[0]), parts))
-    base = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")).withColumn("_base", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
-    return placed.join(F.broadcast(base.select("_p", "_base")), "_p").withColumn("position", F.col("_base") + F.col("_i")).drop("_p", "_i", "_base")
+    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    base = dealt.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_c")).withColumn("_base", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    base = base.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], F.col("_p").alias("_q"), "_base")
+    placed = dealt.withColumn("_i", F.row_number().over(Window.partitionBy(*by, "_p").orderBy(*order)) - 1)
+    met = reduce(lambda x, ic: x & F.col(ic[1]).eqNullSafe(F.col(f"_b{ic[0]}")), enumerate(by), F.col("_p") == F.col("_q"))
+    return placed.join(base if by else F.broadcast(base), met).withColumn("position", F.col("_base") + F.col("_i")).select(*df.columns, "position")
 
 
 def recombined(df: DataFrame, key: str, offsets: tuple[int, ...]) -> DataFrame:
@@ -235,14 +238,25 @@ def support(df: DataFrame, field: str, split: str, entity: str) -> DataFrame:
     )
 
 
+def digest_rank(df: DataFrame, stratum: str, digest: Column, *ties: str) -> DataFrame:
+    """Add ``rank`` (from 1, in the order of a hex digest, then ``ties``) and ``of`` (rows of the stratum).
+
+    A digest is uniform: its first three digits deal a stratum to 4,096 parts, which count on from those before, so
+    that no task sorts a stratum.
+    """
+    dealt = df.withColumn("_k", digest).withColumn("_p", F.substring("_k", 1, 3))
+    parts = dealt.groupBy(stratum, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy(stratum)
+    base = parts.select(F.col(stratum).alias("_s"), F.col("_p").alias("_q"), (F.sum("_c").over(whole.orderBy("_p")) - F.col("_c")).alias("_base"), F.sum("_c").over(whole).alias("of"))
+    placed = dealt.withColumn("_i", F.row_number().over(Window.partitionBy(stratum, "_p").orderBy("_k", *ties)))
+    return placed.join(base, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_p") == F.col("_q"))).withColumn("rank", F.col("_base") + F.col("_i")).drop("_k", "_p", "_c", "_s", "_q", "_base", "_i")
+
+
 def assign_splits(df: DataFrame, group: str, stratum: str, salt: str, dev: float = 0.1, test: float = 0.2) -> DataFrame:
     """Splits by the digest order of groups in each stratum: the first dev, the next test, the rest train."""
-    u = Window.partitionBy(stratum)
-    return (
-        df.withColumn("_k", F.md5(F.concat(F.lit(salt), F.col(group).cast("string")))).withColumn("_r", F.row_number().over(u.orderBy("_k", group))).withColumn("_n", F.count(F.lit(1)).over(u))
-        .withColumn("split", F.when(F.col("_r") <= F.bround(F.col("_n") * dev), "dev").when(F.col("_r") <= F.bround(F.col("_n") * dev) + F.bround(F.col("_n") * test), "test").otherwise("train"))
-        .drop("_k", "_r", "_n")
-    )
+    ranked = digest_rank(df, stratum, F.md5(F.concat(F.lit(salt), F.col(group).cast("string"))), group)
+    first, second = F.bround(F.col("of") * dev), F.bround(F.col("of") * test)
+    return ranked.withColumn("split", F.when(F.col("rank") <= first, "dev").when(F.col("rank") <= first + second, "test").otherwise("train")).select(*df.columns, "split")
 
 
 def repeat_to_budget(df: DataFrame, key: str, stratum: str, tokens: str, budget: int, salt: str) -> DataFrame:
@@ -333,14 +347,21 @@ def not_sentinel(c: Column) -> Column:
 
 
 def smallest_union(df: DataFrame, term: str, row: str, k: int) -> DataFrame:
-    """The k terms (of at most 26) whose rows' union is least; ties by the terms in order."""
-    sets = df.groupBy(term).agg(F.collect_set(row).alias("rows0")).withColumnRenamed(term, "t0")
-    acc = sets
-    for i in range(1, k):
-        acc = acc.join(sets.withColumnsRenamed({"t0": f"t{i}", "rows0": f"rows{i}"}), F.col(f"t{i - 1}") < F.col(f"t{i}"))
-    union = reduce(F.array_union, [F.col(f"rows{i}") for i in range(k)])
-    chosen = F.array(*[F.col(f"t{i}") for i in range(k)])
-    return acc.select(chosen.alias("terms"), F.size(union).cast("long").alias("n_rows")).orderBy("n_rows", "terms").limit(1)
+    """The k terms (of at most 26) whose rows' union is least; ties by the terms in order.
+
+    Rows are counted by the set of terms they have (a mask), so that no term's rows are gathered.
+    """
+    spark = df.sparkSession
+    names = [r[0] for r in df.where(F.col(term).isNotNull()).select(term).distinct().orderBy(term).limit(27).collect()]
+    if len(names) > 26:
+        raise ValueError("more than 26 terms")
+    bit = F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, 1 << i)]), F.col(term)) if names else F.lit(0)
+    masks = df.where(F.col(term).isNotNull()).groupBy(row).agg(F.bit_or(bit).alias("_m")).groupBy("_m").agg(F.count(F.lit(1)).alias("_n"))
+    chosen = [([names[i] for i in c], sum(1 << i for i in c)) for c in combinations(range(len(names)), k)]
+    kind = df.schema[term].dataType.simpleString()
+    sets = spark.createDataFrame(chosen, f"terms array<{kind}>, _t int")
+    out = sets.crossJoin(masks).where(F.col("_t").bitwiseAND(F.col("_m")) != 0).groupBy("terms").agg(F.sum("_n").cast("long").alias("n_rows"))
+    return out.orderBy("n_rows", "terms").limit(1)
 
 
 def exposure(docs: DataFrame, text: str, literals: DataFrame, item: str, literal: str, shard: int = 10_000) -> DataFrame:

@@ -63,32 +63,36 @@ def effect_size(differences: list[float]) -> float | None:
     return mean / sd if sd else None
 
 
-def bootstrap(df: DataFrame, diff: str, order: str, resamples: int = 10_000, salt: int = 7) -> DataFrame:
-    """Mean difference and its percentile interval: each resample is a row, which draws all its items by index from a stream of its own."""
+def bootstrap(df: DataFrame, diff: str, resamples: int = 10_000, salt: int = 7, most: int = 1_000_000) -> DataFrame:
+    """Mean difference and its percentile interval.
+
+    Each resample draws as many items as there are, with replacement. Items of one value are
+    alike, so a draw is a multinomial over the distinct values (``most`` of them at most, or an
+    error), from a stream of the resample's own; null differences are drawn but not averaged.
+    """
     spark = df.sparkSession
-    values = df.select(F.col(diff).cast("double").alias("d"), F.col(order).alias("o")).orderBy("o", "d").select("d").toArrow().column(0)
-    n, own = len(values), values.drop_null().to_numpy()
-    if not len(own):
+    rows = df.groupBy(F.col(diff).cast("double").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy("d").limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        raise ValueError(f"more than {most} distinct differences")
+    values, counts = rows.column("d").to_numpy(), rows.column("n").to_numpy()  # null as NaN
+    known = ~np.isnan(values)
+    n, held = int(counts.sum()), int(counts[known].sum())
+    if not held:
         return spark.createDataFrame([(None, None, None, 0)], "low double, high double, mean double, n long")
-    shared = spark.sparkContext.broadcast(values.to_numpy())  # null as NaN
-    step = 1 << 20
+    mean = float((values[known] * counts[known]).sum() / held)
 
     def run(batches):
-        items = shared.value
         for batch in batches:
             means = []
             for b in batch.column(0).to_pylist():
-                rng, total, held = np.random.default_rng([salt, b]), 0.0, 0
-                for at in range(0, n, step):
-                    drawn = items[rng.integers(0, n, min(step, n - at))]
-                    total, held = total + float(np.nansum(drawn)), held + int(np.count_nonzero(~np.isnan(drawn)))
-                means.append(total / held if held else None)
+                drawn = np.random.default_rng([salt, b]).multinomial(n, counts / n)[known]
+                means.append(float((drawn * values[known]).sum() / drawn.sum()) if drawn.sum() else None)
             yield pa.RecordBatch.from_arrays([pa.array(means, pa.float64())], names=["m"])
 
     means = spark.range(0, resamples, 1, min(resamples, 64)).mapInArrow(run, "m double")
     ranked = means.withColumn("r", F.row_number().over(Window.orderBy("m")) - 1)
     low, high = int(0.025 * resamples), min(resamples - 1, int(0.975 * resamples))
-    return ranked.agg(F.max(F.when(F.col("r") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("r") == high, F.col("m"))).alias("high")).select("*", F.lit(float(own.mean())).alias("mean"), F.lit(len(own)).cast("long").alias("n"))
+    return ranked.agg(F.max(F.when(F.col("r") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("r") == high, F.col("m"))).alias("high")).select("*", F.lit(mean).alias("mean"), F.lit(held).cast("long").alias("n"))
 
 
 def mcnemar(b: int, c: int) -> float:

@@ -175,6 +175,14 @@ def composition_exposure(components: DataFrame, task: str, component: str, held:
     return names.join(hits, "held", "left").na.fill(0).withColumn("held", F.array_join("held", "+"))
 
 
+def verified_zero(found: DataFrame, count: str = "n", scanned: str = "scanned") -> int:
+    """How many texts or tasks were looked at, where nothing held out was found; a find, or nothing looked at, is an error."""
+    r = found.agg(F.sum(count).alias("n"), F.min(scanned).alias("s")).first()
+    if r.n or not r.s:
+        raise ValueError(f"{r.n} exposures in {r.s} scanned")
+    return r.s
+
+
 def part_union(parts: DataFrame, task: str, components: str) -> DataFrame:
     """(task, components): the union over a task's parts."""
     return parts.groupBy(task).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(components)))).alias("components"))

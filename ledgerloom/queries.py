@@ -292,7 +292,7 @@ def a_mean_sd_effect(s, d):
 
 @query()
 def a_bootstrap(s, d):
-    return stats.bootstrap(load(s, d, "labels").withColumn("diff", F.col("quality") - F.col("toxic")), "diff", "doc_id")
+    return stats.bootstrap(load(s, d, "labels").withColumn("diff", F.col("quality") - F.col("toxic")), "diff")
 
 
 @query("SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS b, count(*) FILTER (quality = 0 AND toxic = 1) AS c, count(*) AS n FROM labels")
@@ -351,8 +351,8 @@ def w_stratified_split(s, d):
 
 @query("SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('s:' || c_custkey), c_custkey) AS rank FROM customer")
 def w_digest_order(s, d):
-    w = Window.partitionBy("c_mktsegment").orderBy(F.sha2(F.concat(F.lit("s:"), F.col("c_custkey").cast("string")), 256), "c_custkey")
-    return load(s, d, "customer", ["c_mktsegment", "c_custkey"]).withColumn("rank", F.row_number().over(w).cast("long"))
+    digest = F.sha2(F.concat(F.lit("s:"), F.col("c_custkey").cast("string")), 256)
+    return rel.digest_rank(load(s, d, "customer", ["c_mktsegment", "c_custkey"]), "c_mktsegment", digest, "c_custkey").drop("of")
 
 
 @query("""WITH t AS (SELECT p_partkey, p_brand, p_size::BIGINT AS tok, sha256('w3' || chr(0) || p_partkey) AS dig FROM part), w AS (SELECT p_brand, sum(tok) AS w FROM t GROUP BY 1), tot AS (SELECT sum(tok)::BIGINT AS total FROM t),
@@ -373,8 +373,7 @@ def w_repetition_suffix(s, d):
 
 @query("SELECT c_nationkey, min(c_custkey) AS a, max(c_custkey) AS b FROM (SELECT c_nationkey, c_custkey, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 2 AS pair FROM customer) GROUP BY c_nationkey, pair HAVING count(*) = 2")
 def w_adjacent_pairs(s, d):
-    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
-    x = load(s, d, "customer", ["c_nationkey", "c_custkey"]).withColumn("pair", F.floor((F.row_number().over(w) - 1) / 2))
+    x = rel.with_position(load(s, d, "customer", ["c_nationkey", "c_custkey"]), "c_custkey", by=("c_nationkey",)).withColumn("pair", F.floor(F.col("position") / 2))
     return x.groupBy("c_nationkey", "pair").agg(F.min("c_custkey").alias("a"), F.max("c_custkey").alias("b"), F.count(F.lit(1)).alias("k")).where("k = 2").select("c_nationkey", "a", "b")
 
 
@@ -459,17 +458,21 @@ def t_stream_chunks(s, d):
     return chat.stream_chunks(load(s, d, "documents", ["lang", "doc_id", "n_chars"]), "lang", "doc_id", "n_chars", 4096)
 
 
+def sharded(s, d):
+    """Documents in shards of about 50,000, each packed by one task."""
+    x = load(s, d, "documents", ["doc_id", "n_chars"])
+    return x.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(8 + x.count() // 50_000)).cast("int"))
+
+
 @query()
 def t_best_fit(s, d):
-    x = load(s, d, "documents", ["doc_id", "n_chars"]).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int"))
-    return chat.pack_best_fit(x, "doc_id", "n_chars", "shard", 8192)
+    return chat.pack_best_fit(sharded(s, d), "doc_id", "n_chars", "shard", 8192)
 
 
 @query()
 def t_best_fit_split(s, d):
     """``t_best_fit`` with longer documents split instead of truncated."""
-    x = load(s, d, "documents", ["doc_id", "n_chars"]).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int"))
-    return chat.pack_best_fit(x, "doc_id", "n_chars", "shard", 8192, "split")
+    return chat.pack_best_fit(sharded(s, d), "doc_id", "n_chars", "shard", 8192, "split")
 
 
 @query("SELECT doc_id, completion, label FROM (SELECT doc_id, lang AS completion, true AS label FROM documents UNION ALL SELECT doc_id, source, false FROM documents)")

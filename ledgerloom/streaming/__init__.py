@@ -1 +1 @@
-"""Streaming: the surveyed engine has none; batch frames built here also run under readStream where they only project and filter."""
+"""Structured Streaming over evaluation records as they arrive."""

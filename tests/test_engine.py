@@ -361,10 +361,25 @@ def test_packing_strategies(spark):
     assert chat.drop_unsupervised(spark.createDataFrame([([-100],), ([-100, 4],), ([],)], "l array<int>"), "l").count() == 1
 
 
+def test_streamed_accounting(spark, tmp_path):
+    from ledgerloom.streaming import records as live
+
+    (tmp_path / "in").mkdir()
+    line = lambda i, s, t: f'{{"example_id": "{i}", "status": "{s}", "finished": "2026-01-01T00:{t:02d}:00"}}\n'
+    (tmp_path / "in" / "a.json").write_text(line(1, "correct", 1) + line(1, "correct", 1) + line(2, "timeout", 2) + "broken\n" + line(3, "odd", 3) + line(4, "correct", 20))
+    stream = live.read_records(spark, str(tmp_path / "in"))
+    query = live.status_counts(stream, window="10 minutes", late="5 minutes").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    query.awaitTermination(120)
+    got = {(r.start.minute, r.status): r.n for r in spark.table("counts").collect()}
+    assert got == {(0, "correct"): 1, (0, "timeout"): 1, (0, "invalid_output"): 1, (20, "correct"): 1}
+
+
 def test_set_equalities(spark):
     a, b = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "k int, v string"), spark.createDataFrame([(2, None), (1, "x"), (1, "x")], "k int, v string")
     assert rel.same_rows(a, b) and not rel.same_rows(a, b.distinct())
     assert not rel.same_rows(a.withColumn("position", F.monotonically_increasing_id()), b.withColumn("position", F.monotonically_increasing_id() + 1), ordered=True)
+    groups = rel.with_position(spark.range(300).withColumn("g", F.nullif(F.col("id") % 7, F.lit(0))), "id", by=("g",), parts=5).collect()
+    assert all(r.position == (r.id // 7) for r in groups) and len(groups) == 300
     placed = rel.with_position(spark.range(1000).withColumn("h", F.hash("id")), "h", "id", parts=7).orderBy("position").collect()
     assert [r.position for r in placed] == list(range(1000)) and [(r.h, r.id) for r in placed] == sorted((r.h, r.id) for r in placed)
 
@@ -377,7 +392,7 @@ def test_statistics(spark):
             bad()
     assert stats.mcnemar(0, 0) == 1.0 and stats.mcnemar(1, 9) == pytest.approx(0.021484375)
     df = spark.createDataFrame([(i, 1.0) for i in range(10)], "i long, d double")
-    out = stats.bootstrap(df, "d", "i", 50).first()
+    out = stats.bootstrap(df, "d", 50).first()
     assert (out.low, out.high, out.mean, out.n) == (1.0, 1.0, 1.0, 10)
 
 
@@ -468,15 +483,15 @@ def test_bootstrap_draws_ten_thousand(spark):
     assert inspect.signature(stats.bootstrap).parameters["resamples"].default == 10_000
     diffs = [random.Random(1).choice([-1.0, 0.0, 0.0, 2.0]) for _ in range(3)] + [1.0, -1.0, 0.0, 3.0] * 25
     df = spark.createDataFrame([*enumerate(diffs)], "i long, d double")
-    out, again = stats.bootstrap(df, "d", "i").first(), stats.bootstrap(df.orderBy("d"), "d", "i").first()
+    out, again = stats.bootstrap(df, "d").first(), stats.bootstrap(df.orderBy("d"), "d").first()
     mean = sum(diffs) / len(diffs)
     half = 1.959964 * math.sqrt(sum((d - mean) ** 2 for d in diffs)) / len(diffs)
     assert out == again and out.mean == pytest.approx(mean) and out.n == len(diffs)
     assert out.low == pytest.approx(mean - half, abs=0.03) and out.high == pytest.approx(mean + half, abs=0.03)
-    assert tuple(stats.bootstrap(df.limit(0), "d", "i").first()) == (None, None, None, 0)
+    assert tuple(stats.bootstrap(df.limit(0), "d").first()) == (None, None, None, 0)
     labels = engine.QUERIES["a_bootstrap"](spark, SF)
     d = tables.load(spark, SF, "labels").selectExpr("quality - toxic AS diff", "doc_id")
-    assert labels.first() == stats.bootstrap(d, "diff", "doc_id", 10_000).first() != stats.bootstrap(d, "diff", "doc_id", 200).first()
+    assert labels.first() == stats.bootstrap(d, "diff", 10_000).first()
 
 
 def test_digest_order_ranks_every_row(spark):
