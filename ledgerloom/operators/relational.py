@@ -364,15 +364,21 @@ def smallest_union(df: DataFrame, term: str, row: str, k: int) -> DataFrame:
     return out.orderBy("n_rows", "terms").limit(1)
 
 
-def exposure(docs: DataFrame, text: str, literals: DataFrame, item: str, literal: str, shard: int = 10_000) -> DataFrame:
-    """(item, n_docs): documents that hold each literal whole, both sides in exposure form; literals found nowhere have no row.
+def shared_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """One row: how many keys both frames have (0: they are disjoint)."""
+    return a.select(key).distinct().join(b.select(key), key, "left_semi").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def exposure(docs: DataFrame, text: str, literals: DataFrame, item: str, literal: str, shard: int = 10_000, exact: bool = False) -> DataFrame:
+    """(item, n_docs): documents that hold each literal whole, both sides in exposure form (or as they are, ``exact``); literals found nowhere have no row.
 
     Literals are scanned in shards of any number, one on the driver at a time. In a shard they are
     looked up by their first 16 characters (8, 4, 2 or 1 for shorter ones) and then compared whole.
     """
     spark = docs.sparkSession
-    needles = literals.select(F.col(item).cast("long"), nfkc_casefold(F.col(literal)).alias("needle")).where(F.length("needle") > 0)
-    texts = docs.select(nfkc_casefold(F.col(text)).alias("t")).where("t is not null")
+    form = (lambda c: c) if exact else nfkc_casefold
+    needles = literals.select(F.col(item).cast("long"), form(F.col(literal)).alias("needle")).where(F.length("needle") > 0)
+    texts = docs.select(form(F.col(text)).alias("t")).where("t is not null")
 
     def scanned(held: list) -> DataFrame:
         heads: dict[int, dict[str, list[int]]] = {}

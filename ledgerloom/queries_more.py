@@ -189,9 +189,21 @@ def u_part_union(s, d):
     return tasks.part_union(x, "o_custkey", "c").withColumn("components", F.array_join("components", ","))
 
 
+@query("SELECT count(*) AS shared FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')")
+def u_shared_keys(s, d):
+    o = load(s, d, "orders", ["o_custkey", "o_orderstatus"])
+    return rel.shared_keys(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), "o_custkey")
+
+
 # Text
 
 
+@query("SELECT item_id, count(*) AS n_docs FROM benchmark JOIN documents ON contains(documents.text, benchmark.text) WHERE length(benchmark.text) > 0 GROUP BY 1")
+def f_leaks(s, d):
+    """Benchmark texts that stand in documents as they are."""
+    return rel.exposure(load(s, d, "documents", ["text"]), "text", load(s, d, "benchmark"), "item_id", "text", exact=True)
+
+
 @query("SELECT p_partkey, CASE WHEN p_size < 5 THEN 0 ELSE 2 END AS n, CASE WHEN p_size >= 5 THEN p_name END AS first FROM part")
 def f_stored_terms(s, d):
     raw = F.when(F.col("p_size") < 5, "None identified after search").otherwise(F.concat_ws("; ", "p_name", "p_type"))
@@ -467,8 +479,7 @@ def pool(s, d):
     held = load(s, d, "lineitem", ["l_partkey", "l_suppkey", "l_quantity"]).where("l_quantity = 1").join(load(s, d, "part", ["p_partkey", "p_name"]), F.col("p_partkey") == F.col("l_partkey"))
     child = held.select(F.col("l_suppkey").alias("s_suppkey"), F.col("p_name").alias("term")).distinct().join(sup.select("s_suppkey", "split"), "s_suppkey")
     one = tasks.filter_tasks(sup, "supplier", "s_suppkey", "split", ["s_nationkey"])
-    two = tasks.child_tasks(child, "supplier", "held", "s_suppkey", "s_suppkey", "split", "term")
-    return sup, child, one.unionByName(two).unionByName(tasks.breakdown_tasks(sup, "supplier", "s_suppkey", "split", ["s_nationkey"])).unionByName(tasks.measure_tasks(sup, "supplier", "s_suppkey", "split", "s_acctbal"))
+    return sup, child, one.unionByName(tasks.child_tasks(child, "supplier", "held", "s_suppkey", "s_suppkey", "split", "term"))
 
 
 @query(POOL + """SELECT 'filter' AS shape, 'SELECT DISTINCT s_suppkey FROM supplier WHERE s_nationkey = ''' || s_nationkey || ''' ORDER BY s_suppkey' AS gold_sql, array_to_string(train, ',') AS train, array_to_string(full_, ',') AS "full", train <> full_ AS entity_dependent FROM ft WHERE len(train) BETWEEN 1 AND 40
@@ -476,7 +487,7 @@ def pool(s, d):
  UNION ALL SELECT 'child_filter', 'SELECT DISTINCT s_suppkey FROM supplier JOIN held ON held.s_suppkey = supplier.s_suppkey WHERE held.term = ''' || term || ''' ORDER BY s_suppkey', array_to_string(train, ','), array_to_string(full_, ','), train <> full_ FROM ct WHERE len(train) BETWEEN 1 AND 25
  UNION ALL SELECT 'child_count', 'SELECT COUNT(DISTINCT s_suppkey) AS n FROM supplier JOIN held ON held.s_suppkey = supplier.s_suppkey WHERE held.term = ''' || term || '''', len(train)::VARCHAR, len(full_)::VARCHAR, len(train) <> len(full_) FROM ct WHERE len(train) BETWEEN 1 AND 25""")
 def t_task_pool(s, d):
-    x = tasks.finished(pool(s, d)[2]).where(F.col("shape").isin("filter", "count", "child_filter", "child_count"))
+    x = tasks.finished(pool(s, d)[2])
     return x.select("shape", "gold_sql", F.array_join("train", ",").alias("train"), F.array_join("full", ",").alias("full"), "entity_dependent")
 
 
@@ -488,10 +499,10 @@ def t_task_pool(s, d):
  UNION ALL SELECT 'threshold', m.v::VARCHAR, (SELECT string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_suppkey::VARCHAR) FROM sp WHERE split = 'train' AND s_acctbal > m.v), (SELECT string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_suppkey::VARCHAR) FROM sp WHERE s_acctbal > m.v) FROM m WHERE (SELECT count(*) FROM sp WHERE split = 'train' AND s_acctbal > m.v) BETWEEN 1 AND 40""")
 def t_ranked_pool(s, d):
     """Group-by, argmax, top-k (of 10) and threshold tasks."""
-    x = pool(s, d)[2].where(F.col("shape").isin("group_by", "argmax", "topk", "threshold"))
+    sup = pool(s, d)[0]
+    x = tasks.breakdown_tasks(sup, "supplier", "s_suppkey", "split", ["s_nationkey"]).unionByName(tasks.measure_tasks(sup, "supplier", "s_suppkey", "split", "s_acctbal", ks=(10,)))
     value = F.coalesce(F.try_element_at("values_used", F.lit(1)), F.element_at("fields_used", 1))
-    rows = x.select("shape", value.alias("value"), F.array_join("train", ",").alias("train"), F.array_join("full", ",").alias("full"))
-    return rows.where("shape <> 'topk' or value = '10'")
+    return x.select("shape", value.alias("value"), F.array_join("train", ",").alias("train"), F.array_join("full", ",").alias("full"))
 
 
 @query(POOL + """, other AS (SELECT DISTINCT l_suppkey AS s_suppkey, p_type AS kind FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity = 2),

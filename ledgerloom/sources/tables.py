@@ -189,6 +189,13 @@ def file_digest(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def pinned(spark: SparkSession, pins: dict[str, str]) -> None:
+    """Refuse to go on unless every file has the digest it is pinned to; all that differ are named."""
+    wrong = [path for path, sha256 in sorted(pins.items()) if file_digest(spark, path) != sha256]
+    if wrong:
+        raise ValueError(f"files differ from their pins: {', '.join(wrong)}")
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of many files, each small enough for one cell (2 GB); ``file_digest`` streams larger ones."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))

@@ -102,6 +102,21 @@ def test_guard_permits_queries(spark, sql):
     guard.run_sql(spark, scopes(spark), "full", sql, 60.0)
 
 
+def test_execute_pair(spark):
+    gold, own = guard.execute_pair(spark, scopes(spark), "train", "SELECT count(*) AS n FROM companies", "SELECT max(row_id) AS m FROM companies", 60.0)
+    assert (gold, own) == ((("n",), [(2,)]), (("m",), [(2,)]))
+    with pytest.raises(guard.ScopeError):
+        guard.execute_pair(spark, scopes(spark), "other", "SELECT 1", "SELECT 2")
+
+
+def test_verified_zero(spark):
+    sql = spark.createDataFrame([("SELECT a FROM t GROUP BY a",), ("SELECT 'group by'",)], "q string")
+    assert tasks.verified_zero(tasks.operation_exposure(sql, "q", ["argmax_topk"])) == 2
+    for bad in (tasks.operation_exposure(sql, "q", ["group_by"]), tasks.operation_exposure(sql.limit(0), "q", ["group_by"])):
+        with pytest.raises(ValueError):
+            tasks.verified_zero(bad)
+
+
 def test_deadline(spark):
     big = spark.range(200_000)
     with pytest.raises(guard.DeadlineError):
@@ -333,6 +348,9 @@ def test_sources(spark, tmp_path):
         tables.write_csv(df, str(tmp_path / "c"))
     want = hashlib.sha256((tmp_path / "a.jsonl").read_bytes()).hexdigest()
     assert tables.file_digest(spark, str(tmp_path / "a.jsonl")) == want == tables.file_digests(spark, str(tmp_path / "a.jsonl")).first().sha256
+    tables.pinned(spark, {str(tmp_path / "a.jsonl"): want})
+    with pytest.raises(ValueError):
+        tables.pinned(spark, {str(tmp_path / "a.jsonl"): "0" * 64})
     sheet = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>n</t></is></c></row><row r="3"><c r="B3"><v>7</v></c></row></sheetData></worksheet>'
     with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
         z.writestr("xl/worksheets/sheet1.xml", sheet)
