@@ -6,7 +6,7 @@ round j, the symbol that stands before the j-symbol suffix of each string is ins
 follows from the rank of that symbol in the transform so far, its common prefix with its
 neighbours from the least common prefix between the places of equal symbols. Each round reads
 the arrays of the round before and writes new ones, in sequence; above ``IN_MEMORY`` symbols they
-are files in a scratch folder of the task, removed at its end.
+are files in the scratch folder that Spark gives its tasks for spilling: only this task reads them, and they go with it.
 
 Windows of 50 bytes are the suffixes of at least 50 bytes; neighbours with a common prefix of 50
 or more hold the same window. See ``repeats`` for the defined results. A null text is empty.
@@ -14,6 +14,7 @@ or more hold the same window. See ``repeats`` for the defined results. A null te
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 import numpy as np
@@ -31,7 +32,7 @@ class Columns:
     """Equal-length arrays, rewritten as a whole from one round to the next."""
 
     def __init__(self, total: int):
-        self.folder = tempfile.TemporaryDirectory(prefix="columns-") if total > IN_MEMORY else None
+        self.folder = tempfile.TemporaryDirectory(prefix="columns-", dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None) if total > IN_MEMORY else None
         self.turn = 0
 
     def new(self, name: str, n: int, dtype) -> np.ndarray:
