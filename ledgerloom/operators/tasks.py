@@ -12,6 +12,7 @@ import json
 import re
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -147,6 +148,46 @@ def rarest_pair(presence: DataFrame, row: str, field_column: str, split: str, pa
     return counts.where((F.col("train") >= min_train) & (F.col("test") >= min_test)).orderBy("train", "a", "b").limit(1)
 
 
+def select_values(rows: DataFrame, term: str, row: str, entity: str, split: str, k: int, band: tuple[int, int] = (3, 15), least: dict[str, int] | None = None, floor: float = 0.0) -> list | None:
+    """The ``k`` terms to hold out, None if no choice keeps the floor.
+
+    Eligible are terms with support in ``band`` and at least ``least`` rows in each split (26 of
+    them at most, or an error). Chosen is what takes the fewest training rows away, then
+    the fewest training entities, then has the most development rows, then comes first by name;
+    training rows that have any term must not fall below ``floor`` percent.
+    """
+    pairs = rows.select(term, row, entity, split).distinct()
+    sides = ("train", "dev", "test")
+    support = pairs.groupBy(term).agg(F.count(F.lit(1)).alias("all"), *[F.count_if(F.col(split) == x).alias(x) for x in sides])
+    fit = F.col("all").between(*band)
+    for x, n in (least or {}).items():
+        fit = fit & (F.col(x) >= n)
+    eligible_terms = support.where(fit).orderBy(term).limit(27).collect()
+    if len(eligible_terms) > 26:
+        raise ValueError("more than 26 eligible terms")
+    if len(eligible_terms) < k:
+        raise ValueError(f"{len(eligible_terms)} eligible terms, {k} wanted")
+    names, dev = [r[0] for r in eligible_terms], [r["dev"] for r in eligible_terms]
+    train = pairs.where(F.col(split) == "train")
+    bit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, 1 << i)]), F.col(term)), F.lit(0))
+
+    def masks(key: str) -> list[tuple[int, int]]:
+        """How many rows (entities) have which set of eligible terms: at most as many numbers as sets occur."""
+        return [tuple(r) for r in train.groupBy(key).agg(F.bit_or(bit).alias("_m")).groupBy("_m").agg(F.count(F.lit(1)).alias("_n")).collect()]
+
+    by_row, by_entity = masks(row), masks(entity)
+    total = sum(n for _, n in by_row)
+    lost = lambda own, t: sum(n for m, n in own if m & t)
+    best = None
+    for c in combinations(range(len(names)), k):
+        t = sum(1 << i for i in c)
+        gone = lost(by_row, t)
+        if total and 100.0 * (total - gone) / total >= floor:
+            key = (gone, lost(by_entity, t), -sum(dev[i] for i in c), [names[i] for i in c])
+            best = key if best is None else min(best, key)
+    return best[3] if best else None
+
+
 def value_exposure(terms: DataFrame, term: str, split: str) -> DataFrame:
     """(term, exposure): ``seen`` where a training row holds the term, else ``held_out_only``."""
     seen = F.max(F.when(F.col(split) == "train", 1).otherwise(0)) == 1

@@ -109,6 +109,36 @@ def test_execute_pair(spark):
         guard.execute_pair(spark, scopes(spark), "other", "SELECT 1", "SELECT 2")
 
 
+def test_select_values_equals_brute_force(spark):
+    import random
+    from itertools import combinations
+
+    rng = random.Random(5)
+    data = [(f"t{t}", r, r % 40, ("train", "dev", "test")[r % 3]) for r in range(120) for t in range(9) if rng.random() < 0.08 + 0.01 * t]
+    df = spark.createDataFrame(data, "term string, row int, entity int, split string")
+    for k, floor in ((1, 0.0), (2, 60.0), (3, 80.0), (3, 99.9)):
+        rows = {}
+        for t, r, e, s in data:
+            rows.setdefault(t, set()).add((r, e, s))
+        fit = sorted(t for t, x in rows.items() if 3 <= len(x) <= 15 and sum(s == "train" for *_, s in x) >= 2)
+        total, best = len({r for t, r, e, s in data if s == "train"}), None
+        for c in combinations(fit, k):
+            own = set().union(*[rows[t] for t in c])
+            gone = {r for r, _, s in own if s == "train"}
+            if 100 * (total - len(gone)) / total >= floor:
+                key = (len(gone), len({e for _, e, s in own if s == "train"}), -sum(s == "dev" for t in c for *_, s in rows[t]), list(c))
+                best = key if best is None else min(best, key)
+        assert len(fit) >= 3 and tasks.select_values(df, "term", "row", "entity", "split", k, least={"train": 2}, floor=floor) == (best and best[3])
+    with pytest.raises(ValueError):
+        tasks.select_values(df, "term", "row", "entity", "split", 3, band=(1000, 2000))
+
+
+def test_answer_forms_and_paraphrases(spark):
+    df = spark.createDataFrame([("  Ｆull  Straße.. ", "Which companies do x?")], "a string, q string")
+    r = df.select(tx.answer_form(F.col("a")).alias("a"), tasks.paraphrase(F.col("q"), {"Which companies": "What firms", "x": "y"}).alias("q")).first()
+    assert tuple(r) == ("full strasse", "What firms do y?")
+
+
 def test_verified_zero(spark):
     sql = spark.createDataFrame([("SELECT a FROM t GROUP BY a",), ("SELECT 'group by'",)], "q string")
     assert tasks.verified_zero(tasks.operation_exposure(sql, "q", ["argmax_topk"])) == 2
