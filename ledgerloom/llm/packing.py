@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import persist_table, running_start, subs_for, table
 
-SEQUENCE, END_ID, MAX_PLAN, CACHE, BROADCAST = 2048, 1, 1 << 20, 700_000, 8 << 20
+SEQUENCE, END_ID, MAX_PLAN, CACHE, BROADCAST = 2048, 1, 1 << 20, 500_000, 8 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -96,7 +96,7 @@ class ChunkedTokenizer:
     UNSURE = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]").search
     BATCH = 2000
     #: Plain texts are taken together up to about so many characters.
-    CHARACTERS = 8_000_000
+    CHARACTERS = 4_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -237,8 +237,8 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
             _LOADED[path] = ChunkedTokenizer(path)
         tok, end = _LOADED[path], np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
                 ids = [x + end for x in tok.encode([t or "" for t in part.column(2).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "source", "n", "ids"])
 
