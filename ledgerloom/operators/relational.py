@@ -364,6 +364,10 @@ def smallest_union(df: DataFrame, term: str, row: str, k: int) -> DataFrame:
     return out.orderBy("n_rows", "terms").limit(1)
 
 
+#: Characters of a literal that the automaton knows.
+HEAD = 64
+
+
 def shared_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """One row: how many keys both frames have (0: they are disjoint)."""
     return a.select(key).distinct().join(b.select(key), key, "left_semi").agg(F.count(F.lit(1)).alias("shared"))
@@ -372,8 +376,8 @@ def shared_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def exposure(docs: DataFrame, text: str, literals: DataFrame, item: str, literal: str, shard: int = 10_000, exact: bool = False) -> DataFrame:
     """(item, n_docs): documents that hold each literal whole, both sides in exposure form (or as they are, ``exact``); literals found nowhere have no row.
 
-    Literals are scanned in shards of any number, one on the driver at a time. In a shard they are
-    looked up by their first 16 characters (8, 4, 2 or 1 for shorter ones) and then compared whole.
+    Literals are scanned in shards of any number, one on the driver at a time. An automaton over the
+    first ``HEAD`` characters of a shard's literals passes once over each text, and what begins there is compared whole.
     """
     spark = docs.sparkSession
     form = (lambda c: c) if exact else nfkc_casefold
@@ -381,22 +385,24 @@ def exposure(docs: DataFrame, text: str, literals: DataFrame, item: str, literal
     texts = docs.select(form(F.col(text)).alias("t")).where("t is not null")
 
     def scanned(held: list) -> DataFrame:
-        heads: dict[int, dict[str, list[int]]] = {}
-        for i, (_, needle) in enumerate(held):
-            k = min(16, 1 << (len(needle).bit_length() - 1))
-            heads.setdefault(k, {}).setdefault(needle[:k], []).append(i)
-        shared = spark.sparkContext.broadcast((held, heads))
+        shared = spark.sparkContext.broadcast(held)
 
         def run(batches):
-            held, heads = shared.value
+            import ahocorasick
+
+            held, heads = shared.value, {}
+            for i, (_, needle) in enumerate(held):
+                heads.setdefault(needle[:HEAD], []).append(i)
+            automaton = ahocorasick.Automaton()
+            for head, own in heads.items():
+                automaton.add_word(head, (len(head), own))
+            automaton.make_automaton()
             found: dict[int, int] = {}
             for batch in batches:
                 for t in batch.column(0).to_pylist():
-                    for k, by in heads.items():
-                        for head in by.keys() & {t[i : i + k] for i in range(len(t) - k + 1)}:
-                            for i in by[head]:
-                                if held[i][1] in t:
-                                    found[i] = found.get(i, 0) + 1
+                    hits = {i for end, (n, own) in automaton.iter(t) for i in own if t.startswith(held[i][1], end - n + 1)}
+                    for i in hits:
+                        found[i] = found.get(i, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in found], pa.int64()), pa.array(list(found.values()), pa.int64())], names=[item, "n"])
 
         return texts.mapInArrow(run, f"{item} long, n long")
