@@ -9,7 +9,8 @@ merges in rank order. Pieces that the pattern yields are remembered by each work
 table), since words repeat. Decoding gathers bytes through a table of offsets into one buffer.
 
 Defined results: null texts are empty; an empty text has no ids and decodes to the empty text;
-the special strings of the vocabulary are single ids, as the library has them.
+the special strings of the vocabulary are single ids, as the library has them. Only doc_id and text of
+the input are used, so other columns can't clash; repeated rows are coded each; a long text is held whole.
 """
 
 from __future__ import annotations

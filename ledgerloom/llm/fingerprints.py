@@ -12,7 +12,8 @@ document, word counts and samples all reuse that partitioning.
 Defined results: null text is empty; texts without words share one fingerprint (likeness 1
 between them, 0 to others); repeated doc_ids follow each other in the order of a hash of their
 texts; null doc_ids come last in descending order; an empty table gives no rows; a single
-document is its own next.
+document is its own next. Only doc_id and text of the input are used, so other columns can't clash. A text
+is split into words in one row, some ten bytes of memory for each of its bytes.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ Any number of sources has a queue each. The driver holds one row a source and a
 With more than ``SEQUENCE`` sources, a window cannot hold all, and deficits decide whose turn it is.
 
 Defined results: a null text is empty and has only the end token; null sources are one queue;
-an empty table gives no pieces; repeated rows are documents of their own.
+an empty table gives no pieces; repeated rows are documents of their own (told apart by sequence
+and offset). Only doc_id, text and source of the input are used, so other columns can't clash.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ DataFrame operation; hot groups are pre-aggregated before they are shuffled.
 
 Defined results: a null text counts as empty (size 8); equal texts share a shard, so one group
 that outweighs ``total / shards`` makes its shard larger than the others; an empty table gives
-no rows; repeated rows each get their own slot.
+no rows; repeated rows each get their own slot; a column ``shard`` of the input is replaced, other
+columns may have any name.
 """
 
 from __future__ import annotations

@@ -1,7 +1,7 @@
 """Suffix-array dedup by column-wise construction over many short strings.
 
-The strings of a bucket (segments of at most 80 bytes around one anchor, see ``repeats``) get a
-joint Burrows-Wheeler transform and array of common prefixes. They grow column by column: in
+The strings of a bucket (segments of at most 80 bytes around one anchor, see ``repeats``) get, some
+thousands at a time and all of an anchor together, a joint Burrows-Wheeler transform and array of common prefixes. They grow column by column: in
 round j, the symbol that stands before the j-symbol suffix of each string is inserted. Its place
 follows from the rank of that symbol in the transform so far, its common prefix with its
 neighbours from the least common prefix between the places of equal symbols. Each round reads
@@ -25,7 +25,8 @@ from .common import table
 from .repeats import LENGTH, Segments, remove_repeats, same_content
 from .windows import BYTE_HASH, mix, powers, sums
 
-IN_MEMORY = 32_000_000
+#: Strings constructed at a time: their arrays then stay in a processor's cache.
+IN_MEMORY, STRINGS = 32_000_000, 2_000
 
 
 class Columns:
@@ -109,6 +110,16 @@ def construct(data: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarra
         files.close()
 
 
+def together(items: np.ndarray, group: np.ndarray, most: int):
+    """Stretches of ``items`` of about ``most``, whole groups each (equal windows have equal anchors, so they share a group)."""
+    edge = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(items)) if len(items) else np.zeros(1, np.int64)
+    lo = 0
+    while lo < len(items):
+        hi = int(edge[max(np.searchsorted(edge, lo + most, side="right") - 1, np.searchsorted(edge, lo, side="right"))])
+        yield items[lo:hi]
+        lo = hi
+
+
 def least_documents(seg: Segments) -> np.ndarray:
     """Least document of every window of every segment."""
     key, doc, win, body, size = seg.key, seg.doc, seg.windows, seg.body, seg.size
@@ -129,8 +140,8 @@ def least_documents(seg: Segments) -> np.ndarray:
     vwin = win[rep]
     first = np.cumsum(vwin) - vwin
     least = np.repeat(doc[rep], vwin)
-    pick = np.flatnonzero(several)
-    if len(pick):
+    picked = np.flatnonzero(several)
+    for pick in together(picked, group[picked], STRINGS):
         n = size[rep[pick]]
         src = np.repeat(at[rep[pick]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         string, length, common, _ = construct(body[src], n)
