@@ -238,6 +238,7 @@ def test_url_trees_learn(spark):
 def test_repeats(spark, monkeypatch, name, unit, hot, batch, group):
     monkeypatch.setattr(repeats, "HOT", hot)
     monkeypatch.setattr(repeats, "GROUP", group)
+    monkeypatch.setattr(suffix_dedup, "STRINGS", 2_000 if batch == 1_000_000 else 3)
     monkeypatch.setattr(repeats, "BATCH", batch)
     out = QUERIES[name](spark, SF).toPandas()
     d = documents(spark)
@@ -300,6 +301,16 @@ def test_columnwise_construction(monkeypatch, on_disk):
             assert c == next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
 
 
+def test_groups_stay_together():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        group = np.repeat(np.arange(12), rng.integers(0, 9, 12))
+        most = int(rng.integers(1, 20))
+        parts = list(suffix_dedup.together(np.arange(len(group)), group, most))
+        assert np.concatenate([*parts, np.zeros(0, int)]).tolist() == list(range(len(group)))
+        assert all(len(p) <= most or len(set(group[p])) == 1 for p in parts) and not any(set(group[p]) & set(group[q]) for p, q in zip(parts, parts[1:]))
+
+
 def test_sharding(spark):
     d, out = documents(spark), sharding.op3_sharding(spark, SF).toPandas()
     t = d.set_index("doc_id").text
