@@ -28,13 +28,18 @@ def paired(a: DataFrame, b: DataFrame, key: str, same: list[str]) -> DataFrame:
     )
 
 
+def ensure(df: DataFrame, bad: Column, message: Column) -> DataFrame:
+    """The rows as they are; a bad one is an error, whichever columns are read (a filter can't be pruned away)."""
+    return df.where(F.when(F.coalesce(bad, F.lit(False)), F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+
+
 def asserted_join(predictions: DataFrame, items: DataFrame, key: str, same: list[str]) -> DataFrame:
     """Predictions with their items; a prediction without an item or with another value in a field of ``same`` is an error when the row is read."""
     there = items.withColumnsRenamed({c: f"_i_{c}" for c in same}).withColumn("_there", F.lit(True))
     out = predictions.join(there, key, "left")
     wrong = reduce(lambda p, c: p | ~F.col(c).eqNullSafe(F.col(f"_i_{c}")), same, F.col("_there").isNull())
-    message = F.concat(F.lit(f"no item agrees with {key} "), F.col(key).cast("string"))
-    return out.withColumn(key, F.when(wrong, F.raise_error(message)).otherwise(F.col(key))).drop("_there", *[f"_i_{c}" for c in same])
+    message = F.concat(F.lit(f"no item agrees with {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    return ensure(out, wrong, message).drop("_there", *[f"_i_{c}" for c in same])
 
 
 def score_changes(df: DataFrame, keys: list[str], kind: str, original: str, other: str, gold: str, score: str) -> DataFrame:
@@ -95,7 +100,7 @@ def seed_scores(df: DataFrame, seed: str, item: str, score: str) -> DataFrame:
     whole = per.agg(F.min("_h").alias("_low"), F.max("_h").alias("_high"), F.min("n").alias("_least"), F.max("n").alias("_most"))
     out = per.crossJoin(F.broadcast(whole))
     bad = (F.col("n") != F.col("_d")) | (F.col("_low") != F.col("_high")) | (F.col("_least") != F.col("_most"))
-    return out.select(seed, F.when(bad, F.raise_error(F.lit("seeds differ in their items"))).otherwise(F.col("n")).alias("n"), "mean")
+    return ensure(out, bad, F.lit("seeds differ in their items")).select(seed, "n", "mean")
 
 
 def census(df: DataFrame, dimensions: list[str], keys: list[str], score: str, status: str) -> DataFrame:
@@ -189,8 +194,8 @@ def final_run(predictions: DataFrame, items: DataFrame, key: str, text: str, ite
     once = predictions.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first(text).alias("_t"))
     out = items.select(key, F.col(item).alias("_i")).join(once, key, "full_outer")
     wrong = F.col("_n").isNull() | (F.col("_n") > 1) | F.col("_i").isNull()
-    checked = F.when(wrong, F.raise_error(F.concat(F.lit("not one prediction and item for "), F.col(key).cast("string")))).otherwise(F.col(key))
-    return out.select(checked.alias(key), answer_status("_t", F.coalesce("_i", F.lit('{"answer_type": "set", "gold_value": []}'))).alias("status"))
+    message = F.concat(F.lit("not one prediction and item for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    return ensure(out, wrong, message).select(key, answer_status("_t", F.coalesce("_i", F.lit('{"answer_type": "set", "gold_value": []}'))).alias("status"))
 
 
 def classify_artifact(path: str, sha256: str, known: dict[str, str], sealed: set[str]) -> str:

@@ -320,6 +320,9 @@ def test_records_fail_closed(spark):
     for broken in (lambda: records.accounting(df, "status"), lambda: records.asserted_join(df, df.select("id").limit(0), "id", []), lambda: records.seed_scores(df.withColumn("s", df.id % 2), "s", "id", "id"), lambda: records.final_run(df.select("id", "status"), df.selectExpr("id", "'{}' AS i").distinct(), "id", "status", "i"), lambda: rel.fill_sentinels(df, "grader", [], None), lambda: df.select(tasks.exposure_labels(F.array(F.lit("no_match"), F.lit("trained")))), lambda: df.select(chat.within_reserve(F.lit(90), 20, 100)), lambda: tasks.operation_exposure(df.selectExpr("CAST(NULL AS string) AS q"), "q", ["group_by"])):
         with pytest.raises(Exception):
             broken().collect()
+    for pruned in (records.asserted_join(df, df.select("id").limit(0), "id", []), records.seed_scores(df.withColumn("s", df.id % 2), "s", "id", "id")):
+        with pytest.raises(Exception):
+            pruned.agg(F.count(F.lit(1))).collect()
     with pytest.raises(KeyError):
         rel.project(df, ["id", "missing"])
     with pytest.raises(PermissionError):
