@@ -8,7 +8,7 @@ of the doc_id, and one pass over those rows' texts. Scoring covers every whole t
 
 Defined results: empty and null texts have zero statistics and are scored like any other;
 without labels of both classes the score is the share of good labels (1 if there are none);
-a doc_id with both labels counts with each, one with several texts counts with the least of them. A
+a doc_id with both labels counts with each, one with several texts with the least of their statistics. A
 column ``score`` is replaced by the result; other columns may have any name.
 """
 
@@ -158,8 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> R
     if not known:
         return RuleEnsemble()
     chosen = F.broadcast(spark.createDataFrame(known, "doc_id long, quality int"))
-    own = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-    rows = with_statistics(own, keep=["doc_id", "quality"]).toPandas().sort_values(["doc_id", "quality", *NAMES])
+    described = with_statistics(docs.select("doc_id", "text").join(chosen, "doc_id"), keep=["doc_id", "quality"])
+    once = described.groupBy("doc_id", "quality").agg(F.min(F.struct(*NAMES)).alias("s")).select("doc_id", "quality", "s.*")
+    rows = once.toPandas().sort_values(["doc_id", "quality", *NAMES])
     return fit_rules(rows[NAMES].to_numpy(), rows["quality"].to_numpy(dtype=float))
 
 
