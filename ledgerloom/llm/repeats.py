@@ -431,9 +431,7 @@ def covered(b: Batch, codes: np.ndarray, masks: list[dict] | None, gone: list[in
         off = np.zeros(len(rep), bool)
         off[gone or []] = True
         start = np.append(start, hot[off[number] | (doc > doc[rep][number])])
-    change = np.zeros(len(b.sym) + 1, np.int32)
-    np.add.at(change, start, 1)
-    np.add.at(change, start + LENGTH, -1)
+    change = np.bincount(start, minlength=len(b.sym) + 1) - np.bincount(start + LENGTH, minlength=len(b.sym) + 1)
     return np.cumsum(change[:-1]) > 0
 
 

@@ -47,9 +47,18 @@ def sums(sym: np.ndarray) -> np.ndarray:
 
 
 def grams(prefix: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all k-grams from prefix sums."""
+    """Hashes of all k-grams from prefix sums, mixed so far that their high bits order them."""
     n = len(prefix) - k
-    return mix((prefix[k:] - prefix[:n]) * powers(n)[1])
+    out = prefix[k:] - prefix[:n]
+    out *= powers(n)[1]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out
+
+
+def grams_at(prefix: np.ndarray, k: int, at: np.ndarray) -> np.ndarray:
+    """Hashes of the k-grams at some places."""
+    return mix((prefix[at + k] - prefix[at]) * powers(len(prefix))[1][at])
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -78,10 +87,12 @@ def find_runs(sym: np.ndarray, doc_of: np.ndarray, length: int, k: int, want_win
     for s in range(0, max(n, 0), CHUNK):
         e = min(s + CHUNK, n)
         prefix = sums(sym[s : e + length - 1])
-        gram, whole = grams(prefix, k), grams(prefix, length)
+        gram = grams(prefix, k)
         if hashes is not None:
-            hashes[s:e] = whole
-        least = sliding_min((gram & ~low) | np.arange(len(gram), dtype=np.uint64), length - k + 1)
+            hashes[s:e] = grams_at(prefix, length, np.arange(e - s))
+        ranked = gram & ~low
+        ranked |= np.arange(len(gram), dtype=np.uint64)
+        least = sliding_min(ranked, length - k + 1)
         at = (least & low).astype(np.int64)
         fine = doc_of[s:e] == doc_of[s + length - 1 : e + length - 1]
         new = fine.copy()
@@ -91,7 +102,7 @@ def find_runs(sym: np.ndarray, doc_of: np.ndarray, length: int, k: int, want_win
             continue
         count = np.bincount(np.cumsum(new)[fine] - 1, minlength=len(first))
         a, b = first, first + count - 1
-        seg = mix(whole[a] * np.uint64(3) + mix(whole[b] + (at[a] - a).astype(np.uint64) * np.uint64(257) + count.astype(np.uint64)))
+        seg = mix(grams_at(prefix, length, a) * np.uint64(3) + mix(grams_at(prefix, length, b) + (at[a] - a).astype(np.uint64) * np.uint64(257) + count.astype(np.uint64)))
         # Least hashes crowd near zero; mixed again, they spread over all buckets.
         found.append((mix(gram[at[a]]), seg, a + s, count, at[a] - a))
     cols = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
