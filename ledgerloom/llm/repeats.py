@@ -37,8 +37,8 @@ from .common import drop_tables, persist_table, release_shuffles
 from .windows import BYTE_HASH, Runs, exact_ids, find_runs, word_hashes, words_of
 
 BATCH, LENGTH = 1_000_000, 50
-#: Anchors with more segments than this (over all batches) go window by window: so many fill a bucket on their own.
-HOT = 20_000
+#: Anchors with more segments than this (over all batches) go window by window: so many take a few hundred megabytes of a task to construct.
+HOT = 100_000
 #: Batches whose anchors are merged before they meet those of other batches.
 GROUP = 4_096
 K = {"bytes": 20, "words": 12}
