@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, jaccard_join, packing, pii, quality, sharding, substring_dedup, suffix_dedup, topk, url_filter
+from . import bpe, cobucket, fingerprints, jaccard_join, lexical, packing, pii, quality, sharding, substring_dedup, suffix_dedup, topk, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_bpe": bpe.op10_bpe,
     "op11_pii": pii.op11_pii,
+    "op12_lexical": lexical.op12_lexical,
+    "op13_cobucket": cobucket.op13_cobucket,
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -49,4 +51,5 @@ ORACLE_SQL: dict[str, str] = {
  kept AS (SELECT a.doc_id, string_agg(substr(h, 2 * p + 1, 2), '' ORDER BY p) AS t FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS p FROM d) a ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
  SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN runs USING (doc_id)""",
     "op11_pii": pii.oracle_sql(),
+    "op12_lexical": lexical.ORACLE_SQL,
 }
