@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations, islice
+from itertools import combinations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SENTINELS, nfkc_casefold
+from ..functions.text import SENTINELS
 
 
 def project(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -247,16 +246,22 @@ def digest_rank(df: DataFrame, stratum: str, digest: Column, *ties: str) -> Data
     dealt = df.withColumn("_k", digest).withColumn("_p", F.substring("_k", 1, 3))
     parts = dealt.groupBy(stratum, "_p").agg(F.count(F.lit(1)).alias("_c"))
     whole = Window.partitionBy(stratum)
-    base = parts.select(F.col(stratum).alias("_s"), F.col("_p").alias("_q"), (F.sum("_c").over(whole.orderBy("_p")) - F.col("_c")).alias("_base"), F.sum("_c").over(whole).alias("of"))
+    base = parts.select(F.col(stratum).alias("_t"), F.col("_p").alias("_q"), (F.sum("_c").over(whole.orderBy("_p")) - F.col("_c")).alias("_base"), F.sum("_c").over(whole).alias("of"))
     placed = dealt.withColumn("_i", F.row_number().over(Window.partitionBy(stratum, "_p").orderBy("_k", *ties)))
-    return placed.join(base, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_p") == F.col("_q"))).withColumn("rank", F.col("_base") + F.col("_i")).drop("_k", "_p", "_c", "_s", "_q", "_base", "_i")
+    return placed.join(base, F.col(stratum).eqNullSafe(F.col("_t")) & (F.col("_p") == F.col("_q"))).withColumn("rank", F.col("_base") + F.col("_i")).drop("_k", "_p", "_c", "_t", "_q", "_base", "_i")
 
 
 def assign_splits(df: DataFrame, group: str, stratum: str, salt: str, dev: float = 0.1, test: float = 0.2) -> DataFrame:
-    """Splits by the digest order of groups in each stratum: the first dev, the next test, the rest train."""
-    ranked = digest_rank(df, stratum, F.md5(F.concat(F.lit(salt), F.col(group).cast("string"))), group)
+    """Splits by the digest order of groups in each stratum: the first dev, the next test, the rest train.
+
+    Groups are ranked, not rows, so all rows of a group share its split; a group whose rows lie in several strata
+    belongs to the least of them. Rows without a group are a group of their own, in training.
+    """
+    groups = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("_g")).agg(F.min(stratum).alias("_s"))
+    ranked = digest_rank(groups, "_s", F.md5(F.concat(F.lit(salt), F.col("_g").cast("string"))), "_g")
     first, second = F.bround(F.col("of") * dev), F.bround(F.col("of") * test)
-    return ranked.withColumn("split", F.when(F.col("rank") <= first, "dev").when(F.col("rank") <= first + second, "test").otherwise("train")).select(*df.columns, "split")
+    placed = ranked.select("_g", F.when(F.col("rank") <= first, "dev").when(F.col("rank") <= first + second, "test").otherwise("train").alias("split"))
+    return df.join(placed, F.col(group) == F.col("_g"), "left").select(*df.columns, F.coalesce("split", F.lit("train")).alias("split"))
 
 
 def repeat_to_budget(df: DataFrame, key: str, stratum: str, tokens: str, budget: int, salt: str) -> DataFrame:
@@ -300,48 +305,69 @@ def fuzzy_pairs(df: DataFrame, key: str, name: str, threshold: float = 0.86) ->
     """Pairs a < b of names where one's tokens begin the other's, or with a Ratcliff-Obershelp ratio of at least the threshold.
 
     Both sweeps are whole. Token prefixes are an equi-join; a name without tokens begins every
-    name. For the ratio, names are case folded. Of S characters in both, M = ratio * S / 2 are
-    matched in at most S - 2M + 1 blocks, hence at least 3M - S + 1 bigrams (ends marked) are
-    shared: pairs meet on the rarest bigrams of which one must then be shared, and are counted
-    once, at the first that they share. Thresholds up to 2/3 need share none and compare all pairs.
+    name. For the ratio, see ``ratio_pairs``.
     """
-    from ..functions.text import bigrams, casefold, sequence_ratio, tokens
-
-    t = df.where(F.col(name).isNotNull()).select(F.col(key).alias("a"), F.col(name).alias("x"), casefold(F.col(name)).alias("f"))
-    t = t.select("a", "x", "f", tokens(F.col("f")).alias("w"), F.length("f").alias("n"))
-    other = {"a": "b", "x": "y", "f": "g", "w": "v", "n": "m"}
-    u = t.withColumnsRenamed(other)
-    both = ["a", "b", "x", "y", "f", "g", "w", "v"]
+    from ..functions.text import sequence_ratio
 
+    t = _spelled(df, key, name)
+    u = t.withColumnsRenamed(_OTHER)
     begins = F.explode(F.transform(F.sequence(F.lit(0), F.size("v")), lambda i: F.array_join(F.slice("v", 1, i), " "))).alias("start")
     met = t.withColumn("start", F.array_join("w", " ")).join(u.select("*", begins), "start").where("a <> b")
-    turned = [F.when(F.col("a") < F.col("b"), F.col(c)).otherwise(F.col(d)).alias(c) for c, d in zip(both[::2], both[1::2])]
-    turned += [F.when(F.col("a") < F.col("b"), F.col(d)).otherwise(F.col(c)).alias(d) for c, d in zip(both[::2], both[1::2])]
-    by_tokens = met.select(*turned).select(*both)
-
-    if threshold <= 2 / 3:
-        by_ratio = t.join(u, F.col("a") < F.col("b")).select(*both)
-    else:
-        least = F.ceil(F.col("n") * (threshold / (2 - threshold)) - 1e-9)
-        keep = F.col("n") + 2 - F.ceil((F.col("n") + least) * (1.5 * threshold - 1) + 1 - 1e-9)
-        grams = t.withColumn("all", bigrams("f"))
-        long = grams.select("a", F.explode("all").alias("gram"))
-        ranked = long.join(long.groupBy("gram").agg(F.count(F.lit(1)).alias("held")), "gram").groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("held", "gram"))), lambda r: r["gram"]).alias("rank"))
-        left = grams.join(ranked, "a").withColumn("rank", F.slice("rank", 1, keep.cast("int")))
-        right = left.withColumnsRenamed({**other, "all": "all_b", "rank": "rank_b"})
-        size = F.col("n") + F.col("m")
-        matched = F.ceil(size * (threshold / 2) - 1e-9)
-        pair = left.select("*", F.explode("rank").alias("gram")).join(right.select("*", F.explode("rank_b").alias("gram")), "gram")
-        by_ratio = pair.where(
-            (F.col("a") < F.col("b")) & (F.least("n", "m") >= matched) & (F.element_at(F.array_intersect("rank", "rank_b"), 1) == F.col("gram"))
-            & (F.size(F.array_intersect("all", "all_b")) >= 3 * matched - size + 1)
-        ).select(*both)
-
+    turned = [F.when(F.col("a") < F.col("b"), F.col(c)).otherwise(F.col(d)).alias(c) for c, d in zip(_BOTH[::2], _BOTH[1::2])]
+    turned += [F.when(F.col("a") < F.col("b"), F.col(d)).otherwise(F.col(c)).alias(d) for c, d in zip(_BOTH[::2], _BOTH[1::2])]
+    by_tokens = met.select(*turned).select(*_BOTH)
     begun = (F.slice("v", 1, F.size("w")) == F.col("w")) | (F.slice("w", 1, F.size("v")) == F.col("v"))
-    pairs = by_tokens.union(by_ratio).distinct().select("a", "b", "x", "y", sequence_ratio("f", "g").alias("ratio"), begun.alias("token_prefix"))
+    pairs = by_tokens.union(_alike(t, threshold)).distinct().select("a", "b", "x", "y", sequence_ratio("f", "g").alias("ratio"), begun.alias("token_prefix"))
     return pairs.where(F.col("token_prefix") | (F.col("ratio") >= threshold))
 
 
+def ratio_pairs(df: DataFrame, key: str, name: str, threshold: float = 0.86) -> DataFrame:
+    """(a, b, x, y, ratio): pairs a < b of names with a Ratcliff-Obershelp ratio of at least the threshold.
+
+    Names are case folded. Of S characters in both, M = ratio * S / 2 are matched in at most S - 2M + 1
+    blocks, hence at least 3M - S + 1 bigrams (ends marked) are shared: pairs meet on the rarest bigrams of
+    which one must then be shared, and are counted once, at the first that they share.
+    Thresholds up to 2/3 need share none and compare all pairs.
+    """
+    from ..functions.text import sequence_ratio
+
+    pairs = _alike(_spelled(df, key, name), threshold).distinct().select("a", "b", "x", "y", sequence_ratio("f", "g").alias("ratio"))
+    return pairs.where(F.col("ratio") >= threshold)
+
+
+_OTHER = {"a": "b", "x": "y", "f": "g", "w": "v", "n": "m"}
+_BOTH = ["a", "b", "x", "y", "f", "g", "w", "v"]
+
+
+def _spelled(df: DataFrame, key: str, name: str) -> DataFrame:
+    from ..functions.text import casefold, tokens
+
+    t = df.where(F.col(name).isNotNull()).select(F.col(key).alias("a"), F.col(name).alias("x"), casefold(F.col(name)).alias("f"))
+    return t.select("a", "x", "f", tokens(F.col("f")).alias("w"), F.length("f").alias("n"))
+
+
+def _alike(t: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that may have the ratio."""
+    from ..functions.text import bigrams
+
+    if threshold <= 2 / 3:
+        return t.join(t.withColumnsRenamed(_OTHER), F.col("a") < F.col("b")).select(*_BOTH)
+    least = F.ceil(F.col("n") * (threshold / (2 - threshold)) - 1e-9)
+    keep = F.col("n") + 2 - F.ceil((F.col("n") + least) * (1.5 * threshold - 1) + 1 - 1e-9)
+    grams = t.withColumn("all", bigrams("f"))
+    long = grams.select("a", F.explode("all").alias("gram"))
+    ranked = long.join(long.groupBy("gram").agg(F.count(F.lit(1)).alias("held")), "gram").groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("held", "gram"))), lambda r: r["gram"]).alias("rank"))
+    left = grams.join(ranked, "a").withColumn("rank", F.slice("rank", 1, keep.cast("int")))
+    right = left.withColumnsRenamed({**_OTHER, "all": "all_b", "rank": "rank_b"})
+    size = F.col("n") + F.col("m")
+    matched = F.ceil(size * (threshold / 2) - 1e-9)
+    pair = left.select("*", F.explode("rank").alias("gram")).join(right.select("*", F.explode("rank_b").alias("gram")), "gram")
+    return pair.where(
+        (F.col("a") < F.col("b")) & (F.least("n", "m") >= matched) & (F.element_at(F.array_intersect("rank", "rank_b"), 1) == F.col("gram"))
+        & (F.size(F.array_intersect("all", "all_b")) >= 3 * matched - size + 1)
+    ).select(*_BOTH)
+
+
 def not_sentinel(c: Column) -> Column:
     return ~c.isin(*SENTINELS)
 
@@ -364,53 +390,6 @@ def smallest_union(df: DataFrame, term: str, row: str, k: int) -> DataFrame:
     return out.orderBy("n_rows", "terms").limit(1)
 
 
-#: Characters of a literal that the automaton knows.
-HEAD = 64
-
-
 def shared_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """One row: how many keys both frames have (0: they are disjoint)."""
     return a.select(key).distinct().join(b.select(key), key, "left_semi").agg(F.count(F.lit(1)).alias("shared"))
-
-
-def exposure(docs: DataFrame, text: str, literals: DataFrame, item: str, literal: str, shard: int = 10_000, exact: bool = False) -> DataFrame:
-    """(item, n_docs): documents that hold each literal whole, both sides in exposure form (or as they are, ``exact``); literals found nowhere have no row.
-
-    Literals are scanned in shards of any number, one on the driver at a time. An automaton over the
-    first ``HEAD`` characters of a shard's literals passes once over each text, and what begins there is compared whole.
-    """
-    spark = docs.sparkSession
-    form = (lambda c: c) if exact else nfkc_casefold
-    needles = literals.select(F.col(item).cast("long"), form(F.col(literal)).alias("needle")).where(F.length("needle") > 0)
-    texts = docs.select(form(F.col(text)).alias("t")).where("t is not null")
-
-    def scanned(held: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(held)
-
-        def run(batches):
-            import ahocorasick
-
-            held, heads = shared.value, {}
-            for i, (_, needle) in enumerate(held):
-                heads.setdefault(needle[:HEAD], []).append(i)
-            automaton = ahocorasick.Automaton()
-            for head, own in heads.items():
-                automaton.add_word(head, (len(head), own))
-            automaton.make_automaton()
-            found: dict[int, int] = {}
-            for batch in batches:
-                for t in batch.column(0).to_pylist():
-                    hits = {i for end, (n, own) in automaton.iter(t) for i in own if t.startswith(held[i][1], end - n + 1)}
-                    for i in hits:
-                        found[i] = found.get(i, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in found], pa.int64()), pa.array(list(found.values()), pa.int64())], names=[item, "n"])
-
-        return texts.mapInArrow(run, f"{item} long, n long")
-
-    rows = ((r[0], r[1]) for r in needles.toLocalIterator())
-    parts = []
-    while held := list(islice(rows, shard)):
-        parts.append(scanned(held))
-    if not parts:
-        return spark.createDataFrame([], f"{item} long, n_docs long")
-    return reduce(DataFrame.unionAll, parts).groupBy(item).agg(F.sum("n").alias("n_docs"))

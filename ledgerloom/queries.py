@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import chat, records, relational as rel, stats
+from .operators import chat, literals, records, relational as rel, stats
 from .plans import guard
 from .sources.tables import load
 
@@ -500,7 +500,7 @@ def g_guarded_sql(s, d):
 @query("SELECT item_id, count(*) AS n_docs FROM benchmark JOIN documents ON contains(lower(documents.text), lower(benchmark.text)) WHERE length(benchmark.text) > 0 GROUP BY 1")
 def g_exposure(s, d):
     """Benchmark texts found whole in documents, both as NFKC, case folded and with white space collapsed."""
-    return rel.exposure(load(s, d, "documents", ["text"]), "text", load(s, d, "benchmark"), "item_id", "text")
+    return literals.exposed(load(s, d, "documents", ["text"]), "text", load(s, d, "benchmark"), "item_id", "text")
 
 
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
@@ -511,4 +511,4 @@ def q_pricing_summary(s, d):
     )
 
 
-from . import queries_more  # noqa: E402, F401
+from . import queries_identity, queries_more  # noqa: E402, F401

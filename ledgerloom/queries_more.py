@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import sqltext, text as tx
-from .operators import answers, chat, records, relational as rel, stats, tasks
+from .operators import answers, chat, literals, records, relational as rel, stats, tasks
 from .queries import ITEMS, SCOPED, items, judged, n_rows, query, r6, splits
 from .sources import tables
 from .sources.tables import load
@@ -201,7 +201,7 @@ def u_shared_keys(s, d):
 @query("SELECT item_id, count(*) AS n_docs FROM benchmark JOIN documents ON contains(documents.text, benchmark.text) WHERE length(benchmark.text) > 0 GROUP BY 1")
 def f_leaks(s, d):
     """Benchmark texts that stand in documents as they are."""
-    return rel.exposure(load(s, d, "documents", ["text"]), "text", load(s, d, "benchmark"), "item_id", "text", exact=True)
+    return literals.exposed(load(s, d, "documents", ["text"]), "text", load(s, d, "benchmark"), "item_id", "text", exact=True)
 
 
 @query("SELECT p_partkey, CASE WHEN p_size < 5 THEN 0 ELSE 2 END AS n, CASE WHEN p_size >= 5 THEN p_name END AS first FROM part")

@@ -101,13 +101,6 @@ def sheet_cells(content: bytes, sheet: int = 1) -> list[tuple[int, list[str | No
     return out
 
 
-def git_text(repository: str, ref: str, path: str) -> str:
-    """A file as it stands at a git reference (driver side)."""
-    import subprocess
-
-    return subprocess.run(["git", "-C", repository, "show", f"{ref}:{path}"], check=True, capture_output=True).stdout.decode()
-
-
 def scan_log(logs: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """Numbers from the dict literals (``{'loss': 1.2, ...}``) in free text: the other columns, seq (from 0) and the keys as doubles; literals without any of the keys don't count."""
     rest = [c for c in logs.columns if c != text]
