@@ -2,7 +2,7 @@
 
 Golds are computed for a whole shape at once (one grouped query with the scope as a column),
 not by one query for each task. Only values whose support lies within a cap get a task, so the
-list of entities in a gold is bounded by the cap in the training scope.
+list of entities in a gold is bounded by the cap in the training scope; supports are counted before any list is gathered.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import sqltext
+from ..sources.stored import stored
 
 SCOPES = ("train", "train_dev", "full")
 LIST_CAP, JOIN_CAP = 40, 25
@@ -232,47 +233,65 @@ def part_union(parts: DataFrame, task: str, components: str) -> DataFrame:
 # Pool
 
 
-def in_scopes(df: DataFrame, split: str) -> DataFrame:
-    """One row for each scope that holds a row: training rows are in all three, development rows in two, test rows in one."""
-    nested = F.when(F.col(split) == "train", F.array(*map(F.lit, SCOPES))).when(F.col(split) == "dev", F.array(F.lit("train_dev"), F.lit("full"))).otherwise(F.array(F.lit("full")))
-    return df.withColumn("scope", F.explode(nested))
+def scope_level(split: str) -> Column:
+    """Scopes are nested, so one number says which hold a row: training rows (1) are in all three, development rows (2) in two, all others (3) in one."""
+    return F.when(F.col(split) == "train", 1).when(F.col(split) == "dev", 2).otherwise(3)
 
 
-def _golds(rows: DataFrame, keys: list[str], entity: str) -> DataFrame:
-    """(keys, by scope a sorted array of entities, entity_dependent)."""
-    lists = rows.groupBy(*keys).pivot("scope", list(SCOPES)).agg(F.array_sort(F.collect_set(F.col(entity).cast("string"))))
-    return lists.select(*keys, *[F.coalesce(F.col(s), F.array().cast("array<string>")).alias(s) for s in SCOPES]).withColumn("entity_dependent", F.col("full") != F.col("train"))
+def holders(rows: DataFrame, keys: list[str], entity: str, split: str) -> DataFrame:
+    """(keys, entity, level): one row for each entity of a value, with the narrowest scope that it is in."""
+    return rows.where(F.col(entity).isNotNull()).groupBy(*keys, entity).agg(F.min(scope_level(split)).alias("level"))
+
+
+def listed(rows: DataFrame, keys: list[str], entity: str) -> DataFrame:
+    """(keys, by scope a sorted array of entities) from ``holders``; level n is in the n-th scope and all wider ones."""
+    member = F.col(entity).cast("string")
+    return rows.groupBy(*keys).agg(*[F.array_sort(F.collect_list(F.when(F.col("level") <= i, member))).alias(s) for i, s in enumerate(SCOPES, 1)])
+
+
+def _golds(rows: DataFrame, keys: list[str], entity: str, split: str, cap: int) -> DataFrame:
+    """(keys, by scope a sorted array of entities, entity_dependent) of the values that 1 to ``cap`` training entities have.
+
+    Supports come first, as counts; only the entities of values that fit are gathered. Both sides of that join
+    are stored, so that a value with very many entities is split over tasks while it is dropped. The wider
+    scopes' lists grow with what the held-out splits have of a value that fits.
+    """
+    held = stored(holders(rows, keys, entity, split), "pool-holders")
+    fit = stored(held.groupBy(*keys).agg(F.count_if(F.col("level") == 1).alias("_n")).where(F.col("_n").between(1, cap)).select(*keys), "pool-support")
+    return listed(held.join(fit, keys), keys, entity).withColumn("entity_dependent", F.col("full") != F.col("train"))
 
 
 def filter_tasks(parent: DataFrame, table: str, entity: str, split: str, fields: list[str], cap: int = LIST_CAP) -> DataFrame:
     """One filter and one count task for each value of each field that 1 to ``cap`` training entities have."""
     long = parent.select(entity, split, *[F.col(f).cast("string").alias(f) for f in fields]).unpivot([entity, split], fields, "field", "value").where("value is not null")
-    return _listed(_golds(in_scopes(long, split), ["field", "value"], entity), F.lit(table), F.col("field"), entity, F.lit(f" FROM {table} WHERE "), F.lit(0), cap, "filter", "count")
+    return _listed(_golds(long, ["field", "value"], entity, split, cap), F.lit(table), F.col("field"), entity, F.lit(f" FROM {table} WHERE "), F.lit(0), "filter", "count")
 
 
 def child_tasks(child: DataFrame, parent: str, table: str, key: str, entity: str, split: str, term: str, cap: int = JOIN_CAP) -> DataFrame:
     """The same over the terms of a child table, by one join."""
-    rows = in_scopes(child.select(entity, split, F.lit(table).alias("field"), F.col(term).cast("string").alias("value")).where("value is not null"), split)
+    rows = child.select(entity, split, F.lit(table).alias("field"), F.col(term).cast("string").alias("value")).where("value is not null")
     source = F.lit(f" FROM {parent} JOIN {table} ON {table}.{key} = {parent}.{key} WHERE ")
-    return _listed(_golds(rows, ["field", "value"], entity), F.lit(table), F.lit(f"{table}.{term}"), entity, source, F.lit(1), cap, "child_filter", "child_count")
+    return _listed(_golds(rows, ["field", "value"], entity, split, cap), F.lit(table), F.lit(f"{table}.{term}"), entity, source, F.lit(1), "child_filter", "child_count")
 
 
-def _listed(golds: DataFrame, fields: Column, column: Column, entity: str, source: Column, arity: Column, cap: int, list_shape: str, count_shape: str) -> DataFrame:
-    fit = golds.where(F.size("train").between(1, cap))
+def _listed(golds: DataFrame, fields: Column, column: Column, entity: str, source: Column, arity: Column, list_shape: str, count_shape: str) -> DataFrame:
     test = F.concat(column, F.lit(" = "), sqltext.sql_literal(F.col("value")))
     leaf = F.to_json(F.struct(F.lit("eq").alias("op"), F.col("field").alias("field"), F.col("value").alias("value")))
     common = [F.array("field").alias("fields_used"), F.array("value").alias("values_used"), leaf.alias("predicate"), arity.alias("join_arity"), "entity_dependent"]
-    rows = fit.select(F.lit(list_shape).alias("shape"), F.concat(F.lit(f"SELECT DISTINCT {entity}"), source, test, F.lit(f" ORDER BY {entity}")).alias("gold_sql"), F.lit("set").alias("answer_type"), F.lit(entity).alias("target"), *common, *SCOPES)
+    rows = golds.select(F.lit(list_shape).alias("shape"), F.concat(F.lit(f"SELECT DISTINCT {entity}"), source, test, F.lit(f" ORDER BY {entity}")).alias("gold_sql"), F.lit("set").alias("answer_type"), F.lit(entity).alias("target"), *common, *SCOPES)
     sizes = [F.array(F.size(s).cast("string")).alias(s) for s in SCOPES]
     counted = [*common[:-1], (F.size("full") != F.size("train")).alias("entity_dependent")]
-    counts = fit.select(F.lit(count_shape).alias("shape"), F.concat(F.lit(f"SELECT COUNT(DISTINCT {entity}) AS n"), source, test).alias("gold_sql"), F.lit("scalar").alias("answer_type"), F.lit("n").alias("target"), *counted, *sizes)
+    counts = golds.select(F.lit(count_shape).alias("shape"), F.concat(F.lit(f"SELECT COUNT(DISTINCT {entity}) AS n"), source, test).alias("gold_sql"), F.lit("scalar").alias("answer_type"), F.lit("n").alias("target"), *counted, *sizes)
     return rows.unionByName(counts)
 
 
 def breakdown_tasks(parent: DataFrame, table: str, entity: str, split: str, fields: list[str], cap: int = LIST_CAP) -> DataFrame:
     """A group-by and an argmax task for each field with 1 to ``cap`` values in training: ``value|n`` rows in order."""
-    long = in_scopes(parent.select(entity, split, *[F.col(f).cast("string").alias(f) for f in fields]).unpivot([entity, split], fields, "field", "value").where("value is not null"), split)
-    n = long.groupBy("field", "scope", "value").agg(F.count_distinct(entity).alias("n"))
+    long = parent.select(entity, split, *[F.col(f).cast("string").alias(f) for f in fields]).unpivot([entity, split], fields, "field", "value").where("value is not null")
+    counts = holders(long, ["field", "value"], entity, split).groupBy("field", "value").agg(*[F.count_if(F.col("level") <= i).alias(s) for i, s in enumerate(SCOPES, 1)])
+    # Fields with too many values go before anything is ranked or gathered.
+    fit = counts.groupBy("field").agg(F.count_if(F.col("train") > 0).alias("_n")).where(F.col("_n").between(1, cap)).select("field")
+    n = counts.join(F.broadcast(fit), "field").unpivot(["field", "value"], list(SCOPES), "scope", "n").where("n > 0")  # at most as many as fields
     ranked = n.withColumn("r", F.row_number().over(Window.partitionBy("field", "scope").orderBy(F.desc("n"), "value")))
     row = F.concat_ws("|", "value", "n")
 
@@ -280,31 +299,31 @@ def breakdown_tasks(parent: DataFrame, table: str, entity: str, split: str, fiel
         lists = rows.groupBy("field").pivot("scope", list(SCOPES)).agg(F.array_sort(F.collect_list(F.struct(F.col("r") if kind == "top_k" else F.col("value"), row.alias("row")))))
         out = lists.select("field", *[F.coalesce(F.transform(s, lambda x: x["row"]), F.array().cast("array<string>")).alias(s) for s in SCOPES])
         sql = F.concat(F.lit("SELECT "), "field", F.lit(f", COUNT(DISTINCT {entity}) AS n FROM {table} GROUP BY "), "field", F.lit(order))
-        return out.where(F.size("train").between(1, cap)).select(
+        return out.select(
             F.lit(shape).alias("shape"), sql.alias("gold_sql"), F.lit(kind).alias("answer_type"), F.concat(F.col("field"), F.lit(",n")).alias("target"), F.array("field").alias("fields_used"), F.array().cast("array<string>").alias("values_used"),
             F.to_json(F.struct(F.lit(shape).alias("op"), "field", F.col("field").alias("value"))).alias("predicate"), F.lit(0).alias("join_arity"), (F.col("full") != F.col("train")).alias("entity_dependent"), *SCOPES,
         )
 
-    few = ranked.withColumn("_groups", F.max(F.when(F.col("scope") == "train", F.col("r"))).over(Window.partitionBy("field"))).where(F.col("_groups") <= cap)
-    grouped = shaped(few, "group_by", "set", "")
-    return grouped.unionByName(shaped(few.where("r = 1"), "argmax", "top_k", " ORDER BY n DESC, 1 LIMIT 1"))
+    grouped = shaped(ranked, "group_by", "set", "")
+    return grouped.unionByName(shaped(ranked.where("r = 1"), "argmax", "top_k", " ORDER BY n DESC, 1 LIMIT 1"))
 
 
 def measure_tasks(parent: DataFrame, table: str, entity: str, split: str, measure: str, ks=(3, 5, 10), cap: int = LIST_CAP) -> DataFrame:
     """Threshold tasks at the training quartiles (those that 1 to ``cap`` rows pass) and top-k tasks."""
     from .stats import at_ranks
 
-    scoped = in_scopes(parent.select(entity, split, measure), split)
+    rows = parent.select(entity, measure, split, scope_level(split).alias("level"))
     marks = at_ranks(parent.where(F.col(split) == "train"), measure, {"a": (1, 4), "b": (1, 2), "c": (3, 4)}).select(F.explode(F.array_compact(F.array_distinct(F.array("a", "b", "c")))).alias("value"))
-    passed = scoped.join(F.broadcast(marks), F.col(measure) > F.col("value"))
-    support = passed.where("scope = 'train'").groupBy("value").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n").between(1, cap)).select("value")
-    lists = passed.join(F.broadcast(support), "value").groupBy("value").pivot("scope", list(SCOPES)).agg(F.array_sort(F.collect_set(F.col(entity).cast("string"))))
+    passed = rows.join(F.broadcast(marks), F.col(measure) > F.col("value"))
+    support = passed.where("level = 1").groupBy("value").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n").between(1, cap)).select("value")  # three marks at most
+    lists = listed(holders(passed.join(F.broadcast(support), "value"), ["value"], entity, split), ["value"], entity)
     above = lists.select(F.lit("threshold").alias("shape"), F.concat(F.lit(f"SELECT {entity} FROM {table} WHERE {measure} > "), F.col("value").cast("string")).alias("gold_sql"), F.lit("set").alias("answer_type"), F.lit(entity).alias("target"), F.lit("gt").alias("op"), F.col("value").cast("string").alias("value"), *SCOPES)
     spark = parent.sparkSession
     k = F.broadcast(spark.createDataFrame([(int(x),) for x in ks], "k int"))
-    best = scoped.withColumn("r", F.row_number().over(Window.partitionBy("scope").orderBy(F.desc(measure), entity))).where(F.col("r") <= max(ks)).join(k, F.col("r") <= F.col("k"))
-    rows = best.groupBy("k").pivot("scope", list(SCOPES)).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", F.concat_ws("|", F.col(entity).cast("string"), F.col(measure).cast("string")).alias("row")))), lambda x: x["row"]))
-    top = rows.select(F.lit("topk").alias("shape"), F.concat(F.lit(f"SELECT {entity}, {measure} FROM {table} ORDER BY {measure} DESC, {entity} LIMIT "), F.col("k").cast("string")).alias("gold_sql"), F.lit("top_k").alias("answer_type"), F.lit(f"{entity},{measure}").alias("target"), F.lit("topk").alias("op"), F.col("k").cast("string").alias("value"), *SCOPES)
+    top = [rows.where(F.col("level") <= i).orderBy(F.desc(measure), entity).limit(max(ks)).withColumn("scope", F.lit(s)) for i, s in enumerate(SCOPES, 1)]
+    best = reduce(DataFrame.unionAll, top).withColumn("r", F.row_number().over(Window.partitionBy("scope").orderBy(F.desc(measure), entity))).join(k, F.col("r") <= F.col("k"))
+    ranked = best.groupBy("k").pivot("scope", list(SCOPES)).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", F.concat_ws("|", F.col(entity).cast("string"), F.col(measure).cast("string")).alias("row")))), lambda x: x["row"]))
+    top = ranked.select(F.lit("topk").alias("shape"), F.concat(F.lit(f"SELECT {entity}, {measure} FROM {table} ORDER BY {measure} DESC, {entity} LIMIT "), F.col("k").cast("string")).alias("gold_sql"), F.lit("top_k").alias("answer_type"), F.lit(f"{entity},{measure}").alias("target"), F.lit("topk").alias("op"), F.col("k").cast("string").alias("value"), *SCOPES)
     both = above.unionByName(top)
     return both.select("shape", "gold_sql", "answer_type", "target", F.array(F.lit(measure)).alias("fields_used"), F.array("value").alias("values_used"), F.to_json(F.struct("op", F.lit(measure).alias("field"), "value")).alias("predicate"), F.lit(0).alias("join_arity"), (~F.col("full").eqNullSafe(F.col("train"))).alias("entity_dependent"), *SCOPES)
 
@@ -312,7 +331,7 @@ def measure_tasks(parent: DataFrame, table: str, entity: str, split: str, measur
 def composition_tasks(a: DataFrame, b: DataFrame, parent: str, names: tuple[str, str], entity: str, split: str, terms: tuple[str, str], cap: int = JOIN_CAP) -> DataFrame:
     """A task for each pair of terms of two child tables that 1 to ``cap`` training entities hold both of."""
     x, y = a.select(entity, split, F.col(terms[0]).cast("string").alias("va")).distinct(), b.select(entity, F.col(terms[1]).cast("string").alias("vb")).distinct()
-    golds = _golds(in_scopes(x.join(y, entity), split), ["va", "vb"], entity).where(F.size("train").between(1, cap))
+    golds = _golds(x.join(y, entity), ["va", "vb"], entity, split, cap)
     (ta, tb), (fa, fb) = names, terms
     sql = F.concat(
         F.lit(f"SELECT DISTINCT {parent}.{entity} FROM {parent} JOIN {ta} ON {ta}.{entity} = {parent}.{entity} JOIN {tb} ON {tb}.{entity} = {parent}.{entity} WHERE {ta}.{fa} = "), sqltext.sql_literal(F.col("va")),

@@ -158,12 +158,12 @@ def j_residual(s, d):
     return rel.residual_pairs(load(s, d, "customer"), load(s, d, "supplier"), ("c_nationkey", "c_acctbal"), ("s_nationkey", "s_acctbal"))
 
 
-RARE = "SELECT o_custkey, p_brand || '/' || p_type AS kind FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE p_size = 50"
+RARE = "SELECT o_custkey, p_brand || '/' || p_type || '/' || p_size AS kind FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey"
 
 
 @query(f"SELECT x.kind, y.o_orderpriority, count(*) AS n FROM (SELECT DISTINCT o_custkey, kind FROM ({RARE})) x JOIN (SELECT DISTINCT o_custkey, o_orderpriority FROM orders) y USING (o_custkey) GROUP BY ALL HAVING count(*) BETWEEN 1 AND 25")
 def j_value_pairs(s, d):
-    parts = load(s, d, "part", ["p_partkey", "p_brand", "p_type", "p_size"]).where("p_size = 50").select("p_partkey", F.concat_ws("/", "p_brand", "p_type").alias("kind"))
+    parts = load(s, d, "part", ["p_partkey", "p_brand", "p_type", "p_size"]).select("p_partkey", F.concat_ws("/", "p_brand", "p_type", F.col("p_size").cast("string")).alias("kind"))
     held = load(s, d, "lineitem", ["l_orderkey", "l_partkey"]).join(parts, F.col("p_partkey") == F.col("l_partkey"))
     facts = load(s, d, "orders", ["o_orderkey", "o_custkey"]).join(held, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "kind")
     return rel.value_pairs(facts, load(s, d, "orders"), "o_custkey", "kind", "o_orderpriority", 1, 25)

@@ -90,10 +90,11 @@ def a_rarest_pair(s, d):
     return tasks.rarest_pair(children(s, d), "o_custkey", "field", "split", [("brand", "type"), ("urgent", "type"), ("brand", "urgent")])
 
 
-@query(SCOPED + f"SELECT term, CASE WHEN count(*) FILTER (split = 'train') > 0 THEN 'seen' ELSE 'held_out_only' END AS exposure FROM (SELECT n_name AS term, split FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN scoped USING (c_custkey) WHERE c_custkey % 40 = 0) GROUP BY 1")
+@query(SCOPED + "SELECT term, CASE WHEN count(*) FILTER (split = 'train') > 0 THEN 'seen' ELSE 'held_out_only' END AS exposure FROM (SELECT floor(c_acctbal / 10)::BIGINT::VARCHAR AS term, split FROM customer JOIN scoped USING (c_custkey)) GROUP BY 1")
 def a_value_exposure(s, d):
-    c = load(s, d, "customer").where("c_custkey % 40 = 0").join(F.broadcast(load(s, d, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
-    return tasks.value_exposure(c.join(splits(s, d).select("c_custkey", "split"), "c_custkey").select(F.col("n_name").alias("term"), "split"), "term", "split")
+    """Balances by tens: some are held by customers outside training only."""
+    x = load(s, d, "customer", ["c_custkey", "c_acctbal"]).join(splits(s, d).select("c_custkey", "split"), "c_custkey")
+    return tasks.value_exposure(x.select(F.floor(F.col("c_acctbal") / 10).cast("long").cast("string").alias("term"), "split"), "term", "split")
 
 
 @query("SELECT b, c, round(least(1.0, 2 * list_sum([exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)) FOR i IN range(0, least(b, c) + 1)])), 6) AS p FROM (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS b, count(*) FILTER (quality = 0 AND toxic = 1) AS c FROM labels)")
@@ -165,10 +166,10 @@ def w_preferred(s, d):
     return rel.preferred(x, "c_mktsegment", "matched", 25, "o_custkey")
 
 
-@query("""WITH p AS (SELECT DISTINCT p_name AS term, l_suppkey AS e FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity = 1), t AS (SELECT term FROM p GROUP BY 1 HAVING count(*) >= 2 ORDER BY 1 LIMIT 8)
+@query("""WITH p AS (SELECT DISTINCT p_name AS term, l_suppkey AS e FROM lineitem JOIN part ON p_partkey = l_partkey), t AS (SELECT term FROM p GROUP BY 1 HAVING count(*) >= 2 ORDER BY 1 LIMIT 8)
  SELECT term, (SELECT array_to_string(list_sort(list(e))[1:2], ',') FROM p WHERE p.term = t.term) AS matches, (SELECT min(e) FROM (SELECT DISTINCT e FROM p) a WHERE e NOT IN (SELECT e FROM p WHERE p.term = t.term)) AS other FROM t""")
 def w_evidence_sets(s, d):
-    x = load(s, d, "lineitem", ["l_partkey", "l_suppkey", "l_quantity"]).where("l_quantity = 1").join(load(s, d, "part", ["p_partkey", "p_name"]), F.col("p_partkey") == F.col("l_partkey"))
+    x = load(s, d, "lineitem", ["l_partkey", "l_suppkey"]).join(load(s, d, "part", ["p_partkey", "p_name"]), F.col("p_partkey") == F.col("l_partkey"))
     return rel.evidence_sets(x.select(F.col("p_name").alias("term"), F.col("l_suppkey").alias("e")), "term", "e").withColumn("matches", F.array_join("matches", ","))
 
 
@@ -468,7 +469,7 @@ def t_encode_library(s, d):
 
 
 POOL = """WITH sp AS (SELECT s_suppkey, s_nationkey, s_acctbal, CASE WHEN s_suppkey % 5 = 0 THEN 'dev' WHEN s_suppkey % 5 = 1 THEN 'test' ELSE 'train' END AS split FROM supplier),
- held AS (SELECT DISTINCT l_suppkey AS s_suppkey, p_name AS term FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity = 1),
+ held AS (SELECT DISTINCT l_suppkey AS s_suppkey, l_partkey::VARCHAR AS term FROM lineitem),
  ft AS (SELECT s_nationkey, list(s_suppkey::VARCHAR ORDER BY s_suppkey::VARCHAR) FILTER (split = 'train') AS train, list(s_suppkey::VARCHAR ORDER BY s_suppkey::VARCHAR) AS full_ FROM sp GROUP BY 1),
  ct AS (SELECT term, list(s_suppkey::VARCHAR ORDER BY s_suppkey::VARCHAR) FILTER (split = 'train') AS train, list(s_suppkey::VARCHAR ORDER BY s_suppkey::VARCHAR) AS full_ FROM held JOIN sp USING (s_suppkey) GROUP BY 1) """
 
@@ -476,8 +477,8 @@ POOL = """WITH sp AS (SELECT s_suppkey, s_nationkey, s_acctbal, CASE WHEN s_supp
 def pool(s, d):
     k = F.col("s_suppkey") % 5
     sup = load(s, d, "supplier").withColumn("split", F.when(k == 0, "dev").when(k == 1, "test").otherwise("train"))
-    held = load(s, d, "lineitem", ["l_partkey", "l_suppkey", "l_quantity"]).where("l_quantity = 1").join(load(s, d, "part", ["p_partkey", "p_name"]), F.col("p_partkey") == F.col("l_partkey"))
-    child = held.select(F.col("l_suppkey").alias("s_suppkey"), F.col("p_name").alias("term")).distinct().join(sup.select("s_suppkey", "split"), "s_suppkey")
+    held = load(s, d, "lineitem", ["l_partkey", "l_suppkey"])
+    child = held.select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").cast("string").alias("term")).distinct().join(sup.select("s_suppkey", "split"), "s_suppkey")
     one = tasks.filter_tasks(sup, "supplier", "s_suppkey", "split", ["s_nationkey"])
     return sup, child, one.unionByName(tasks.child_tasks(child, "supplier", "held", "s_suppkey", "s_suppkey", "split", "term"))
 
@@ -505,13 +506,13 @@ def t_ranked_pool(s, d):
     return x.select("shape", value.alias("value"), F.array_join("train", ",").alias("train"), F.array_join("full", ",").alias("full"))
 
 
-@query(POOL + """, other AS (SELECT DISTINCT l_suppkey AS s_suppkey, p_type AS kind FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity = 2),
+@query(POOL + """, other AS (SELECT DISTINCT l_suppkey AS s_suppkey, l_returnflag AS kind FROM lineitem),
  pairs AS (SELECT term, kind, list(s_suppkey::VARCHAR ORDER BY s_suppkey::VARCHAR) FILTER (split = 'train') AS train, list(s_suppkey::VARCHAR ORDER BY s_suppkey::VARCHAR) AS full_ FROM held JOIN other USING (s_suppkey) JOIN sp USING (s_suppkey) GROUP BY 1, 2)
  SELECT term, kind, array_to_string(train, ',') AS train, array_to_string(full_, ',') AS "full" FROM pairs WHERE len(train) BETWEEN 1 AND 25""")
 def t_composition_pool(s, d):
     _, child, _ = pool(s, d)
-    other = load(s, d, "lineitem", ["l_partkey", "l_suppkey", "l_quantity"]).where("l_quantity = 2").join(load(s, d, "part", ["p_partkey", "p_type"]), F.col("p_partkey") == F.col("l_partkey"))
-    x = tasks.composition_tasks(child, other.select(F.col("l_suppkey").alias("s_suppkey"), F.col("p_type").alias("kind")).distinct(), "supplier", ("held", "other"), "s_suppkey", "split", ("term", "kind"))
+    other = load(s, d, "lineitem", ["l_suppkey", "l_returnflag"])
+    x = tasks.composition_tasks(child, other.select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_returnflag").alias("kind")).distinct(), "supplier", ("held", "other"), "s_suppkey", "split", ("term", "kind"))
     return x.select(F.col("values_used")[0].alias("term"), F.col("values_used")[1].alias("kind"), F.array_join("train", ",").alias("train"), F.array_join("full", ",").alias("full"))
 
 
