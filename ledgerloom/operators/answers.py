@@ -1,246 +1,273 @@
-"""Natural-language answers: contract, parsing with bounded repairs, grading by answer type.
+"""Natural-language answers: contract, reading, bounded repairs and grading, as expressions over Variant values.
 
-One answer is graded by plain functions; over a table they run in Arrow batches
-(``graded_answers``), since nested JSON of any shape has no column type of its own. What a
-column expression can say (the contract, a set's duplicates) is one.
+A response is read as one JSON value, bare or in a code fence; one that is none is read as words, by the caller's
+``Wording``. The value becomes a list of members (a scalar has one), each as it was given and as it is without surplus
+quotes; members, gold values and names are compared in answer form, which is the one thing that Python
+computes (in Arrow batches). Numbers compare by value, so 1.0 and 1 are the same; JSON's null equals a null only.
 """
 
 from __future__ import annotations
 
 import json
-import re
-import unicodedata
-from typing import NamedTuple
+from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
-from .grade import degenerate
-
-#: Quotes that may be stripped in pairs, and how many layers of them.
-PAIRS, LAYERS = {'"': '"', "“": "”"}, 2
-#: Sentences that training answers wrap a value in; {} is the company.
-OPENINGS = (r"The companies are:\s*", r"{}(?:'s)? (?:recorded processes are|recorded services are):\s*", r"The dataset records these certifications for {}:\s*")
-DISCLAIMER = ". This does not independently establish current validity or customer qualification."
-EMPTY = ("no companies match", "no matching companies", "none")
-SENTENCES = {
-    "category": "{} is classified in the (.+?) category\\.",
-    "industry_group": "{} belongs to the (.+?) industry group\\.",
-    "location": "{} is located at (.+?)\\.",
-    "address": "{}'s street address is (.+?)\\.",
-    "primary_facility_type": "{}'s primary facility type is (.+?)\\.",
-    "ev_supply_chain_role": "{}'s EV supply chain role is (.+?)\\.",
-    "primary_oems": "{}'s primary OEMs are recorded as (.+?)\\.",
-    "supplier_or_affiliation_type": "{}'s supplier or affiliation type is (.+?)\\.",
-    "product_or_service": "{}'s product or service is (.+?)\\.",
-    "ev_battery_relevant": "EV or battery relevance for {} is recorded as (.+?)\\.",
-    "classification_method": "{} was classified by (.+?)\\.",
-    "employment": "The dataset records employment of (\\d+) for {}; its scope and date are not established here\\.",
-}
-
-
-class Answer(NamedTuple):
-    """``contract``: the text as given is one JSON value of the right type; ``strict``: right under the contract without repair."""
-
-    status: str
-    strict: bool
-    contract: bool
-    repairs: tuple[str, ...] = ()
-    precision: float | None = None
-    recall: float | None = None
-    missing: tuple[str, ...] = ()
-    extra: tuple[str, ...] = ()
-    duplicates: int = 0
-    parts: tuple[tuple[str, str], ...] = ()
-
-    @property
-    def correct(self) -> bool:
-        return self.status == "correct"
-
-
-def normal(v) -> str:
-    """NFKC, case folded, white space collapsed, without full stops at the end."""
-    return " ".join(unicodedata.normalize("NFKC", str(v)).casefold().split()).rstrip(".")
-
-
-def _strict_json(text: str):
-    def refuse(word):
-        raise ValueError(f"not JSON: {word}")
-
-    return json.loads(text, parse_constant=refuse)
-
-
-def keeps_contract(text, answer_type: str) -> bool:
-    """Is the whole text one strict JSON value of the type's shape? The gold is not looked at."""
-    if not isinstance(text, str):
-        return False
-    try:
-        value = _strict_json(text.strip())
-    except (ValueError, RecursionError):
-        return False
-    if answer_type == "scalar":
-        return isinstance(value, str | int | float) and not isinstance(value, bool)
-    return answer_type in ("set", "top_k") and isinstance(value, list)
-
-
-def contract_column(text: Column, answer_type: str) -> Column:
-    """``keeps_contract`` as a column expression."""
-    kind = F.schema_of_variant(F.try_parse_json(F.regexp_replace(text, r"^\s+|\s+$", "")))
-    if answer_type == "scalar":
-        fits = F.rlike(kind, F.lit(r"^(STRING|BIGINT|DOUBLE|DECIMAL.*)$"))
-    else:
-        fits = kind.startswith("ARRAY") if answer_type in ("set", "top_k") else F.lit(False)
-    return F.coalesce(fits, F.lit(False))
-
-
-def without_fence(text: str) -> str | None:
-    """What stands in a code fence (or the text itself); None for a fence that does not close."""
-    t = text.strip()
-    if not t.startswith("```"):
-        return t
-    if len(t) < 6 or not t.endswith("```"):
-        return None
-    inner = t[3:-3]
-    return (inner[4:] if inner.startswith("json") else inner).strip()
-
-
-def unquoted(value, spent: int = 0) -> tuple[object, bool]:
-    """Strip surplus quotes, ``LAYERS`` at most less those spent: (value, whether any went)."""
-    changed = False
-    for _ in range(LAYERS - spent):
-        t = value.strip() if isinstance(value, str) else ""
-        if len(t) < 2 or PAIRS.get(t[0]) != t[-1]:
-            break
-        value, changed = t[1:-1], True
-    return value, changed
-
-
-def unwrapped(value, item: dict) -> tuple[object, bool]:
-    """The value of an object whose one key is the requested attribute or a target column."""
-    asked = {normal(k) for k in [item.get("attribute"), *(item.get("target_columns") or ())] if k}
-    if isinstance(value, dict) and len(value) == 1:
-        ((key, inner),) = value.items()
-        if normal(key) in asked:
-            return inner, True
-    return value, False
-
-
-def parsed(text: str, item: dict):
-    """(value, was JSON): JSON, fenced or not; else the value of a known sentence, a list, or the plain text."""
-    t = without_fence(text)
-    if t is None:
-        raise ValueError("malformed fence")
-    try:
-        return json.loads(t), True
-    except ValueError:
-        pass
-    company = re.escape(item.get("company", ""))
-    for opening in (r"The answer is\s+", *OPENINGS):
-        t = re.sub("^" + opening.replace("{}", company), "", t, flags=re.I)
-    t = t.removesuffix(DISCLAIMER)
-    if item["answer_type"] == "set":
-        if t.rstrip(".!").lower() in EMPTY and len(t) - len(t.rstrip(".!")) <= 1:
-            return [], False
-        lines = re.split(r";|\n\s*(?:[-*•]|\d+[.)])\s*", t)
-        return [re.sub(r"^[-*•]\s*", "", x.strip()).rstrip(".") for x in lines if x.strip()], False
-    sentence = SENTENCES.get(item.get("attribute"))
-    found = sentence and re.fullmatch(sentence.replace("{}", company), t, re.I | re.S)
-    return (found[1] if found else t.rstrip(".")), False
-
-
-def _rows(text: str, item: dict) -> Answer:
-    """Rows of rows: in order for top_k, as a set else; null is not the word "null"."""
-    gold = item["gold_value"]
-    try:
-        value = _strict_json(text)
-    except (ValueError, TypeError):
-        return Answer("parse_failure", False, False)
-    width = len(gold["columns"])
-    if not isinstance(value, list) or not all(isinstance(r, list) and len(r) == width and not any(isinstance(v, dict | list) for v in r) for r in value):
-        return Answer("incorrect", False, False)
-    key = lambda row: tuple(None if v is None else normal(v) for v in row)
-    want, got = [key(r) for r in gold["rows"]], [key(r) for r in value]
-    right = got == want if item["answer_type"] == "top_k" else set(got) == set(want)
-    return Answer("correct" if right else "incorrect", right, True, duplicates=len(got) - len(set(got)))
-
-
-def _parts(text: str, item: dict, unique: bool) -> Answer:
-    """An object with exactly the declared part ids, each part graded by its own type; all must be right."""
-    parts, gold = item.get("parts") or [], item["gold_value"]
-    names = [p["part_id"] for p in parts]
-    if not names or len(set(names)) != len(names) or not isinstance(gold, dict) or set(gold) != set(names):
-        raise ValueError("gold and part ids must agree")
-    try:
-        value = _strict_json(text)
-    except (ValueError, TypeError):
-        return Answer("parse_failure", False, False)
-    if not isinstance(value, dict) or set(value) != set(names):
-        return Answer("incorrect", False, False)
-    done = [(p["part_id"], grade_answer(json.dumps(value[p["part_id"]], ensure_ascii=False), {**p, "gold_value": gold[p["part_id"]]}, unique=unique)) for p in parts]
-    right = all(g.correct for _, g in done)
-    return Answer("correct" if right else "incorrect", all(g.strict for _, g in done), all(g.contract for _, g in done), parts=tuple((k, g.status) for k, g in done))
-
-
-def grade_answer(text, item: dict, truncated: bool = False, unique: bool = False) -> Answer:
-    """Grade one answer for ``item`` (answer_type, gold_value; attribute, company, target_columns, parts where they apply).
-
-    ``unique``: the final contract, by which a set that names a value twice is not strict.
+from .grade import degenerate_status
+
+#: Quotes that may be stripped in pairs, and how many layers of them (reading JSON is one).
+PAIRS, LAYERS = (('"', '"'), ("“", "”")), 2
+#: The names under which repairs are reported.
+UNWRAPPED, UNQUOTED = "named_object_unwrap", "surplus_quote_strip"
+#: Stands behind a text to see where its JSON value ends.
+_END = "␞ the end"
+
+
+@dataclass(frozen=True)
+class Wording:
+    """How answers in words are phrased; ``{entity}`` stands for the item's company, ``{value}`` for what was asked.
+
+    ``openings`` and ``endings`` may stand around an answer, ``nothing`` says that a set is empty, ``sentences``
+    are whole answers by attribute. Case doesn't matter.
     """
-    status = degenerate(text, truncated)
-    if status:
-        return Answer(status, False, False)
-    kind, gold = item["answer_type"], item["gold_value"]
-    if kind == "multi_part":
-        return _parts(text, item, unique)
-    if kind == "top_k" or (kind == "set" and isinstance(gold, dict) and len(gold.get("columns", [])) > 1):
-        out = _rows(text, item)
-        once = not (unique and kind == "set" and out.duplicates)
-        return out._replace(strict=out.strict and once, contract=out.contract and once)
-    contract = keeps_contract(text, kind)
-    try:
-        value, decoded = parsed(text, item)
-    except (ValueError, RecursionError):
-        return Answer("parse_failure", False, contract)
-    if isinstance(gold, dict) and "rows" in gold:
-        gold = gold["rows"][0][0] if kind == "scalar" else [r[0] for r in gold["rows"]]
-    plain, opened = unwrapped(value, item)
-    repairs = ["named_object_unwrap"] if opened else []
-    spent = int(decoded)
-    if kind == "scalar":
-        same = lambda v: not isinstance(v, dict | list) and normal(v) == normal(gold)
-        bare, stripped = unquoted(plain, spent) if isinstance(plain, str) else (plain, False)
-        repairs += ["surplus_quote_strip"] if stripped else []
-        exact = same(value)
-        right = exact or same(bare)
-        return Answer("correct" if right else "incorrect", contract and exact and not repairs, contract, tuple(repairs))
-    if not isinstance(plain, list) or not isinstance(gold, list):
-        return Answer("parse_failure", False, contract, tuple(repairs))
-    members = [unquoted(v, spent) if isinstance(v, str) else (v, False) for v in plain]
-    repairs += ["surplus_quote_strip"] if any(c for _, c in members) else []
-    want, as_given, mended = {normal(v) for v in gold}, {normal(v) for v in plain}, {normal(v) for v, _ in members}
-    exact = not opened and as_given == want
-    got = as_given if exact else mended
-    hits = len(got & want)
-    twice = len(plain) - len(as_given) if unique else 0
-    return Answer(
-        "correct" if got == want else "incorrect", contract and exact and not repairs and not twice, contract and not twice, tuple(repairs),
-        hits / len(got) if got else float(not want), hits / len(want) if want else float(not got), tuple(sorted(want - got)), tuple(sorted(got - want)), twice,
-    )
 
+    openings: tuple[str, ...] = ()
+    endings: tuple[str, ...] = ()
+    nothing: tuple[str, ...] = ()
+    sentences: dict[str, str] = field(default_factory=dict)
+
+
+# JSON values
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def whole_json(text: Column) -> Column:
+    """A text that is one JSON value and nothing else, as a Variant; null for all others."""
+    inside = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(f', "{_END}"]'))), "$", "array<variant>")
+    return F.when((F.size(inside) == 2) & (F.try_variant_get(inside[1], "$", "string") == _END) & ~text.contains(_END), inside[0])
+
+
+def is_list(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
+
+
+def is_plain(v: Column) -> Column:
+    """A string, number or truth value."""
+    return ~F.coalesce(F.schema_of_variant(v), F.lit("VOID")).rlike("^(ARRAY|OBJECT|VOID)")
+
+
+def is_string(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
+
+
+def as_text(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "string")
+
+
+def as_list(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def as_map(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def contract_column(text: Column, answer_type: str | Column) -> Column:
+    """Is the whole text one JSON value of the type's shape? The gold is not looked at."""
+    v = whole_json(trimmed(text))
+    kind = F.lit(answer_type) if isinstance(answer_type, str) else answer_type
+    return F.coalesce(F.when(kind == "scalar", is_plain(v) & (F.schema_of_variant(v) != "BOOLEAN")).when(kind.isin("set", "top_k"), is_list(v)), F.lit(False))
+
+
+# Readings
 
-GRADED = "status string, strict boolean, contract boolean, repairs array<string>, precision double, recall double, missing array<string>, extra array<string>, duplicates int"
 
+def unfenced(text: Column) -> Column:
+    """What stands in a code fence, or the text itself; null for a fence that does not close."""
+    n = F.char_length(text)
+    inner = F.substring(text, F.lit(4), n - 6)
+    inner = F.when(inner.startswith("json"), F.substring(inner, F.lit(5), n)).otherwise(inner)
+    return F.when(~text.startswith("```"), text).when((n >= 6) & text.endswith("```"), trimmed(inner))
 
-def graded_answers(df: DataFrame, text: str, item: str, truncated: str | None = None, unique: bool = False) -> DataFrame:
-    """Add ``graded`` to rows of an answer and its item (a JSON text)."""
 
-    @F.pandas_udf(GRADED)
-    def run(t: pd.Series, i: pd.Series, cut: pd.Series) -> pd.DataFrame:
-        out = [grade_answer(x, json.loads(y), bool(z), unique) for x, y, z in zip(t, i, cut)]
-        return pd.DataFrame([[g.status, g.strict, g.contract, list(g.repairs), g.precision, g.recall, list(g.missing), list(g.extra), g.duplicates] for g in out], columns=[c.split(" ")[0] for c in GRADED.split(", ")])
+def _said(template: str, entity: Column) -> Column:
+    """A template's text for an entity, in small letters."""
+    parts = template.split("{entity}")
+    return F.lower(reduce(lambda a, b: F.concat(a, entity, F.lit(b)), parts[1:], F.lit(parts[0])))
 
-    return df.withColumn("graded", run(F.col(text), F.col(item), F.col(truncated) if truncated else F.lit(False)))
+
+def _without(text: Column, wording: Wording, entity: Column) -> Column:
+    """A text without its opening and ending."""
+    for opening in wording.openings:
+        said = _said(opening.rstrip(), entity)
+        text = F.when(F.lower(text).startswith(said), F.ltrim(F.substring(text, F.char_length(said) + 1, F.char_length(text)))).otherwise(text)
+    for ending in wording.endings:
+        said = _said(ending, entity)
+        text = F.when(F.lower(text).endswith(said), F.substring(text, F.lit(1), F.char_length(text) - F.char_length(said))).otherwise(text)
+    return text
+
+
+def _of_sentence(text: Column, wording: Wording, attribute: Column, entity: Column) -> Column:
+    """The value that the attribute's sentence wraps, else the text, without full stops at the end."""
+    out = F.rtrim(text, F.lit("."))
+    for name, sentence in wording.sentences.items():
+        head, tail = (_said(x, entity) for x in sentence.split("{value}"))
+        room = F.char_length(text) - F.char_length(head) - F.char_length(tail)
+        fits = (attribute == name) & F.lower(text).startswith(head) & F.lower(text).endswith(tail) & (room > 0)
+        out = F.when(fits, F.substring(text, F.char_length(head) + 1, room)).otherwise(out)
+    return out
+
+
+def listed_words(text: Column, nothing: tuple[str, ...] = ()) -> Column:
+    """The members of a list in words: semicolons part them, and lines that begin with a bullet or a number and a mark.
+
+    Any other line goes on with the member before it. The first line may have a bullet but keeps a number.
+    """
+    lines = F.flatten(F.transform(F.split(text, ";"), lambda part: F.transform(F.split(part, "\n"), lambda line, i: F.struct((i == 0).alias("opens"), F.trim(line).alias("line")))))
+    mark = lambda s: F.regexp_extract(s["line"], r"^(?:[-*•]|[0-9]+[.)])", 0)
+    bullet = lambda s: F.when(s["opens"] & ~s["line"].rlike("^[-*•]"), "").otherwise(mark(s))
+    begins = F.transform(lines, lambda s: F.struct((s["opens"] | (bullet(s) != "")).alias("opens"), F.trim(F.substring(s["line"], F.char_length(bullet(s)) + 1, F.char_length(s["line"]))).alias("line")))
+
+    def add(done: Column, s: Column) -> Column:
+        last = F.concat(F.element_at(done, -1), F.lit(" "), s["line"])
+        return F.when(s["opens"] | (F.size(done) == 0), F.concat(done, F.array(s["line"]))).otherwise(F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(last)))
+
+    members = F.filter(F.transform(F.aggregate(begins, F.array().cast("array<string>"), add), lambda m: F.rtrim(F.trim(m), F.lit("."))), lambda m: m != "")
+    return F.when(F.lower(F.regexp_replace(text, r"[.!]\z", "")).isin(*nothing), F.array().cast("array<string>")).otherwise(members) if nothing else members
+
+
+def stripped(text: Column) -> Column:
+    """A text without one pair of quotes around it, or null if it has none."""
+    t = F.trim(text)
+    paired = reduce(lambda a, b: a | b, [t.startswith(x) & t.endswith(y) for x, y in PAIRS])
+    return F.when((F.char_length(t) >= 2) & paired, F.substring(t, F.lit(2), F.char_length(t) - 2))
+
+
+def unquoted(text: Column, decoded: Column) -> Column:
+    """A text without surplus quotes: as many layers as are allowed, one less if it came out of JSON."""
+    once = stripped(text)
+    return F.when(decoded, F.coalesce(once, text)).otherwise(F.coalesce(stripped(once), once, text))
+
+
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
+def answer_forms(lists: pd.Series) -> pd.Series:
+    """Answer form (NFKC, case folded, white space collapsed, no full stops at the end) of every text."""
+    import unicodedata
+
+    def form(t):
+        return None if t is None else " ".join((t if t.isascii() else unicodedata.normalize("NFKC", t)).casefold().split()).rstrip(".")
+
+    return pd.Series([None if row is None else [None if own is None else [form(t) for t in own] for own in row] for row in lists], dtype=object)
+
+
+# Grading
+
+GRADED = "struct<status:string,strict:boolean,contract:boolean,repairs:array<string>,precision:double,recall:double,missing:array<string>,extra:array<string>,duplicates:int>"
+
+
+def _result(status: Column, strict: Column, contract: Column, **more: Column) -> Column:
+    none = {"repairs": F.array().cast("array<string>"), "precision": F.lit(None), "recall": F.lit(None), "missing": F.array().cast("array<string>"), "extra": F.array().cast("array<string>"), "duplicates": F.lit(0)}
+    return F.struct(status.alias("status"), strict.alias("strict"), contract.alias("contract"), *[more.get(k, v).alias(k) for k, v in none.items()]).cast(GRADED)
+
+
+def graded_answers(df: DataFrame, text: str, item: str, truncated: str | None = None, unique: bool = False, wording: Wording = Wording()) -> DataFrame:
+    """Add ``graded`` to rows of an answer and its item (a JSON text).
+
+    The item has answer_type (scalar, set, top_k) and gold_value, a value, a list, or {columns, rows}; attribute, company and
+    target_columns where they apply. ``strict``: right under the contract without repair; ``contract``: the text is one
+    JSON value of the right type. ``unique``: by the final contract a set that names a value twice is neither.
+    Items of several parts: ``graded_parts``.
+    """
+    no = F.lit(False)
+    x = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), trimmed(F.col(text)).alias("text"), degenerate_status(F.col(text), F.col(truncated) if truncated else None).alias("stop"), F.parse_json(item).alias("item"))
+    of = lambda path, kind="string": F.try_variant_get("item", path, kind)
+    x = x.select("row", "text", "stop", of("$.answer_type").alias("kind"), of("$.attribute").alias("attribute"), F.coalesce(of("$.company"), F.lit("")).alias("entity"), of("$.target_columns", "array<string>").alias("targets"), of("$.gold_value", "variant").alias("gold"), of("$.gold_value.columns", "array<string>").alias("columns"), F.transform(of("$.gold_value.rows", "array<variant>"), as_list).alias("gold_rows"))
+    known = F.when(F.col("kind").isin("scalar", "set", "top_k"), F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("no grading of one "), F.coalesce("kind", F.lit("null")))))
+    tabular = (F.col("kind") == "top_k") | ((F.col("kind") == "set") & F.coalesce(F.size("columns") > 1, no))
+    x = x.withColumns({"kind": known, "tabular": tabular, "body": unfenced(F.col("text"))}).withColumns({"doc": whole_json(F.when(F.col("tabular"), F.col("text")).otherwise(F.col("body")))})
+
+    # The value: of an object with one entry, that entry's (if its key was asked for).
+    entries = as_map(F.col("doc"))
+    x = x.withColumns({"key": F.when(F.size(entries) == 1, F.map_keys(entries)[0]), "value": F.when(F.size(entries) == 1, F.map_values(entries)[0]).otherwise(F.col("doc")), "decoded": F.col("doc").isNotNull()})
+    words = _without(F.col("body"), wording, F.col("entity"))
+    member = lambda v: F.struct(as_text(v).alias("text"), is_string(v).alias("quoted"))
+    word = lambda t: F.struct(t.alias("text"), F.lit(True).alias("quoted"))
+    cells = F.transform(as_list(F.col("value")), as_list)
+    read = F.when(F.col("tabular"), F.transform(F.flatten(cells), member)).when(F.col("kind") == "set", F.when(F.col("decoded"), F.transform(as_list(F.col("value")), member)).otherwise(F.transform(listed_words(words, wording.nothing), word)))
+    one = F.when(F.col("decoded"), F.array(member(F.col("value")))).otherwise(F.array(word(_of_sentence(words, wording, F.col("attribute"), F.col("entity")))))
+    gold_plain = F.when(F.col("gold_rows").isNotNull(), F.transform("gold_rows", lambda r: as_text(r[0]))).when(F.col("kind") == "set", F.transform(as_list(F.col("gold")), as_text)).otherwise(F.array(as_text(F.col("gold"))))
+    width = F.size("columns")
+    x = x.withColumns({
+        "members": F.when(F.col("kind") == "scalar", one).otherwise(read),
+        "fits": F.when(F.col("tabular"), is_list(F.col("value")) & F.col("key").isNull() & F.forall(cells, lambda r: F.coalesce((F.size(r) == width) & ~F.exists(r, lambda c: F.coalesce(F.schema_of_variant(c).rlike("^(ARRAY|OBJECT)"), no)), no)))
+        .when(~F.col("decoded"), F.lit(True)).when(F.col("kind") == "set", is_list(F.col("value"))).otherwise(is_plain(F.col("value"))),
+        "wanted": F.when(F.col("tabular"), F.flatten(F.transform("gold_rows", lambda r: F.transform(r, as_text)))).when(F.col("kind") == "scalar", F.slice(gold_plain, 1, 1)).otherwise(gold_plain),
+    })
+    x = x.withColumn("mended", F.transform("members", lambda m: F.when(m["quoted"], unquoted(m["text"], F.col("decoded"))).otherwise(m["text"])))
+    names = F.concat(F.array("key"), F.array("attribute"), F.coalesce("targets", F.array().cast("array<string>")))
+    x = x.withColumn("f", answer_forms(F.array("wanted", F.transform("members", lambda m: m["text"]), "mended", names)))
+    x = x.withColumns({"want": F.col("f")[0], "given": F.col("f")[1], "better": F.col("f")[2], "opened": F.coalesce(F.array_contains(F.array_compact(F.slice(F.col("f")[3], F.lit(2), F.size(F.col("f")[3]))), F.col("f")[3][0]), no), "contract": contract_column(F.col("text"), F.col("kind"))})
+
+    # Rows of rows: each row a text of its own, in order or as a set.
+    rows = lambda flat: F.when(F.size(flat) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.floor(F.size(flat) / width).cast("int") - 1), lambda i: F.to_json(F.slice(flat, i * width + 1, width))))
+    alike = lambda a, b: (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
+    x = x.withColumns({"got_rows": F.when(F.col("tabular") & F.col("fits"), rows(F.col("given"))), "want_rows": F.when(F.col("tabular"), rows(F.col("want")))})
+    same = F.when(F.col("kind") == "top_k", F.col("got_rows") == F.col("want_rows")).otherwise(alike("got_rows", "want_rows"))
+    twice = F.size("got_rows") - F.size(F.array_distinct("got_rows"))
+    clean = ~((F.col("kind") == "set") & (twice > 0)) if unique else F.lit(True)
+    verdict = lambda ok: F.when(ok, "correct").otherwise("incorrect")
+    table = F.when(~F.col("decoded"), _result(F.lit("parse_failure"), no, no)).when(~F.col("fits"), _result(F.lit("incorrect"), no, no)).otherwise(_result(verdict(same), same & clean, clean, duplicates=twice))
+
+    # Values: as they were given if that is right, else as they are after the repairs.
+    shut = F.col("key").isNotNull() & ~F.col("opened")
+    repairs = F.array_compact(F.array(F.when(F.col("opened"), UNWRAPPED), F.when(F.coalesce(~shut & F.exists(F.arrays_zip(F.transform("members", lambda m: m["text"]).alias("a"), F.col("mended").alias("b")), lambda z: z["a"] != z["b"]), no), UNQUOTED)))
+    exact = ~F.col("opened") & ~shut & F.col("fits") & alike("given", "want")
+    mended = ~shut & F.col("fits") & alike("better", "want")
+    right = exact | mended
+    got = F.array_distinct(F.when(exact, F.col("given")).otherwise(F.col("better")))
+    want = F.array_distinct("want")
+    hits = F.size(F.array_intersect(got, want))
+    share = lambda n, other: F.when(F.size(n) > 0, hits / F.size(n)).otherwise((F.size(other) == 0).cast("double"))
+    again = F.size("given") - F.size(F.array_distinct("given")) if unique else F.lit(0)
+    strict = F.col("contract") & exact & (F.size(repairs) == 0)
+    whole = F.when(F.col("body").isNull(), _result(F.lit("parse_failure"), no, F.col("contract"))).when(
+        (F.col("kind") == "set") & (shut | ~F.col("fits") | F.col("want").isNull()), _result(F.lit("parse_failure"), no, F.col("contract"), repairs=F.when(F.col("opened"), F.array(F.lit(UNWRAPPED))).otherwise(F.array().cast("array<string>")))
+    ).when(F.col("kind") == "set", _result(verdict(right), strict & (again == 0), F.col("contract") & (again == 0), repairs=repairs, precision=share(got, want), recall=share(want, got), missing=F.array_sort(F.array_except(want, got)), extra=F.array_sort(F.array_except(got, want)), duplicates=again))
+    whole = whole.otherwise(_result(verdict(F.coalesce(right, no)), F.coalesce(strict, no), F.col("contract"), repairs=repairs))
+    graded = F.when(F.col("stop").isNotNull(), _result(F.col("stop"), no, no)).when(F.col("tabular"), table).otherwise(whole)
+    return x.select("row.*", graded.alias("graded"))
+
+
+def graded_parts(df: DataFrame, key: str, text: str, item: str, truncated: str | None = None, unique: bool = False, wording: Wording = Wording()) -> DataFrame:
+    """(key, status, strict, contract, parts): answers to items of several parts, one object with exactly the declared part ids.
+
+    Each part is a row that is graded by its own type; all must be right. ``key`` is one value a row. Parts and gold that disagree are an error.
+    """
+    x = df.select(F.col(key).alias("key"), trimmed(F.col(text)).alias("text"), degenerate_status(F.col(text), F.col(truncated) if truncated else None).alias("stop"), F.parse_json(item).alias("item"))
+    x = x.withColumns({"parts": F.try_variant_get("item", "$.parts", "array<variant>"), "gold": F.try_variant_get("item", "$.gold_value", "map<string,variant>"), "said": as_map(whole_json(F.col("text")))})
+    x = x.withColumn("ids", F.transform("parts", lambda p: F.try_variant_get(p, "$.part_id", "string")))
+    same = lambda a, b: F.coalesce((F.size(a) == F.size(b)) & (F.size(F.array_except(a, b)) == 0), F.lit(False))
+    sound = (F.size("ids") > 0) & same(F.col("ids"), F.array_distinct("ids")) & same(F.col("ids"), F.map_keys("gold"))
+    x = x.withColumn("ids", F.when(sound, F.col("ids")).otherwise(F.raise_error(F.lit("gold and part ids must agree"))))
+    early = F.when(F.col("stop").isNotNull(), F.col("stop")).when(whole_json(F.col("text")).isNull(), "parse_failure").when(~same(F.map_keys("said"), F.col("ids")), "incorrect")
+    x = x.withColumn("early", early)
+    joined = lambda p, g: F.concat(F.regexp_replace(F.to_json(p), r"\}\z", ""), F.lit(', "gold_value": '), F.to_json(g), F.lit("}"))
+    one = F.transform("parts", lambda p, i: F.struct(i.alias("i"), F.col("ids")[i].alias("id"), F.to_json(F.col("said")[F.col("ids")[i]]).alias("text"), joined(p, F.col("gold")[F.col("ids")[i]]).alias("item")))
+    units = x.where(F.col("early").isNull()).select("key", F.inline(one))
+    done = graded_answers(units, "text", "item", unique=unique, wording=wording).groupBy("key").agg(
+        F.bool_and(F.col("graded.status") == "correct").alias("right"), F.bool_and("graded.strict").alias("strict"), F.bool_and("graded.contract").alias("contract"),
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "id", "graded.status"))), lambda p: F.struct(p["id"].alias("part_id"), p["status"].alias("status"))).alias("parts"),
+    )
+    out = x.select("key", "early").join(done, "key", "left")
+    no = lambda c: F.coalesce(c, F.lit(False))
+    return out.select(F.col("key").alias(key), F.coalesce("early", F.when(F.col("right"), "correct").otherwise("incorrect")).alias("status"), no(F.col("strict")).alias("strict"), no(F.col("contract")).alias("contract"), "parts")
 
 
 def duplicates(values: Column) -> Column:

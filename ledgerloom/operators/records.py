@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .answers import grade_answer
+from .answers import graded_answers
 from .grade import STATUSES, compare, metadata
 
 #: Statuses that are no judgement of an answer.
@@ -129,7 +129,7 @@ def no_match(df: DataFrame, gold_size: Column, predicted_size: Column, correct:
 
 
 def _regraded(record: dict) -> dict:
-    """What a retained record grades to now, from its evidence alone."""
+    """What a record with retained tables grades to now, from its evidence alone."""
     def tables(kept):
         return (tuple(kept["columns"]), [tuple(r) for r in kept["rows"]]) if isinstance(kept, dict) and {"columns", "rows"} <= set(kept) else None
 
@@ -148,9 +148,6 @@ def _regraded(record: dict) -> dict:
                 done.append(compare(*metadata(p), gold, got))
             right, strict = all(g.correct for g in done), all(g.strict for g in done) and not kept["extra_present"]
             return {"regrade": "recomputed", "status": "correct" if right else "incorrect", "strict": strict}
-        if "raw_output" in record and record.get("result") is None and record.get("mode") == "memory":
-            g = grade_answer(record["raw_output"], {**record, "gold_value": record["gold"]})
-            return {"regrade": "recomputed", "status": g.status, "strict": g.strict}
         if record.get("status") not in ("correct", "incorrect"):
             return {"regrade": "recomputed", "status": record.get("status"), "strict": False} if record.get("status") in FAILURES else unsure
         gold, got = tables(record.get("gold")), tables(record.get("result"))
@@ -173,8 +170,16 @@ def regraded(df: DataFrame, record: str, grader: str) -> DataFrame:
         out = [_regraded(json.loads(t)) for t in s]
         return pd.DataFrame({"regrade": [o["regrade"] for o in out], "status": [o.get("status") for o in out], "strict": [o.get("strict") for o in out]})
 
-    out = df.withColumn("_g", run(record))
-    return out.withColumns({"regrade": F.col("_g.regrade"), "new_status": F.col("_g.status"), "new_strict": F.col("_g.strict"), "grader_sha256": F.lit(grader)}).drop("_g")
+    # Answers from memory are words or JSON: those go through the grading of answers, as expressions.
+    of = lambda path, kind="variant": F.try_variant_get(F.parse_json(record), path, kind)
+    kept = F.coalesce(F.schema_of_variant(of("$.result")) != "VOID", F.lit(False))
+    memory = F.coalesce((of("$.mode", "string") == "memory") & ~kept & of("$.raw_output").isNotNull() & of("$.gold").isNotNull() & of("$.answer_type", "string").isin("scalar", "set", "top_k"), F.lit(False))
+    item = F.to_json(F.struct(*[of(f"$.{c}").alias(c) for c in ("answer_type", "attribute", "company", "target_columns")], of("$.gold").alias("gold_value")))
+    x = df.select(F.struct(*df.columns).alias("_row"), F.col(record).alias("_record"), memory.alias("_memory"), F.when(memory, of("$.raw_output", "string")).alias("_text"), F.when(memory, item).otherwise('{"answer_type": "set", "gold_value": []}').alias("_item"))
+    x = graded_answers(x, "_text", "_item")
+    from_memory = F.struct(F.lit("recomputed").alias("regrade"), F.col("graded.status").alias("status"), F.col("graded.strict").alias("strict"))
+    x = x.withColumn("_g", F.when(F.col("_memory"), from_memory).otherwise(run("_record")))
+    return x.select("_row.*", F.col("_g.regrade").alias("regrade"), F.col("_g.status").alias("new_status"), F.col("_g.strict").alias("new_strict"), F.lit(grader).alias("grader_sha256"))
 
 
 def regrade_coverage(df: DataFrame, outcome: str) -> DataFrame:
@@ -183,19 +188,14 @@ def regrade_coverage(df: DataFrame, outcome: str) -> DataFrame:
     return df.agg(F.count_if(o == "recomputed").alias("recomputed"), F.count_if(o == "insufficient_evidence").alias("insufficient_evidence"), F.count_if(o.isNull()).alias("not_yet"), F.count(F.lit(1)).alias("total"))
 
 
-@F.pandas_udf(StringType())
-def answer_status(text: pd.Series, item: pd.Series) -> pd.Series:
-    """Status of answers against items given as JSON texts."""
-    return pd.Series([grade_answer(t, json.loads(i)).status for t, i in zip(text, item)], dtype=object)
-
-
 def final_run(predictions: DataFrame, items: DataFrame, key: str, text: str, item: str) -> DataFrame:
     """(key, status): every item once, graded; missing or repeated predictions are an error when read."""
     once = predictions.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first(text).alias("_t"))
     out = items.select(key, F.col(item).alias("_i")).join(once, key, "full_outer")
     wrong = F.col("_n").isNull() | (F.col("_n") > 1) | F.col("_i").isNull()
     message = F.concat(F.lit("not one prediction and item for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
-    return ensure(out, wrong, message).select(key, answer_status("_t", F.coalesce("_i", F.lit('{"answer_type": "set", "gold_value": []}'))).alias("status"))
+    sound = ensure(out, wrong, message).select(key, "_t", F.coalesce("_i", F.lit('{"answer_type": "set", "gold_value": []}')).alias("_i"))
+    return graded_answers(sound, "_t", "_i").select(key, F.col("graded.status").alias("status"))
 
 
 def classify_artifact(path: str, sha256: str, known: dict[str, str], sealed: set[str]) -> str:

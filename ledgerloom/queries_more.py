@@ -315,7 +315,7 @@ def n_answers(s, d):
     ]
     item = F.to_json(F.struct(F.lit("set").alias("answer_type"), F.array(F.lit("company")).alias("target_columns"), F.array(name, seg).alias("gold_value")))
     x = load(s, d, "customer").select("c_custkey", F.element_at(F.array(*forms), (F.col("c_custkey") % 8 + 1).cast("int")).alias("said"), item.alias("item"))
-    g = answers.graded_answers(x, "said", "item")
+    g = answers.graded_answers(x, "said", "item", wording=answers.Wording(("The companies are:",)))
     return g.select("c_custkey", "graded.status", "graded.strict", "graded.contract", F.array_join("graded.repairs", ",").alias("repairs"), F.coalesce(F.array_join("graded.missing", ","), F.lit("")).alias("missing"))
 
 
@@ -340,7 +340,26 @@ def n_multipart(s, d):
     number = F.when(F.col("c_custkey") % 3 == 2, "-1").otherwise(bal)
     said = F.concat(F.lit('{"a": '), number, F.lit(', "b": ["'), name, F.lit('"]'), extra, F.lit("}"))
     item = F.concat(F.lit('{"answer_type": "multi_part", "parts": [{"part_id": "a", "answer_type": "scalar"}, {"part_id": "b", "answer_type": "set"}], "gold_value": {"a": '), bal, F.lit(', "b": ["'), name, F.lit('"]}}'))
-    return answers.graded_answers(load(s, d, "customer").select("c_custkey", said.alias("said"), item.alias("item")), "said", "item").select("c_custkey", "graded.status")
+    return answers.graded_parts(load(s, d, "customer").select("c_custkey", said.alias("said"), item.alias("item")), "c_custkey", "said", "item").select("c_custkey", "status")
+
+
+SENTENCES = "list_filter([trim(x) FOR x IN string_split_regex(replace(text, chr(10), '. '), '[.;]')], lambda x: x <> '' AND NOT regexp_matches(x, '^[-0-9*•+\"]'))"
+FORM = "list_distinct(list_filter([lower(regexp_replace(x, '\\s+', ' ', 'g')) FOR x IN {}], lambda x: x <> ''))"
+PLAIN = "(SELECT doc_id, text, {} AS m FROM documents WHERE regexp_full_match(text, '[\\x20-\\x7E\\n]*'))".format(SENTENCES)
+
+
+@query(f"""SELECT doc_id, CASE WHEN list_sort(g) = list_sort(w) THEN 'correct' ELSE 'incorrect' END AS status, len(list_filter(w, lambda x: NOT list_contains(g, x))) AS n_missing, len(list_filter(g, lambda x: NOT list_contains(w, x))) AS n_extra
+ FROM (SELECT doc_id, {FORM.format("(CASE WHEN doc_id % 3 = 1 THEN m[2:] ELSE m END)")} AS g, {FORM.format("(CASE WHEN doc_id % 3 = 2 THEN m[:1] ELSE m END)")} AS w FROM {PLAIN} WHERE len(m) > 1)""")
+def n_text_answers(s, d):
+    """Sentences of each plain document as a list in words, as a JSON list, or short of one, against its sentences or the first of them."""
+    ascii_ = F.rlike("text", F.lit(r"\A[\x20-\x7E\n]*\z"))
+    cut = F.filter(F.transform(F.split(F.replace("text", F.lit("\n"), F.lit(". ")), "[.;]"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r'^[-0-9*•+"]'))
+    x = load(s, d, "documents", ["doc_id", "text"]).where(ascii_).select("doc_id", cut.alias("m")).where("size(m) > 1")
+    k = F.col("doc_id") % 3
+    said = F.when(k == 0, F.array_join("m", "; ")).when(k == 1, F.to_json(F.slice("m", F.lit(2), F.size("m")))).otherwise(F.to_json("m"))
+    item = F.to_json(F.struct(F.lit("set").alias("answer_type"), F.when(k == 2, F.slice("m", 1, 1)).otherwise(F.col("m")).alias("gold_value")))
+    g = answers.graded_answers(x.select("doc_id", said.alias("said"), item.alias("item")), "said", "item")
+    return g.select("doc_id", "graded.status", F.size("graded.missing").cast("long").alias("n_missing"), F.size("graded.extra").cast("long").alias("n_extra"))
 
 
 @query("SELECT o_custkey, count(*) - count(DISTINCT o_orderpriority) AS duplicates FROM orders GROUP BY 1")

@@ -228,63 +228,78 @@ SET = {"answer_type": "set", "gold_value": ["Alpha", "Beta"], "attribute": "proc
 ONE = {"answer_type": "scalar", "gold_value": "Tier 1", "attribute": "category", "company": "Acme Inc."}
 
 
-@pytest.mark.parametrize(
-    "text,item,status,strict,contract,repairs",
-    [
-        ('["Alpha", "Beta"]', SET, "correct", True, True, ()),
-        ('[" beta. ", "ALPHA"]', SET, "correct", True, True, ()),
-        ('["Alpha", "Beta", "Gamma"]', SET, "incorrect", False, True, ()),
-        ('["Alpha"]', SET, "incorrect", False, True, ()),
-        ('```json\n["Alpha", "Beta"]\n```', SET, "correct", False, False, ()),
-        ('```\n["Alpha", "Beta"]', SET, "parse_failure", False, False, ()),
-        ('{"Company": ["Alpha", "Beta"]}', SET, "correct", False, False, ("named_object_unwrap",)),
-        ('{"other": ["Alpha", "Beta"]}', SET, "parse_failure", False, False, ()),
-        ('["\\"Alpha\\"", "Beta"]', SET, "correct", False, True, ("surplus_quote_strip",)),
-        ('["\\"\\"Alpha\\"\\"", "Beta"]', SET, "incorrect", False, True, ("surplus_quote_strip",)),
-        ("Alpha; Beta", SET, "correct", False, False, ()),
-        ("- Alpha\n- Beta", SET, "correct", False, False, ()),
-        ("The companies are: Alpha; Beta.", SET, "correct", False, False, ()),
-        ("Acme's recorded processes are: Alpha; Beta", SET, "correct", False, False, ()),
-        ("No companies match.", SET, "incorrect", False, False, ()),
-        ("No companies match.", SET | {"gold_value": []}, "correct", False, False, ()),
-        ("[]", SET | {"gold_value": []}, "correct", True, True, ()),
-        ('"Alpha"', SET, "parse_failure", False, False, ()),
-        ('"tier 1"', ONE, "correct", True, True, ()),
-        ("Tier 1.", ONE, "correct", False, False, ()),
-        ("The answer is Tier 1", ONE, "correct", False, False, ()),
-        ("Acme Inc. is classified in the Tier 1 category.", ONE, "correct", False, False, ()),
-        ("Other Inc. is classified in the Tier 1 category.", ONE, "incorrect", False, False, ()),
-        ('"\\"Tier 1\\""', ONE, "correct", False, True, ("surplus_quote_strip",)),
-        ('{"category": "Tier 1"}', ONE, "correct", False, False, ("named_object_unwrap",)),
-        ('["Tier 1"]', ONE, "incorrect", False, False, ()),
-        ("“Tier 1”", ONE, "correct", False, False, ("surplus_quote_strip",)),
-        ("“Tier 1\"", ONE, "incorrect", False, False, ()),
-        ("12", ONE | {"gold_value": 12}, "correct", True, True, ()),
-        ("NaN", ONE | {"gold_value": "nan"}, "correct", False, False, ()),
-        ("", ONE, "generation_failure", False, False, ()),
-        ("I cannot help with it", ONE, "invalid_output", False, False, ()),
-    ],
-)
-def test_answers(text, item, status, strict, contract, repairs):
-    g = answers.grade_answer(text, item)
-    assert (g.status, g.strict, g.contract, g.repairs) == (status, strict, contract, repairs)
+CASES = [
+    ('["Alpha", "Beta"]', SET, "correct", True, True, ()),
+    ('[" beta. ", "ALPHA"]', SET, "correct", True, True, ()),
+    ('["Alpha", "Beta", "Gamma"]', SET, "incorrect", False, True, ()),
+    ('["Alpha"]', SET, "incorrect", False, True, ()),
+    ('```json\n["Alpha", "Beta"]\n```', SET, "correct", False, False, ()),
+    ('```\n["Alpha", "Beta"]', SET, "parse_failure", False, False, ()),
+    ('{"Company": ["Alpha", "Beta"]}', SET, "correct", False, False, ("named_object_unwrap",)),
+    ('{"other": ["Alpha", "Beta"]}', SET, "parse_failure", False, False, ()),
+    ('["\\"Alpha\\"", "Beta"]', SET, "correct", False, True, ("surplus_quote_strip",)),
+    ('["\\"\\"Alpha\\"\\"", "Beta"]', SET, "incorrect", False, True, ("surplus_quote_strip",)),
+    ("Alpha; Beta", SET, "correct", False, False, ()),
+    ("- Alpha\n- Beta", SET, "correct", False, False, ()),
+    ("The companies are: Alpha; Beta.", SET, "correct", False, False, ()),
+    ("Acme's recorded processes are: Alpha; Beta", SET, "correct", False, False, ()),
+    ("No companies match.", SET, "incorrect", False, False, ()),
+    ("No companies match.", SET | {"gold_value": []}, "correct", False, False, ()),
+    ("[]", SET | {"gold_value": []}, "correct", True, True, ()),
+    ('"Alpha"', SET, "parse_failure", False, False, ()),
+    ('"tier 1"', ONE, "correct", True, True, ()),
+    ("Tier 1.", ONE, "correct", False, False, ()),
+    ("The answer is Tier 1", ONE, "correct", False, False, ()),
+    ("Acme Inc. is classified in the Tier 1 category.", ONE, "correct", False, False, ()),
+    ("Other Inc. is classified in the Tier 1 category.", ONE, "incorrect", False, False, ()),
+    ('"\\"Tier 1\\""', ONE, "correct", False, True, ("surplus_quote_strip",)),
+    ('{"category": "Tier 1"}', ONE, "correct", False, False, ("named_object_unwrap",)),
+    ('["Tier 1"]', ONE, "incorrect", False, False, ()),
+    ("“Tier 1”", ONE, "correct", False, False, ("surplus_quote_strip",)),
+    ("“Tier 1\"", ONE, "incorrect", False, False, ()),
+    ("12", ONE | {"gold_value": 12}, "correct", True, True, ()),
+    ("NaN", ONE | {"gold_value": "nan"}, "correct", False, False, ()),
+    ("", ONE, "generation_failure", False, False, ()),
+    ("I cannot help with it", ONE, "invalid_output", False, False, ()),
+    ('["a"] and more', SET, "incorrect", False, False, ()),
+    ('{"category": "Tier 1", "x": 1}', ONE, "incorrect", False, False, ()),
+    ("1. Alpha\n2. Beta\n", SET | {"gold_value": ["1. Alpha", "beta"]}, "correct", False, False, ()),
+]
+
+WORDING = answers.Wording(("The answer is", "The companies are:", "{entity}'s recorded processes are:"), (". This is all.",), ("no companies match",), {"category": "{entity} is classified in the {value} category."})
+
+
+def graded(spark, cases, **more):
+    import json
+
+    df = spark.createDataFrame([(i, t, json.dumps(x), cut) for i, (t, x, cut) in enumerate(cases)], "i int, t string, item string, cut boolean")
+    return [r.graded for r in answers.graded_answers(df, "t", "item", "cut", wording=WORDING, **more).orderBy("i").collect()]
 
 
-def test_structured_answers():
+def test_answers(spark):
+    for g, (text, _, *want) in zip(graded(spark, [(t, x, False) for t, x, *_ in CASES]), CASES):
+        assert [g.status, g.strict, g.contract, tuple(g.repairs)] == want, text
+
+
+def test_structured_answers(spark):
+    import json
+
     gold = {"columns": ["a", "b"], "rows": [["x", None], ["y", 2]]}
     top, rows = {"answer_type": "top_k", "gold_value": gold}, {"answer_type": "set", "gold_value": gold}
-    right, turned = '[["X", null], ["y", 2]]', '[["y", 2], ["x", null]]'
-    assert answers.grade_answer(right, top).strict and answers.grade_answer(turned, top).status == "incorrect" and answers.grade_answer(turned, rows).strict
-    assert answers.grade_answer('[["x", "null"], ["y", 2]]', rows).status == "incorrect" and answers.grade_answer('[["x"]]', rows).status == "incorrect" and answers.grade_answer("x", rows).status == "parse_failure"
-    twice = '[["x", null], ["y", 2], ["y", 2]]'
-    assert answers.grade_answer(twice, rows).strict and not answers.grade_answer(twice, rows, unique=True).strict and answers.grade_answer(twice, rows, unique=True).correct
-    assert not answers.grade_answer('["Alpha", "alpha", "Beta"]', SET, unique=True).strict
+    right, turned, twice = '[["X", null], ["y", 2]]', '[["y", 2], ["x", null]]', '[["x", null], ["y", 2], ["y", 2]]'
+    got = graded(spark, [(right, top, False), (turned, top, False), (turned, rows, False), ('[["x", "null"], ["y", 2]]', rows, False), ('[["x"]]', rows, False), ("x", rows, False), (twice, rows, False), (right, top, True), ('[["x", null], [["y"], 2]]', rows, False), ("[]", rows, False)])
+    assert [(g.status, g.strict) for g in got] == [("correct", True), ("incorrect", False), ("correct", True), ("incorrect", False), ("incorrect", False), ("parse_failure", False), ("correct", True), ("truncated_output", False), ("incorrect", False), ("incorrect", False)]
+    once = graded(spark, [(twice, rows, False), ('["Alpha", "alpha", "Beta"]', SET, False)], unique=True)
+    assert [(g.status, g.strict, g.contract, g.duplicates) for g in once] == [("correct", False, False, 1), ("correct", False, False, 1)]
+    half = graded(spark, [('["Alpha", "Gamma", "Delta"]', SET, False)])[0]
+    assert (half.precision, half.recall, half.missing, half.extra) == (1 / 3, 1 / 2, ["beta"], ["delta", "gamma"])
     parts = {"answer_type": "multi_part", "gold_value": {"p": ["a"], "q": 3}, "parts": [{"part_id": "p", "answer_type": "set"}, {"part_id": "q", "answer_type": "scalar"}]}
-    assert answers.grade_answer('{"q": 3, "p": ["a"]}', parts) == answers.Answer("correct", True, True, parts=(("p", "correct"), ("q", "correct")))
-    assert answers.grade_answer('{"q": 4, "p": ["a"]}', parts).status == answers.grade_answer('{"p": ["a"]}', parts).status == "incorrect"
-    assert answers.grade_answer('{"q": 3, "p": ["a"]', parts).status == "parse_failure" and answers.grade_answer(right, top, truncated=True).status == "truncated_output"
-    with pytest.raises(ValueError):
-        answers.grade_answer("{}", parts | {"gold_value": {"p": ["a"]}})
+    said = ['{"q": 3, "p": ["a"]}', '{"q": 4, "p": ["a"]}', '{"p": ["a"]}', '{"q": 3, "p": ["a"]', '{"q": 3, "p": ["a"], "r": 1}', "", '{"q": {"x": 3}, "p": "a"}']
+    df = spark.createDataFrame([(i, t, json.dumps(parts)) for i, t in enumerate(said)], "k int, t string, item string")
+    got = {r.k: (r.status, r.strict, [(p.part_id, p.status) for p in r.parts or []]) for r in answers.graded_parts(df, "k", "t", "item").collect()}
+    assert got == {0: ("correct", True, [("p", "correct"), ("q", "correct")]), 1: ("incorrect", False, [("p", "correct"), ("q", "incorrect")]), 2: ("incorrect", False, []), 3: ("parse_failure", False, []), 4: ("incorrect", False, []), 5: ("generation_failure", False, []), 6: ("incorrect", False, [("p", "parse_failure"), ("q", "incorrect")])}
+    with pytest.raises(Exception):
+        answers.graded_parts(df.withColumn("item", F.lit(json.dumps(parts | {"gold_value": {"p": ["a"]}}))), "k", "t", "item").collect()
     assert '"p"' in answers.contract_prompt(parts) and "[]" in answers.contract_prompt(SET)
     with pytest.raises(ValueError):
         answers.contract_prompt({"answer_type": "other"})
