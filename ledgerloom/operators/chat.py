@@ -218,51 +218,90 @@ def stream_tokens(df: DataFrame, queue: str, key: str, ids: str, size: int, fix_
 
 
 def pack(df: DataFrame, strategy: str, key: str, ids: str, size: int, shard: str) -> DataFrame:
-    """Packing by strategy: ``wrapped`` (streams by shard, cut freely), ``bfd`` (best fit, overlong truncated) or ``bfd_split``; the last two give bins."""
+    """Packing by strategy: ``wrapped`` (streams by shard, cut freely), ``bfd`` (best fit over all rows, overlong truncated) or ``bfd_split``; the last two give bins."""
     if strategy == "wrapped":
         return stream_tokens(df, shard, key, ids, size, fix_tail=False)
     if strategy in ("bfd", "bfd_split"):
-        lengths = df.select(shard, key, F.size(ids).cast("long").alias("_len"))
-        return bins(pack_best_fit(lengths, key, "_len", shard, size, "split" if strategy == "bfd_split" else "truncate"), shard, key)
+        lengths = df.select(key, F.size(ids).cast("long").alias("_len"))
+        return bins(pack_best_fit(lengths, key, "_len", size, "split" if strategy == "bfd_split" else "truncate"), key)
     raise ValueError(f"no strategy {strategy!r}")
 
 
-def bins(packed: DataFrame, shard: str, key: str) -> DataFrame:
-    """(shard, bin, keys, seq_lengths): what each bin holds, longest first; a bin is bounded by its size."""
+def bins(packed: DataFrame, key: str) -> DataFrame:
+    """(bin, keys, seq_lengths): what each bin holds, longest first; a bin is bounded by its size."""
     own = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("_n"), key)))
-    return packed.groupBy(shard, "bin").agg(own.alias("_own")).select(shard, "bin", F.transform("_own", lambda x: x[key]).alias("keys"), F.transform("_own", lambda x: -x["_n"]).alias("seq_lengths"))
+    return packed.groupBy("bin").agg(own.alias("_own")).select("bin", F.transform("_own", lambda x: x[key]).alias("keys"), F.transform("_own", lambda x: -x["_n"]).alias("seq_lengths"))
 
 
-def pack_best_fit(df: DataFrame, key: str, length: str, shard: str, size: int, overlong: str = "truncate") -> DataFrame:
-    """Best-fit decreasing bins of at most ``size`` in each shard: (shard, key, bin, n).
+def best_fit_plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int]]:
+    """(length, first, places, bin, each): best-fit decreasing over a histogram of lengths from 1 to ``size``.
 
-    Longer sequences count as ``size`` (truncate), or are cut into parts of ``size`` and a rest, with a column ``part`` from 0 (split).
+    Items of a length are numbered; from number ``first`` on, ``places`` of them go to the bins from ``bin`` on, ``each`` to one.
+    Items of one length are alike, so bins with the same room are told apart by their number only: each room holds
+    ranges of bins, and a length fills the tightest room's lowest bins, as often as it fits, before the next room's. The work and the plan
+    grow with the lengths and ranges that occur, not with the items.
     """
+    import heapq
+
+    room: dict[int, list[tuple[int, int]]] = {}  # space -> ranges of bins [a, b), as a heap
+    out, opened = [], 0
+    for n in sorted((n for n, c in counts.items() if c), reverse=True):
+        left, first = counts[n], 0
+        for space in sorted(s for s in room if s >= n):
+            each = space // n
+            while left and room.get(space):
+                a, b = heapq.heappop(room[space])
+                full = min(b - a, left // each)
+                if full:
+                    out.append((n, first, full * each, a, each))
+                    first, left = first + full * each, left - full * each
+                    heapq.heappush(room.setdefault(space - n * each, []), (a, a + full))
+                rest = a + full
+                if rest < b and left and left < each:
+                    out.append((n, first, left, rest, left))
+                    heapq.heappush(room.setdefault(space - n * left, []), (rest, rest + 1))
+                    first, left, rest = first + left, 0, rest + 1
+                if rest < b:
+                    heapq.heappush(room[space], (rest, b))
+            if not left:
+                break
+        if left:
+            each = size // n
+            full, part = divmod(left, each)
+            if full:
+                out.append((n, first, full * each, opened, each))
+                heapq.heappush(room.setdefault(size - n * each, []), (opened, opened + full))
+                first, opened = first + full * each, opened + full
+            if part:
+                out.append((n, first, part, opened, part))
+                heapq.heappush(room.setdefault(size - n * part, []), (opened, opened + 1))
+                opened += 1
+        room = {s: r for s, r in room.items() if r and s}
+    return out
+
+
+def pack_best_fit(df: DataFrame, key: str, length: str, size: int, overlong: str = "truncate") -> DataFrame:
+    """Best-fit decreasing bins of at most ``size`` over all rows: (key, bin, n), longest first, equal ones by key.
+
+    One packing, whatever the partitions: bins are planned from how often each length occurs (``size`` numbers at
+    most), and rows take the planned places by their rank within their length. Longer sequences count as ``size``
+    (truncate), or are cut into parts of ``size`` and a rest, with a column ``part`` from 0 (split). Empty sequences take no room, in bin 0.
+    """
+    from .relational import with_position
+
     if overlong not in ("truncate", "split"):
         raise ValueError("overlong is truncate or split")
-
-    def run(tab: pa.Table) -> pa.Table:
-        import bisect
-
-        rows = sorted(zip(tab.column(length).to_pylist(), tab.column(key).to_pylist(), tab.column("part").to_pylist()), key=lambda r: (-min(r[0], size), *r[1:]))
-        room: list[tuple[int, int]] = []  # (space, bin), ascending
-        bins, opened = [], 0
-        for n, *_ in rows:
-            n = min(n, size)
-            at = bisect.bisect_left(room, (n, -1))
-            if at < len(room):
-                space, b = room.pop(at)
-            else:
-                space, b, opened = size, opened, opened + 1
-            bisect.insort(room, (space - n, b))
-            bins.append(b)
-        return pa.table({shard: pa.array([tab.column(shard)[0].as_py()] * len(rows), pa.int32()), key: pa.array([r[1] for r in rows], pa.int64()), "part": pa.array([r[2] for r in rows], pa.int64()), "bin": pa.array(bins, pa.int64()), "n": pa.array([min(r[0], size) for r in rows], pa.int64())})
-
-    slim = df.select(F.col(shard).cast("int").alias(shard), F.col(key).cast("long").alias(key), F.col(length).cast("long").alias(length))
-    last = F.greatest(F.ceil(F.col(length) / size) - 1, F.lit(0)) if overlong == "split" else F.lit(0)
-    parts = slim.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long")))).withColumn(length, F.col(length) - F.col("part") * size)
-    out = parts.groupBy(shard).applyInArrow(run, f"{shard} int, {key} long, part long, bin long, n long")
-    return out if overlong == "split" else out.drop("part")
+    slim = df.select(F.col(key).cast("long").alias(key), F.col(length).cast("long").alias("_n"))
+    last = F.greatest(F.ceil(F.col("_n") / size) - 1, F.lit(0)) if overlong == "split" else F.lit(0)
+    parts = slim.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long")))).withColumn("n", F.least(F.col("_n") - F.col("part") * size, F.lit(size).cast("long"))).drop("_n")
+    counts = {r.n: r.c for r in parts.where("n > 0").groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}  # at most ``size`` rows
+    plan = parts.sparkSession.createDataFrame([(n, f, p, b, e) for n, f, p, b, e in best_fit_plan(counts, size)], "n long, first long, places long, start long, each long")
+    # As many ranges as rooms were met; a length's own are one row.
+    plan = plan.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("first", "places", "start", "each"))).alias("plan"))
+    ranked = with_position(parts, key, "part", by=("n",))
+    own = F.get(F.filter("plan", lambda s: (s["first"] <= F.col("position")) & (F.col("position") < s["first"] + s["places"])), F.lit(0))
+    placed = ranked.join(plan, "n", "left").withColumn("_s", own).select(key, "part", F.coalesce(F.col("_s.start") + F.floor((F.col("position") - F.col("_s.first")) / F.col("_s.each")), F.lit(0)).cast("long").alias("bin"), "n")
+    return placed if overlong == "split" else placed.drop("part")
 
 
 def numbered(df: DataFrame, key: str, *order: str) -> DataFrame:

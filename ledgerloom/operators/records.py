@@ -73,13 +73,11 @@ def family_metrics(df: DataFrame, family: str, status: str, strict: str) -> Data
     return df.groupBy(family).agg(F.count(F.lit(1)).alias("n"), F.count_if(s == "correct").alias("correct"), F.count_if(s == "incorrect").alias("incorrect"), F.count_if(s.isin(*FAILURES)).alias("failed"), F.avg(right).alias("task"), F.avg(F.col(strict).cast("double")).alias("strict"))
 
 
-def error_groups(df: DataFrame, family: str, status: str, key: str, shown: int = 50) -> DataFrame:
-    """Failures by status and family: how many, and the first ``shown`` ids as a report."""
-    own = df.where(F.col(status) != "correct").select(family, status, key)
-    from pyspark.sql import Window
-
-    ranked = own.withColumn("_r", F.row_number().over(Window.partitionBy(status, family).orderBy(key)))
-    return ranked.groupBy(status, family).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("_r") <= shown, F.col(key)))).alias("first_ids"))
+def error_groups(df: DataFrame, family: str, status: str, key: str) -> DataFrame:
+    """(status, family, key, n): every failure under its status and family, with how many there are of its kind; a row each, so that none is left out."""
+    own = df.where(F.col(status) != "correct").select(status, family, key)
+    counts = own.groupBy(F.col(status).alias("_s"), F.col(family).alias("_f")).agg(F.count(F.lit(1)).alias("n"))
+    return own.join(counts, F.col(status).eqNullSafe(F.col("_s")) & F.col(family).eqNullSafe(F.col("_f"))).drop("_s", "_f")
 
 
 def verify(df: DataFrame, key: str, required: list[str], status: str, expected: int, grader: str | None = None, grader_column: str = "grader_sha256") -> list[str]:

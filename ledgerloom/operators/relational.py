@@ -161,26 +161,46 @@ def preferred(df: DataFrame, family: str, matched: str, cap: int, *values: str)
 
 
 def range_part(df: DataFrame, value: Column, parts: int = 0) -> Column:
-    """Which of about ``parts`` ranges of its order a value falls in (nulls: the first).
+    """Which of about ``parts`` ranges of its order a value falls in (nulls: the first); pass a struct to part the rows of a frequent value by further columns.
 
-    The bounds come from at most 1,000 values, chosen by hash over the whole table, and are
-    literals: the number is the same wherever it is computed, and only sizes depend on them.
+    The bounds are literals, so the number is the same wherever it is computed, and only sizes depend on them. They come
+    from distinct values and how often each occurs: the most frequent ones, and others chosen by hash that stand for all the rest.
     """
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chosen = df.select(value.alias("_v")).where("_v is not null").orderBy(F.xxhash64("_v"), "_v").limit(1000).orderBy("_v").collect()
-    bounds = [chosen[i * len(chosen) // n][0] for i in range(1, n)] if chosen else []
+    counts = df.select(value.alias("_v")).where("_v is not null").groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
+    rows = counts.agg(F.sum("_c")).first()[0] or 0
+    often = {r._v: r._c for r in counts.orderBy(F.desc("_c"), F.xxhash64("_v"), "_v").limit(200).collect()}
+    some = {r._v: r._c for r in counts.orderBy(F.xxhash64("_v"), "_v").limit(1000).collect()}
+    rest = sum(c for v, c in some.items() if v not in often)
+    scale = (rows - sum(often.values())) / rest if rest else 1.0
+    weight = {v: c * scale for v, c in some.items()} | often
+    kind = counts.schema["_v"].dataType
+    whole = lambda v: tuple((x is not None, x) for x in (v if kind.typeName() == "struct" else (v,)))
+    bounds, held, last = [], 0.0, 0
+    for v in sorted(weight, key=whole):
+        at = int((held + weight[v] / 2) * n / rows)
+        if at > last:
+            bounds.append(v)
+        held, last = held + weight[v], max(at, last)
     if not bounds:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= value))
+    return F.size(F.filter(F.array(*[_literal(b, kind) for b in bounds]), lambda b: b <= value))
+
+
+def _literal(v, kind) -> Column:
+    if kind.typeName() == "struct":
+        return F.struct(*[_literal(x, f.dataType).alias(f.name) for x, f in zip(v, kind.fields)])
+    return F.lit(v).cast(kind)
 
 
 def with_position(df: DataFrame, *order: str, by: tuple[str, ...] = (), parts: int = 0) -> DataFrame:
     """Add ``position`` from 0 in the order of the columns (within the groups of ``by``), without putting all rows in one task.
 
-    Rows are dealt to ranges of the first column; each range counts on from those before (a
-    small table). Rows equal in all of ``order`` must be told apart by it.
+    Rows are dealt to ranges of the whole order, so that rows with one frequent first value are in several; each
+    range counts on from those before (a small table). Rows equal in all of ``order`` must be told apart by it.
     """
-    dealt = df.withColumn("_p", range_part(df, F.col(order[0]), parts))
+    value = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    dealt = df.withColumn("_p", range_part(df, value, parts))
     before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     base = dealt.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_c")).withColumn("_base", F.coalesce(F.sum("_c").over(before), F.lit(0)))
     base = base.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], F.col("_p").alias("_q"), "_base")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import comb, isfinite
 
 import numpy as np
@@ -9,21 +10,66 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, NumericType
 
+from ..sources.stored import stored
 
-def at_ranks(df: DataFrame, x: str, ranks: dict[str, tuple[int, int]], *by: str) -> DataFrame:
+
+#: Values of a group that one task may put in order; beyond, intervals around the wanted places are narrowed first.
+MOST, ACCURACY, PASSES = 1_000_000, 5_000, 6
+
+
+def at_ranks(df: DataFrame, x: str, ranks: dict[str, tuple[int, int]], *by: str, most: int = MOST) -> DataFrame:
     """(by, low, high, and for each name (a, b) of ``ranks`` the value at place n * a // b of the sorted values).
 
-    By rank, not interpolated, over counts of distinct values: no group is sorted or held as rows
-    in one task, only its distinct values are.
+    By rank, not interpolated, by selection: each (group, name) has an interval of values around its place. While
+    one holds more than ``most`` values, a pass estimates the place inside it (a mergeable sketch), narrows the interval
+    to a small part around the estimate, and counts exactly what lies below and within; bounds that would
+    lose the place are not taken. Only what is left is put in order, as counts of distinct values. A pass is one
+    aggregate over the rows, so a group's rows are in as many tasks as the table has.
     """
     keys = list(by)
-    counts = df.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    upto = counts.select(*keys, "_x", F.sum("_c").over(w.orderBy("_x")).alias("_to"), F.sum("_c").over(w).alias("_n"))
-    at = lambda a, b: F.min(F.when(F.col("_to") > F.floor(F.col("_n") * a / b), F.col("_x")))
-    return upto.groupBy(*keys).agg(F.min("_x").alias("low"), F.max("_x").alias("high"), *[at(a, b).alias(name) for name, (a, b) in ranks.items()])
+    rows = df.where(F.col(x).isNotNull()).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col(x).alias("_x"))
+    own = [f"_k{i}" for i in range(len(keys))]
+    whole = stored(rows.groupBy(*own).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high")).where("_n > 0"), "rank-groups")
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.floor(F.col("_n") * a / b).alias("k")) for name, (a, b) in ranks.items()]))
+    places = stored(whole.select(*own, wanted.alias("w"), F.col("_low").alias("lo"), F.col("_high").alias("hi"), F.col("_n").alias("held"), F.lit(0).cast("long").alias("below")).select(*own, "w.name", "w.k", "lo", "hi", "held", "below"), "rank-places")
+    numeric = isinstance(rows.schema["_x"].dataType, NumericType)
+    for _ in range(PASSES if numeric else 0):
+        if not places.where(F.col("held") > most).where("lo < hi").limit(1).count():
+            break
+        places = stored(_narrowed(rows, places, own, most), "rank-places")
+    inside = _met(rows, places, own).where("_x BETWEEN lo AND hi").groupBy(*own, "name", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    upto = inside.withColumn("_to", F.sum("_c").over(Window.partitionBy(*own, "name").orderBy("_x")))
+    met = reduce(lambda p, c: p & F.col(f"u.{c}").eqNullSafe(F.col(f"p.{c}")), own, F.col("u.name") == F.col("p.name"))
+    found = upto.alias("u").join(places.alias("p"), met).where("_to > k - below").groupBy(*[F.col(f"p.{c}").alias(c) for c in own]).agg(*[F.min(F.when(F.col("p.name") == name, F.col("_x"))).alias(name) for name in ranks])
+    met = reduce(lambda p, c: p & F.col(f"w.{c}").eqNullSafe(F.col(f"f.{c}")), own, F.lit(True))
+    return whole.alias("w").join(found.alias("f"), met).select(*[F.col(f"w.{o}").alias(c) for o, c in zip(own, keys)], F.col("_low").alias("low"), F.col("_high").alias("high"), *ranks)
+
+
+def _met(rows: DataFrame, places: DataFrame, own: list[str]) -> DataFrame:
+    """Rows with each of their group's places; a group is null-safe. Spark broadcasts the places where their size is small."""
+    keyed = places.withColumnsRenamed({c: f"_p{c}" for c in own})
+    met = reduce(lambda p, c: p & F.col(c).eqNullSafe(F.col(f"_p{c}")), own, F.lit(True))
+    return rows.join(keyed, met).drop(*[f"_p{c}" for c in own])
+
+
+def _narrowed(rows: DataFrame, places: DataFrame, own: list[str], most: int) -> DataFrame:
+    """One pass over the intervals that hold too much."""
+    wide = F.col("held") > most
+    open_, done = places.where(wide & (F.col("lo") < F.col("hi"))), places.where(~(wide & (F.col("lo") < F.col("hi"))))
+    inside = _met(rows, open_, own).where("_x BETWEEN lo AND hi")
+    cuts = F.percentile_approx("_x", [i / 500 for i in range(501)], ACCURACY)
+    sketch = stored(inside.groupBy(*own, "name").agg(cuts.alias("cuts")), "rank-sketch")
+    met = reduce(lambda p, c: p & F.col(f"a.{c}").eqNullSafe(F.col(f"s.{c}")), own, F.col("a.name") == F.col("s.name"))
+    at = F.floor(500 * (F.col("k") - F.col("below")) / F.col("held")).cast("int")
+    tried = open_.alias("a").join(sketch.alias("s"), met).select("a.*", F.get("cuts", F.greatest(at - 1, F.lit(0))).alias("new_lo"), F.get("cuts", F.least(at + 2, F.lit(500))).alias("new_hi"))
+    tried = stored(tried, "rank-tried")
+    counted = _met(rows, tried, own).where("_x BETWEEN lo AND hi").groupBy(*own, "name", "k", "lo", "hi", "held", "below", "new_lo", "new_hi").agg(F.count_if(F.col("_x") < F.col("new_lo")).alias("under"), F.count_if(F.col("_x") > F.col("new_hi")).alias("over"))
+    place = F.col("k") - F.col("below")
+    left, right = F.col("under") <= place, place < F.col("held") - F.col("over")
+    under, over = F.when(left, F.col("under")).otherwise(0), F.when(right, F.col("over")).otherwise(0)
+    return done.unionByName(counted.select(*own, "name", "k", F.when(left, F.col("new_lo")).otherwise(F.col("lo")).alias("lo"), F.when(right, F.col("new_hi")).otherwise(F.col("hi")).alias("hi"), (F.col("held") - under - over).alias("held"), (F.col("below") + under).alias("below")))
 
 
 def order_stats(df: DataFrame, x: str, *by: str) -> DataFrame:
@@ -63,36 +109,49 @@ def effect_size(differences: list[float]) -> float | None:
     return mean / sd if sd else None
 
 
-def bootstrap(df: DataFrame, diff: str, resamples: int = 10_000, salt: int = 7, most: int = 1_000_000) -> DataFrame:
+#: Distinct differences that one task draws from.
+VALUES = 100_000
+
+
+def bootstrap(df: DataFrame, diff: str, resamples: int = 10_000, salt: int = 7, most: int = VALUES) -> DataFrame:
     """Mean difference and its percentile interval.
 
-    Each resample draws as many items as there are, with replacement. Items of one value are
-    alike, so a draw is a multinomial over the distinct values (``most`` of them at most, or an
-    error), from a stream of the resample's own; null differences are drawn but not averaged.
+    Each resample draws as many items as there are, with replacement. Items of one value are alike, so a
+    draw is a multinomial over distinct values. Those are dealt by hash to parts of about ``most``: a resample first
+    draws how many items each part gets (from a stream of its own, so all parts know it), then each part draws among its
+    values. Null differences are drawn but not averaged.
     """
     spark = df.sparkSession
-    rows = df.groupBy(F.col(diff).cast("double").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy("d").limit(most + 1).toArrow()
-    if rows.num_rows > most:
-        raise ValueError(f"more than {most} distinct differences")
-    values, counts = rows.column("d").to_numpy(), rows.column("n").to_numpy()  # null as NaN
-    known = ~np.isnan(values)
-    n, held = int(counts.sum()), int(counts[known].sum())
-    if not held:
+    values = stored(df.groupBy(F.col(diff).cast("double").alias("d")).agg(F.count(F.lit(1)).alias("n")), "bootstrap-values")
+    facts = values.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("d").isNotNull(), F.col("n"))), F.lit(0)).alias("held"), F.sum(F.col("d") * F.col("n")).alias("total")).first()
+    if not facts.held:
         return spark.createDataFrame([(None, None, None, 0)], "low double, high double, mean double, n long")
-    mean = float((values[known] * counts[known]).sum() / held)
-
-    def run(batches):
-        for batch in batches:
-            means = []
-            for b in batch.column(0).to_pylist():
-                drawn = np.random.default_rng([salt, b]).multinomial(n, counts / n)[known]
-                means.append(float((drawn * values[known]).sum() / drawn.sum()) if drawn.sum() else None)
-            yield pa.RecordBatch.from_arrays([pa.array(means, pa.float64())], names=["m"])
-
-    means = spark.range(0, resamples, 1, min(resamples, 64)).mapInArrow(run, "m double")
-    ranked = means.withColumn("r", F.row_number().over(Window.orderBy("m")) - 1)
+    parts = -(-facts.k // most)
+    dealt = values.withColumn("part", F.pmod(F.xxhash64("d"), F.lit(parts)).cast("int"))
+    sizes = {r.part: r.n for r in dealt.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # one a part
+    numbers = sorted(sizes)
+    share = np.array([sizes[p] for p in numbers]) / facts.n
+
+    def run(tab: pa.Table) -> pa.Table:
+        own = tab.sort_by("d")
+        d, n, part = own.column("d").to_numpy(), own.column("n").to_numpy(), own.column("part")[0].as_py()  # null as NaN
+        known, place = ~np.isnan(d), numbers.index(part)
+        order = np.append(np.flatnonzero(known), np.flatnonzero(~known))
+        d, n, known = d[order], n[order], known[order]
+        sums, held = np.zeros(resamples), np.zeros(resamples, np.int64)
+        for b in range(resamples):
+            rng = np.random.default_rng([salt, b])
+            mine = rng.multinomial(facts.n, share)[place] if len(numbers) > 1 else facts.n
+            rng = np.random.default_rng([salt, b, place]) if len(numbers) > 1 else rng
+            drawn = rng.multinomial(mine, n / n.sum())[known]
+            sums[b], held[b] = (drawn * d[known]).sum(), drawn.sum()
+        return pa.table({"b": np.arange(resamples), "s": sums, "c": held})
+
+    drawn = dealt.groupBy("part").applyInArrow(run, "b long, s double, c long").groupBy("b").agg((F.sum("s") / F.nullif(F.sum("c"), F.lit(0))).alias("m"))
+    ranked = drawn.withColumn("r", F.row_number().over(Window.orderBy("m")) - 1)  # as many as resamples
     low, high = int(0.025 * resamples), min(resamples - 1, int(0.975 * resamples))
-    return ranked.agg(F.max(F.when(F.col("r") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("r") == high, F.col("m"))).alias("high")).select("*", F.lit(mean).alias("mean"), F.lit(held).cast("long").alias("n"))
+    mean = facts.total / facts.held
+    return ranked.agg(F.max(F.when(F.col("r") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("r") == high, F.col("m"))).alias("high")).select("*", F.lit(mean).alias("mean"), F.lit(facts.held).cast("long").alias("n"))
 
 
 def mcnemar(b: int, c: int) -> float:

@@ -267,9 +267,9 @@ def a_family_metrics(s, d):
     return records.family_metrics(judged(s, d).withColumn("strict", F.col("quality") == F.col("toxic")), "lang", "status", "strict").withColumns({"task": r6(F.col("task")), "strict": r6(F.col("strict"))})
 
 
-@query("SELECT status, lang, count(*) AS n, array_to_string(list_sort(list(doc_id) FILTER (r <= 50)), ',') AS first_ids FROM (SELECT *, row_number() OVER (PARTITION BY status, lang ORDER BY doc_id) AS r FROM (SELECT doc_id, lang, CASE WHEN toxic = 1 THEN 'timeout' WHEN quality = 1 THEN 'correct' ELSE 'incorrect' END AS status FROM documents JOIN labels USING (doc_id)) WHERE status <> 'correct') GROUP BY 1, 2")
+@query("SELECT status, lang, doc_id, count(*) OVER (PARTITION BY status, lang) AS n FROM (SELECT doc_id, lang, CASE WHEN toxic = 1 THEN 'timeout' WHEN quality = 1 THEN 'correct' ELSE 'incorrect' END AS status FROM documents JOIN labels USING (doc_id)) WHERE status <> 'correct'")
 def a_error_lists(s, d):
-    return records.error_groups(judged(s, d), "lang", "status", "doc_id").withColumn("first_ids", F.array_join("first_ids", ","))
+    return records.error_groups(judged(s, d), "lang", "status", "doc_id")
 
 
 @query("SELECT slice, count(*) AS n, sum(quality)::BIGINT AS good FROM (SELECT quality, unnest(['lang=' || lang, 'source=' || source, 'toxic=' || toxic]) AS slice FROM documents JOIN labels USING (doc_id)) GROUP BY 1")
@@ -464,21 +464,24 @@ def t_stream_chunks(s, d):
     return chat.stream_chunks(load(s, d, "documents", ["lang", "doc_id", "n_chars"]), "lang", "doc_id", "n_chars", 4096)
 
 
-def sharded(s, d):
-    """Documents in shards of about 50,000, each packed by one task."""
-    x = load(s, d, "documents", ["doc_id", "n_chars"])
-    return x.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(8 + x.count() // 50_000)).cast("int"))
-
-
 @query()
 def t_best_fit(s, d):
-    return chat.pack_best_fit(sharded(s, d), "doc_id", "n_chars", "shard", 8192)
+    return chat.pack_best_fit(load(s, d, "documents", ["doc_id", "n_chars"]), "doc_id", "n_chars", 8192)
 
 
 @query()
 def t_best_fit_split(s, d):
     """``t_best_fit`` with longer documents split instead of truncated."""
-    return chat.pack_best_fit(sharded(s, d), "doc_id", "n_chars", "shard", 8192, "split")
+    return chat.pack_best_fit(load(s, d, "documents", ["doc_id", "n_chars"]), "doc_id", "n_chars", 8192, "split")
+
+
+@query("SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_docs, sum(n_chars)::BIGINT AS total, 0 AS overfull, true AS at_most_one_half_empty FROM (SELECT doc_id, n_chars, unnest(range(0, greatest(1, CAST(ceil(n_chars / 8192.0) AS BIGINT)))) FROM documents) x".replace("sum(n_chars)::BIGINT", "(SELECT sum(n_chars)::BIGINT FROM documents)"))
+def t_best_fit_laws(s, d):
+    """What holds of any best-fit packing: nothing is lost or doubled, no bin is too full, and at most one is not over half full."""
+    x = t_best_fit_split(s, d)
+    bins = x.groupBy("bin").agg(F.sum("n").alias("n"))
+    facts = x.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("doc_id").alias("n_docs"), F.sum("n").alias("total"))
+    return facts.crossJoin(bins.agg(F.count_if(F.col("n") > 8192).alias("overfull"), (F.count_if(F.col("n") <= 4096) <= 1).alias("at_most_one_half_empty")))
 
 
 @query("SELECT doc_id, completion, label FROM (SELECT doc_id, lang AS completion, true AS label FROM documents UNION ALL SELECT doc_id, source, false FROM documents)")

@@ -1,10 +1,10 @@
-"""Queries of identity groups, group splits and literals in texts."""
+"""Queries of identity groups, group splits and graded tables of predictions."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import identity
+from .operators import batch, identity
 from .queries import query
 from .sources.tables import load
 
@@ -82,3 +82,51 @@ def w_group_split(s, d):
  (SELECT count(*) FROM (SELECT client_id FROM done GROUP BY 1 HAVING count(*) > 1)) AS repeated_rows, (SELECT count(*) FROM done WHERE held_in AND split <> 'train') AS misplaced, (SELECT 3 - count(DISTINCT split) FROM done) AS empty_splits""")
 def a_split_checks(s, d):
     return identity.split_checks(group_split(s, d), "name", "split_group", "client_id")
+
+
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+def predicted_sql(s, d):
+    """Items and predictions, one for each customer: three kinds of questions on the own segment, seven kinds of predictions."""
+    c = load(s, d, "customer", ["c_custkey", "c_mktsegment"])
+    next_ = F.element_at(F.create_map(*[F.lit(x) for i, g in enumerate(SEGMENTS) for x in (g, SEGMENTS[(i + 1) % 5])]), F.col("c_mktsegment"))
+    ask = {
+        "scalar": ("n", "SELECT count(*) AS n FROM customer WHERE c_mktsegment = '{}'", "SELECT COUNT(1) AS total FROM customer c WHERE ('{}' = c.c_mktsegment)"),
+        "set": ("c_nationkey", "SELECT DISTINCT c_nationkey FROM customer WHERE c_mktsegment = '{}'", "SELECT c_nationkey, max(c_acctbal) AS top FROM customer WHERE c_mktsegment = '{}' GROUP BY c_nationkey"),
+        "top_k": ("c_custkey", "SELECT c_custkey FROM customer WHERE c_mktsegment = '{}' ORDER BY c_acctbal DESC, c_custkey LIMIT 20", "SELECT c_custkey FROM customer WHERE c_mktsegment = '{}' ORDER BY c_acctbal, c_custkey LIMIT 20"),
+    }
+    filled = lambda sql, seg: F.concat(F.lit(sql.split("{}")[0]), seg, F.lit(sql.split("{}")[1]))
+    by_kind = lambda make: F.element_at(F.array(*[make(k, *v) for k, v in ask.items()]), (F.col("c_custkey") % 3 + 1).cast("int"))
+    gold = by_kind(lambda k, t, g, o: filled(g, F.col("c_mktsegment")))
+    said = [gold, by_kind(lambda k, t, g, o: filled(o, F.col("c_mktsegment"))), by_kind(lambda k, t, g, o: filled(g, next_)), F.lit("SELECT nothing FROM customer"), F.lit("There are many."), F.lit(" "), F.lit("SELECT c_custkey FROM customer LIMIT 1 OFFSET 0")]
+    item = F.to_json(F.struct(by_kind(lambda k, t, g, o: F.lit(k)).alias("answer_type"), F.array(by_kind(lambda k, t, g, o: F.lit(t))).alias("target_columns"), gold.alias("gold_sql")))
+    k = F.floor(F.col("c_custkey") / 3) % 7
+    return c.select("c_custkey", item.alias("item"), F.element_at(F.array(*said), (k + 1).cast("int")).alias("said"), (F.col("c_custkey") % 50 == 0).alias("cut"))
+
+
+@query("""WITH x AS (SELECT *, (c_custkey // 3) % 7 AS f, ['scalar', 'set', 'top_k'][c_custkey % 3 + 1] AS kind, (['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY', 'AUTOMOBILE'])[list_position(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'], c_mktsegment) + 1] AS nxt FROM customer),
+ s AS (SELECT c_mktsegment AS seg, count(*) AS n, list_sort(list(DISTINCT c_nationkey)) AS nations, list(c_custkey ORDER BY c_acctbal DESC, c_custkey)[1:20] AS top, list(c_custkey ORDER BY c_acctbal, c_custkey)[1:20] AS low FROM customer GROUP BY 1)
+ SELECT c_custkey, CASE WHEN c_custkey % 50 = 0 THEN 'truncated_output' WHEN f = 3 THEN 'SQL_error' WHEN f = 4 THEN 'parse_failure' WHEN f = 5 THEN 'generation_failure' WHEN f = 6 THEN 'incorrect' WHEN f = 0 THEN 'correct'
+   WHEN f = 1 THEN CASE WHEN kind <> 'top_k' OR a.top = a.low THEN 'correct' ELSE 'incorrect' END WHEN CASE kind WHEN 'scalar' THEN a.n = b.n WHEN 'set' THEN a.nations = b.nations ELSE a.top = b.top END THEN 'correct' ELSE 'incorrect' END AS status,
+  c_custkey % 50 <> 0 AND (f IN (0, 2) OR (kind = 'top_k' AND f IN (1, 6))) AS strict FROM x JOIN s a ON a.seg = c_mktsegment JOIN s b ON b.seg = nxt""")
+def g_graded_sql(s, d):
+    """A table of SQL predictions against their gold statements; whatever is asked twice runs once."""
+    x = predicted_sql(s, d)
+    scopes = {"all": {"customer": load(s, d, "customer")}}
+    return batch.graded_sql(s, scopes, x.select("c_custkey", "item"), x.select("c_custkey", "said", "cut"), "c_custkey", "item", "said", "all", "cut", seconds=120.0).select("c_custkey", "status", "strict")
+
+
+@query("""WITH s AS (SELECT count(*) FILTER (c_mktsegment = 'BUILDING') AS n FROM customer), x AS (SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 4 = 0 ELSE c_custkey % 3 = 0 END AS ok, c_custkey % 2 = 1 AND c_custkey % 5 = 0 AS none FROM customer)
+ SELECT coalesce(c_mktsegment, 'ALL') AS family, count(*) AS n, count(*) FILTER (ok) AS correct, 0 AS failed, count(*) FILTER (none) AS no_match, count(*) FILTER (none AND ok) AS valid_no_match FROM x GROUP BY ROLLUP (c_mktsegment)""")
+def g_final_summary(s, d):
+    """A run with SQL items and answers beside them, by families, with the items that nothing matches."""
+    c = load(s, d, "customer", ["c_custkey", "c_name", "c_mktsegment"])
+    k, even = F.col("c_custkey"), F.col("c_custkey") % 2 == 0
+    sql = F.lit("SELECT count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING'")
+    gold = F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(F.array("c_name"))
+    item = F.when(even, F.to_json(F.struct(F.lit("scalar").alias("answer_type"), F.array(F.lit("n")).alias("target_columns"), sql.alias("gold_sql")))).otherwise(F.to_json(F.struct(F.lit("set").alias("answer_type"), gold.alias("gold_value"))))
+    said = F.when(even, F.when(k % 4 == 0, sql).otherwise("SELECT -1 AS n")).otherwise(F.when(k % 3 == 0, F.to_json(gold)).otherwise('["nobody"]'))
+    x = c.select("c_custkey", item.alias("item"), said.alias("said"), F.col("c_mktsegment").alias("family"), F.lit(7).alias("seed"))
+    graded = batch.final_run(s, {"all": {"customer": load(s, d, "customer")}}, x.select("c_custkey", "item", "seed"), x.select("c_custkey", "said", "seed"), "c_custkey", "item", "said", "all", ("seed",), seconds=120.0)
+    return batch.run_summary(graded, x, "c_custkey", "item", "family").withColumn("family", F.coalesce("family", F.lit("ALL")))

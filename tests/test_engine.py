@@ -39,7 +39,7 @@ def test_query_matches_sql(spark, duck, name):
 def test_best_fit_keeps_everything_within_bins(spark):
     out = engine.QUERIES["t_best_fit"](spark, SF).toPandas()
     assert out.doc_id.is_unique and len(out) == 200
-    assert out.groupby(["shard", "bin"]).n.sum().max() <= 8192
+    assert out.groupby("bin").n.sum().max() <= 8192
 
 
 @pytest.mark.parametrize("sizes", [[2], [5, 1], [4, 4, 1], [2047, 2], [2049], [1], [0, 3]])
@@ -572,7 +572,7 @@ def test_best_fit_split_loses_nothing(spark):
     out = engine.QUERIES["t_best_fit_split"](spark, SF).toPandas()
     want = tables.load(spark, SF, "documents", ["doc_id", "n_chars"]).toPandas().set_index("doc_id").n_chars
     got = out.groupby("doc_id").n.sum()
-    assert len(got) == len(want) and (got == want[got.index]).all() and out.groupby(["shard", "bin"]).n.sum().max() <= 8192
+    assert len(got) == len(want) and (got == want[got.index]).all() and out.groupby("bin").n.sum().max() <= 8192
     assert not out.duplicated(["doc_id", "part"]).any() and (out.groupby("doc_id").part.max() == (-(-want // 8192) - 1).clip(lower=0)).all()
     with pytest.raises(ValueError):
-        chat.pack_best_fit(spark.range(1), "id", "id", "id", 1, "drop")
+        chat.pack_best_fit(spark.range(1), "id", "id", 1, "drop")
