@@ -113,14 +113,24 @@ def _with_rates(df: DataFrame, model: UrlModel) -> DataFrame:
     return df
 
 
+def _rates(sample: DataFrame, prior: float) -> list[tuple[str, float]]:
+    """Each suffix with its share of blocked URLs, drawn towards the prior; at most two rows a URL of the sample."""
+    by = sample.select(F.explode(F.array_distinct(F.array("tld", "domain"))).alias("s"), "label").groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("k"))
+    return [(r.s, (r.k + 10 * prior) / (r.n + 10)) for r in by.orderBy("s").collect()]
+
+
 def fit(labelled: DataFrame, url: str = "url", label: str = "label", *, max_rows: int = MAX_TRAIN_ROWS, iterations: int = 10, depth: int = 3, seed: int = 7) -> UrlModel:
-    """Fit on at most ``max_rows`` labelled URLs (1 = block), chosen by the hash of the URL over the whole table."""
+    """Fit on at most ``max_rows`` distinct labelled URLs (1 = block), chosen by the hash of the URL over the whole table.
+
+    The trees are fitted to suffix statistics of the other half of the URLs, as new URLs have no part in theirs either;
+    the model keeps those of all.
+    """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
     spark = labelled.sparkSession
     rows = (
-        labelled.select(F.col(url).alias("url"), F.col(label).cast("double").alias("label")).where("label is not null")
+        labelled.select(F.col(url).alias("url"), F.col(label).cast("double").alias("label")).where("label is not null").distinct()
         .orderBy(F.xxhash64("url"), "url", "label").limit(max_rows)
     )
     sample = with_features(rows).cache()
@@ -129,9 +139,10 @@ def fit(labelled: DataFrame, url: str = "url", label: str = "label", *, max_rows
         model = UrlModel(prior=ones / n if n else 0.0)
         if not 0 < ones < n:
             return model
-        by = sample.select(F.explode(F.array_distinct(F.array("tld", "domain"))).alias("s"), "label").groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("k"))
-        model.suffix_rates = [(r.s, (r.k + 10 * model.prior) / (r.n + 10)) for r in by.orderBy("s").collect()]
-        data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(_with_rates(sample, model)).select("features", "label").coalesce(1)
+        model.suffix_rates = _rates(sample, model.prior)
+        half = lambda i: sample.where(F.pmod(F.xxhash64("url", F.lit(1)), F.lit(2)) == i)
+        halves = [_with_rates(half(i), UrlModel(prior=model.prior, suffix_rates=_rates(half(1 - i), model.prior))) for i in (0, 1)]
+        data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(halves[0].unionByName(halves[1])).select("features", "label").coalesce(1)
         fitted = GBTClassifier(maxIter=iterations, maxDepth=depth, maxBins=32, seed=seed).fit(data)
         model.trees = [(float(w), _tree_tuple(t._java_obj.rootNode())) for w, t in zip(fitted.treeWeights, fitted.trees)]
         return model
