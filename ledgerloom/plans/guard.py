@@ -28,14 +28,16 @@ class DeadlineError(Exception):
 ALLOWED_NODES = {
     "Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Deduplicate", "SubqueryAlias", "UnresolvedSubqueryColumnAliases",
     "UnresolvedRelation", "UnresolvedWith", "Join", "LateralJoin", "Union", "Except", "Intersect", "UnresolvedHaving", "OneRowRelation", "WithWindowDefinition", "Window",
-    "Pivot", "Unpivot", "UnresolvedInlineTable", "UnresolvedOrderBy",
+    "Pivot", "Unpivot", "UnresolvedInlineTable", "UnresolvedOrderBy", "Generate", "Sample",
 }
 #: Groups of built-in functions a query may call. Left out are the groups that read the
 #: environment, run other code, or make tables ("misc_funcs", "table_funcs" and the like).
 FUNCTION_GROUPS = {
     "agg_funcs", "array_funcs", "bitwise_funcs", "collection_funcs", "conditional_funcs", "conversion_funcs", "datetime_funcs", "hash_funcs", "json_funcs", "lambda_funcs",
-    "map_funcs", "math_funcs", "predicate_funcs", "string_funcs", "struct_funcs", "window_funcs",
+    "map_funcs", "math_funcs", "predicate_funcs", "string_funcs", "struct_funcs", "window_funcs", "generator_funcs",
 }
+#: And of the left-out groups, functions that only look at their arguments.
+FUNCTIONS = {"typeof"}
 #: Expressions of the analysed plan that some words without parentheses stand for.
 REFUSED_EXPRESSIONS = {"CurrentUser", "CurrentCatalog", "CurrentDatabase", "CurrentSchema", "InputFileName", "InputFileBlockStart", "InputFileBlockLength", "SparkVersion", "CallMethodViaReflection", "TryReflect", "RaiseError"}
 
@@ -49,7 +51,7 @@ def _seq(jseq):
 def _permitted(jvm, name: str) -> bool:
     registry = jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin()
     info = registry.lookupFunction(jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name))
-    return info.isDefined() and info.get().getGroup() in FUNCTION_GROUPS
+    return info.isDefined() and (info.get().getGroup() in FUNCTION_GROUPS or name in FUNCTIONS)
 
 
 def _expressions(node):
@@ -79,6 +81,8 @@ def _walk(jvm, root, tables: set[str]) -> None:
                 called = [p.lower() for p in _seq(x.nameParts())]
                 if len(called) != 1 or not _permitted(jvm, called[0]):
                     raise PolicyError(f"refused function: {'.'.join(called)}")
+            if name == "UnresolvedGenerator" and (x.name().database().isDefined() or not _permitted(jvm, x.name().funcName().lower())):
+                raise PolicyError(f"refused function: {x.name().unquotedString()}")
             if name in ("ListQuery", "Exists", "ScalarSubquery", "LateralSubquery"):
                 todo.append((x.plan(), visible))
         if kind == "UnresolvedWith":
