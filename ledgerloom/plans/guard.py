@@ -34,10 +34,10 @@ ALLOWED_NODES = {
 #: environment, run other code, or make tables ("misc_funcs", "table_funcs" and the like).
 FUNCTION_GROUPS = {
     "agg_funcs", "array_funcs", "bitwise_funcs", "collection_funcs", "conditional_funcs", "conversion_funcs", "datetime_funcs", "hash_funcs", "json_funcs", "lambda_funcs",
-    "map_funcs", "math_funcs", "predicate_funcs", "string_funcs", "struct_funcs", "window_funcs", "generator_funcs",
+    "map_funcs", "math_funcs", "predicate_funcs", "string_funcs", "struct_funcs", "window_funcs",
 }
-#: And of the left-out groups, functions that only look at their arguments.
-FUNCTIONS = {"typeof"}
+#: And of the left-out groups, functions that only look at their arguments, one array or map at a time.
+FUNCTIONS = {"typeof", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer"}
 #: Expressions of the analysed plan that some words without parentheses stand for.
 REFUSED_EXPRESSIONS = {"CurrentUser", "CurrentCatalog", "CurrentDatabase", "CurrentSchema", "InputFileName", "InputFileBlockStart", "InputFileBlockLength", "SparkVersion", "CallMethodViaReflection", "TryReflect", "RaiseError"}
 
