@@ -52,13 +52,19 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
+def prefixes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of polynomial terms up to each character, and what shifts them back; the same for all lengths of grams."""
+    n = len(codes)
+    return np.append(np.uint64(0), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), dtype=np.uint64)), powers(_INVERSE, n)
+
+
+def gram_hashes(codes: np.ndarray, k: int, ready: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """A hash of every k consecutive characters (of polynomials modulo 2^64, shifted back to a common start)."""
     n = len(codes)
     if n < k:
         return np.zeros(0, np.uint64)
-    sums = np.append(np.uint64(0), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), dtype=np.uint64))
-    return mixed((sums[k:] - sums[: n - k + 1]) * powers(_INVERSE, n - k + 1))
+    sums, back = ready or prefixes(codes)
+    return mixed((sums[k:] - sums[: n - k + 1]) * back[: n - k + 1])
 
 
 def window_least(h: np.ndarray, w: int) -> np.ndarray:
@@ -75,10 +81,10 @@ def window_least(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[:n], left[w - 1 : w - 1 + n])
 
 
-def anchors(codes: np.ndarray, g: int) -> tuple[np.ndarray, np.ndarray]:
+def anchors(codes: np.ndarray, g: int, ready: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(places, hashes) of the anchors of class g."""
     k = gram(g)
-    h = gram_hashes(codes, k)
+    h = gram_hashes(codes, k, ready)
     w = g - k + 1
     least = window_least(h, w)
     if not len(least):
@@ -178,14 +184,15 @@ def around(texts: list[str], number: int, classes: list[int], passes: Passes) ->
     """
     whole = "".join(texts)
     codes = codes_of(whole)
-    ends = np.cumsum([len(t) for t in texts])
+    ready, sizes = prefixes(codes), np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
     docs, gs, hs, before, context = [], [], [], [], []
     for g in classes:
-        at, h = anchors(codes, g)
+        at, h = anchors(codes, g, ready)
         keep = passes(h)
         at, h = at[keep], h[keep]
         own = np.searchsorted(ends, at, side="right")
-        lo = np.maximum(ends[own] - np.array([len(texts[i]) for i in own], np.int64), at - 2 * g) if len(at) else at
+        lo = np.maximum(ends[own] - sizes[own], at - 2 * g) if len(at) else at
         hi = np.minimum(ends[own], at + 2 * g) if len(at) else at
         docs.append(own + number)
         gs.append(np.full(len(at), g, np.int32))
