@@ -40,7 +40,7 @@ def s_versions(s, d):
 
 
 @query("""WITH words AS (SELECT DISTINCT split_part(text, ' ', 2) AS name FROM benchmark), names AS (SELECT lower(name) AS form, min(name) AS name FROM words WHERE regexp_full_match(name, '[A-Za-z]+') GROUP BY 1),
- said AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(strip_accents(regexp_replace(replace(text, '&', ' and '), '([À-ÖØ-öø-ÿ])', '\\1 ', 'g'))), '[^\\p{L}\\p{N}_]+')) AS form FROM documents),
+ said AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(strip_accents(regexp_replace(replace(text, '&', ' and '), '([À-ÅÇ-ÏÑ-ÖÙ-Ýà-åç-ïñ-öù-ýÿ])', '\\1 ', 'g'))), '[^\\p{L}\\p{N}_]+')) AS form FROM documents),
  found AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM said JOIN names USING (form) GROUP BY 1)
  SELECT doc_id, coalesce(names, '') AS names FROM documents LEFT JOIN found USING (doc_id)""")
 def f_names_in_documents(s, d):
