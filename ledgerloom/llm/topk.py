@@ -40,6 +40,8 @@ from pyspark.sql import functions as F
 from .common import persist_table, table
 
 K, TREE, PAGE, QUERY_BLOCK, SCALE, PIVOTS = 10, 4096, 48, 512, 1024, 1024
+#: Blocks and root balls that one part of the pairing compares, about.
+BLOCKS_AT_ONCE, BALLS_AT_ONCE = 48, 1024
 
 
 class MTree:
@@ -262,6 +264,20 @@ def _met(pairs: DataFrame) -> DataFrame:
     return pairs.select("block", "tree", "q_n", "q_q", "floors", "centre", "radius").mapInArrow(run, "block long, tree long")
 
 
+def _paired(blocks: DataFrame, balls: DataFrame) -> DataFrame:
+    """Every block beside every root ball of its length, dealt to (rows of blocks) x (columns of balls).
+
+    Vectors mostly have one length, so the length alone would put all pairs into one task. A block goes to
+    each column, which costs its vectors once for ``BALLS_AT_ONCE`` pairs, and a ball to each row.
+    """
+    n_rows, n_columns = (max(1, -(-df.count() // most)) for df, most in ((blocks, BLOCKS_AT_ONCE), (balls, BALLS_AT_ONCE)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n).cast("long"))
+    left = blocks.withColumn("part", dealt("block", n_rows)).withColumn("column", every(n_columns))
+    right = balls.withColumn("column", dealt("tree", n_columns)).withColumn("part", every(n_rows))
+    return left.join(right, ["width", "part", "column"]).drop("part", "column")
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` best candidates of each query row.
 
@@ -279,7 +295,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, pivots: int = P
     floors = persist_table(_searched(at_home.sortWithinPartitions("tree"), k, True), "topk-floors")
     unknown = F.expr("unhex(repeat('000000000000F0FF', q_n))")  # -inf for each query
     blocks = persist_table(blocks.join(floors, "block", "left").withColumn("floors", F.coalesce("floors", unknown)), "topk-blocks-floors")
-    pairs = _met(blocks.join(trees.select("tree", "width", "centre", "radius"), "width"))
+    pairs = _met(_paired(blocks, trees.select("tree", "width", "centre", "radius")))
     both = pairs.join(blocks.select(*_BLOCK), "block").join(trees.select(*_NEAR, "centre", "radius"), "tree")
     found = _searched(both, k, False)
     w = Window.partitionBy("rid").orderBy(F.desc("score"), "vec_id")

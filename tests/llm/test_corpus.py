@@ -368,6 +368,18 @@ def test_topk_meets_few_trees_where_vectors_have_clusters(spark, monkeypatch):
     assert kept < every / 2
 
 
+def test_topk_pairs_are_dealt_to_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCKS_AT_ONCE", 4)
+    monkeypatch.setattr(topk, "BALLS_AT_ONCE", 8)
+    blocks = spark.createDataFrame([(b, 3 + (b % 10 == 0), b"q") for b in range(60)], "block long, width int, q_q binary")
+    balls = spark.createDataFrame([(t, 3 + (t % 5 == 0), b"c", 0.5) for t in range(100)], "tree long, width int, centre binary, radius double")
+    pairs = topk._paired(blocks, balls)
+    assert pairs.columns == ["width", "block", "q_q", "tree", "centre", "radius"]
+    want = sorted((b, t) for b in range(60) for t in range(100) if (b % 10 == 0) == (t % 5 == 0))
+    assert sorted(map(tuple, pairs.select("block", "tree").collect())) == want
+    assert topk._paired(blocks.limit(0), balls).count() == topk._paired(blocks, balls.limit(0)).count() == 0
+
+
 def test_mtree_skips_distances():
     rng = np.random.default_rng(1)
     centres = rng.integers(-4000, 4000, (20, 8))
