@@ -197,7 +197,7 @@ def final_run(predictions: DataFrame, items: DataFrame, key: str, text: str, ite
 
 
 def classify_artifact(path: str, sha256: str, known: dict[str, str], sealed: set[str]) -> str:
-    """dev or sealed by content first and then by name; anything else is refused before it is parsed."""
+    """dev or sealed by content alone; anything else is refused before it is parsed (``artifacts`` goes by path and content)."""
     if sha256 in sealed:
         return "sealed"
     kind = known.get(sha256)

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from .operators import gazetteer
+from .operators import artifacts, gazetteer
 from .queries import query
 from .sources import pins
 from .sources.stored import shared_folder
@@ -56,3 +56,20 @@ def f_phrases_in_documents(s, d):
     words = F.split("text", r"\s+")
     openings = docs.select(F.explode(F.array(*[F.array_join(F.slice(words, 1, n), " ") for n in (2, 3, 4)])).alias("name"))
     return gazetteer.named_in(docs, "text", openings, "name").select("doc_id", F.size("names").alias("n_names"), F.sha2(F.array_join("names", ","), 256).alias("names_sha256"))
+
+
+# A client's record stands for a registered file, its change log for files that came later.
+
+
+@query("""WITH r AS (SELECT DISTINCT client_id::VARCHAR AS artifact_id, source || '/' || client_id AS path, coalesce(segment, 'none') AS kind, sha256(name) AS sha256 FROM clients WHERE client_id IS NOT NULL AND source IS NOT NULL AND name IS NOT NULL),
+ p AS (SELECT path, count(*) AS n, bool_or(many) AS many, min(artifact_id) AS id, min(kind) AS kind, min(sha256) AS want FROM (SELECT *, count(*) OVER (PARTITION BY artifact_id) > 1 AS many FROM r) GROUP BY 1),
+ f AS (SELECT source || '/' || client_id AS path, sha256(CASE WHEN balance < 0 THEN email ELSE name END) AS sha256 FROM clients UNION ALL SELECT source || '/' || client_id, sha256(city) FROM client_changes),
+ s AS (SELECT f.path, id, kind, CASE WHEN n IS NULL THEN 'unregistered' WHEN n > 1 OR many THEN 'conflicting' WHEN sha256 IS NOT DISTINCT FROM want THEN 'registered' ELSE 'altered' END AS state FROM f LEFT JOIN p ON f.path = p.path)
+ SELECT path, CASE WHEN state = 'registered' THEN id END AS artifact_id, CASE WHEN state = 'registered' THEN kind END AS kind, state FROM s""")
+def g_artifact_classes(s, d):
+    """Files by registered path and content; paths come with detours, which change nothing."""
+    clients = load(s, d, "clients", ["client_id", "source", "name", "segment", "email", "balance"])
+    path, file = F.concat_ws("/", "source", "client_id"), lambda sha: (F.when(F.col("source").isNotNull() & F.col("client_id").isNotNull(), F.concat(F.lit("x/.././"), "source", F.lit("//"), F.col("client_id").cast("string"))).alias("path"), F.sha2(sha, 256).alias("sha256"))
+    known = clients.dropna(subset=["client_id", "source", "name"]).select(F.col("client_id").cast("string").alias("artifact_id"), path.alias("path"), F.coalesce("segment", F.lit("none")).alias("kind"), F.sha2("name", 256).alias("sha256"))
+    files = clients.select(*file(F.when(F.col("balance") < 0, F.col("email")).otherwise(F.col("name")))).unionByName(load(s, d, "client_changes", ["client_id", "source", "city"]).select(*file(F.col("city"))))
+    return artifacts.classified(files, artifacts.registrations(known))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from ledgerloom.functions import text as tx
-from ledgerloom.operators import gazetteer
+from ledgerloom.operators import artifacts, gazetteer
 from ledgerloom.sources import pins
 
 SF = "/root/testdata/sf0.001"
@@ -147,3 +147,23 @@ def test_phrases_query_equals_the_dictionary(spark):
     names = sorted({" ".join((t or "").split()[:n]) for (_, t) in docs.collect() for n in (2, 3, 4)})
     want = tx.names_in(docs, "text", names).select("doc_id", F.size("names"), F.sha2(F.array_join("names", ","), 256))
     assert rows_of(entry.queries()["f_phrases_in_documents"](spark, SF)) == rows_of(want)
+
+
+KNOWN = "artifact_id string, path string, kind string, sha256 string"
+FILES = "path string, sha256 string"
+
+
+def test_artifacts_by_path_and_content(spark):
+    rows = [("a", "/d/a.json", "dev", "1"), ("a", "/d/./a.json", "dev", "1"), ("b", "/d/b.json", "sealed", "2"), ("c", "/d/c.json", "dev", "3"), ("e", "/d/x/../c.json", "sealed", "3"), ("f", "/d/f.json", "dev", "4"), ("f", "/d/g.json", "dev", "4")]
+    known = artifacts.registrations(spark.createDataFrame(rows, KNOWN))
+    assert rows_of(artifacts.conflicts(known)) == {("path", "/d/c.json", 2), ("artifact_id", "f", 2)}
+    files = [("file:///d//a.json", "1"), ("/../d/b.json", "2"), ("/d/a.json", "2"), ("/d/a.json", None), ("/d/c.json", "3"), ("/d/g.json", "4"), ("d/a.json", "1"), (None, "1"), ("", "1")]
+    got = [tuple(r)[1:] for r in artifacts.classified(spark.createDataFrame(files, FILES).coalesce(1), known).collect()]
+    no = lambda s: (None, None, s)
+    assert sorted(got, key=repr) == sorted([("a", "dev", "registered"), ("b", "sealed", "registered"), no("altered"), no("altered"), no("conflicting"), no("conflicting"), *[no("unregistered")] * 3], key=repr)
+    assert artifacts.admitted(spark.createDataFrame(files[:1], FILES), known, ["dev"]).count() == 1
+    for bad, why in ((files[1], "is sealed"), (files[2], "is altered"), (files[4], "is conflicting"), (files[6], "is unregistered"), (files[7], "null is unregistered")):
+        with pytest.raises(Exception, match=why):
+            artifacts.admitted(spark.createDataFrame([bad], FILES), known, ["dev"]).count()
+    with pytest.raises(Exception, match="lacks"):
+        artifacts.registrations(spark.createDataFrame([("a", None, "dev", "1")], KNOWN)).count()
