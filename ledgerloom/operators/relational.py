@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SENTINELS
+from ..sources.stored import stored
 
 
 def project(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -219,16 +220,19 @@ def recombined(df: DataFrame, key: str, offsets: tuple[int, ...]) -> DataFrame:
 
 
 def evidence_sets(df: DataFrame, term: str, entity: str, n_terms: int = 8, n_matches: int = 2) -> DataFrame:
-    """(term, matches, other): of the first shared terms, the first entities that hold each, and the first that does not."""
-    pairs = df.select(term, entity).distinct()
-    shared = pairs.groupBy(term).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n_matches).orderBy(term).limit(n_terms).select(term)
-    own = pairs.join(F.broadcast(shared), term).withColumn("_r", F.row_number().over(Window.partitionBy(term).orderBy(entity)))
-    matches = own.where(F.col("_r") <= n_matches).groupBy(term).agg(F.array_sort(F.collect_list(entity)).alias("matches"))
-    entities = df.select(entity).distinct()
+    """(term, matches, other): of the first shared terms, the first entities that hold each, and the first that does not (null if all do).
+
+    Null terms and entities are none; repeated rows count once.
+    """
+    pairs = df.select(term, entity).where(F.col(term).isNotNull() & F.col(entity).isNotNull()).distinct()
+    shared = stored(pairs.groupBy(term).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n_matches).orderBy(term).limit(n_terms).select(term), "evidence-terms")
+    # Holders of one term and all entities are counted by ranges of the order, so no task sorts either.
+    own = stored(with_position(stored(pairs.join(F.broadcast(shared), term), "evidence-pairs"), term, entity, by=(term,)), "evidence-own")
+    entities = stored(with_position(stored(df.select(entity).where(F.col(entity).isNotNull()).distinct(), "evidence-entities"), entity), "evidence-places")
+    matches = own.where(F.col("position") < n_matches).groupBy(term).agg(F.array_sort(F.collect_list(entity)).alias("matches"))
     # The first entity without a term: the k-th entity at all, where the first k - 1 hold it.
-    first = entities.withColumn("_r", F.row_number().over(Window.orderBy(entity)))
-    at = own.join(first.withColumnRenamed("_r", "_k"), entity).where(F.col("_r") == F.col("_k")).groupBy(term).agg(F.max("_k").alias("_held"))
-    other = shared.join(at, term, "left").select(term, (F.coalesce("_held", F.lit(0)) + 1).alias("_r")).join(first.withColumnRenamed(entity, "other"), "_r", "left").select(term, "other")
+    at = own.join(entities.withColumnRenamed("position", "_k"), entity).where(F.col("position") == F.col("_k")).groupBy(term).agg(F.max("_k").alias("_held"))
+    other = shared.join(at, term, "left").select(term, (F.coalesce("_held", F.lit(-1)) + 1).alias("position")).join(entities.withColumnRenamed(entity, "other"), "position", "left").select(term, "other")
     return matches.join(other, term)
 
 
@@ -288,21 +292,26 @@ def repeat_to_budget(df: DataFrame, key: str, stratum: str, tokens: str, budget:
     """Whole cycles of everything, then a proportional rest, stratum by stratum in digest order.
 
     The greedy rule (always the stratum furthest behind its share) is a merge of falling
-    sequences, hence one global order by priority.
+    sequences, hence one global order by priority. Null strata are one stratum; a table without tokens is an error.
     """
-    per = df.groupBy(stratum).agg(F.sum(tokens).alias("_w"))
     total = df.agg(F.sum(tokens)).first()[0]
+    if not total:
+        raise ValueError("rows without tokens fill no budget")
     cycles, rest = divmod(budget, total)
     digest = F.sha2(F.concat_ws("\0", F.lit(salt), F.col(key).cast("string")), 256)
-    inside = Window.partitionBy(stratum).orderBy(digest, key).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (
-        df.join(F.broadcast(per), stratum).withColumn("_used", F.coalesce(F.sum(tokens).over(inside), F.lit(0)))
-        .withColumn("_prio", (F.lit(rest) * F.col("_w") - F.col("_used") * F.lit(total)).cast("decimal(38,0)"))
-    )
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    # A digest is uniform: its first three digits deal a stratum to 4,096 parts, which go on from the sums of those before.
+    cut = df.withColumn("_digest", digest).withColumn("_d", F.substring("_digest", 1, 3))
+    parts = cut.groupBy(stratum, "_d").agg(F.sum(tokens).alias("_s"))
+    whole = Window.partitionBy(stratum)
+    parts = parts.select(F.col(stratum).alias("_q"), F.col("_d").alias("_e"), F.coalesce(F.sum("_s").over(earlier(whole.orderBy("_d"))), F.lit(0)).alias("_before"), F.sum("_s").over(whole).alias("_w"))
+    inside = F.coalesce(F.sum(tokens).over(earlier(Window.partitionBy(stratum, "_d").orderBy("_digest", key))), F.lit(0))
+    placed = cut.withColumn("_in", inside).join(parts, F.col(stratum).eqNullSafe(F.col("_q")) & (F.col("_d") == F.col("_e")))
+    wide = lambda c: c.cast("decimal(19,0)")  # noqa: E731 (products of two counts of tokens)
+    prio = wide(F.lit(rest)) * wide(F.col("_w")) - wide(F.col("_before") + F.col("_in")) * wide(F.lit(total))
+    ranked = placed.withColumn("_prio", prio.cast("decimal(38,0)")).select(*df.columns, "_digest", "_prio")
     # A running sum over ranges of the order, so that no task sorts everything.
-    ranked = ranked.withColumn("_digest", digest)
     dealt = ranked.withColumn("_p", range_part(ranked, -F.col("_prio")))
-    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     base = dealt.groupBy("_p").agg(F.sum(tokens).alias("_t")).withColumn("_base", F.coalesce(F.sum("_t").over(earlier(Window.orderBy("_p"))), F.lit(0))).select("_p", "_base")
     inside_range = F.coalesce(F.sum(tokens).over(earlier(Window.partitionBy("_p").orderBy(F.desc("_prio"), F.desc(stratum), "_digest", key))), F.lit(0))
     extra = dealt.withColumn("_in", inside_range).join(F.broadcast(base), "_p").where(F.col("_base") + F.col("_in") < rest).select(*df.columns)

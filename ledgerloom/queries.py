@@ -514,4 +514,4 @@ def q_pricing_summary(s, d):
     )
 
 
-from . import queries_identity, queries_more, queries_sources  # noqa: E402, F401
+from . import queries_identity, queries_more, queries_probes, queries_sources  # noqa: E402, F401
