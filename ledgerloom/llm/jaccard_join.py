@@ -1,7 +1,8 @@
 """N-gram Jaccard join by chosen paths.
 
-Documents are sets of 5-word shingles; texts of the same words are one class with one set. A set is
-embedded as ``POSITIONS`` min-hash tokens. A run starts at one sampled token position: sets that
+Documents are sets of 5-word shingles; texts of the same words are one class with one set. Classes go by 128 bits
+of a digest: 64 name the class, 64 more confirm it, and where one name holds several texts these are named
+anew until none does. A set is embedded as ``POSITIONS`` min-hash tokens. A run starts at one sampled token position: sets that
 share the token there share a node. Runs are repeated until a pair at the similarity meets in one
 of them with probability ``RECALL`` (``runs_for``; 6 runs for 0.9999). A node that is too large is split
 again on ``SPLIT`` sampled positions that its path has not used, as long as that at least halves the
@@ -38,6 +39,8 @@ from .windows import mix, word_hashes, words_of
 
 WORDS, SIMILARITY = 5, 0.8
 POSITIONS, SPLIT, LEAF, LEAF_SHINGLES, RECALL = 64, 3, 2048, 8_000_000, 0.9999
+#: Bits of a digest that name a class (fewer in tests, so that names clash).
+NAME_BITS = 64
 _RNG = np.random.default_rng(97)
 _MULTIPLIERS = _RNG.integers(1, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADDENDS = _RNG.integers(0, 2**63, POSITIONS, dtype=np.uint64)
@@ -87,20 +90,43 @@ def runs_for(recall: float, similarity: float = SIMILARITY) -> int:
     return min(POSITIONS, max(1, math.ceil(math.log(1 - recall) / math.log(1 - once) - 1e-9)))
 
 
+def _digest(raw: bytes) -> tuple[int, int]:
+    """Two signed 64-bit halves of the digest of a text's words."""
+    d = hashlib.blake2b(b" ".join(raw.split()), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
 def signatures(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc (null: the largest long), tag (hash of the text), cls (hash of the words), n (shingles), sig (tokens)."""
+    """doc (null: the largest long), tag (hash of the text), cls and sure (digest of the words), n (shingles), sig (tokens)."""
+    names = -1 if NAME_BITS == 64 else (1 << NAME_BITS) - 1
 
     def run(stream):
         for b in stream:
-            doc, cls, n, sig = [], [], [], []
-            for key, (c, k, s) in _per_document(b.column(0).to_pylist(), b.column(2), lambda h, x: (hashlib.blake2b(b" ".join(x.split()), digest_size=8).digest(), len(sh := shingles(h)), tokens(sh).tobytes())):
+            doc, cls, sure, n, sig = [], [], [], [], []
+            for key, (c, k, s) in _per_document(b.column(0).to_pylist(), b.column(2), lambda h, x: (_digest(x), len(sh := shingles(h)), tokens(sh).tobytes())):
                 doc.append(key)
-                cls.append(int.from_bytes(c, "little", signed=True))
+                cls.append(c[0] & names)
+                sure.append(c[1])
                 n.append(k)
                 sig.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), b.column(1), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["doc", "tag", "cls", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), b.column(1), pa.array(cls, pa.int64()), pa.array(sure, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["doc", "tag", "cls", "sure", "n", "sig"])
+
+    return df.select(*_row_key(doc_id, text), F.col(text).alias("text")).mapInArrow(run, "doc long, tag long, cls long, sure long, n long, sig binary")
+
 
-    return df.select(*_row_key(doc_id, text), F.col(text).alias("text")).mapInArrow(run, "doc long, tag long, cls long, n long, sig binary")
+def classes_of(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stored rows, stored classes) from stored ``signatures``: each class has one ``sure``; those that had several are named anew."""
+    first = F.min(F.struct("doc", "tag"))
+    while True:
+        facts = [F.count(F.lit(1)).alias("size"), first.alias("first"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.max("sure").alias("sure"), F.min("sure").alias("least")]
+        classes = persist_table(sigs.groupBy("cls").agg(*facts), "join-classes", bucket_by="cls")
+        clash = classes.where("sure <> least").select("cls", F.lit(True).alias("clash"))
+        if not clash.limit(1).count():
+            return sigs, classes
+        apart = F.when(F.col("clash"), F.xxhash64("cls", "sure")).otherwise(F.col("cls"))
+        moved = persist_table(sigs.join(clash, "cls", "left").withColumn("cls", apart).drop("clash"), "join-signatures")
+        drop_tables(sigs, classes)
+        sigs = moved
 
 
 def _row_key(doc_id: str, text: str) -> list:
@@ -316,11 +342,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     Also what names rows and groups where doc_ids repeat: doc (null as the largest long) and tag
     (hash of the text) of the row, group_key, and group_tag (the tag of the group's least document)."""
     spark = df.sparkSession
-    sigs = persist_table(signatures(df, doc_id, text), "join-signatures")
-    first = F.min(F.struct("doc", "tag"))
-    classes = persist_table(
-        sigs.groupBy("cls").agg(F.count(F.lit(1)).alias("size"), first.alias("first"), F.max("n").alias("n"), F.max("sig").alias("sig")), "join-classes", bucket_by="cls"
-    )
+    sigs, classes = classes_of(persist_table(signatures(df, doc_id, text), "join-signatures"))
     leaves = leaves_of(classes, recall)
     release_shuffles(spark)
     fields = "node long, block int, cls long, n long, size long, blocks int, own int, sig binary"
@@ -338,16 +360,16 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", r
             out = [(k, (v >> np.uint64(32)).astype("<u4")) for k, v in _per_document(b.column(0).to_pylist(), b.column(1), lambda h, _: shingles(h))]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([np.unique(v).tobytes() for _, v in out], pa.binary())], names=["cls", "shingles"])
 
-    # One text of each class that has candidates: found by its doc_id and tag, checked by its class.
-    wanted = mine.join(classes.select("cls", "first.doc", "first.tag"), "cls").select("cls", "doc", "tag")
+    # One text of each class that has candidates: found by its doc_id and tag, checked by its digest.
+    wanted = mine.join(classes.select("cls", "sure", "first.doc", "first.tag"), "cls").select("cls", "sure", "doc", "tag")
     texts = df.select(*_row_key(doc_id, text), F.col(text).alias("text")).join(wanted, ["doc", "tag"])
 
     def checked(stream):
         for b in stream:
-            fit = [int.from_bytes(hashlib.blake2b(b" ".join((t.as_py() or "").encode("utf-8", "surrogatepass").split()), digest_size=8).digest(), "little", signed=True) == c.as_py() for c, t in zip(b.column(0), b.column(1))]
+            fit = [_digest((t.as_py() or "").encode("utf-8", "surrogatepass"))[1] == c.as_py() for c, t in zip(b.column(2), b.column(1))]
             yield b.filter(pa.array(fit, pa.bool_()))
 
-    texts = texts.select("cls", "text").mapInArrow(lambda s: sets(checked(s)), "cls long, shingles binary").dropDuplicates(["cls"])
+    texts = texts.select("cls", "text", "sure").mapInArrow(lambda s: sets(checked(s)), "cls long, shingles binary").dropDuplicates(["cls"])
     # Sets go to leaves by (cls) joins; both sides are tables, so that large keys can be split.
     full = mine.join(texts, "cls")
     ready = may.join(full, "cls").select(*columns, "leaves", "shingles")

@@ -16,6 +16,7 @@ columns may have any name.
 from __future__ import annotations
 
 import heapq
+import itertools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,20 +42,22 @@ def assign_shards(df: DataFrame, group: str, size: str, shards: int = 24, fine:
     spark = df.sparkSession
     df = df.drop("shard")
     bundles = shards * fine
-    groups = df.groupBy(group).agg(F.sum(size).alias("_size"))
+    taken = {c.lower() for c in df.columns}
+    total_, key, own_, bundle = (next(n for n in (name + "_" * k for k in itertools.count()) if n not in taken) for name in ("_size", "_g", "_own", "_bundle"))
+    groups = df.groupBy(group).agg(F.sum(size).alias(total_))
     total = df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     if not total:
         return df.withColumn("shard", F.lit(0))
     small = F.pmod(F.xxhash64(group), F.lit(bundles)).cast("int")
-    big = groups.where(F.col("_size") > total / bundles).orderBy(F.desc("_size"), group).limit(bundles).collect()
-    own = spark.createDataFrame([(r[0], bundles + i) for i, r in enumerate(big)], f"_g {df.schema[group].dataType.simpleString()}, _own int")
+    big = groups.where(F.col(total_) > total / bundles).orderBy(F.desc(total_), group).limit(bundles).collect()
+    own = spark.createDataFrame([(r[0], bundles + i) for i, r in enumerate(big)], f"{key} {df.schema[group].dataType.simpleString()}, {own_} int")
 
     def bundled(x: DataFrame) -> DataFrame:
-        return x.join(F.broadcast(own), F.col(group) == F.col("_g"), "left").withColumn("_bundle", F.coalesce("_own", small)).drop("_g", "_own")
+        return x.join(F.broadcast(own), F.col(group) == F.col(key), "left").withColumn(bundle, F.coalesce(own_, small)).drop(key, own_)
 
-    items = [(r[0], r[1]) for r in bundled(groups).groupBy("_bundle").agg(F.sum("_size")).collect()]
-    where = spark.createDataFrame(list(lpt(items, shards).items()), "_bundle int, shard int")
-    return bundled(df).join(F.broadcast(where), "_bundle").drop("_bundle")
+    items = [(r[0], r[1]) for r in bundled(groups).groupBy(bundle).agg(F.sum(total_)).collect()]
+    where = spark.createDataFrame(list(lpt(items, shards).items()), f"{bundle} int, shard int")
+    return bundled(df).join(F.broadcast(where), bundle).drop(bundle)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

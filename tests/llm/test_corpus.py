@@ -438,6 +438,28 @@ def test_jaccard_large_group_and_recall(spark, monkeypatch):
         jaccard_join.runs_for(1.0)
 
 
+@pytest.mark.parametrize("bits", [0, 3])
+def test_jaccard_classes_of_one_name_are_told_apart(spark, monkeypatch, bits):
+    """With names of 3 bits (or none) all rows are as with 64."""
+    d = documents(spark)
+    df = spark.createDataFrame([(int(i), t) for i, t in zip(d.doc_id, d.text)] + [(None, "one two"), (900_001, "one  two"), (900_002, None), (900_003, "")], "doc_id long, text string")
+    columns = ["doc_id", "class_id", "class_size", "n_links", "n_class_links", "group_id"]
+    shown = lambda: sorted(map(str, jaccard_join.near_duplicates(df).select(*columns).collect()))
+    want = shown()
+    monkeypatch.setattr(jaccard_join, "NAME_BITS", bits)
+    assert shown() == want and len(want) == df.count()
+
+
+def test_shards_of_a_table_with_any_column_names(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(i % 7, 10 + i, i, i, i, i, i) for i in range(50)], "_g long, _size long, _own long, _bundle long, _bundle_ long, _SIZE_ long, shard long")
+    out = sharding.assign_shards(rows, "_g", "_size", shards=3, fine=1)
+    assert sorted(out.columns) == sorted(rows.columns) and out.count() == 50
+    assert out.groupBy("_g").agg(F.count_distinct("shard").alias("n")).where("n > 1").count() == 0
+    assert {r["_bundle"] for r in out.collect()} == set(range(50))
+
+
 def test_packing(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
