@@ -8,19 +8,21 @@
    a name in every text is not one task's work.
 5. Per text: longer forms first, each place taken once, so that a name inside a longer one does not count.
 
-The only parts that come to the driver are the filter (8 MB) and the distinct numbers of words that forms have.
+Runs are rows throughout, never a text's list in one cell, and Python sees them in small batches: it holds one text
+and its runs at a time, whatever the number of texts. The only parts that come to the driver are the filter (as large as the
+number of forms asks for, 32 MB at most) and the distinct numbers of words that forms have.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
-from ..functions.text import plain, short_name
+from ..functions.text import _plain, plain, short_name
 from ..sources.stored import stored
 from .literals import Passes, bit_filter, codes_of, mixed, prefixes
 
@@ -28,6 +30,10 @@ from .literals import Passes, bit_filter, codes_of, mixed, prefixes
 HOT = 256
 #: Characters of one text that are looked at together; a stretch goes on as far as its last run needs.
 STRETCH = 500_000
+#: Runs that go to Spark together.
+BATCH = 20_000
+#: Bits of the filter, as powers of two: 32 a form within these bounds; a form sets two of them.
+LEAST_BITS, MOST_BITS = 20, 28
 
 
 def name_forms(names: DataFrame, name: str) -> DataFrame:
@@ -55,13 +61,12 @@ def word_places(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], gaps + 1]), np.append(gaps, len(codes))
 
 
-def runs_in(form: str, widths: list[int], passes: Passes) -> list[dict]:
+def runs_in(form: str, widths: list[int], passes: Passes) -> Iterator[tuple[int, int, str]]:
     """The runs of words of a plain text that may be forms: first word, word after the last, and the words."""
     if not form or not widths:
-        return []
+        return
     codes = codes_of(form)
     starts, ends = word_places(codes)
-    out: list[dict] = []
     lo = 0
     while lo < len(starts):
         hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + STRETCH)))
@@ -75,13 +80,12 @@ def runs_in(form: str, widths: list[int], passes: Passes) -> list[dict]:
                 break
             h = mixed((sums[e[w - 1 : w - 1 + n]] - sums[s[:n]]) * back[s[:n]])
             for i in np.flatnonzero(passes(h)).tolist():
-                out.append({"first": lo + i, "after": lo + i + w, "form": form[base + s[i] : base + e[i + w - 1]]})
+                yield lo + i, lo + i + w, form[base + s[i] : base + e[i + w - 1]]
         lo = hi
-    return out
 
 
-def settled(runs) -> set[str]:
-    """Names of a text's runs: longer forms first (by characters, then by letters), each word of the text used once.
+def settled(runs: list[tuple[str, int, int, str]]) -> set[str]:
+    """Names of a text's runs (form, first, after, name): longer forms first (by characters, then by letters), each word of the text used once.
 
     Two places of one form that follow each other without a word between are one mention and a rest,
     which shorter forms may still use.
@@ -89,30 +93,52 @@ def settled(runs) -> set[str]:
     got: set[str] = set()
     taken: set[int] = set()
     last: tuple[str, int] = ("", -1)
-    for r in sorted(runs, key=lambda r: (-len(r["form"]), r["form"], r["first"])):
-        if r["form"] == last[0] and r["first"] <= last[1]:
+    for form, first, after, name in sorted(runs, key=lambda r: (-len(r[0]), r[0], r[1])):
+        if form == last[0] and first <= last[1]:
             continue
-        words = range(r["first"], r["after"])
+        words = range(first, after)
         if taken.isdisjoint(words):
             taken.update(words)
-            last = (r["form"], r["after"])
-            got.add(r["name"])
+            last = (form, after)
+            got.add(name)
     return got
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def asserted_names(runs: pd.Series) -> pd.Series:
-    """Runs of a text (side 0) and of what is ignored (side 1) to the sorted names of the former that the latter lacks."""
-    split = lambda rs, side: settled([r for r in rs if r["side"] == side])
-    return pd.Series([sorted(split(rs, 0) - split(rs, 1)) for rs in runs], dtype=object)
+def asserted_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs in the order of their texts, of a text (side 0) and of what is ignored (side 1), to the sorted names of the former that the latter lacks.
+
+    Runs of a text may be dealt over batches, so the last text of a batch stays open until another begins.
+    """
+    sides: tuple[list, list] = ([], [])
+    row, rows, names = None, [], []
+
+    def closed() -> None:
+        rows.append(row)
+        names.append(sorted(settled(sides[0]) - settled(sides[1])))
+        sides[0].clear()
+        sides[1].clear()
+
+    for batch in batches:
+        for r, side, first, after, form, name in zip(*(c.to_pylist() for c in batch.columns)):
+            if r != row:
+                if row is not None:
+                    closed()
+                row = r
+            sides[side].append((form, first, after, name))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(names, pa.list_(pa.string()))], names=["_row", "_names"])
+            rows, names = [], []
+    if row is not None:
+        closed()
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(names, pa.list_(pa.string()))], names=["_row", "_names"])
 
 
 def named_in(df: DataFrame, text: str, names: DataFrame, name: str, ignore: str | None = None, out: str = "names") -> DataFrame:
     """Add the sorted names of a table that each text asserts, less those in ``ignore`` (the question).
 
     Null and empty texts, and an empty table of names, give an empty array; repeated rows stay, each with
-    its own. A column called ``out`` is replaced; ``_row`` and ``_runs`` are used inside. A text is read in
-    stretches; its runs are one cell, which grows with the mentions in it.
+    its own. A column called ``out`` is replaced; ``_row`` and ``_names`` are used inside. A text is read in
+    stretches; all runs of one text are settled by one task.
     """
     spark = df.sparkSession
     rest = [c for c in df.columns if c.lower() != out.lower()]
@@ -125,22 +151,33 @@ def named_in(df: DataFrame, text: str, names: DataFrame, name: str, ignore: str
             yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64))], names=["h"])
 
     widths = sorted(r[0] for r in forms.select(F.size(F.split("form", " "))).distinct().collect())
-    bits = spark.sparkContext.broadcast(bit_filter(forms.select("form").mapInArrow(hashed, "h long")))
-
-    @F.pandas_udf("array<struct<first: int, after: int, form: string>>")
-    def scan(plain_texts: pd.Series) -> pd.Series:
-        passes = Passes(bits.value)
-        return pd.Series([runs_in(t or "", widths, passes) for t in plain_texts], dtype=object)
-
-    side = lambda c, n: F.transform(scan(plain(c)), lambda r: F.struct(r["first"].alias("first"), r["after"].alias("after"), r["form"].alias("form"), F.lit(n).alias("side")))
-    sides = side(F.col(text), 0) if ignore is None else F.concat(side(F.col(text), 0), side(F.col(ignore), 1))
-    rows = stored(df.select(*rest, F.monotonically_increasing_id().alias("_row"), sides.alias("_runs")), "gazetteer-rows")
-    runs = rows.select("_row", F.explode("_runs").alias("r")).select("_row", "r.*")
+    power = min(MOST_BITS, max(LEAST_BITS, (32 * forms.count()).bit_length()))
+    bits = spark.sparkContext.broadcast(bit_filter(forms.select("form").mapInArrow(hashed, "h long"), power, 2))
+
+    def scan(batches):
+        passes = Passes(bits.value, power, 2)
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+        out: list[tuple] = []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["_row", "side", "first", "after", "form"])
+        for batch in batches:
+            at = batch.column(0).to_pylist()
+            for side in range(batch.num_columns - 1):
+                for row, text in zip(at, batch.column(side + 1)):
+                    for run in runs_in(_plain(text.as_py() or ""), widths, passes):
+                        out.append((row, side, *run))
+                        if len(out) >= BATCH:
+                            yield made()
+                            out = []
+        if out:
+            yield made()
+
+    rows = stored(df.withColumn("_row", F.monotonically_increasing_id()), "gazetteer-rows")
+    runs = stored(rows.select("_row", *[F.col(c).cast("string") for c in (text, ignore) if c is not None]).mapInArrow(scan, "_row long, side int, first int, after int, form string"), "gazetteer-runs")
     total = runs.count()
     hot = runs.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT > total).join(forms, "form").select("form", "name")
     hot = spark.createDataFrame(hot.toArrow().to_pandas(), "form string, name string") if total else forms.limit(0)
     frequent = runs.join(F.broadcast(hot), "form")
     others = runs.join(F.broadcast(hot.select("form")), "form", "left_anti").join(forms, "form")
-    met = frequent.unionByName(others).groupBy("_row").agg(F.collect_list(F.struct("first", "after", "form", "name", "side")).alias("_met"))
-    found = met.select("_row", asserted_names("_met").alias(out))
-    return rows.drop("_runs").join(found, "_row", "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>"))).select(*rest, out)
+    met = frequent.unionByName(others).select("_row", "side", "first", "after", "form", "name")
+    found = met.repartition("_row").sortWithinPartitions("_row").mapInArrow(asserted_names, "_row long, _names array<string>")
+    return rows.select(*rest, "_row").join(found, "_row", "left").select(*rest, F.coalesce("_names", F.array().cast("array<string>")).alias(out))

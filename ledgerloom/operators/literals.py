@@ -7,7 +7,7 @@ such stretches, and where it stands in a text the same stretches stand there, so
 literal's own stretches is one of the text too. One anchor a literal is enough: the one that the fewest literals have.
 
 1. Literals: distinct contents, their anchors, the rarest of each. Stays on the cluster.
-2. A bit filter of the chosen hashes, ``FILTER_BITS`` long at any number of literals, goes to the tasks. It only
+2. A bit filter of the chosen hashes, 2^``FILTER_POWER`` long at any number of literals, goes to the tasks. It only
    lets through: an anchor that it stops belongs to no literal.
 3. One pass over the texts: anchors of all classes, those that pass the filter with the characters around them.
 4. A join on (class, hash); the characters are compared; distinct (literal, text) pairs are counted.
@@ -27,7 +27,7 @@ from ..functions.text import exposure_form
 from ..sources.stored import stored
 
 #: 8 MB; with as many literals as an eighth of it, one anchor in eight passes by chance.
-FILTER_BITS = 1 << 26
+FILTER_POWER = 26
 #: Characters of text that are looked at together.
 STRETCH = 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -156,12 +156,17 @@ def matches(docs: DataFrame, text: str, literals: DataFrame, literal: str, exact
     return met.select("needle", "doc").distinct()
 
 
-def bit_filter(chosen: DataFrame) -> np.ndarray:
-    """Bits set at the chosen hashes: words of 64 come to the driver, at most FILTER_BITS / 64 of them."""
-    place = F.shiftrightunsigned("h", 38)  # 26 bits
-    words = chosen.select(F.shiftright(place, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+def _shifts(power: int, places: int) -> list[int]:
+    """Where in a hash the bits of each place begin, from the top."""
+    return [64 - power * (i + 1) for i in range(places)]
+
+
+def bit_filter(chosen: DataFrame, power: int = FILTER_POWER, places: int = 1) -> np.ndarray:
+    """2^power bits, ``places`` of them set for each chosen hash: words of 64 come to the driver, at most 2^power / 64 of them."""
+    place = F.explode(F.array(*[F.shiftrightunsigned("h", s).bitwiseAND(F.lit((1 << power) - 1)) for s in _shifts(power, places)]))
+    words = chosen.select(place.alias("place")).select(F.shiftright("place", 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("place", F.lit(64)).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     got = words.toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out = np.zeros((1 << power) // 64, np.uint64)
     out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
     return out
 
@@ -169,12 +174,15 @@ def bit_filter(chosen: DataFrame) -> np.ndarray:
 class Passes:
     """Does a hash pass the filter?"""
 
-    def __init__(self, words: np.ndarray):
-        self.words = words
+    def __init__(self, words: np.ndarray, power: int = FILTER_POWER, places: int = 1):
+        self.words, self.mask, self.shifts = words, np.uint64((1 << power) - 1), [np.uint64(s) for s in _shifts(power, places)]
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
-        place = h >> np.uint64(38)
-        return (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+        out = np.ones(len(h), bool)
+        for shift in self.shifts:
+            place = (h >> shift) & self.mask
+            out &= (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+        return out
 
 
 def around(texts: list[str], number: int, classes: list[int], passes: Passes) -> pa.RecordBatch:
