@@ -5,6 +5,8 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -353,10 +355,11 @@ def fuzzy_pairs(df: DataFrame, key: str, name: str, threshold: float = 0.86) ->
 def ratio_pairs(df: DataFrame, key: str, name: str, threshold: float = 0.86) -> DataFrame:
     """(a, b, x, y, ratio): pairs a < b of names with a Ratcliff-Obershelp ratio of at least the threshold.
 
-    Names are case folded. Of S characters in both, M = ratio * S / 2 are matched in at most S - 2M + 1
-    blocks, hence at least 3M - S + 1 bigrams (ends marked) are shared: pairs meet on the rarest bigrams of
-    which one must then be shared, and are counted once, at the first that they share.
-    Thresholds up to 2/3 need share none and compare all pairs.
+    Names are case folded. Of S characters in both, M = ratio * S / 2 are matched, in order and in at most S - 2M + 1
+    blocks. So the names differ in at most S - 2M of their letters (as sets of numbered letters), and in at most
+    3S - 6M of their bigrams (ends marked). Signatures of 64 and 128 bits bound both differences from below: names are dealt
+    to pairs of blocks of about ``BLOCK`` names, each compared by its signatures in one task, and what is left is measured.
+    All pairs are looked at, which is quadratic, at some nanoseconds each; memory is that of two blocks.
     """
     from ..functions.text import sequence_ratio
 
@@ -367,6 +370,9 @@ def ratio_pairs(df: DataFrame, key: str, name: str, threshold: float = 0.86) ->
 _OTHER = {"a": "b", "x": "y", "f": "g", "w": "v", "n": "m"}
 _BOTH = ["a", "b", "x", "y", "f", "g", "w", "v"]
 
+#: Names of a block, whose signatures are compared with another block's by one task.
+BLOCK = 4_000
+
 
 def _spelled(df: DataFrame, key: str, name: str) -> DataFrame:
     from ..functions.text import casefold, tokens
@@ -377,24 +383,46 @@ def _spelled(df: DataFrame, key: str, name: str) -> DataFrame:
 
 def _alike(t: DataFrame, threshold: float) -> DataFrame:
     """Pairs that may have the ratio."""
-    from ..functions.text import bigrams
-
-    if threshold <= 2 / 3:
-        return t.join(t.withColumnsRenamed(_OTHER), F.col("a") < F.col("b")).select(*_BOTH)
-    least = F.ceil(F.col("n") * (threshold / (2 - threshold)) - 1e-9)
-    keep = F.col("n") + 2 - F.ceil((F.col("n") + least) * (1.5 * threshold - 1) + 1 - 1e-9)
-    grams = t.withColumn("all", bigrams("f"))
-    long = grams.select("a", F.explode("all").alias("gram"))
-    ranked = long.join(long.groupBy("gram").agg(F.count(F.lit(1)).alias("held")), "gram").groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("held", "gram"))), lambda r: r["gram"]).alias("rank"))
-    left = grams.join(ranked, "a").withColumn("rank", F.slice("rank", 1, keep.cast("int")))
-    right = left.withColumnsRenamed({**_OTHER, "all": "all_b", "rank": "rank_b"})
-    size = F.col("n") + F.col("m")
-    matched = F.ceil(size * (threshold / 2) - 1e-9)
-    pair = left.select("*", F.explode("rank").alias("gram")).join(right.select("*", F.explode("rank_b").alias("gram")), "gram")
-    return pair.where(
-        (F.col("a") < F.col("b")) & (F.least("n", "m") >= matched) & (F.element_at(F.array_intersect("rank", "rank_b"), 1) == F.col("gram"))
-        & (F.size(F.array_intersect("all", "all_b")) >= 3 * matched - size + 1)
-    ).select(*_BOTH)
+    from ..functions.text import signatures
+
+    named = stored(t.drop("n").withColumn("_i", F.monotonically_increasing_id()), "spelled")
+    blocks = max(1, -(-named.count() // BLOCK))
+    own = F.pmod(F.xxhash64("_i"), F.lit(blocks)).cast("int")
+    rows = named.select("_i", own.alias("own"), signatures("f").alias("s")).select("_i", "own", "s.*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    dealt = rows.select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "_i", "n", "letters", "grams0", "grams1")
+
+    def compare(pair: tuple, table: pa.Table) -> pa.Table:
+        return near_signatures(table, pair[0].as_py(), pair[1].as_py(), threshold)
+
+    near = stored(dealt.groupBy("p", "q").applyInArrow(compare, "i long, j long"), "near-names")
+    side = F.struct(*[F.col(c) for c in ("a", "x", "f", "w")])
+    one, two = named.select(F.col("_i").alias("i"), side.alias("one")), named.select(F.col("_i").alias("j"), side.alias("two"))
+    met = near.join(one, "i").join(two, "j").select(F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two")).where("one.a < two.a")
+    return met.select(*[F.col(f"{'one' if c in _OTHER else 'two'}.{c if c in _OTHER else {v: k for k, v in _OTHER.items()}[c]}").alias(c) for c in _BOTH])
+
+
+def near_signatures(table: pa.Table, p: int, q: int, threshold: float) -> pa.Table:
+    """(i, j): names of block p and of block q (the same block: each pair once) whose signatures allow the ratio."""
+    col = lambda c: table.column(c).to_numpy()
+    own, at, n = col("own"), col("_i"), col("n").astype(np.int64)
+    bits = [col(c).view(np.uint64) for c in ("letters", "grams0", "grams1")]
+    left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
+    m, others = n[right], [b[right] for b in bits]
+    limits: dict[int, np.ndarray] = {}
+    found = []
+    for k, a in enumerate(left.tolist()):
+        size = n[a] + m
+        if n[a] not in limits:
+            matched = np.ceil(size * (threshold / 2) - 1e-9).astype(np.int64)
+            limits[n[a]] = np.where(np.minimum(n[a], m) >= matched, size - 2 * matched, -1)
+        near = np.flatnonzero(np.bitwise_count(bits[0][a] ^ others[0]) <= limits[n[a]])
+        if p == q:
+            near = near[near > k]
+        grams = np.bitwise_count(bits[1][a] ^ others[1][near]).astype(np.int64) + np.bitwise_count(bits[2][a] ^ others[2][near])
+        near = near[grams <= 3 * limits[n[a]][near]]
+        found.append((np.full(len(near), at[a]), at[right[near]]))
+    i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found) if found else ((), ())))
+    return pa.table({"i": i, "j": j})
 
 
 def not_sentinel(c: Column) -> Column:
