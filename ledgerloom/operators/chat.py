@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import relisted
+
 IGNORED = -100
 
 
@@ -34,7 +37,10 @@ def encode(messages: Column, ids=word_ids) -> tuple[Column, Column]:
 
 
 def library_ids(path: str):
-    """A tokenizer for ``encode``: ids by a ``tokenizers`` file, in Arrow batches (special tokens are not added)."""
+    """A tokenizer for ``encode``: ids by a ``tokenizers`` file, in Arrow batches (special tokens are not added).
+
+    One text is a Python object at a time; its ids are kept in four bytes each.
+    """
     from pyspark.sql.types import ArrayType, IntegerType
 
     held: dict = {}
@@ -46,9 +52,12 @@ def library_ids(path: str):
             held["tok"] = Tokenizer.from_file(path)
         return held["tok"].encode(text or "", add_special_tokens=False).ids
 
-    @F.pandas_udf(ArrayType(ArrayType(IntegerType())))
-    def many(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda own: None if own is None else [one(t) for t in own])
+    @F.arrow_udf(ArrayType(ArrayType(IntegerType())))
+    def many(texts: pa.Array) -> pa.Array:
+        own = texts.flatten()
+        ids = [np.array(one(t.as_py()), np.int32) for t in own]
+        ends = np.cumsum([0, *map(len, ids)])
+        return relisted(texts, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))))
 
     return many
 
