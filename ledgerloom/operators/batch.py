@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from ..functions.sqltext import split_statements
 from ..plans import guard
-from ..sources.stored import shared_folder, stored
+from ..sources.stored import dealt, shared_folder, stored
 from .grade import degenerate_status
 from .records import ensure
 
@@ -143,7 +143,7 @@ def run_statements(spark: SparkSession, scopes, statements: DataFrame, seconds:
 
 def units_of(items: DataFrame, predictions: DataFrame, key: str, item: str, text: str, truncated: str | None, scope: str) -> DataFrame:
     """One row a part: key, part, parts, early (a status that the text decides), scope, gold, sql, kind, target, extra."""
-    x = items.select(F.col(key).alias("key"), F.parse_json(item).alias("item")).join(predictions.select(F.col(key).alias("key"), F.col(text).alias("text"), (F.col(truncated) if truncated else F.lit(False)).alias("cut")), "key")
+    x = dealt(items, key).select(F.col(key).alias("key"), F.parse_json(item).alias("item")).join(predictions.select(F.col(key).alias("key"), F.col(text).alias("text"), (F.col(truncated) if truncated else F.lit(False)).alias("cut")), "key")
     of = lambda path, kind="string": F.try_variant_get("item", path, kind)
     x = x.withColumns({"several": F.coalesce(of("$.answer_type") == "multi_part", F.lit(False)), "ways": of("$.parts", "array<variant>"), "golds": of("$.gold_sql", "map<string,string>")})
     one = F.array(F.struct(F.lit("").alias("id"), of("$.gold_sql").alias("gold"), of("$.answer_type").alias("kind"), of("$.target_columns", "array<string>").alias("target")))
