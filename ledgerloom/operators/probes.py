@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sqltext
-from ..sources.stored import stored
+from ..sources.stored import once, stored
 from .tasks import LIST_CAP, holders, listed
 
 COLUMNS = ("example_id", "family", "scope", "exposure", "entity", "question", "answer", "gold_sql", "fingerprint", "join_arity")
@@ -114,8 +114,9 @@ def structured_probes(pool: DataFrame, trained: Column, held_operations: list[st
     The SQL stands for the question where a sentence would only repeat it.
     """
     kind = F.when(F.col("operation_family").isin(held_operations), "operation").when(F.col("join_arity") >= 2, "composition").when(trained, "held_in")
-    tasks = stored(pool.withColumn("family", kind).where("family IS NOT NULL"), "probe-tasks")
-    rest = without(tasks, stored(reserved(tasks.where("family = 'held_in'"), n_reserved), "probe-reserved"))
+    # The pool is stored before anything is chosen from it: its SQL is scanned, and its fingerprints are made, once.
+    tasks = once(pool, "probe-pool").withColumn("family", kind).where("family IS NOT NULL")
+    rest = without(tasks, stored(reserved(tasks.where("family = 'held_in'").select("task_id", "gold_sql", "fingerprint"), n_reserved), "probe-reserved"))
     held_in = F.col("family") == "held_in"
     one = (F.size("fields_used") == 1) & (F.size("values_used") == 1) & F.try_variant_get(F.parse_json("predicate"), "$.op", "string").eqNullSafe("eq")
     two = (F.size("fields_used") == 2) & (F.size("values_used") == 2)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .operators import probes, tasks
 from .queries import query
 from .queries_more import POOL, pool
+from .sources.stored import stored
 from .sources.tables import load
 
 _HEX = "substr(md5(name), 1, 1)"
@@ -104,7 +105,7 @@ def t_structured_probes(s, d):
  SELECT 'asked_in_training' AS "check", n FROM n UNION ALL SELECT unnest(['paraphrase_is_recall', 'development_entity_elsewhere', 'repeated_or_null_id', 'without_question_or_answer', 'composition_of_other_arity', 'no_match_with_an_answer', 'reserved_task_asked']), 0""")
 def t_probe_checks(s, d):
     """All families against what was trained on; the paraphrases of cities were, which the first check tells."""
-    known, pool_ = facts(s, d), supplier_tasks(s, d)
+    known, pool_ = facts(s, d), stored(supplier_tasks(s, d), "probe-pool")
     every = [known, probes.structured_probes(pool_, F.col("join_arity") < 2, ["argmax_topk"]), probes.value_probes(split_clients(s, d), "clients", "city", "master_id", "split"), probes.no_match_probes(load(s, d, "customer", ["c_name"]), "customer", "c_name", 20, "Customer")]
     leaked = known.where("family = 'fact_paraphrase' AND gold_sql LIKE 'SELECT city%'")
     taught = known.where("family = 'fact_recall' AND exposure[0] = 'trained_fact'").unionByName(leaked).select("question")
