@@ -21,6 +21,11 @@ from .relational import digest_rank, ratio_pairs
 SWEEPS = ("suffix_key", "first_token", "token_prefix", "ratio")
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """A table of names or groups as a join's other side: it grows with the input, so it is shuffled however small its files look, and doesn't go through the driver."""
+    return df.hint("merge")
+
+
 def names_of(rows: DataFrame, name: str) -> DataFrame:
     """Distinct names as one column ``name``."""
     return rows.where(F.col(name).isNotNull()).select(F.col(name).alias("name")).distinct()
@@ -38,14 +43,14 @@ def collision_candidates(names: DataFrame, sweeps: tuple[str, ...] = SWEEPS, thr
         elif sweep == "token_prefix":
             starts = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.array_join(F.slice("w", 1, i), " "))
             whole = words.where(F.size("w") > 0).select(F.array_join("w", " ").alias("hub")).distinct()
-            rows = words.where(F.size("w") > 0).select(F.explode(starts).alias("hub"), "name").join(whole, "hub")
+            rows = words.where(F.size("w") > 0).select(F.explode(starts).alias("hub"), "name").join(_large(whole), "hub")
         elif sweep == "ratio":
             pairs = ratio_pairs(names.select(F.col("name").alias("key"), "name"), "key", "name", threshold)
             rows = pairs.select(F.concat_ws("\0", "a", "b").alias("hub"), F.explode(F.array("a", "b")).alias("name"))
         else:
             raise ValueError(f"no sweep {sweep!r}")
         several = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("hub")
-        rows = rows.join(several, "hub").select(F.lit(sweep).alias("sweep"), "hub", "name")
+        rows = rows.join(_large(several), "hub").select(F.lit(sweep).alias("sweep"), "hub", "name")
         found = rows if found is None else found.unionByName(rows)
     return found
 
@@ -60,7 +65,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     hubs = links.select("hub", "name").distinct()
     least = hubs.groupBy("hub").agg(F.min("name").alias("least"))
     alone = hubs.select("name").distinct()
-    edges = stored(hubs.join(least, "hub").where("name <> least").select(F.col("name").alias("a"), F.col("least").alias("b")).distinct(), "identity-edges")
+    edges = stored(hubs.join(_large(least), "hub").where("name <> least").select(F.col("name").alias("a"), F.col("least").alias("b")).distinct(), "identity-edges")
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
@@ -70,24 +75,24 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         # Large star: neighbours above a name are tied to its least neighbour.
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
         low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "identity-low")
-        large = stored(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "identity-large")
+        large = stored(both.where("b > a").join(_large(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "identity-large")
         # Small star: a name and its lower neighbours are tied to the least of those.
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low2 = stored(down.groupBy("a").agg(F.min("b").alias("m")), "identity-low")
         own = low2.select("a", F.col("m").alias("b"))
-        lower = down.join(low2, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        lower = down.join(_large(low2), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         new = stored(own.union(lower).distinct(), "identity-edges")
         drop_stored(edges, low, large, low2)
         edges, before, seen = new, seen, mark(new)
         if seen == before:
-            return alone.join(edges.select(F.col("a").alias("name"), F.col("b").alias("group")), "name", "left").select("name", F.coalesce("group", "name").alias("group"))
+            return alone.join(_large(edges.select(F.col("a").alias("name"), F.col("b").alias("group"))), "name", "left").select("name", F.coalesce("group", "name").alias("group"))
     raise RuntimeError(f"components have not settled in {most_rounds} rounds")
 
 
 def identity_groups(names: DataFrame, candidates: DataFrame) -> DataFrame:
     """(name, group) for all distinct ``names``: names connected by candidates share the least of them."""
     found = components(candidates.select(F.concat_ws("\0", "sweep", "hub").alias("hub"), "name"))
-    return names.join(found, "name", "left").select("name", F.coalesce("group", "name").alias("group"))
+    return names.join(_large(found), "name", "left").select("name", F.coalesce("group", "name").alias("group"))
 
 
 def dispositions(candidates: DataFrame, approved: DataFrame, reviewed: DataFrame) -> DataFrame:
@@ -124,7 +129,7 @@ def approved_groups(names: DataFrame, approved: DataFrame) -> DataFrame:
 def referenced_names(names: DataFrame, rows: DataFrame, reference: str, nobody: tuple[str, ...] = SENTINELS) -> DataFrame:
     """Names that another column names exactly; ``nobody``: its values that name none."""
     used = rows.where(F.col(reference).isNotNull() & ~F.col(reference).isin(*nobody)).select(F.col(reference).alias("name"))
-    return names.join(used.distinct(), "name", "left_semi")
+    return names.join(_large(used.distinct()), "name", "left_semi")
 
 
 def uncovered_references(names: DataFrame, rows: DataFrame, reference: str, nobody: tuple[str, ...] = SENTINELS) -> DataFrame:
@@ -146,13 +151,13 @@ def assign_group_splits(rows: DataFrame, row: str, group: str, stratum: str, sal
     free, held = first, None
     if forced is not None:
         held = forced.select(F.col(group)).where(F.col(group).isNotNull()).distinct()
-        free = first.join(held, group, "left_anti")
+        free = first.join(_large(held), group, "left_anti")
     ranked = digest_rank(free, "_stratum", F.md5(F.concat(F.lit(salt), F.col(group).cast("string"))), group)
     placed = stored(ranked.select(group, split_of(dev, test).alias("split")), "group-splits")
-    out = rows.join(placed, group, "left").select(*rows.columns, F.coalesce("split", F.lit("train")).alias("split"))
+    out = rows.join(_large(placed), group, "left").select(*rows.columns, F.coalesce("split", F.lit("train")).alias("split"))
     if held is None:
         return out.withColumn("held_in", F.lit(False))
-    return out.join(held.withColumn("_held", F.lit(True)), group, "left").select(*out.columns, F.coalesce("_held", F.lit(False)).alias("held_in"))
+    return out.join(_large(held.withColumn("_held", F.lit(True))), group, "left").select(*out.columns, F.coalesce("_held", F.lit(False)).alias("held_in"))
 
 
 def split_of(dev: float, test: float) -> Column:

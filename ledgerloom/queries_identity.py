@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .operators import batch, identity
 from .queries import query
+from .sources.stored import stored
 from .sources.tables import load
 
 # The detection key and the tokens in SQL; names hold no letters that fold to several.
@@ -67,8 +68,9 @@ SPLIT = NAMES + REACH + """, forced AS (SELECT DISTINCT split_group FROM grp WHE
 
 
 def group_split(s, d):
-    rows = load(s, d, "clients", ["client_id", "name", "segment"]).join(groups(s, d), "name", "left")
-    vendors = identity.referenced_names(groups(s, d), load(s, d, "vendors", ["name"]), "name")
+    found = stored(groups(s, d), "identity-groups")
+    rows = load(s, d, "clients", ["client_id", "name", "segment"]).join(found.hint("merge"), "name", "left")
+    vendors = identity.referenced_names(found, load(s, d, "vendors", ["name"]), "name")
     return identity.assign_group_splits(rows, "client_id", "split_group", "segment", "holdout-1:", vendors)
 
 
@@ -81,7 +83,7 @@ def w_group_split(s, d):
 @query(SPLIT + """SELECT (SELECT count(*) FROM (SELECT name FROM done WHERE name IS NOT NULL GROUP BY 1 HAVING min(split) <> max(split))) AS names_apart, (SELECT count(*) FROM (SELECT split_group FROM done WHERE split_group IS NOT NULL GROUP BY 1 HAVING min(split) <> max(split))) AS groups_apart,
  (SELECT count(*) FROM (SELECT client_id FROM done GROUP BY 1 HAVING count(*) > 1)) AS repeated_rows, (SELECT count(*) FROM done WHERE held_in AND split <> 'train') AS misplaced, (SELECT 3 - count(DISTINCT split) FROM done) AS empty_splits""")
 def a_split_checks(s, d):
-    return identity.split_checks(group_split(s, d), "name", "split_group", "client_id")
+    return identity.split_checks(stored(group_split(s, d), "identity-split"), "name", "split_group", "client_id")
 
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
