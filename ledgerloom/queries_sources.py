@@ -53,7 +53,7 @@ def f_names_in_documents(s, d):
 def f_phrases_in_documents(s, d):
     """Names of two to four words that overlap and lie inside each other: openings of documents in whole documents."""
     docs = load(s, d, "documents", ["doc_id", "text"])
-    words = F.split("text", r"\s+")
+    words = F.split("text", r"\s+", 5)
     openings = docs.select(F.explode(F.array(*[F.array_join(F.slice(words, 1, n), " ") for n in (2, 3, 4)])).alias("name"))
     return gazetteer.named_in(docs, "text", openings, "name").select("doc_id", F.size("names").alias("n_names"), F.sha2(F.array_join("names", ","), 256).alias("names_sha256"))
 
