@@ -45,12 +45,14 @@ def collision_candidates(names: DataFrame, sweeps: tuple[str, ...] = SWEEPS, thr
             whole = words.where(F.size("w") > 0).select(F.array_join("w", " ").alias("hub")).distinct()
             rows = words.where(F.size("w") > 0).select(F.explode(starts).alias("hub"), "name").join(_large(whole), "hub")
         elif sweep == "ratio":
-            pairs = ratio_pairs(names.select(F.col("name").alias("key"), "name"), "key", "name", threshold)
+            pairs = stored(ratio_pairs(names.select(F.col("name").alias("key"), "name"), "key", "name", threshold).select("a", "b"), "identity-alike")
             rows = pairs.select(F.concat_ws("\0", "a", "b").alias("hub"), F.explode(F.array("a", "b")).alias("name"))
         else:
             raise ValueError(f"no sweep {sweep!r}")
-        several = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("hub")
-        rows = rows.join(_large(several), "hub").select(F.lit(sweep).alias("sweep"), "hub", "name")
+        if sweep != "ratio":  # of two names anyway
+            several = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("hub")
+            rows = rows.join(_large(several), "hub")
+        rows = rows.select(F.lit(sweep).alias("sweep"), "hub", "name")
         found = rows if found is None else found.unionByName(rows)
     return found
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SENTINELS
-from ..sources.stored import stored
+from ..sources.stored import dealt, stored
 
 
 def project(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -357,21 +358,25 @@ def ratio_pairs(df: DataFrame, key: str, name: str, threshold: float = 0.86) ->
 
     Names are case folded. Of S characters in both, M = ratio * S / 2 are matched, in order and in at most S - 2M + 1
     blocks. So the names differ in at most S - 2M of their letters (as sets of numbered letters), and in at most
-    3S - 6M of their bigrams (ends marked). Signatures of 64 and 128 bits bound both differences from below: names are dealt
-    to pairs of blocks of about ``BLOCK`` names, each compared by its signatures in one task, and what is left is measured.
-    All pairs are looked at, which is quadratic, at some nanoseconds each; memory is that of two blocks.
+    3S - 6M of their bigrams (ends marked), and have a common subsequence of M. Names are dealt to pairs of blocks of at most about ``BLOCK`` names,
+    each compared in one task. A block holds whole cells (names of one length with as many letters of each of eight
+    classes, where those are fewer than eight); cells whose counts differ by more than S - 2M are passed over. In the others signatures of 64 and 128 bits bound both
+    differences from below, then the longest common subsequence is told, and what is left is measured.
+    Pairs of cells are still quadratic in number, and so are pairs of names in near ones; memory is that of two blocks.
     """
     from ..functions.text import sequence_ratio
 
-    pairs = _alike(_spelled(df, key, name), threshold).distinct().select("a", "b", "x", "y", sequence_ratio("f", "g").alias("ratio"))
-    return pairs.where(F.col("ratio") >= threshold)
+    pairs = _alike(_spelled(df, key, name).drop("w"), threshold).select("a", "b", "x", "y", sequence_ratio("f", "g").alias("ratio"))
+    return pairs.where(F.col("ratio") >= threshold).distinct()
 
 
 _OTHER = {"a": "b", "x": "y", "f": "g", "w": "v", "n": "m"}
 _BOTH = ["a", "b", "x", "y", "f", "g", "w", "v"]
 
-#: Names of a block, whose signatures are compared with another block's by one task.
-BLOCK = 4_000
+#: Names of a block, which are compared with another block's by one task: at most, where there are many; at least, so that all cores have some.
+BLOCK, LEAST_BLOCK = 200_000, 1_000
+#: Pairs of names that are compared together.
+TOGETHER = 1_000_000
 
 
 def _spelled(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -386,45 +391,128 @@ def _alike(t: DataFrame, threshold: float) -> DataFrame:
     from ..functions.text import signatures
 
     named = stored(t.drop("n").withColumn("_i", F.monotonically_increasing_id()), "spelled")
-    blocks = max(1, -(-named.count() // BLOCK))
-    own = F.pmod(F.xxhash64("_i"), F.lit(blocks)).cast("int")
-    rows = named.select("_i", own.alias("own"), signatures("f").alias("s")).select("_i", "own", "s.*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
-    dealt = rows.select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "_i", "n", "letters", "grams0", "grams1")
+    signed = stored(dealt(named.select("_i", "f"), "_i").select("_i", "f", signatures("f").alias("s")).select("_i", "f", "s.*"), "signed")
+    n = signed.count()
+    for_all = math.ceil(math.sqrt(8 * t.sparkSession.sparkContext.defaultParallelism))  # some four pairs of blocks a core
+    blocks = max(1, -(-n // BLOCK), min(for_all, -(-n // LEAST_BLOCK)))
+    large = signed.groupBy("n", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_parts")).where("_parts > 1")  # at most one for each BLOCK names
+    part = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64("_i"), F.col("_parts"))).otherwise(0)
+    own = F.pmod(F.xxhash64("n", "cell", part), F.lit(blocks)).cast("int")
+    columns = ["_i", "f", "n", "letters", "grams0", "grams1", "cell"]
+    rows = signed.join(F.broadcast(large), ["n", "cell"], "left").select(*columns, own.alias("own"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    pairs = rows.select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", *columns).repartition(blocks * (blocks + 1) // 2, "p", "q")
 
     def compare(pair: tuple, table: pa.Table) -> pa.Table:
-        return near_signatures(table, pair[0].as_py(), pair[1].as_py(), threshold)
+        return near_names(table, pair[0].as_py(), pair[1].as_py(), threshold)
 
-    near = stored(dealt.groupBy("p", "q").applyInArrow(compare, "i long, j long"), "near-names")
-    side = F.struct(*[F.col(c) for c in ("a", "x", "f", "w")])
+    near = stored(pairs.groupBy("p", "q").applyInArrow(compare, "i long, j long"), "near-names")
+    held = [c for c in ("a", "x", "f", "w") if c in t.columns]
+    side = F.struct(*[F.col(c) for c in held])
     one, two = named.select(F.col("_i").alias("i"), side.alias("one")), named.select(F.col("_i").alias("j"), side.alias("two"))
     met = near.join(one, "i").join(two, "j").select(F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two")).where("one.a < two.a")
-    return met.select(*[F.col(f"{'one' if c in _OTHER else 'two'}.{c if c in _OTHER else {v: k for k, v in _OTHER.items()}[c]}").alias(c) for c in _BOTH])
+    return met.select(*[F.col(f"{own}.{c}").alias(_OTHER[c] if own == "two" else c) for c in held for own in ("one", "two")])
 
 
-def near_signatures(table: pa.Table, p: int, q: int, threshold: float) -> pa.Table:
-    """(i, j): names of block p and of block q (the same block: each pair once) whose signatures allow the ratio."""
+def ratio_bounds(n: int, m: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(matched, unmatched): characters that names of lengths n and m match at least, and are left over at most (-1: no such match)."""
+    size = n + m.astype(np.int64)
+    matched = np.ceil(size * (threshold / 2) - 1e-9).astype(np.int64)
+    return matched, np.where(np.minimum(n, m) >= matched, size - 2 * matched, -1)
+
+
+def near_names(table: pa.Table, p: int, q: int, threshold: float) -> pa.Table:
+    """(i, j): names of block p and of block q (the same block: each pair once) that may have the ratio by their cells, signatures and common subsequence."""
     col = lambda c: table.column(c).to_numpy()
-    own, at, n = col("own"), col("_i"), col("n").astype(np.int64)
+    own, at, n, cell = col("own"), col("_i"), col("n").astype(np.int64), col("cell")
     bits = [col(c).view(np.uint64) for c in ("letters", "grams0", "grams1")]
-    left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
-    m, others = n[right], [b[right] for b in bits]
-    limits: dict[int, np.ndarray] = {}
-    found = []
-    for k, a in enumerate(left.tolist()):
-        size = n[a] + m
-        if n[a] not in limits:
-            matched = np.ceil(size * (threshold / 2) - 1e-9).astype(np.int64)
-            limits[n[a]] = np.where(np.minimum(n[a], m) >= matched, size - 2 * matched, -1)
-        near = np.flatnonzero(np.bitwise_count(bits[0][a] ^ others[0]) <= limits[n[a]])
+    codes = letter_codes(table.column("f"), n)
+
+    def cells(block: int) -> tuple:
+        """Rows in the order of their cells, where each cell begins and how many it holds, its counts by class (in unary), its length."""
+        rows = np.flatnonzero(own == block)
+        rows = rows[np.lexsort((cell[rows], n[rows]))]
+        begun = np.flatnonzero(np.append(True, (np.diff(n[rows]) != 0) | (np.diff(cell[rows]) != 0))[: len(rows)])
+        heads = rows[begun]
+        return rows, begun, np.diff(np.append(begun, len(rows))), cell[heads].view(np.uint64), n[heads]
+
+    left, right = cells(p), cells(q)
+    bounds: dict[int, tuple] = {}
+    found, open_, waiting = [], [], 0
+
+    def close() -> None:
+        i, j, need = (np.concatenate(x) for x in zip(*open_))
+        for k in range(0, len(i), TOGETHER // 4):
+            part = slice(k, k + TOGETHER // 4)
+            keep = common_subsequence(codes, n, i[part], j[part]) >= need[part]
+            found.append((at[i[part][keep]], at[j[part][keep]]))
+        open_.clear()
+
+    for a, (begun, size, length) in enumerate(zip(left[1].tolist(), left[2].tolist(), left[4].tolist())):
+        if length not in bounds:
+            bounds[length] = ratio_bounds(length, right[4], threshold)
+        matched, unmatched = bounds[length]
+        near = np.flatnonzero(np.bitwise_count(right[3] ^ left[3][a]) <= unmatched)
         if p == q:
-            near = near[near > k]
-        grams = np.bitwise_count(bits[1][a] ^ others[1][near]).astype(np.int64) + np.bitwise_count(bits[2][a] ^ others[2][near])
-        near = near[grams <= 3 * limits[n[a]][near]]
-        found.append((np.full(len(near), at[a]), at[right[near]]))
+            near = near[near >= a]
+        if not len(near):
+            continue
+        sizes = right[2][near]
+        places = np.arange(sizes.sum()) + np.repeat(right[1][near] - np.cumsum(sizes) + sizes, sizes)
+        rows, most, need = right[0][places], np.repeat(unmatched[near], sizes), np.repeat(matched[near], sizes)
+        letters = bits[0][rows]
+        step = max(1, TOGETHER // max(1, len(rows)))
+        for lo in range(begun, begun + size, step):
+            mine = left[0][lo : min(lo + step, begun + size)]
+            k, r = np.nonzero(np.bitwise_count(bits[0][mine][:, None] ^ letters) <= most)
+            i, j = mine[k], rows[r]
+            grams = np.bitwise_count(bits[1][i] ^ bits[1][j]).astype(np.int64) + np.bitwise_count(bits[2][i] ^ bits[2][j])
+            keep = grams <= 3 * most[r]
+            if p == q:
+                keep &= places[r] > lo + k
+            if keep.any():
+                open_.append((i[keep], j[keep], need[r[keep]]))
+                waiting += len(open_[-1][0])
+            if waiting >= TOGETHER // 4:
+                close()
+                waiting = 0
+    if open_:
+        close()
     i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found) if found else ((), ())))
     return pa.table({"i": i, "j": j})
 
 
+def letter_codes(names: pa.ChunkedArray, n: np.ndarray) -> np.ndarray:
+    """The first 64 letters of each name as 32 codes; several letters may have one code."""
+    wide = np.array(names.to_pylist(), "<U64")
+    return (wide.view("<u4").reshape(len(n), 64) & 31).astype(np.uint8)
+
+
+def common_subsequence(codes: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """At least the length of the longest common subsequence of names i and j, bit by bit (Crochemore and others); names of over 64 letters are not compared and get the greatest number."""
+    most = np.iinfo(np.int64).max
+    out = np.full(len(i), most)
+    short = np.flatnonzero((n[i] <= 64) & (n[j] <= 64))
+    if not len(short):
+        return out
+    i, j = i[short], j[short]
+    of, mine = np.unique(i, return_inverse=True)
+    places = np.zeros((len(of), 32), np.uint64)
+    for k in range(int(n[of].max())):
+        longer = np.flatnonzero(n[of] > k)
+        places[longer, codes[of[longer], k]] |= np.uint64(1 << k)
+    places = places.ravel()
+    theirs = np.ascontiguousarray(codes[j].T)
+    mine, m = mine.ravel() * 32, n[j]
+    v = np.full(len(i), ~np.uint64(0))
+    for k in range(int(m.max())):
+        u = v & np.where(m > k, places[mine + theirs[k]], np.uint64(0))
+        v = (v + u) | (v - u)
+    inside = np.where(n[i] < 64, (np.uint64(1) << np.minimum(n[i], 63).astype(np.uint64)) - np.uint64(1), ~np.uint64(0))
+    out[short] = np.bitwise_count(~v & inside)
+    return out
+
+
 def not_sentinel(c: Column) -> Column:
     return ~c.isin(*SENTINELS)
 
