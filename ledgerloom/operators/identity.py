@@ -92,8 +92,13 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def identity_groups(names: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(name, group) for all distinct ``names``: names connected by candidates share the least of them."""
-    found = components(candidates.select(F.concat_ws("\0", "sweep", "hub").alias("hub"), "name"))
+    """(name, group) for all distinct ``names``: names connected by candidates share the least of them.
+
+    Pairs (``ratio``) with one first name are one star around it, which connects the same names in fewer rows.
+    """
+    parts = F.split("hub", "\0")
+    hub = F.when((F.col("sweep") == "ratio") & (F.size(parts) == 2), parts[0]).otherwise(F.col("hub"))
+    found = components(candidates.select(F.concat_ws("\0", "sweep", hub).alias("hub"), "name"))
     return names.join(_large(found), "name", "left").select("name", F.coalesce("group", "name").alias("group"))
 
 

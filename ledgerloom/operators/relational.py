@@ -460,11 +460,11 @@ def near_names(table: pa.Table, p: int, q: int, threshold: float) -> pa.Table:
         sizes = right[2][near]
         places = np.arange(sizes.sum()) + np.repeat(right[1][near] - np.cumsum(sizes) + sizes, sizes)
         rows, most, need = right[0][places], np.repeat(unmatched[near], sizes), np.repeat(matched[near], sizes)
-        letters = bits[0][rows]
-        step = max(1, TOGETHER // max(1, len(rows)))
+        letters, bound = bits[0][rows], np.minimum(most, 64).astype(np.uint8)  # as narrow as the counts
+        step = max(1, TOGETHER // 8 // len(rows))
         for lo in range(begun, begun + size, step):
             mine = left[0][lo : min(lo + step, begun + size)]
-            k, r = np.nonzero(np.bitwise_count(bits[0][mine][:, None] ^ letters) <= most)
+            k, r = np.divmod(np.flatnonzero(np.bitwise_count(bits[0][mine][:, None] ^ letters) <= bound), len(rows))
             i, j = mine[k], rows[r]
             grams = np.bitwise_count(bits[1][i] ^ bits[1][j]).astype(np.int64) + np.bitwise_count(bits[2][i] ^ bits[2][j])
             keep = grams <= 3 * most[r]
